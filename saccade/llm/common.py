@@ -162,7 +162,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def word_count(text: str = "text"):
     """Number of words of a text column, null as 0, without Python."""
     parts = F.split(F.col(text), GAP)
-    blanks = F.when(F.element_at(parts, 1) == "", 1).otherwise(0) + F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == "", ), 1).otherwise(0)
+    blanks = F.when(F.element_at(parts, 1) == "", 1).otherwise(0) + F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
     return F.coalesce(F.size(parts) - blanks, F.lit(0)).cast("long")
 
 

@@ -8,7 +8,9 @@ the default m = 14, 1.4e-10 at 0.9).
 Exact copies of a shingle set are collapsed first. Only half keys that two sets share are combined (a necessary
 condition for a common table, so nothing is lost). Candidates are never expanded into all pairs of a bucket: each bucket's
 smallest member is compared with the others on full sets, links are contracted to components, and only buckets whose
-remaining members still lie in different components go on, with more members to compare each round, until none is left.
+remaining members still lie in different components go on, with more members to compare each round, until none is left. Pairs are
+only formed if they can reach the similarity at all: a set shares at most those of its shingles that some other candidate has
+too, which rules out copies with many edits of their own without comparing them with everyone.
 
 Edge cases: null, empty or wordless text has an empty set and no links; rows that share a doc_id are one document
 whose set is the union over those rows; a null doc_id is a document without links (component null, kept).
@@ -141,37 +143,52 @@ def _confirm_all(docs: DataFrame, entries: DataFrame, k: int, percent: int) -> D
     texts = docs.select("doc_id", "text").join(members.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
     sets = shingle_sets(texts, k)
     sets = materialize(sets.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("shingles")) if _spread(docs) else sets, "sets")
+    entries = materialize(_possible(entries, sets, percent), "entries")
     links = spark.createDataFrame([], "a long, b long")
     rows, width, labels = entries, 1, None
     while True:
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("rep"))
-        centers = rows.withColumn("n", rank).where(F.col("n") <= width).select("bucket", F.col("rep").alias("a"))
-        named = rows
+        centers = rows.withColumn("i", rank).where(F.col("i") <= width).select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
+        named, differ = rows, F.col("a") != F.col("rep")
         if labels is not None:
             centers = centers.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").withColumn("la", F.coalesce("la", "a"))
             named = rows.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-            pairs = named.join(centers, "bucket").where("a <> rep and la <> label")
-        else:
-            pairs = named.join(centers, "bucket").where("a <> rep")
+            differ &= F.col("la") != F.col("label")
+        # at most the smaller number of shareable shingles is shared
+        most = F.least("s", "sa")
+        can = most * 100 >= (F.col("n") + F.col("na") - most) * percent
+        named = named.withColumnRenamed("bucket", "k")
+        pairs = named.join(centers, (F.col("k") == F.col("bucket")) & differ & can)
         pairs = pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
         fresh = materialize(_confirm(pairs, sets, percent), "links")
         if fresh.limit(1).count():
             links = links.union(fresh)
             labels = materialize(components(links), "labels")
         # the centers have been compared with every other member of their buckets
-        left = rows.withColumn("n", rank).where(F.col("n") > width).select("bucket", "rep")
+        left = rows.withColumn("i", rank).where(F.col("i") > width).drop("i")
         label = F.col("rep")
         if labels is not None:
             left = left.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
             label = F.coalesce("label", "rep")
         mixed = left.groupBy("bucket").agg(F.min(label).alias("lo"), F.max(label).alias("hi")).where("lo <> hi").select("bucket")
-        left = materialize(left.join(mixed, "bucket").select("bucket", "rep"), "entries")
+        left = materialize(left.join(mixed, "bucket").select("bucket", "rep", "n", "s"), "entries")
         dispose(rows)
         rows, width = left, WIDTH if width > 1 else 32
         if not rows.limit(1).count():
             return links
 
 
+def _possible(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """entries with n, the size of the set, and s, how many of its shingles another candidate has too.
+
+    A set shares at most s shingles with any other, so one with too few cannot have a link and goes; so do buckets that
+    keep a single member.
+    """
+    lone = sets.select("doc_id", F.explode("shingles").alias("g")).groupBy("g").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("c")).where("c = 1").groupBy("doc_id").agg(F.count("*").alias("u"))
+    sizes = sets.select("doc_id", F.size("shingles").alias("n")).join(lone, "doc_id", "left").select(F.col("doc_id").alias("rep"), "n", (F.col("n") - F.coalesce("u", F.lit(0))).cast("int").alias("s"))
+    return _shared(entries.join(sizes.where(F.col("s") * 100 >= F.col("n") * percent), "rep"), ["bucket"]).select("bucket", "rep", "n", "s")
+
+
 def _spread(docs: DataFrame) -> bool:
     return bool(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count())
 

@@ -1,4 +1,468 @@
 """All queries of the event engine with the SQL that must give the same rows."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geometry as G
+from ..functions import pixels as P
+from ..operators import asof, calibration, cloud, frames, histogram, intervals, regression, roi, simulate, spectrum, voxel
+from ..params import preset
+from ..streaming import events as streams
+from . import lens
+
 QUERIES: dict = {}
 SQL: dict = {}
+MINUTE = 60_000_000
+LONGEST = 400_000 * 1_000_000
+
+
+def _query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, **digits: int) -> DataFrame:
+    return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
+E = f"WITH {lens.EVENTS_SQL}"
+EF = f"{E}, {lens.PIXELS_SQL}"
+#: Intervals of a pixel's events, in seconds.
+TAU = f"{E}, i AS (SELECT * FROM (SELECT x, y, p, t, t - lag(t) OVER (PARTITION BY x, y ORDER BY t) AS tau, count(*) OVER (PARTITION BY x, y) AS n FROM e) WHERE tau > 0 AND n >= 10)"
+
+
+def _taus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.intervals(lens.events(spark, sf_dir).select("t", "x", "y", "p"), least=10)
+
+
+@_query("event_intervals", f"{TAU} SELECT x, y, t, tau FROM i")
+def event_intervals(spark, sf_dir):
+    return _taus(spark, sf_dir).select("x", "y", "t", "tau")
+
+
+_IG = "1 / (avg(1 / s) - 1 / avg(s))"
+
+
+@_query(
+    "interval_ig_fit",
+    f"{TAU}, s AS (SELECT p, tau / 1e6 AS s FROM i) SELECT p, count(*) AS n, round(avg(s), 3) AS mean, round({_IG}, 3) AS shape, round(1 / avg(s), 9) AS mu, round(1 / sqrt({_IG}), 6) AS sigma FROM s GROUP BY p",
+)
+def interval_ig_fit(spark, sf_dir):
+    fitted = intervals.fit(_taus(spark, sf_dir).withColumn("s", F.col("tau") / 1e6), "s", ("p",))
+    return rounded(fitted.select("p", "n", "mean", "shape", "mu", "sigma"), mean=3, shape=3, mu=9, sigma=6)
+
+
+@_query("interval_levy_fit", f"{TAU} SELECT p, count(*) AS n, round(count(*) / sum(1e6 / tau), 3) AS levy_scale FROM i GROUP BY p")
+def interval_levy_fit(spark, sf_dir):
+    fitted = intervals.fit(_taus(spark, sf_dir).withColumn("s", F.col("tau") / 1e6), "s", ("p",))
+    return rounded(fitted.select("p", "n", "levy_scale"), levy_scale=3)
+
+
+@_query(
+    "interval_pool_stats",
+    f"""{TAU}, s AS (SELECT x, y, tau / 1e6 AS s FROM i) SELECT count(*) AS n, count(DISTINCT (x, y)) AS pixels, round(avg(s), 3) AS mean, round(quantile_cont(s, 0.5), 3) AS median,
+  round(stddev_pop(s), 3) AS std, round(min(s), 6) AS min, round(max(s), 6) AS max FROM s""",
+)
+def interval_pool_stats(spark, sf_dir):
+    stats = intervals.pool_statistics(_taus(spark, sf_dir).withColumn("s", F.col("tau") / 1e6), "s")
+    return rounded(stats, mean=3, median=3, std=3, min=6, max=6)
+
+
+_HZ = 0.01  # events here are hours apart: at most one in 100 s
+
+
+@_query(
+    "event_freq_stats",
+    f"""{TAU}, h AS (SELECT x, y, 1e6 / tau AS hz FROM i WHERE 1e6 / tau <= {_HZ}) SELECT count(*) AS n, count(DISTINCT (x, y)) AS pixels, round(avg(hz), 9) AS mean,
+  round(quantile_cont(hz, 0.5), 9) AS median, round(stddev_pop(hz), 9) AS std, round(min(hz), 9) AS min, round(max(hz), 9) AS max FROM h""",
+)
+def event_freq_stats(spark, sf_dir):
+    stats, _ = intervals.frequency_spectrum(lens.events(spark, sf_dir), 10, _HZ)
+    return rounded(stats, mean=9, median=9, std=9, min=9, max=9)
+
+
+def _hist_sql(source: str, value: str, lo: str, hi: str, bins: int, extra: str = "") -> str:
+    """Dense histogram of source.value over [lo, hi], last bin closed."""
+    return f"""v AS (SELECT {value} AS v, {lo} AS lo, {hi} AS hi FROM {source}),
+g AS (SELECT v, lo, hi, least(floor((v - lo) * {bins} / (hi - lo)), {bins - 1})::BIGINT AS b FROM v WHERE v >= lo AND v <= hi),
+k AS (SELECT CASE WHEN v < lo + b * (hi - lo) / {bins} THEN b - 1 WHEN b < {bins - 1} AND v >= lo + (b + 1) * (hi - lo) / {bins} THEN b + 1 ELSE b END AS bin, count(*) AS n FROM g GROUP BY 1),
+r AS (SELECT any_value(lo) AS lo, any_value(hi) AS hi FROM v)
+SELECT q.bin, round(lo + q.bin * (hi - lo) / {bins}, 6) AS "left", round(lo + (q.bin + 1) * (hi - lo) / {bins}, 6) AS "right", coalesce(n, 0)::BIGINT AS count{extra}
+FROM range({bins}) q(bin) CROSS JOIN r LEFT JOIN k ON k.bin = q.bin"""
+
+
+@_query("event_freq_hist", f"{TAU}, h AS (SELECT 1e6 / tau AS hz FROM i WHERE 1e6 / tau <= {_HZ}), " + _hist_sql("h", "hz", "0.0::DOUBLE", f"{_HZ}::DOUBLE", 50))
+def event_freq_hist(spark, sf_dir):
+    _, bins = intervals.frequency_spectrum(lens.events(spark, sf_dir), 10, _HZ)
+    return rounded(bins, left=6, right=6)
+
+
+@_query(
+    "interval_density_hist",
+    f"{TAU}, h AS (SELECT tau / 1e6 AS s FROM i WHERE tau <= {LONGEST}), " + _hist_sql("h", "s", "0.0::DOUBLE", "400000.0::DOUBLE", 40, f", round(coalesce(n, 0) / (sum(coalesce(n, 0)) OVER () * (hi - lo) / 40), 9) AS density"),
+)
+def interval_density_hist(spark, sf_dir):
+    taus = _taus(spark, sf_dir).where(F.col("tau") <= LONGEST).withColumn("s", F.col("tau") / 1e6)
+    return rounded(histogram.density(taus, "s", 40, 0.0, 400_000.0), left=6, right=6, density=9)
+
+
+@_query("busy_pixels", f"{E} SELECT x, y, count(*) AS n FROM e GROUP BY x, y HAVING count(*) >= 50")
+def busy_pixels(spark, sf_dir):
+    return intervals.busy_pixels(lens.events(spark, sf_dir), 50).groupBy("x", "y").agg(F.count("*").alias("n"))
+
+
+_STEP = "d AS (SELECT *, lag(lum) OVER w AS a, lag(frame_idx) OVER w AS j FROM f WINDOW w AS (PARTITION BY x, y ORDER BY frame_idx))"
+_NAIVE = f"{EF}, {_STEP}, n AS (SELECT t, x, y, (CASE WHEN lum > a THEN 1 ELSE 0 END)::TINYINT AS p FROM d WHERE j = frame_idx - 1 AND abs(lum - a) > 20)"
+
+
+@_query("naive_events", f"{_NAIVE} SELECT * FROM n")
+def naive_events(spark, sf_dir):
+    return frames.naive_events(lens.pixels(spark, sf_dir))
+
+
+@_query("event_map", f"{_NAIVE} SELECT x, y, CASE WHEN arg_max(p, t * 2 + 1 - p) > 0 THEN 1 ELSE -1 END AS value FROM n GROUP BY x, y")
+def event_map(spark, sf_dir):
+    return frames.event_map(frames.naive_events(lens.pixels(spark, sf_dir)))
+
+
+@_query("frame_stats", f"{EF} SELECT frame_idx, round(avg(lum) / 1023, 6) AS mean, round(var_pop(lum) / (1023 * 1023), 6) AS variance, round((max(lum) - min(lum)) / 1023, 6) AS range FROM f GROUP BY frame_idx")
+def frame_stats(spark, sf_dir):
+    return rounded(frames.frame_statistics(lens.pixels(spark, sf_dir), 1023.0), mean=6, variance=6, range=6)
+
+
+@_query("resolution", f"{E} SELECT max(x) + 1 AS width, max(y) + 1 AS height FROM e")
+def resolution(spark, sf_dir):
+    return frames.resolution(lens.events(spark, sf_dir))
+
+
+@_query("aedat_prepare", f"{E} SELECT t, x, y, p > 0 AS p FROM e WHERE t >= 0")
+def aedat_prepare(spark, sf_dir):
+    return frames.prepared_events(lens.events(spark, sf_dir))
+
+
+@_query("validity_report", f"{E} SELECT count(*) AS events, count_if(t IS NULL OR t < 0)::BIGINT AS bad_time, count_if(x NOT BETWEEN 0 AND 15 OR y NOT BETWEEN 0 AND 4)::BIGINT AS out_of_frame, count_if(p NOT IN (0, 1))::BIGINT AS bad_polarity FROM e")
+def validity_report(spark, sf_dir):
+    return frames.validity_report(lens.events(spark, sf_dir), 16, 5)
+
+
+@_query("event_cap", f"{E} SELECT count(*) AS n FROM (SELECT * FROM e LIMIT 500)")
+def event_cap(spark, sf_dir):
+    return lens.events(spark, sf_dir).limit(500).agg(F.count("*").alias("n"))
+
+
+@_query(
+    "clock_offset",
+    f"""WITH o AS (SELECT t, row_number() OVER (ORDER BY t) AS idx FROM (SELECT DISTINCT epoch_us(date_trunc('day', ts)) AS t FROM events)),
+a AS (SELECT idx, t AS a, lead(t) OVER (ORDER BY idx) - t AS da, t + 5000000 + (idx % 7) * 1000000 AS b FROM o),
+r AS (SELECT *, lead(b) OVER (ORDER BY idx) - b AS db FROM a)
+SELECT idx::INT AS idx, round(db / da, 9) AS ratio, b - a AS "offset" FROM r WHERE da > 0 AND db IS NOT NULL ORDER BY abs(db / da - 1), idx LIMIT 1""",
+)
+def clock_offset(spark, sf_dir):
+    days = lens.events(spark, sf_dir).select(F.expr(f"(t div {lens.DAY}) * {lens.DAY}").alias("t")).distinct()
+    from pyspark.sql import Window
+
+    other = days.select((F.col("t") + 5_000_000 + (F.row_number().over(Window.orderBy("t")) % 7) * 1_000_000).alias("t"))
+    return rounded(asof.clock_offset(days, other), ratio=9)
+
+
+_BOXED = f"{E}, {lens.BOXES_SQL}, n AS (SELECT *, lead(t) OVER (ORDER BY t) AS hi, row_number() OVER (ORDER BY t) AS k FROM b)"
+
+
+def _mix_sql(c: str) -> str:
+    return f"((1 - alpha) * a.{c} + alpha * z.{c})"
+
+
+_ASOF = f"""{_BOXED}, m AS (SELECT e.*, n.k, CASE WHEN e.t < n.t OR n.hi IS NULL THEN 0.0 ELSE (e.t - n.t) / (n.hi - n.t) END AS alpha, CASE WHEN e.t < n.t OR n.hi IS NULL THEN n.k ELSE n.k + 1 END AS k2
+  FROM e JOIN n ON (e.t >= n.t OR n.k = 1) AND (e.t < n.hi OR n.hi IS NULL)),
+q AS (SELECT m.t, m.x, m.y, m.p, m.alpha, a.t AS prev_t, z.t AS next_t, a.angle + alpha * (((z.angle - a.angle + 180) % 360 + 360) % 360 - 180) AS angle,
+  {', '.join(f'{_mix_sql(c)} AS {c}' for c in ('cx', 'cy'))}, {', '.join(f'{_mix_sql(f"{c}{i}")} AS {c}{i}' for i in range(4) for c in 'xy')}
+  FROM m JOIN n a ON a.k = m.k JOIN n z ON z.k = m.k2)"""
+
+
+@_query("asof_interp", f"{_ASOF} SELECT t, x, y, prev_t, next_t, round(alpha, 9) AS alpha, round(cx, 6) AS cx, round(cy, 6) AS cy FROM q")
+def asof_interp(spark, sf_dir):
+    out = asof.asof_interpolated(lens.events(spark, sf_dir), lens.flat_boxes(spark))
+    mix = lambda c: G.blend(F.col(f"prev.{c}"), F.col(f"next.{c}"), F.col("alpha"))
+    return rounded(out.select("t", "x", "y", F.col("prev.t").alias("prev_t"), F.col("next.t").alias("next_t"), "alpha", mix("cx").alias("cx"), mix("cy").alias("cy")), alpha=9, cx=6, cy=6)
+
+
+@_query("angle_interp", f"{_ASOF} SELECT t, x, y, round(angle, 6) AS angle FROM q")
+def angle_interp(spark, sf_dir):
+    return rounded(roi.with_box(lens.events(spark, sf_dir).select("t", "x", "y"), lens.boxes(spark)).select("t", "x", "y", "angle"), angle=6)
+
+
+def _cross_sql(i: int) -> str:
+    j = (i + 1) % 4
+    return f"(x{j} - x{i}) * (y - y{i}) - (y{j} - y{i}) * (x - x{i})"
+
+
+_INSIDE = " OR ".join("(" + " AND ".join(f"{_cross_sql(i)} {op}" for i in range(4)) + ")" for op in (">= -1e-6", "<= 1e-6"))
+_ROI = f"{_ASOF}, w AS (SELECT * FROM q WHERE {_INSIDE})"
+_SIZE = 100
+
+
+@_query("roi_filter", f"{_ROI} SELECT p, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM w GROUP BY p")
+def roi_filter(spark, sf_dir):
+    out = roi.filter_events(lens.events(spark, sf_dir).select("t", "x", "y", "p"), lens.boxes(spark), size=None)
+    return out.groupBy("p").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+
+
+@_query(
+    "roi_transform",
+    f"""{_ASOF}, s AS (SELECT *, CASE WHEN g > 0 THEN {_SIZE} / g ELSE 0 END AS k FROM (SELECT *, greatest(sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2), sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2)) AS g FROM q)),
+z AS (SELECT t, x, y, p, angle, cx, cy, {', '.join(f'c{c} + ({c}{i} - c{c}) * k AS {c}{i}' for i in range(4) for c in 'xy')} FROM s)
+SELECT t, p, greatest(0, least({_SIZE - 1}, floor(cx + (x - cx) * cos(radians(-angle)) - (y - cy) * sin(radians(-angle)) - cx + {_SIZE} / 2)))::INT AS x,
+  greatest(0, least({_SIZE - 1}, floor(cy + (x - cx) * sin(radians(-angle)) + (y - cy) * cos(radians(-angle)) - cy + {_SIZE} / 2)))::INT AS y FROM z WHERE {_INSIDE}""",
+)
+def roi_transform(spark, sf_dir):
+    return roi.filter_events(lens.events(spark, sf_dir).select("t", "x", "y", "p"), lens.boxes(spark), size=_SIZE).select("t", "p", "x", "y")
+
+
+@_query(
+    "tag_region",
+    f"""WITH {lens.BOXES_SQL}, c AS (SELECT t, least(x0 - y0, x1 - y1, x2 - y2, x3 - y3) AS lo, greatest(x0 + y0, x1 + y1, x2 + y2, x3 + y3) AS hi, * EXCLUDE (t) FROM b),
+k AS (SELECT t, {', '.join(f'CASE {" ".join(f"WHEN x{i} {op} y{i} = {best} THEN {c}{i}" for i in range(4))} END AS {name}{c}' for name, op, best in (('l', '-', 'lo'), ('r', '+', 'hi')) for c in 'xy')} FROM c),
+u AS (SELECT *, (rx - lx) / n AS ux, (ry - ly) / n AS uy, n / 287 AS s FROM (SELECT *, sqrt((rx - lx) ** 2 + (ry - ly) ** 2) AS n FROM k)),
+r AS (SELECT *, lx - 82 * s * ux AS ax, ly - 82 * s * uy AS ay FROM u)
+SELECT t, round(degrees(atan2(uy, ux)), 4) AS angle, round(ax, 4) AS right_x, round(ay, 4) AS right_y, round(ax - 861 * s * ux, 4) AS left_x, round(ay - 861 * s * uy, 4) AS left_y FROM r""",
+)
+def tag_region(spark, sf_dir):
+    tags = lens.boxes(spark).select("t", F.lit(0).alias("tag_id"), F.col("polygon").alias("corners"))
+    out = roi.boxes_from_tags(tags, 0.0)
+    corner = lambda i: F.get("polygon", F.lit(i))
+    rows = out.select("t", "angle", corner(1).x.alias("right_x"), corner(1).y.alias("right_y"), corner(0).x.alias("left_x"), corner(0).y.alias("left_y"))
+    return rounded(rows, angle=4, right_x=4, right_y=4, left_x=4, left_y=4)
+
+
+@_query("trajectory", f"WITH {lens.BOXES_SQL} SELECT t, cx AS center_x, cy AS center_y, angle FROM b")
+def trajectory(spark, sf_dir):
+    return roi.trajectory(lens.boxes(spark))
+
+
+@_query(
+    "asof_prev_next",
+    f"""{EF}, g AS (SELECT DISTINCT frame_idx, t FROM f), h AS (SELECT frame_idx AS a, t AS lo, lead(frame_idx) OVER (ORDER BY t) AS b, lead(t) OVER (ORDER BY t) AS hi FROM g),
+i AS (SELECT *, row_number() OVER (ORDER BY lo) AS k, count(*) OVER () AS n FROM h WHERE b IS NOT NULL)
+SELECT e.t, x, y, a AS prev_frame, b AS next_frame, hi - lo AS frame_dt FROM e JOIN i ON (e.t > lo OR k = 1) AND (e.t <= hi OR k = n)""",
+)
+def asof_prev_next(spark, sf_dir):
+    grid = lens.pixels(spark, sf_dir).select("frame_idx", "t").distinct()
+    out = asof.asof_bracket(lens.events(spark, sf_dir), grid)
+    return out.select("t", "x", "y", F.col("prev.frame_idx").alias("prev_frame"), F.col("next.frame_idx").alias("next_frame"), (F.col("next.t") - F.col("prev.t")).alias("frame_dt"))
+
+
+_LUM = f"""{EF}, g AS (SELECT DISTINCT frame_idx, t FROM f), h AS (SELECT frame_idx AS a, t AS lo, lead(frame_idx) OVER (ORDER BY t) AS b, lead(t) OVER (ORDER BY t) AS hi FROM g),
+i AS (SELECT *, row_number() OVER (ORDER BY lo) AS k, count(*) OVER () AS n FROM h WHERE b IS NOT NULL),
+j AS (SELECT e.t, x, y, p, a, b, hi - lo AS frame_dt FROM e JOIN i ON (e.t > lo OR k = 1) AND (e.t <= hi OR k = n)),
+l AS (SELECT j.t, j.x, j.y, j.p, u.lum AS prev_lum, v.lum AS next_lum, frame_dt FROM j JOIN f u ON u.frame_idx = a AND u.x = j.x AND u.y = j.y JOIN f v ON v.frame_idx = b AND v.x = j.x AND v.y = j.y)"""
+
+
+def _attached(spark, sf_dir):
+    return calibration.attach_luminance(lens.events(spark, sf_dir).select("t", "x", "y", "p"), lens.pixels(spark, sf_dir))
+
+
+@_query("lum_attach", f"{_LUM} SELECT * FROM l WHERE x >= 2 AND x < 12 AND y >= 0 AND y < 8")
+def lum_attach(spark, sf_dir):
+    return calibration.attach_luminance(lens.events(spark, sf_dir).select("t", "x", "y", "p"), lens.pixels(spark, sf_dir), (2, 0, 12, 8))
+
+
+_LI = f"""{_LUM}, o AS (SELECT p, x, y, t, t - lag(t) OVER w AS tau, lag(prev_lum) OVER w AS a, lag(next_lum) OVER w AS b, lag(frame_dt) OVER w AS dt FROM l WINDOW w AS (PARTITION BY p, x, y ORDER BY t)),
+li AS (SELECT p, x, y, t, tau, (a + b) / 2 AS lbar, b - a AS dl, dt FROM o WHERE tau > 0 AND tau < {LONGEST * 10})"""
+
+
+@_query("luminance_intervals", f"{_LI} SELECT p, x, y, t, tau, round(lbar, 6) AS lbar, round(dl, 6) AS dl, dt FROM li")
+def luminance_intervals(spark, sf_dir):
+    return rounded(intervals.luminance_intervals(_attached(spark, sf_dir), LONGEST * 10), lbar=6, dl=6)
+
+
+@_query("voxel_grid", f"""{E}, r AS (SELECT *, 4 * (t - min(t) OVER ()) / greatest(max(t) OVER () - min(t) OVER (), 1) AS tau FROM e), s AS (SELECT x, y, floor(tau)::BIGINT AS i, tau - floor(tau) AS f, CASE WHEN p > 0 THEN 1 ELSE -1 END AS q FROM r),
+u AS (SELECT i AS bin, y, x, q * (1 - f) AS v FROM s UNION ALL SELECT i + 1, y, x, q * f FROM s) SELECT bin, y, x, round(sum(v), 5) AS val FROM u WHERE bin < 5 GROUP BY ALL""")
+def voxel_grid(spark, sf_dir):
+    return rounded(voxel.voxel_grid(lens.events(spark, sf_dir), 5), val=5)
+
+
+@_query("tumbling_window", f"{E} SELECT (t // 3600000000) * 3600000000 AS start_us, count(*) AS events, sum(p)::BIGINT AS on_events FROM e GROUP BY 1")
+def tumbling_window(spark, sf_dir):
+    return streams.tumbling_counts(lens.events(spark, sf_dir), "1 hour")
+
+
+@_query(
+    "late_cutoff",
+    f"{E}, h AS (SELECT *, {lens.ORIGIN} + ((t - {lens.ORIGIN} + 1800000000 * (x % 2)) // 7200000000) * 7200000000 AS frame_t FROM e), g AS (SELECT frame_t, lag(frame_t) OVER (ORDER BY frame_t) AS c FROM (SELECT DISTINCT frame_t FROM h)) SELECT h.t, x, y, p, frame_t FROM h JOIN g USING (frame_t) WHERE c IS NULL OR h.t > c",
+)
+def late_cutoff(spark, sf_dir):
+    rows = lens.events(spark, sf_dir).withColumn("frame_t", F.expr(f"{lens.ORIGIN} + ((t - {lens.ORIGIN} + 1800000000 * (x % 2)) div 7200000000) * 7200000000"))
+    return frames.late_cutoff(rows).select("t", "x", "y", "p", "frame_t")
+
+
+@_query("rate_series", f"{E}, z AS (SELECT t, (min(t) OVER ())::DOUBLE AS a, (max(t) OVER ())::DOUBLE AS b FROM e), " + _hist_sql("z", "t::DOUBLE", "a", "b", 64, ", round(coalesce(n, 0) / ((hi - lo) / 64 / 1e6), 6) AS rate"))
+def rate_series(spark, sf_dir):
+    return rounded(histogram.rate_series(lens.events(spark, sf_dir), "t", 64), left=6, right=6, rate=6)
+
+
+_BINS = 32
+
+
+@_query(
+    "rate_dft",
+    f"""{E}, z AS (SELECT t::DOUBLE AS v, (min(t) OVER ())::DOUBLE AS lo, (max(t) OVER ())::DOUBLE AS hi FROM e), c AS (SELECT least(floor((v - lo) * {_BINS} / (hi - lo)), {_BINS - 1})::BIGINT AS bin, count(*) AS n FROM z GROUP BY 1),
+w AS (SELECT any_value((hi - lo) / 1e6) AS s FROM z), m AS (SELECT k, sum(n / (s / {_BINS}) * cos(2 * pi() * ((k * bin) % {_BINS}) / {_BINS})) AS re, sum(-n / (s / {_BINS}) * sin(2 * pi() * ((k * bin) % {_BINS}) / {_BINS})) AS im, any_value(s) AS s FROM c, w, range({_BINS // 2 + 1}) q(k) GROUP BY k)
+SELECT k, round(k / s, 9) AS hz, round(sqrt(re * re + im * im) * CASE WHEN k = 0 THEN 1 ELSE 2 END / {_BINS}, 9) AS magnitude FROM m""",
+)
+def rate_dft(spark, sf_dir):
+    return rounded(spectrum.rate_dft(lens.events(spark, sf_dir), _BINS), hz=9, magnitude=9)
+
+
+@_query("fft_spectrum")
+def fft_spectrum(spark, sf_dir):
+    return spectrum.spectrum(lens.events(spark, sf_dir), 1e-3, 1e-3)
+
+
+@_query(
+    "hist2d_range",
+    """WITH d AS (SELECT l_quantity AS x, l_extendedprice AS y, min(l_quantity) OVER () AS xa, max(l_quantity) OVER () AS xb, min(l_extendedprice) OVER () AS ya, max(l_extendedprice) OVER () AS yb FROM lineitem),
+c AS (SELECT least(floor((x - xa) * 30 / (xb - xa)), 29) AS i, least(floor((y - ya) * 30 / (yb - ya)), 29) AS j, any_value(xa) AS xa, any_value(xb) AS xb, any_value(ya) AS ya, any_value(yb) AS yb, count(*) AS n FROM d GROUP BY 1, 2)
+SELECT round(coalesce(min(CASE WHEN n > 100 THEN xa + i * (xb - xa) / 30 END), any_value(xa)), 6) AS x_min, round(coalesce(max(CASE WHEN n > 100 THEN xa + (i + 1) * (xb - xa) / 30 END), any_value(xb)), 6) AS x_max,
+  round(coalesce(min(CASE WHEN n > 100 THEN ya + j * (yb - ya) / 30 END), any_value(ya)), 4) AS y_min, round(coalesce(max(CASE WHEN n > 100 THEN ya + (j + 1) * (yb - ya) / 30 END), any_value(yb)), 4) AS y_max FROM c""",
+)
+def hist2d_range(spark, sf_dir):
+    out = histogram.valid_range(lens.table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice")
+    return rounded(out, x_min=6, x_max=6, y_min=4, y_max=4)
+
+
+_CELLS = "WITH d AS (SELECT (CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)::TINYINT AS p, l_quantity AS lbar, l_discount * 100 AS dl, l_extendedprice / 1000 AS tau FROM lineitem)"
+
+
+def _cells(spark, sf_dir):
+    return lens.table(spark, sf_dir, "lineitem").select(F.when(F.col("l_returnflag") == "R", 1).otherwise(0).cast("tinyint").alias("p"), F.col("l_quantity").alias("lbar"), (F.col("l_discount") * 100).alias("dl"), (F.col("l_extendedprice") / 1000).alias("tau"))
+
+
+def _fits(spark, sf_dir):
+    ranges = spark.createDataFrame([(0, 0.5, 50.5, -0.5, 10.5), (1, 0.5, 50.5, -0.5, 10.5)], "p tinyint, x_min double, x_max double, y_min double, y_max double")
+    return calibration.bucket_fits(_cells(spark, sf_dir), ranges, bins=5, least=50)
+
+
+_FITS = f"""{_CELLS}, c AS (SELECT p, floor((lbar - 0.5) * 5 / 50) AS i, floor((dl + 0.5) * 5 / 11) AS j, tau FROM d WHERE lbar >= 0.5 AND lbar < 50.5 AND dl >= -0.5 AND dl < 10.5),
+g AS (SELECT p, i, j, count(*) AS n, avg(tau) AS m, 1 / (avg(1 / tau) - 1 / avg(tau)) AS l FROM c GROUP BY ALL HAVING count(*) >= 50),
+k AS (SELECT p, 0.5 + i * 50.0 / 5 AS mean_min, 0.5 + (i + 1) * 50.0 / 5 AS mean_max, -0.5 + j * 11.0 / 5 AS diff_min, -0.5 + (j + 1) * 11.0 / 5 AS diff_max, m AS mu_hat, l AS lambda_hat, CASE WHEN p = 1 THEN -1 ELSE 1 END / m AS mu, 1 / sqrt(l) AS sigma, n AS count FROM g)"""
+
+
+@_query("bucket_fit", f"{_FITS} SELECT p, round(mean_min, 6) AS mean_min, round(mean_max, 6) AS mean_max, round(diff_min, 6) AS diff_min, round(diff_max, 6) AS diff_max, round(mu_hat, 5) AS mu_hat, round(lambda_hat, 5) AS lambda_hat, round(mu, 7) AS mu, round(sigma, 6) AS sigma, count FROM k")
+def bucket_fit(spark, sf_dir):
+    return rounded(_fits(spark, sf_dir), mean_min=6, mean_max=6, diff_min=6, diff_max=6, mu_hat=5, lambda_hat=5, mu=7, sigma=6)
+
+
+def _line_sql(source: str, x: str, y: str, w: str, by: str, least: int = 1) -> str:
+    return f"""(SELECT {by}, n, total, xy / xx AS slope, my - xy / xx * mx AS intercept FROM (SELECT {by}, count(*) AS n, sum({w}) AS total, any_value(mx) AS mx, any_value(my) AS my, sum({w} * ({x} - mx) * ({y} - my)) AS xy, nullif(sum({w} * ({x} - mx) * ({x} - mx)), 0) AS xx
+  FROM {source} JOIN (SELECT {by}, sum({w} * {x}) / sum({w}) AS mx, sum({w} * {y}) / sum({w}) AS my FROM {source} GROUP BY {by} HAVING count(*) >= {least}) USING ({by}) GROUP BY {by}))"""
+
+
+@_query("wls_line", f"WITH s AS (SELECT l_returnflag, l_quantity AS x, l_extendedprice AS y, 1 + l_discount AS w FROM lineitem) SELECT l_returnflag, n, round(total, 4) AS total, round(slope, 4) AS slope, round(intercept, 3) AS intercept FROM {_line_sql('s', 'x', 'y', 'w', 'l_returnflag')}")
+def wls_line(spark, sf_dir):
+    rows = lens.table(spark, sf_dir, "lineitem").withColumn("w", 1 + F.col("l_discount"))
+    return rounded(regression.weighted_line(rows, "l_quantity", "l_extendedprice", "w", ["l_returnflag"]), total=4, slope=4, intercept=3)
+
+
+@_query(
+    "wls_plane",
+    """WITH s AS (SELECT p_brand AS g, p_size::DOUBLE AS u, p_partkey::DOUBLE AS v, p_retailprice AS y, 1 + p_size % 3 AS w FROM part),
+m AS (SELECT g, sum(w * u) / sum(w) AS mu, sum(w * v) / sum(w) AS mv, sum(w * y) / sum(w) AS my FROM s GROUP BY g),
+c AS (SELECT s.g, count(*) AS n, any_value(mu) AS mu, any_value(mv) AS mv, any_value(my) AS my, sum(w * (u - mu) * (u - mu)) AS uu, sum(w * (u - mu) * (v - mv)) AS uv, sum(w * (v - mv) * (v - mv)) AS vv, sum(w * (u - mu) * (y - my)) AS uy, sum(w * (v - mv) * (y - my)) AS vy FROM s JOIN m ON s.g = m.g GROUP BY s.g),
+k AS (SELECT *, (uy * vv - vy * uv) / (uu * vv - uv * uv) AS a, (vy * uu - uy * uv) / (uu * vv - uv * uv) AS b FROM c)
+SELECT g AS p_brand, n, round(a, 5) AS slope_u, round(b, 7) AS slope_v, round(my - a * mu - b * mv, 3) AS intercept FROM k""",
+)
+def wls_plane(spark, sf_dir):
+    rows = lens.table(spark, sf_dir, "part").withColumn("w", 1 + F.col("p_size") % 3)
+    return rounded(regression.weighted_plane(rows, "p_size", "p_partkey", "p_retailprice", "w", ["p_brand"]), slope_u=5, slope_v=7, intercept=3)
+
+
+@_query("sensor_constants")
+def sensor_constants(spark, sf_dir):
+    return calibration.sensor_constants(calibration.synthetic_fits(spark))
+
+
+@_query("calibrate_sessions")
+def calibrate_sessions(spark, sf_dir):
+    return calibration.calibrate(_attached(spark, sf_dir), LONGEST * 10, bins=4, least=20)
+
+
+@_query("normalize_cloud", f"{E}, r AS (SELECT *, min(t) OVER () AS a, max(t) OVER () AS b, max(x) OVER () AS mx, min(x) OVER () AS nx, max(y) OVER () AS my, min(y) OVER () AS ny FROM e) SELECT round((t - a) / (b - a), 9) AS t, round((x - nx) / (mx - nx), 9) AS x, coalesce(round((y - ny) / nullif(my - ny, 0), 9), 0) AS y FROM r")
+def normalize_cloud(spark, sf_dir):
+    return rounded(cloud.normalized(lens.events(spark, sf_dir).select("t", "x", "y")), t=9, x=9, y=9)
+
+
+@_query("time_range_filter", f"{E} SELECT count(*) AS n FROM e WHERE t BETWEEN (SELECT min(t) FROM e WHERE p = 1 AND x = 3) AND (SELECT max(t) FROM e WHERE p = 1 AND x = 3)")
+def time_range_filter(spark, sf_dir):
+    rows = lens.events(spark, sf_dir)
+    return cloud.within_time_of(rows, rows.where("p = 1 and x = 3")).agg(F.count("*").alias("n"))
+
+
+def _drifts(spark, sf_dir):
+    k = preset("DVS346")
+    rows = frames.consecutive(lens.pixels(spark, sf_dir)).where("prev_lum is not null")
+    mean, change = P.mean_luminance(F.col("prev_lum"), F.col("lum")), F.col("lum") - F.col("prev_lum")
+    return rows.withColumn("mu", P.drift(mean, change, (F.col("t") - F.col("prev_t")) / 1e6, k)).withColumn("sigma", P.diffusion(mean, k))
+
+
+_K = preset("DVS346")
+_DRIFT = f"""{EF}, d AS (SELECT *, lag(lum) OVER w AS a, lag(t) OVER w AS s FROM f WINDOW w AS (PARTITION BY x, y ORDER BY frame_idx)),
+m AS (SELECT frame_idx, x, y, {_K.k1!r} * (lum - a) / ((t - s) / 1e6) / ((a + lum) / 2 + {_K.k2!r}) + {_K.k4!r} + {_K.k5!r} * (a + lum) / 2 AS mu, {_K.k3!r} * sqrt((a + lum) / 2) / ((a + lum) / 2 + {_K.k2!r}) + {_K.k6!r} AS sigma FROM d WHERE a IS NOT NULL)"""
+
+
+@_query("drift_diffusion", f"{_DRIFT} SELECT frame_idx, x, y, round(mu * 1e6, 6) AS mu, round(sigma * 1e6, 6) AS sigma FROM m")
+def drift_diffusion(spark, sf_dir):
+    return _drifts(spark, sf_dir).select("frame_idx", "x", "y", F.round(F.col("mu") * 1e6, 6).alias("mu"), F.round(F.col("sigma") * 1e6, 6).alias("sigma"))
+
+
+@_query(
+    "first_barrier_prob",
+    f"""{_DRIFT}, z AS (SELECT frame_idx, x, y, mu * 10 AS mu, (x - 8) / 16.0 AS r FROM m), q AS (SELECT *, 2 * mu AS k, 1 - r AS a, 1 + r AS b FROM z)
+SELECT frame_idx, x, y, round(CASE WHEN mu > 0 THEN (1 - exp(-k * b)) / (1 - exp(-k * 2)) WHEN mu < 0 THEN (exp(k * a) - exp(k * 2)) / (1 - exp(k * 2)) ELSE b / 2 END, 6) AS p_on FROM q""",
+)
+def first_barrier_prob(spark, sf_dir):
+    prob = P.first_barrier_probability(F.col("mu") * 10, F.lit(1.0), (F.col("x") - 8) / 16.0)
+    return _drifts(spark, sf_dir).select("frame_idx", "x", "y", F.round(prob, 6).alias("p_on"))
+
+
+@_query("pixel_functions", f"{E}, v AS (SELECT t, x, y, floor(value)::INT AS v FROM e) SELECT t, x, y, floor(v * 255 / 1023)::INT AS eight, (v >> 6) & 1023 AS bits, round(0.299 * v + 0.587 * (v % 256) + 0.114 * (v % 7))::INT AS gray, ((t - {lens.ORIGIN}) / 1000)::BIGINT AS us FROM v WHERE t % 1000 = 0")
+def pixel_functions(spark, sf_dir):
+    rows = lens.events(spark, sf_dir).withColumn("v", F.floor("value").cast("int")).where("t % 1000 = 0")
+    v = F.col("v")
+    return rows.select("t", "x", "y", P.ten_to_eight_bits(v).alias("eight"), P.unpack_ten_bits(v).alias("bits"), P.gray(v, v % 256, v % 7).alias("gray"), P.to_microseconds(F.col("t"), F.lit(lens.ORIGIN)).alias("us"))
+
+
+@_query("center_crop", f"{E} SELECT t, x - 4 AS x, y - 1 AS y, p FROM e WHERE x BETWEEN 4 AND 11 AND y BETWEEN 1 AND 8")
+def center_crop(spark, sf_dir):
+    return P.center_crop(lens.events(spark, sf_dir), 16, 10, 8, 8).select("t", "x", "y", "p")
+
+
+@_query("preset_table", "SELECT * FROM (VALUES ('DVS346', 20.0::DOUBLE), ('DVS240', 23.0), ('Raw2DVS346', 4.166e-7), ('RGB2DVS346', 0.9003332027266823)) v(camera, k2)")
+def preset_table(spark, sf_dir):
+    from ..params import preset_table
+
+    return preset_table(spark).select("camera", "k2")
+
+
+@_query("accumulator_map")
+def accumulator_map(spark, sf_dir):
+    return streams.accumulate(lens.events(spark, sf_dir), decay=1e-12)
+
+
+def _full_frames(spark, sf_dir):
+    """Pseudo-frames in milliseconds: every pixel's luminance scaled to the sensor's, short enough apart for events."""
+    return lens.pixels(spark, sf_dir).select("frame_idx", (F.col("frame_idx").cast("long") * 8333).alias("t"), "x", "y", (F.col("lum") / 2).alias("lum"))
+
+
+@_query("dvs_events")
+def dvs_events(spark, sf_dir):
+    rows = _full_frames(spark, sf_dir)
+    grid = rows.select("x", "y").distinct().crossJoin(F.broadcast(rows.select("frame_idx", "t").distinct()))
+    full = grid.join(rows.select("frame_idx", "x", "y", "lum"), ["frame_idx", "x", "y"], "left").select("frame_idx", "t", "x", "y", F.coalesce("lum", F.lit(50.0)).alias("lum"))
+    return simulate.dvs_events(full, "DVS346", seed=1)

@@ -160,7 +160,7 @@ class FMIndex:
         lo, hi, size = np.zeros(len(queries), np.int64), np.full(len(queries), n, np.int64), np.zeros(len(queries), np.int64)
         group, begins, ends = self.groups(cap)
         for p in range(longest - 1, -1, -1):
-            todo = np.flatnonzero(used[:, p])
+            todo = here = np.flatnonzero(used[:, p])
             while len(todo):
                 a, b = self._extend(grid[todo, p], lo[todo], hi[todo])
                 good = b > a
@@ -175,5 +175,5 @@ class FMIndex:
             over = np.flatnonzero(size >= cap)
             row = group[lo[over]]
             lo[over], hi[over], size[over] = begins[row], ends[row], cap
-            length[:, p], low[:, p], high[:, p] = size, lo, hi
+            length[here, p], low[here, p], high[here, p] = size[here], lo[here], hi[here]
         return length, low, high

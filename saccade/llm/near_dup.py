@@ -100,11 +100,12 @@ def table_entries(sets: DataFrame, m: int = HALVES) -> DataFrame:
     return _shared(tables, ["bucket"])
 
 
-def links_of(docs: DataFrame, k: int = 5, percent: int = 75, m: int = HALVES) -> tuple[DataFrame, DataFrame]:
-    """(documents, links).
+def links_of(docs: DataFrame, k: int = 5, percent: int = 75, m: int = HALVES) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """(documents, links, labels).
 
     documents: doc_id, n_shingles, rep (smallest doc_id of the same set; null for the empty set), one row per doc_id.
-    links: a, b - confirmed links between representatives, enough of them to connect every component.
+    links: a, b - confirmed links between representatives, enough of them to connect every component (None: no links).
+    labels: node, label - the component of every representative that shares a table with another one.
     """
     sig = signatures(docs, k, m)
     if percent < 75:
@@ -118,8 +119,8 @@ def links_of(docs: DataFrame, k: int = 5, percent: int = 75, m: int = HALVES) ->
     documents = sig.join(firsts, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"), "digest", "halves")
     sets = documents.where("doc_id = rep").select("rep", "halves")
     entries = materialize(table_entries(sets, m), "entries")
-    found = _confirm_all(docs, entries, k, percent)
-    return documents.select("doc_id", "n_shingles", "rep"), found
+    links, labels = _confirm_all(docs, entries, k, percent)
+    return documents.select("doc_id", "n_shingles", "rep"), links, labels
 
 
 def _united(docs: DataFrame, repeated: DataFrame, k: int, m: int) -> DataFrame:
@@ -136,46 +137,43 @@ def _united(docs: DataFrame, repeated: DataFrame, k: int, m: int) -> DataFrame:
     return whole.mapInArrow(run, "doc_id long, n_shingles long, digest binary, halves array<long>")
 
 
-def _confirm_all(docs: DataFrame, entries: DataFrame, k: int, percent: int) -> DataFrame:
-    """Star rounds over the buckets until every bucket's remaining members are in one component."""
-    spark = docs.sparkSession
+def _confirm_all(docs: DataFrame, entries: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links, labels): star rounds over the buckets until every bucket's remaining members are in one component.
+
+    labels (node, label): the components of all members of buckets.
+    """
     members = entries.select("rep").distinct()
     texts = docs.select("doc_id", "text").join(members.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
     sets = shingle_sets(texts, k)
     sets = materialize(sets.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("shingles")) if _spread(docs) else sets, "sets")
-    entries = materialize(_possible(entries, sets, percent), "entries")
-    links = spark.createDataFrame([], "a long, b long")
-    rows, width, labels = entries, 1, None
+    labels = materialize(members.select(F.col("rep").alias("node"), F.col("rep").alias("label")), "labels")
+    rows = materialize(_possible(entries, sets, percent).withColumn("label", F.col("rep")), "entries")
+    links, width = None, 1
     while True:
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("rep"))
-        centers = rows.withColumn("i", rank).where(F.col("i") <= width).select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
-        named, differ = rows, F.col("a") != F.col("rep")
-        if labels is not None:
-            centers = centers.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").withColumn("la", F.coalesce("la", "a"))
-            named = rows.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-            differ &= F.col("la") != F.col("label")
+        # Spark keeps only the first rows of a bucket on each task before it deals them out
+        first = rows.withColumn("i", F.row_number().over(Window.partitionBy("bucket").orderBy("rep"))).where(F.col("i") <= width)
+        centers = first.select(F.col("bucket").alias("k"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("label").alias("la"))
         # at most the smaller number of shareable shingles is shared
         most = F.least("s", "sa")
         can = most * 100 >= (F.col("n") + F.col("na") - most) * percent
-        named = named.withColumnRenamed("bucket", "k")
-        pairs = named.join(centers, (F.col("k") == F.col("bucket")) & differ & can)
-        pairs = pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
+        pairs = rows.join(centers, (F.col("k") == F.col("bucket")) & (F.col("la") != F.col("label")) & can)
+        # labels of both sides come along, so that components are found between the components so far
+        pairs = pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"), F.least("la", "label").alias("la"), F.greatest("la", "label").alias("lb")).distinct()
         fresh = materialize(_confirm(pairs, sets, percent), "links")
+        used = centers.select("k", "a")
+        left = rows.join(used, (F.col("bucket") == F.col("k")) & (F.col("rep") == F.col("a")), "left_anti")
         if fresh.limit(1).count():
-            links = links.union(fresh)
-            labels = materialize(components(links), "labels")
+            links = fresh if links is None else links.union(fresh)
+            moved = materialize(components(fresh.select(F.col("la").alias("a"), F.col("lb").alias("b"))), "moved").select(F.col("node").alias("label"), F.col("label").alias("now"))
+            labels = materialize(labels.join(moved, "label", "left").select("node", F.coalesce("now", "label").alias("label")), "labels")
+            left = left.join(moved, "label", "left").select("bucket", "rep", "n", "s", F.coalesce("now", "label").alias("label"))
         # the centers have been compared with every other member of their buckets
-        left = rows.withColumn("i", rank).where(F.col("i") > width).drop("i")
-        label = F.col("rep")
-        if labels is not None:
-            left = left.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
-            label = F.coalesce("label", "rep")
-        mixed = left.groupBy("bucket").agg(F.min(label).alias("lo"), F.max(label).alias("hi")).where("lo <> hi").select("bucket")
-        left = materialize(left.join(mixed, "bucket").select("bucket", "rep", "n", "s"), "entries")
+        mixed = left.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+        left = materialize(left.join(mixed, "bucket").select("bucket", "rep", "n", "s", "label"), "entries")
         dispose(rows)
         rows, width = left, WIDTH if width > 1 else 32
         if not rows.limit(1).count():
-            return links
+            return links, labels
 
 
 def _possible(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -197,16 +195,14 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets reach the similarity."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    sized = pairs.join(right, "b").join(left, "a").where(F.least(F.size("sa"), F.size("sb")) * 100 >= F.greatest(F.size("sa"), F.size("sb")) * percent)
-    both = sized.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("c"))
-    return both.where(F.col("c") * 100 >= (F.col("na") + F.col("nb") - F.col("c")) * percent).select("a", "b")
+    both = pairs.join(right, "b").join(left, "a").select(*pairs.columns, F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("c"))
+    return both.where(F.col("c") * 100 >= (F.col("na") + F.col("nb") - F.col("c")) * percent).select(*pairs.columns)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document of docs (doc_id, text)."""
-    documents, links = links_of(docs, k, percent)
-    groups = materialize(components(links), "groups")
-    out = documents.join(groups.select(F.col("node").alias("rep"), "label"), "rep", "left")
+    documents, _, labels = links_of(docs, k, percent)
+    out = documents.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
     out = out.withColumn("component_id", F.coalesce("label", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

@@ -3,14 +3,14 @@
 Two collections of ``m`` half keys are made from two MinHash values each; table (i, j) is keyed by half key i of
 the first and half key j of the second collection. So m*m tables with keys of four MinHash values need only 4*m
 MinHash values. A pair of similarity s misses all tables with probability below 2 * (1 - s*s)**m (1.1e-5 at 0.75 for
-the default m = 14, 1.4e-10 at 0.9).
+the default m = 14, 1.4e-10 at 0.9). Two sets are candidates if some table has them under one key.
 
-Exact copies of a shingle set are collapsed first. Only half keys that two sets share are combined (a necessary
-condition for a common table, so nothing is lost). Candidates are never expanded into all pairs of a bucket: each bucket's
-smallest member is compared with the others on full sets, links are contracted to components, and only buckets whose
-remaining members still lie in different components go on, with more members to compare each round, until none is left. Pairs are
-only formed if they can reach the similarity at all: a set shares at most those of its shingles that some other candidate has
-too, which rules out copies with many edits of their own without comparing them with everyone.
+Exact copies of a shingle set are collapsed first. Candidates are never expanded into all pairs of a bucket. First each
+set is compared with the smallest set of each of its half keys, if the two share a table; links are contracted to components.
+Then the tables are aggregated to the components they hold, and only sets in tables with several components go on.
+Among those, pairs of different components are found by an exact positional prefix filter: with shingles in order of
+frequency, two similar sets share an early one, at places that leave enough shingles to share. Every link is confirmed
+on full sets.
 
 Edge cases: null, empty or wordless text has an empty set and no links; rows that share a doc_id are one document
 whose set is the union over those rows; a null doc_id is a document without links (component null, kept).
@@ -26,11 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, dispose, materialize, row_shingles, seeds, text_chunks, word_hashes, word_spans
+from .common import components, materialize, row_shingles, seeds, text_chunks, word_hashes, word_spans
 
 HALVES = 14
-#: Members of a bucket that are compared with all others in each round after the first.
-WIDTH = 512
 _MULT, _XOR = seeds(2, 4 * HALVES) | np.uint64(1), seeds(3, 4 * HALVES)
 
 
@@ -86,25 +84,62 @@ def _shared(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(df.groupBy(*keys).count().where("count > 1").select(*keys), keys)
 
 
-def table_entries(sets: DataFrame, m: int = HALVES) -> DataFrame:
-    """(bucket, rep): memberships of the tensored tables that have at least two members; sets: (rep, halves)."""
-    halves = sets.select("rep", F.posexplode("halves").alias("i", "half"))
-    mine = _shared(halves, ["i", "half"]).groupBy("rep").agg(F.collect_list(F.struct("i", "half")).alias("h"))
-    tables = (
-        mine.select("rep", F.filter("h", lambda x: x.i < m).alias("a"), F.filter("h", lambda x: x.i >= m).alias("b"))
-        .where((F.size("a") > 0) & (F.size("b") > 0))
-        .select("rep", "b", F.explode("a").alias("a"))
-        .select("rep", "a", F.explode("b").alias("b"))
-        .select(F.xxhash64("a.i", "a.half", "b.i", "b.half").alias("bucket"), "rep")
-    )
-    return _shared(tables, ["bucket"])
+def shared_halves(sets: DataFrame) -> DataFrame:
+    """(i, half, rep) of half keys that several sets have; sets: (rep, halves). Others cannot make a common table key."""
+    return _shared(sets.select("rep", F.posexplode("halves").alias("i", "half")), ["i", "half"])
 
 
-def links_of(docs: DataFrame, k: int = 5, percent: int = 75, m: int = HALVES) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+def table_keys(halves: DataFrame, m: int = HALVES) -> DataFrame:
+    """(rep, first struct<i, half>, second struct<i, half>): the tensored table keys of every set of shared_halves()."""
+    mine = halves.groupBy("rep").agg(F.collect_list(F.struct("i", "half")).alias("h"))
+    split = mine.select("rep", F.filter("h", lambda x: x.i < m).alias("a"), F.filter("h", lambda x: x.i >= m).alias("b"))
+    return split.where((F.size("a") > 0) & (F.size("b") > 0)).select("rep", "b", F.explode("a").alias("first")).select("rep", "first", F.explode("b").alias("second"))
+
+
+def _centers(halves: DataFrame, sets: DataFrame, m: int) -> DataFrame:
+    """(a, b): each set with the smallest set of each of its half keys, where the two share a table."""
+    lowest = halves.groupBy("i", "half").agg(F.min("rep").alias("a"))
+    pairs = halves.join(lowest, ["i", "half"]).where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
+    one, two = sets.select(F.col("rep").alias("a"), F.col("halves").alias("ha")), sets.select(F.col("rep").alias("b"), F.col("halves").alias("hb"))
+
+    def meet(lo: int, hi: int):
+        return F.expr(f"exists(sequence({lo}, {hi - 1}), i -> ha[i] = hb[i])")
+
+    return pairs.join(two, "b").join(one, "a").where(meet(0, m) & meet(m, 2 * m)).select("a", "b")
+
+
+def _mixed_members(halves: DataFrame, labels: DataFrame, m: int) -> DataFrame:
+    """(rep): sets with a half key of a table in which sets of several components meet; all sets of such tables are among them."""
+    keys = table_keys(halves, m).join(labels.select(F.col("node").alias("rep"), "label"), "rep")
+    tables = keys.groupBy("first", "second").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    mixed = tables.select("first.i", "first.half").distinct()
+    return halves.join(mixed, ["i", "half"], "left_semi").select("rep").distinct()
+
+
+def _prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, b, la, lb): pairs of sets (doc_id, shingles) of different components that can reach the similarity.
+
+    Sets of similarity t share at least (|a| + |b|) * t / (1 + t) shingles. If the first shared one, by frequency, is at places i and j,
+    they share at most min(|a| - i, |b| - j). Of each shingle's holders, those of its most frequent component are
+    not compared with each other.
+    """
+    tokens = sets.select(F.col("doc_id").alias("d"), F.size("shingles").alias("n"), F.explode("shingles").alias("g"))
+    counted = tokens.join(tokens.groupBy("g").agg(F.count("*").alias("f")), "g")
+    placed = counted.withColumn("i", F.row_number().over(Window.partitionBy("d").orderBy("f", "g")) - 1)
+    early = placed.where((F.col("f") > 1) & ((F.col("n") - F.col("i")) * 100 >= F.col("n") * percent)).select("d", "n", "g", "i")
+    rows = materialize(early.join(labels.select(F.col("node").alias("d"), "label"), "d"), "prefixes")
+    most = rows.groupBy("g", "label").count().groupBy("g").agg(F.max_by("label", F.struct("count", "label")).alias("top"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("g", "top")
+    minor = rows.join(most, "g").where("label <> top").select(F.col("g").alias("k"), F.col("d").alias("e"), F.col("n").alias("ne"), F.col("i").alias("j"), F.col("label").alias("le"))
+    reach = F.least(F.col("n") - F.col("i"), F.col("ne") - F.col("j")) * (100 + percent) >= (F.col("n") + F.col("ne")) * percent
+    met = rows.join(minor, (F.col("g") == F.col("k")) & (F.col("label") != F.col("le")) & reach)
+    return met.select(F.least("d", "e").alias("a"), F.greatest("d", "e").alias("b"), F.least("label", "le").alias("la"), F.greatest("label", "le").alias("lb")).distinct()
+
+
+def links_of(docs: DataFrame, k: int = 5, percent: int = 75, m: int = HALVES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, links, labels).
 
     documents: doc_id, n_shingles, rep (smallest doc_id of the same set; null for the empty set), one row per doc_id.
-    links: a, b - confirmed links between representatives, enough of them to connect every component (None: no links).
+    links: a, b - confirmed links between representatives, enough of them to connect every component.
     labels: node, label - the component of every representative that shares a table with another one.
     """
     sig = signatures(docs, k, m)
@@ -118,8 +153,7 @@ def links_of(docs: DataFrame, k: int = 5, percent: int = 75, m: int = HALVES) ->
     firsts = sig.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     documents = sig.join(firsts, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"), "digest", "halves")
     sets = documents.where("doc_id = rep").select("rep", "halves")
-    entries = materialize(table_entries(sets, m), "entries")
-    links, labels = _confirm_all(docs, entries, k, percent)
+    links, labels = _confirm_all(docs, materialize(sets, "reps"), k, percent, m)
     return documents.select("doc_id", "n_shingles", "rep"), links, labels
 
 
@@ -137,54 +171,33 @@ def _united(docs: DataFrame, repeated: DataFrame, k: int, m: int) -> DataFrame:
     return whole.mapInArrow(run, "doc_id long, n_shingles long, digest binary, halves array<long>")
 
 
-def _confirm_all(docs: DataFrame, entries: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(links, labels): star rounds over the buckets until every bucket's remaining members are in one component.
-
-    labels (node, label): the components of all members of buckets.
-    """
-    members = entries.select("rep").distinct()
+def _confirm_all(docs: DataFrame, reps: DataFrame, k: int, percent: int, m: int) -> tuple[DataFrame, DataFrame]:
+    """(links, labels) of the representatives reps (rep, halves)."""
+    halves = materialize(shared_halves(reps), "halves")
+    alone = halves.select(F.col("rep").alias("node"), F.col("rep").alias("label")).distinct()
+    members = materialize(_mixed_members(halves, alone, m), "members")
+    centers = materialize(_centers(halves, reps, m), "centers")
+    sets = _sets_of(docs, members, k)
+    links = materialize(_confirm(centers, sets, percent), "links")
+    labels = members.select(F.col("rep").alias("node"))
+    labels = materialize(labels.join(components(links), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+    left = materialize(_mixed_members(halves, labels, m), "mixed")
+    rest = sets.join(left.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+    more = materialize(_confirm(_prefix_pairs(rest, labels, percent), sets, percent), "links")
+    if more.limit(1).count():
+        # links between components, by their labels
+        moved = components(more.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("now"))
+        labels = materialize(labels.join(moved, "label", "left").select("node", F.coalesce("now", "label").alias("label")), "labels")
+    return links.union(more.select("a", "b")), labels
+
+
+def _sets_of(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """Shingle sets (doc_id, shingles) of the documents members (rep), from their whole texts."""
     texts = docs.select("doc_id", "text").join(members.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
     sets = shingle_sets(texts, k)
-    sets = materialize(sets.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("shingles")) if _spread(docs) else sets, "sets")
-    labels = materialize(members.select(F.col("rep").alias("node"), F.col("rep").alias("label")), "labels")
-    rows = materialize(_possible(entries, sets, percent).withColumn("label", F.col("rep")), "entries")
-    links, width = None, 1
-    while True:
-        # Spark keeps only the first rows of a bucket on each task before it deals them out
-        first = rows.withColumn("i", F.row_number().over(Window.partitionBy("bucket").orderBy("rep"))).where(F.col("i") <= width)
-        centers = first.select(F.col("bucket").alias("k"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("label").alias("la"))
-        # at most the smaller number of shareable shingles is shared
-        most = F.least("s", "sa")
-        can = most * 100 >= (F.col("n") + F.col("na") - most) * percent
-        pairs = rows.join(centers, (F.col("k") == F.col("bucket")) & (F.col("la") != F.col("label")) & can)
-        # labels of both sides come along, so that components are found between the components so far
-        pairs = pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"), F.least("la", "label").alias("la"), F.greatest("la", "label").alias("lb")).distinct()
-        fresh = materialize(_confirm(pairs, sets, percent), "links")
-        used = centers.select("k", "a")
-        left = rows.join(used, (F.col("bucket") == F.col("k")) & (F.col("rep") == F.col("a")), "left_anti")
-        if fresh.limit(1).count():
-            links = fresh if links is None else links.union(fresh)
-            moved = materialize(components(fresh.select(F.col("la").alias("a"), F.col("lb").alias("b"))), "moved").select(F.col("node").alias("label"), F.col("label").alias("now"))
-            labels = materialize(labels.join(moved, "label", "left").select("node", F.coalesce("now", "label").alias("label")), "labels")
-            left = left.join(moved, "label", "left").select("bucket", "rep", "n", "s", F.coalesce("now", "label").alias("label"))
-        # the centers have been compared with every other member of their buckets
-        mixed = left.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-        left = materialize(left.join(mixed, "bucket").select("bucket", "rep", "n", "s", "label"), "entries")
-        dispose(rows)
-        rows, width = left, WIDTH if width > 1 else 32
-        if not rows.limit(1).count():
-            return links, labels
-
-
-def _possible(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """entries with n, the size of the set, and s, how many of its shingles another candidate has too.
-
-    A set shares at most s shingles with any other, so one with too few cannot have a link and goes; so do buckets that
-    keep a single member.
-    """
-    lone = sets.select("doc_id", F.explode("shingles").alias("g")).groupBy("g").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("c")).where("c = 1").groupBy("doc_id").agg(F.count("*").alias("u"))
-    sizes = sets.select("doc_id", F.size("shingles").alias("n")).join(lone, "doc_id", "left").select(F.col("doc_id").alias("rep"), "n", (F.col("n") - F.coalesce("u", F.lit(0))).cast("int").alias("s"))
-    return _shared(entries.join(sizes.where(F.col("s") * 100 >= F.col("n") * percent), "rep"), ["bucket"]).select("bucket", "rep", "n", "s")
+    if _spread(docs):
+        sets = sets.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("shingles"))
+    return materialize(sets, "sets")
 
 
 def _spread(docs: DataFrame) -> bool:

@@ -415,7 +415,7 @@ def test_fingerprints_ties_and_nulls(spark):
     rows = [(1, "b b b b"), (1, "a a a a"), (None, "z z z z"), (2, None), (None, "y")]
     got = fingerprint.fingerprints(frame(spark, rows)).collect()
     assert len(got) == 5
-    assert {r.edited_sha256 for r in got if r.doc_id == 1} == {hashlib.sha256(x).hexdigest() for x in (b"a a a b", b"b b b b")}
+    assert {r.edited_sha256 for r in got if r.doc_id == 1} == {hashlib.sha256(x).hexdigest() for x in (b"a a a b", b"b b b ")}
 
 
 PAGES = "page_id long, url string, html string, record_type string"

@@ -34,5 +34,5 @@ def preset(camera: str) -> Sensor:
 
 
 def preset_table(spark: SparkSession) -> DataFrame:
-    rows = [(name, *vars(s).values()) for name, s in PRESETS.items()]
+    rows = [(name, *map(float, vars(s).values())) for name, s in PRESETS.items()]
     return spark.createDataFrame(rows, "camera string, k1 double, k2 double, k3 double, k4 double, k5 double, k6 double")

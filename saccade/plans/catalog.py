@@ -302,9 +302,9 @@ def late_cutoff(spark, sf_dir):
     return frames.late_cutoff(rows).select("t", "x", "y", "p", "frame_t")
 
 
-@_query("rate_series", f"{E}, z AS (SELECT t, (min(t) OVER ())::DOUBLE AS a, (max(t) OVER ())::DOUBLE AS b FROM e), " + _hist_sql("z", "t::DOUBLE", "a", "b", 64, ", round(coalesce(n, 0) / ((hi - lo) / 64 / 1e6), 6) AS rate"))
+@_query("rate_series", f"{E}, z AS (SELECT t, (min(t) OVER ())::DOUBLE AS a, (max(t) OVER ())::DOUBLE AS b FROM e), s AS (" + _hist_sql("z", "t::DOUBLE", "a", "b", 64, ", round(coalesce(n, 0) / ((hi - lo) / 64 / 1e6), 6) AS rate").replace("v AS (", "WITH v AS (", 1) + ") SELECT bin, count, rate FROM s")
 def rate_series(spark, sf_dir):
-    return rounded(histogram.rate_series(lens.events(spark, sf_dir), "t", 64), left=6, right=6, rate=6)
+    return rounded(histogram.rate_series(lens.events(spark, sf_dir), "t", 64).select("bin", "count", "rate"), rate=6)
 
 
 _BINS = 32

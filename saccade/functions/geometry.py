@@ -105,11 +105,8 @@ def crop_bounds(points: list[Point], width: int, height: int) -> tuple[Column, C
 TAG_WIDTH, REGION_SIDE, REGION_GAP = 287.0, 861.0, 82.0
 
 
-def tag_region(corners: list[Point], tag_width: float = TAG_WIDTH, region: float = REGION_SIDE, gap: float = REGION_GAP) -> list[Point]:
-    """The region beside a tag, as bottom left, bottom right, top right, top left; nulls for a tag without bottom edge.
-
-    The tag's bottom left corner has the smallest x - y, its bottom right one the largest x + y (first of ties).
-    """
+def bottom_corners(corners: list[Point]) -> tuple[Point, Point]:
+    """A tag's bottom left corner, of the smallest x - y, and bottom right one, of the largest x + y (first of ties)."""
 
     def pick(keys: list[Column], best: Column) -> Point:
         xs, ys = F.lit(None).cast("double"), F.lit(None).cast("double")
@@ -118,11 +115,19 @@ def tag_region(corners: list[Point], tag_width: float = TAG_WIDTH, region: float
         return xs, ys
 
     minus, plus = [x - y for x, y in corners], [x + y for x, y in corners]
-    left, right = pick(minus, F.least(*minus)), pick(plus, F.greatest(*plus))
-    length = F.nullif(F.hypot(right[0] - left[0], right[1] - left[1]), F.lit(0.0))
-    ux, uy = (right[0] - left[0]) / length, (right[1] - left[1]) / length
-    scale = length / tag_width
-    step, width = scale * gap, scale * region
-    br = (left[0] - step * ux, left[1] - step * uy)
-    bl = (br[0] - width * ux, br[1] - width * uy)
-    return [bl, br, (br[0] + width * uy, br[1] - width * ux), (bl[0] + width * uy, bl[1] - width * ux)]
+    return pick(minus, F.least(*minus)), pick(plus, F.greatest(*plus))
+
+
+def region_beside(left: Point, right: Point, tag_width: float = TAG_WIDTH, region: float = REGION_SIDE, gap: float = REGION_GAP) -> list[Point]:
+    """The region beside a tag's bottom edge, as bottom left, bottom right, top right, top left; nulls for an edge without length."""
+    dx, dy = right[0] - left[0], right[1] - left[1]
+    some = F.hypot(dx, dy) > 0
+    # the unit vector times the tag's scale is the edge over the tag's width
+    ux, uy = F.when(some, dx / tag_width), F.when(some, dy / tag_width)
+    near, far = gap, gap + region
+    br, bl = (left[0] - near * ux, left[1] - near * uy), (left[0] - far * ux, left[1] - far * uy)
+    return [bl, br, (br[0] + region * uy, br[1] - region * ux), (bl[0] + region * uy, bl[1] - region * ux)]
+
+
+def tag_region(corners: list[Point]) -> list[Point]:
+    return region_beside(*bottom_corners(corners))

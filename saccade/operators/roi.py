@@ -16,15 +16,20 @@ def valid_boxes(boxes: DataFrame) -> DataFrame:
 
 def boxes_from_tags(tags: DataFrame, margin: float = 0.03) -> DataFrame:
     """t, polygon, angle, center of the region beside tag 0; undetected or degenerate tags keep t with null geometry."""
-    corners = G.quad("corners")
-    region = G.tag_region(corners)
-    wide = G.expand(region, margin) if margin > 0 else region
-    found = (F.col("tag_id") == 0) & (F.size("corners") == 4) & region[0][0].isNotNull()
-    center = G.centroid(wide)
-    return tags.select(
+    left, right = G.bottom_corners(G.quad("corners"))
+    edges = _row(tags, ["t", "tag_id", "corners"], {"lx": left[0], "ly": left[1], "rx": right[0], "ry": right[1]})
+    region = G.region_beside((F.col("lx"), F.col("ly")), (F.col("rx"), F.col("ry")))
+    found = (F.col("tag_id") == 0) & (F.size("corners") == 4)
+    rows = _row(edges, ["t"], {"found": F.coalesce(found, F.lit(False)), **{f"{'xy'[k]}{i}": region[i][k] for i in range(4) for k in range(2)}})
+    points = [(F.col(f"x{i}"), F.col(f"y{i}")) for i in range(4)]
+    center = G.centroid(points)
+    # the centroid and the angle of the bottom edge stay as they are when the region grows about its centroid
+    wide = G.expand(points, margin) if margin > 0 else points
+    found = F.col("found") & F.col("x0").isNotNull()
+    return rows.select(
         "t",
         F.when(found, G.as_polygon(wide)).alias("polygon"),
-        F.when(found, G.bottom_angle(wide[0], wide[1])).alias("angle"),
+        F.when(found, G.bottom_angle(points[0], points[1])).alias("angle"),
         F.when(found, F.struct(center[0].alias("x"), center[1].alias("y"))).alias("center"),
     )
 
@@ -47,13 +52,20 @@ def with_box(events: DataFrame, boxes: DataFrame, keys: list[str] | None = None,
     joined = asof.asof_interpolated(events, flat, keys)
     mix = lambda c: G.blend(F.col(f"prev.{c}"), F.col(f"next.{c}"), F.col("alpha"))
     names = ["cx", "cy", *[f"{c}{i}" for i in range(4) for c in "xy"]]
-    out = joined.select(*events.columns, G.blend_angle(F.col("prev.angle"), F.col("next.angle"), F.col("alpha")).alias("angle"), *[mix(c).alias(c) for c in names])
+    angle = G.blend_angle(F.col("prev.angle"), F.col("next.angle"), F.col("alpha"))
+    out = _row(joined, events.columns, {"angle": angle, **{c: mix(c) for c in names}})
     if size:
         points = G.rescale([(F.col(f"x{i}"), F.col(f"y{i}")) for i in range(4)], (F.col("cx"), F.col("cy")), size)
-        out = out.select(*events.columns, "angle", "cx", "cy", *[points[i][k].alias(f"{'xy'[k]}{i}") for i in range(4) for k in range(2)])
+        corners = {f"{'xy'[k]}{i}": points[i][k] for i in range(4) for k in range(2)}
+        out = _row(out, events.columns, {"angle": F.col("angle"), "cx": F.col("cx"), "cy": F.col("cy"), **corners})
     return out
 
 
+def _row(df: DataFrame, keep: list[str], columns: dict) -> DataFrame:
+    """keep and computed columns; these are values of a one-row generator, so the optimizer does not copy them into every later use."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def filter_events(events: DataFrame, boxes: DataFrame, keys: list[str] | None = None, size: float | None = None, double_rotation: bool = False) -> DataFrame:
     """Events inside the box at their time, moved into the upright box of size (default: the largest box).
 

@@ -8,8 +8,13 @@ from pyspark.sql import types as T
 _POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 
 
+_TYPES = {"TINYINT": T.ByteType(), "INT": T.IntegerType(), "BIGINT": T.LongType(), "DOUBLE": T.DoubleType(), "STRING": T.StringType(), "BINARY": T.BinaryType()}
+
+
 def _fields(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """A schema of flat columns; needs no session, unlike StructType.fromDDL."""
+    pairs = (part.split() for part in text.split(", "))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 #: An event: microseconds, pixel, polarity 0 or 1.

@@ -433,11 +433,21 @@ def first_barrier_prob(spark, sf_dir):
 
 @_query("pixel_functions", f"{E}, v AS (SELECT t, x, y, floor(value)::INT AS v FROM e) SELECT t, x, y, floor(v * 255 / 1023)::INT AS eight, (v >> 6) & 1023 AS bits, round(0.299 * v + 0.587 * (v % 256) + 0.114 * (v % 7))::INT AS gray, ((t - {lens.ORIGIN}) / 1000)::BIGINT AS us FROM v WHERE t % 1000 = 0")
 def pixel_functions(spark, sf_dir):
-    rows = lens.events(spark, sf_dir).withColumn("v", F.floor("value").cast("int")).where("t % 1000 = 0")
+    return _pixel_functions(lens.events(spark, sf_dir).where("t % 1000 = 0"))
+
+
+def _pixel_functions(rows):
     v = F.col("v")
+    rows = rows.withColumn("v", F.floor("value").cast("int"))
     return rows.select("t", "x", "y", P.ten_to_eight_bits(v).alias("eight"), P.unpack_ten_bits(v).alias("bits"), P.gray(v, v % 256, v % 7).alias("gray"), P.to_microseconds(F.col("t"), F.lit(lens.ORIGIN)).alias("us"))
 
 
+@_query("pixel_functions_all", f"{E}, v AS (SELECT t, x, y, floor(value)::INT AS v FROM e) SELECT t, x, y, floor(v * 255 / 1023)::INT AS eight, (v >> 6) & 1023 AS bits, round(0.299 * v + 0.587 * (v % 256) + 0.114 * (v % 7))::INT AS gray, trunc((t - {lens.ORIGIN}) / 1000)::BIGINT AS us FROM v")
+def pixel_functions_all(spark, sf_dir):
+    """Every event; pixel_functions keeps only those its SQL keeps, whose times are whole thousands."""
+    return _pixel_functions(lens.events(spark, sf_dir))
+
+
 @_query("center_crop", f"{E} SELECT t, x - 4 AS x, y - 1 AS y, p FROM e WHERE x BETWEEN 4 AND 11 AND y BETWEEN 1 AND 8")
 def center_crop(spark, sf_dir):
     return P.center_crop(lens.events(spark, sf_dir), 16, 10, 8, 8).select("t", "x", "y", "p")

@@ -13,6 +13,7 @@ from saccade.functions import geometry as G
 from saccade.functions import pixels as P
 from saccade.functions import random as R
 from saccade.operators import asof, calibration, cloud, frames, histogram, intervals, regression, roi, simulate, spectrum, voxel
+from saccade.plans import catalog, lens
 from saccade.sources import frames as sources
 from saccade.streaming import events as streams
 
@@ -391,3 +392,18 @@ def test_tags_and_detector(spark):
 def test_schema_check(spark):
     with pytest.raises(ValueError):
         schema.require(spark.range(1), "id", "t")
+
+
+def test_pixel_functions_of_every_event(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(lens.ORIGIN + rng.randrange(31 * lens.DAY), rng.randrange(160), rng.random() * 1100) for _ in range(500)]
+    rows += [(lens.ORIGIN, 0, 0.0), (lens.ORIGIN + 999, 1, 1023.0), (lens.ORIGIN + 1501, 2, 500.5), (lens.ORIGIN + 2000, 3, 65.0)]
+    events = spark.createDataFrame(rows, "us long, user_id long, value double")
+    events.select(F.timestamp_micros("us").alias("ts"), "user_id", F.lit("click").alias("event_type"), "value").write.parquet(str(tmp_path / "events.parquet"))
+    got = catalog.QUERIES["pixel_functions_all"](spark, str(tmp_path))
+    want = []
+    for t, user, value in rows:
+        v = int(value)
+        luma = 299 * v + 587 * (v % 256) + 114 * (v % 7)
+        want.append((t, user % 16, user // 16, v * 255 // 1023, v >> 6 & 1023, (luma + 500) // 1000, (t - lens.ORIGIN) // 1000))
+    assert sorted(values(got, "t", "x", "y", "eight", "bits", "gray", "us")) == sorted(want)

@@ -17,7 +17,7 @@ from ..functions import random as R
 from ..params import Sensor, preset
 
 TILE = 32
-BUDGET = 64
+IDLE = 1000
 THRESHOLD = 1.0
 
 
@@ -51,11 +51,15 @@ def on_probability(mu, sigma, residual, zero_drift_half: bool = False) -> np.nda
 
 
 def step(state: State | None, lum: np.ndarray, t: int, x: np.ndarray, y: np.ndarray, clip: int, frame: int, o: Options):
-    """(new state, event times, pixel numbers, polarities, pixels that reached the draw budget) of one frame."""
+    """(new state, event times, pixel numbers, polarities) of one frame.
+
+    A pixel draws until its next event is past the frame. If no time has moved in IDLE passes (waits below the clock's
+    resolution), an error names the pixels left.
+    """
     lum = lum.astype(np.float64)
     none = np.empty(0)
     if state is None:
-        return State(lum, t, np.zeros(len(lum))), none, none.astype(int), none.astype(int), 0
+        return State(lum, t, np.zeros(len(lum))), none, none.astype(int), none.astype(int)
     if t <= state.t:
         raise ValueError(f"frame time {t} is not after {state.t}")
     k, dt = o.sensor, t - state.t
@@ -66,9 +70,8 @@ def step(state: State | None, lum: np.ndarray, t: int, x: np.ndarray, y: np.ndar
     now, residual = np.full(len(lum), float(state.t)), state.residual.copy()
     times, pixels, signs = [], [], []
     active = np.arange(len(lum))
-    for draw in range(BUDGET):
-        if not len(active):
-            break
+    draw = idle = 0
+    while len(active):
         m, s, r, key = mu[active], sigma[active], residual[active], keys[active]
         on = R.uniform(key, 8 * draw) <= on_probability(m, s, r, o.zero_drift_half)
         distance = np.maximum(np.where(on, THRESHOLD - r, THRESHOLD + r), 1e-12)
@@ -77,14 +80,17 @@ def step(state: State | None, lum: np.ndarray, t: int, x: np.ndarray, y: np.ndar
         late = active[~hit]
         signed = np.where(on, distance, -distance)[~hit]
         residual[late] = np.clip(residual[late] + signed * (t - now[late]) / wait[~hit], -THRESHOLD, THRESHOLD)
-        active = active[hit]
+        active, before = active[hit], now[active[hit]]
         now[active] += wait[hit]
         residual[active] = 0.0
         times.append(now[active].copy())
         pixels.append(active)
         signs.append(on[hit].astype(int))
+        draw, idle = draw + 1, 0 if (now[active] > before).any() else idle + 1
+        if len(active) and idle >= IDLE:
+            raise ValueError(f"frame {frame}: events closer than the clock resolves at pixels {list(zip(x[active].tolist(), y[active].tolist(), strict=True))}")
     join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)
-    return State(lum, t, residual), np.rint(join(times, float)), join(pixels, int), join(signs, int), len(active)
+    return State(lum, t, residual), np.rint(join(times, float)), join(pixels, int), join(signs, int)
 
 
 def simulate_tile(pdf: pd.DataFrame, o: Options, clip: int) -> pd.DataFrame:
@@ -95,7 +101,7 @@ def simulate_tile(pdf: pd.DataFrame, o: Options, clip: int) -> pd.DataFrame:
         if o.skip_first_frame and frame == first:
             continue
         x, y = rows.x.to_numpy(), rows.y.to_numpy()
-        state, t, at, p, _ = step(state, rows.lum.to_numpy(), int(rows.t.iloc[0]), x, y, clip, int(frame), o)
+        state, t, at, p = step(state, rows.lum.to_numpy(), int(rows.t.iloc[0]), x, y, clip, int(frame), o)
         out.append(pd.DataFrame({"t": t.astype("int64"), "x": x[at], "y": y[at], "p": p}))
     return pd.concat(out) if out else pd.DataFrame({"t": [], "x": [], "y": [], "p": []})
 

@@ -96,7 +96,7 @@ def simulated_stream(pixels: DataFrame, camera: str | Sensor = "Raw2DVS346", see
             if tile is not None and t <= tile.t and on_disorder == "drop":
                 continue
             x, y = part.x.to_numpy(), part.y.to_numpy()
-            tile, at, pixel, p, _ = simulate.step(tile, part.lum.to_numpy(), t, x, y, 0, int(frame), o)
+            tile, at, pixel, p = simulate.step(tile, part.lum.to_numpy(), t, x, y, 0, int(frame), o)
             if len(at):
                 yield pd.DataFrame({"t": at.astype("int64"), "x": x[pixel].astype("int32"), "y": y[pixel].astype("int32"), "p": p.astype("int8")})
         state.update((pickle.dumps(tile),))

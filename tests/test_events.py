@@ -407,3 +407,21 @@ def test_pixel_functions_of_every_event(spark, tmp_path):
         luma = 299 * v + 587 * (v % 256) + 114 * (v % 7)
         want.append((t, user % 16, user // 16, v * 255 // 1023, v >> 6 & 1023, (luma + 500) // 1000, (t - lens.ORIGIN) // 1000))
     assert sorted(values(got, "t", "x", "y", "eight", "bits", "gray", "us")) == sorted(want)
+
+
+def test_simulator_draws_until_no_event_is_left(spark):
+    sensor = params.Sensor(100, 1e-7, 1e-7, 1e-8, 1e-13, 1e-7)
+    rows = [(f, f * 8333, x, 0, v) for f, v in enumerate([0.0, 200.0, 0.0]) for x in range(2)]
+    got = simulate.dvs_events(spark.createDataFrame(rows, schema.PIXELS), sensor).collect()
+    for x in range(2):
+        ups, downs = ([r.t for r in got if r.x == x and r.p == p] for p in (1, 0))
+        assert 198 <= len(ups) <= 201 and 198 <= len(downs) <= 201
+        assert max(ups) <= 8333 < min(downs) and max(ups) > 8333 - 100 and max(downs) > 2 * 8333 - 100
+    apart = simulate.step(simulate.State(np.full(1, 100.0), 0, np.zeros(1)), np.full(1, 100.0), 10**9, np.zeros(1, int), np.zeros(1, int), 0, 1, simulate.Options(params.preset("DVS240")))
+    assert 5000 <= len(apart[1]) <= 5200
+
+
+def test_simulator_names_pixels_it_cannot_finish():
+    state, o = simulate.State(np.zeros(2), 10**15, np.zeros(2)), simulate.Options(params.Sensor(1e9, 1e-7, 1e-4, 1e-7, 1e-9, 1e-4))
+    with pytest.raises(ValueError, match=r"frame 7.*\[\(5, 6\)\]"):
+        simulate.step(state, np.array([0.0, 100.0]), 10**15 + 8333, np.array([4, 5]), np.array([6, 6]), 0, 7, o)

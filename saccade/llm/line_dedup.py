@@ -6,6 +6,9 @@ one: a window matches if the lines before and after the fingerprint, out to the
 match at successive offsets extend a match both ways to the whole repeated run. Lines of later occurrences (by doc_id,
 then line) are deleted; the first occurrence stays.
 
+With ``words`` a shorter run that holds at least that many words counts too: the same comparison over windows of 1 to run - 1
+lines. The pipeline and op5_line_dedup_passages use WORDS; op5_line_dedup, whose SQL knows whole windows only, does not.
+
 Only window keys move, one row per window; equal keys are pre-aggregated to their first position, so a
 line that is in every document costs no more than any other, and no group is ever gathered.
 
@@ -18,53 +21,70 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import GAP
+
 RUN = 3
+WORDS = 50
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def repeated_windows(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """(doc_id, at): starts of the windows of run lines that occur at an earlier (doc_id, line)."""
-    lines = docs.where("doc_id is not null and text is not null").select("doc_id", _lines(F.col("text")).alias("lines"))
-    hashed = lines.where(F.size("lines") >= run).select("doc_id", "lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"))
+def _words(line: Column) -> Column:
+    return F.size(F.filter(F.split(line, GAP), lambda x: x != ""))
 
-    def window(i: Column) -> Column:
-        own = [F.get("h", i + j) for j in range(run)]
-        low = F.least(*own) if run > 1 else own[0]
-        offset = F.lit(run - 1)
-        for j in range(run - 2, -1, -1):
+
+def repeated_windows(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
+    """(doc_id, at, length): windows of run lines, or of fewer with that many words, that occur at an earlier (doc_id, line)."""
+    lines = docs.where("doc_id is not null and text is not null").select("doc_id", _lines(F.col("text")).alias("lines"))
+    least = run if words is None else 1
+    hashed = lines.where(F.size("lines") >= least).select("doc_id", "lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"))
+    if words is not None and run > 1:
+        hashed = hashed.withColumn("n", F.transform("lines", _words))
+
+    def window(i: Column, length: int) -> Column:
+        own = [F.get("h", i + j) for j in range(length)]
+        low = F.least(*own) if length > 1 else own[0]
+        offset = F.lit(length - 1)
+        for j in range(length - 2, -1, -1):
             offset = F.when(own[j] == low, F.lit(j)).otherwise(offset)
-        return F.struct(i.alias("at"), low.alias("fingerprint"), offset.alias("offset"), F.xxhash64(*[F.get("lines", i + j) for j in range(run)], F.lit(run)).alias("context"))
+        return F.struct(i.alias("at"), F.lit(length).alias("length"), low.alias("fingerprint"), offset.alias("offset"), F.xxhash64(*[F.get("lines", i + j) for j in range(length)], F.lit(length)).alias("context"))
+
+    def windows_of(length: int) -> Column:
+        starts = F.when(F.size("lines") >= length, F.sequence(F.lit(0), F.size("lines") - length)).otherwise(F.array().cast("array<int>"))
+        if length < run:
+            starts = F.filter(starts, lambda i: sum((F.get("n", i + j) for j in range(length)), F.lit(0)) >= words)
+        return F.transform(starts, lambda i: window(i, length))
 
-    windows = hashed.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("lines") - run), window)).alias("w")).select("doc_id", "w.*")
-    key = ["fingerprint", "offset", "context"]
+    listed = F.concat(*[windows_of(length) for length in range(least, run + 1)])
+    windows = hashed.select("doc_id", F.explode(listed).alias("w")).select("doc_id", "w.*")
+    key = ["length", "fingerprint", "offset", "context"]
     place = F.struct("doc_id", "at")
     firsts = windows.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select(*key, "first")
-    return windows.join(firsts, key).where(place > F.col("first")).select("doc_id", "at").distinct()
+    return windows.join(firsts, key).where(place > F.col("first")).select("doc_id", "at", "length").distinct()
 
 
-def without_repeats(docs: DataFrame, run: int = RUN) -> DataFrame:
+def without_repeats(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
     """docs with the columns _lines, _kept (arrays; null for null text): all lines and those that stay."""
-    marks = repeated_windows(docs, run).groupBy("doc_id").agg(F.collect_list("at").alias("_starts")).withColumnRenamed("doc_id", "_doc")
+    marks = repeated_windows(docs, run, words).groupBy("doc_id").agg(F.collect_list(F.struct("at", "length")).alias("_starts")).withColumnRenamed("doc_id", "_doc")
     joined = docs.join(marks, docs["doc_id"] == F.col("_doc"), "left").withColumn("_lines", _lines(F.col("text")))
-    covered = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + (run - 1)))))
+    covered = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s["at"], s["at"] + s["length"] - 1))))
     places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), covered)
     kept = F.when(F.col("_starts").isNull(), F.col("_lines")).otherwise(F.transform(places, lambda i: F.get("_lines", i)))
     return joined.withColumn("_kept", F.when(F.col("text").isNotNull(), kept)).drop("_doc", "_starts")
 
 
-def deduplicated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
+def deduplicated_lines(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_text for every row of docs (doc_id, text)."""
-    out = without_repeats(docs.select("doc_id", "text"), run)
+    out = without_repeats(docs.select("doc_id", "text"), run, words)
     n = F.coalesce(F.size("_lines"), F.lit(0))
     return out.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(n - F.size("_kept")).cast("long").alias("n_removed"), F.array_join("_kept", "\n").alias("kept_text"))
 
 
-def dedup_documents(docs: DataFrame, run: int = RUN) -> DataFrame:
+def dedup_documents(docs: DataFrame, run: int = RUN, words: int | None = WORDS) -> DataFrame:
     """docs with repeated lines deleted, text and n_chars following; a document left without any line goes."""
-    out = without_repeats(docs, run)
+    out = without_repeats(docs, run, words)
     changed = F.size("_kept") < F.size("_lines")
     out = out.where(F.col("text").isNull() | (F.size("_kept") > 0)).withColumn("_text", F.when(changed, F.array_join("_kept", "\n")).otherwise(F.col("text")))
     columns = [F.col("_text").alias(c) if c == "text" else F.when(changed, F.char_length("_text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]

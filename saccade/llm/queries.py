@@ -76,6 +76,25 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@_query(
+    "op5_line_dedup_passages",
+    f"""
+WITH d AS (SELECT doc_id, str_split(text, chr(10)) AS l, list_transform(str_split(text, chr(10)), lambda x: len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+'))) AS c FROM documents),
+w AS (SELECT doc_id, size, unnest(range(0, len(l) - size + 1)) AS pos, l, c FROM d, range(1, 4) t(size) WHERE len(l) >= size),
+k AS (SELECT doc_id, pos, size, l[pos + 1:pos + size] AS g FROM w WHERE size = 3 OR list_sum(c[pos + 1:pos + size]) >= {line_dedup.WORDS}),
+f AS (SELECT doc_id, pos, size, row_number() OVER (PARTITION BY g ORDER BY doc_id, pos) AS n FROM k),
+c AS (SELECT DISTINCT doc_id, pos + j AS line FROM f, range(0, 3) t(j) WHERE n > 1 AND j < size),
+g AS (SELECT doc_id, list(line) AS gone FROM c GROUP BY doc_id),
+r AS (SELECT d.doc_id, l, list_filter(range(0, len(l)), lambda x: gone IS NULL OR NOT list_contains(gone, x)) AS kept FROM d LEFT JOIN g USING (doc_id))
+SELECT doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(len(l) - len(kept), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(list_transform(kept, lambda x: l[x + 1]), chr(10))) AS kept_sha256 FROM r
+""",
+)
+def op5_line_dedup_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.deduplicated_lines(read_table(spark, sf_dir, "documents"), words=line_dedup.WORDS)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 @_query("op6_mix_sources")
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))

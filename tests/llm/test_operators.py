@@ -186,6 +186,29 @@ def test_line_dedup(spark):
     assert line_dedup.deduplicated_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_of_short_passages(spark):
+    rng = random.Random(8)
+    pool = [" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 60), ("b", 50), ("c", 49), ("d", 30), ("e", 30), ("f", 5), ("g", 1))] + [""]
+    rows = [(i, "\n".join([*rng.choices(pool, k=rng.randrange(1, 4)), *[f"own {i} {j}" for j in range(i % 3)]])) for i in range(60)]
+    rows += [(100, pool[0]), (101, "new\n" + pool[1] + "\nother"), (102, pool[2]), (103, pool[3] + "\n" + pool[4] + "\nlast"), (104, None), (105, ""), (106, "x\n" + " \t".join("h" * 60) + "\n" + " \t".join("h" * 60)), (None, pool[0])]
+    gone = brute_lines(rows, 3)
+    for size in (1, 2):
+        seen = set()
+        for d, t in rows:
+            lines = t.split("\n") if d is not None and t is not None else []
+            for i in range(len(lines) - size + 1):
+                key = tuple(lines[i : i + size])
+                if sum(len(words(x)) for x in key) >= 50:
+                    gone |= {(d, i + j) for j in range(size)} if key in seen else set()
+                    seen.add(key)
+    assert {(100, 0), (101, 1), (103, 0), (103, 1), (106, 2)} <= gone and not {(102, 0), (101, 0), (103, 2), (106, 1)} & gone
+    want = {str(d): None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in rows}
+    docs = frame(spark, rows)
+    assert {str(r.doc_id): r.kept_text for r in line_dedup.deduplicated_lines(docs, words=50).collect()} == want
+    empty = {str(d) for d, t in rows if t is not None and all((d, i) in gone for i in range(len(t.split("\n"))))}
+    assert "100" in empty and {str(r.doc_id): r.text for r in line_dedup.dedup_documents(docs).collect()} == {d: t for d, t in want.items() if d not in empty}
+
+
 def test_mixing(spark):
     rng = random.Random(11)
     rows = [(i, None if i % 50 == 7 else " ".join(["w"] * rng.choice([0, 1, 5, 50, 400]))) for i in range(3000)]

@@ -203,14 +203,22 @@ def identify(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def _lettered(column: pa.Array) -> list[bool]:
+    return [_has_letter(data[offsets[i] : offsets[i + 1]]) for lo, hi, data, offsets in text_chunks(column) for i in range(hi - lo)]
+
+
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of docs that have a language: rows judged ``und`` go, all columns stay as they are."""
+    """The rows of docs that have a language: rows judged ``und`` go, all columns stay as they are.
+
+    Without a labelled row there is no language to choose from, and all rows with a letter stay.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(train_on_documents(docs))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, _ = _judge(shared.value, batch.column(at))
-            yield batch.filter(pa.array([x != UNDETERMINED for x in names], pa.bool_()))
+            column = batch.column(at)
+            kept = [x != UNDETERMINED for x in _judge(shared.value, column)[0]] if len(shared.value.names) else _lettered(column)
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

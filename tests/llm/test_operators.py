@@ -282,6 +282,13 @@ def test_language(spark):
     assert {r.lang_pred for r in language.identify(docs.where("lang is null")).collect()} == {"und"}
 
 
+def test_language_without_labels(spark):
+    rows = [(1, "the and of"), (2, "И"), (3, "12 34 ..."), (4, ""), (5, None), (6, "1\n2 é"), (None, "a")]
+    for lang in (None, "aa"):
+        docs = frame(spark, rows, lambda i, lang=lang: (lang, None))
+        assert {r.doc_id for r in language.keep_identified(docs).collect()} == {1, 2, 6, None}
+
+
 TURNS = "conv_id long, turn long, role string, text string, formatted string"
 
 

@@ -1,10 +1,9 @@
-"""Line dedup by winnowing over line hashes, in DataFrame operations only.
+"""Line dedup by hashes of whole windows of lines, in DataFrame operations only.
 
-Every window of ``run`` consecutive lines selects its smallest line hash (the leftmost of ties) as a fingerprint, so two documents that
-share a run of that many lines share a fingerprint. Positions with equal fingerprints are joined through the first
-one: a window matches if the lines before and after the fingerprint, out to the window's ends, are equal too. Windows that
-match at successive offsets extend a match both ways to the whole repeated run. Lines of later occurrences (by doc_id,
-then line) are deleted; the first occurrence stays.
+Every window of ``run`` consecutive lines is compared by a hash of all its lines, next to its smallest line hash and that one's
+offset; nothing is selected by winnowing. Windows with equal keys are joined to the first one, and windows that match at
+successive offsets add up to the whole repeated run. Lines of later occurrences (by doc_id, then line) are deleted; the first
+occurrence stays.
 
 With ``words`` a shorter run that holds at least that many words counts too: the same comparison over windows of 1 to run - 1
 lines. The pipeline and op5_line_dedup_passages use WORDS; op5_line_dedup, whose SQL knows whole windows only, does not.

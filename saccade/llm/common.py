@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows are handled in pieces of about this many text bytes, so that NumPy temporaries stay small.
@@ -159,6 +159,28 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def mark(text: str = "text") -> Column:
+    """With doc_id the key of a row: rows that share a doc_id but not the text are told apart."""
+    return F.xxhash64(text)
+
+
+#: Keys with more than 1 / HEAVY of the counted rows are joined by broadcast; there are fewer than HEAVY of them.
+HEAVY = 500
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str = "n") -> DataFrame:
+    """rows joined to a written table that has one row per key and, as weight, how many rows hold it.
+
+    Heavy keys are sent to the rows wherever those are; only the others are shuffled, so no task gets more than 1 / HEAVY of
+    all rows for one key. The broadcast has fewer than HEAVY rows, whatever the size of the table.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    heavy = F.col(weight) * HEAVY > total
+    many = F.broadcast(table.where(heavy))
+    rest = rows.join(F.broadcast(table.where(heavy).select(*keys)), keys, "left_anti")
+    return rows.join(many, keys).unionByName(rest.join(table.where(~heavy), keys))
+
+
 def word_count(text: str = "text"):
     """Number of words of a text column, null as 0, without Python."""
     parts = F.split(F.col(text), GAP)

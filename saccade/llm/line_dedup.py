@@ -1,18 +1,22 @@
-"""Line dedup by hashes of whole windows of lines, in DataFrame operations only.
+"""Line dedup by winnowing over line hashes, in DataFrame operations only.
 
-Every window of ``run`` consecutive lines is compared by a hash of all its lines, next to its smallest line hash and that one's
-offset; nothing is selected by winnowing. Windows with equal keys are joined to the first one, and windows that match at
-successive offsets add up to the whole repeated run. Lines of later occurrences (by doc_id, then line) are deleted; the first
-occurrence stays.
+Of every window of ``run`` consecutive lines the smallest line hash (the last of equal ones) is selected; a line that several windows
+select is one fingerprint. A repeated run of at least ``run`` lines has the same windows in both places, so it shares at least
+one fingerprint with its earlier copy. Positions of fingerprints that occur once go. The others are joined on the fingerprint and
+extended both ways: the neighbours to the left and right, as far as the windows that selected the line reach, must agree
+with those of an earlier position. The first position of each extended match stays, the lines of later ones (by doc_id, then row,
+then line) are deleted; matches that overlap add up to the whole repeated run.
 
-With ``words`` a shorter run that holds at least that many words counts too: the same comparison over windows of 1 to run - 1
-lines. The pipeline and op5_line_dedup_passages use WORDS; op5_line_dedup, whose SQL knows whole windows only, does not.
+With ``words`` a shorter run that holds at least that many words counts too: the same selection and extension over windows of 1
+to run - 1 lines. The pipeline and op5_line_dedup_passages use WORDS; op5_line_dedup, whose SQL knows whole windows only, does not.
 
-Only window keys move, one row per window; equal keys are pre-aggregated to their first position, so a
-line that is in every document costs no more than any other, and no group is ever gathered.
+Only fingerprints move, one row per selected line, with the hashes of its neighbours. Equal ones are pre-aggregated to their
+first position, and the few fingerprints that hold a large share of the rows are joined by broadcast (common.lookup), so a line
+that is in every document is not gathered in one task.
 
 Edge cases: null text stays null and takes no part; text is split at newlines, so empty lines are lines; rows with a null
-doc_id stay unchanged; rows that share a doc_id lose the same line numbers, those that repeat in any of them.
+doc_id stay unchanged; rows that share a doc_id are judged row by row, in the order of a hash of their text; rows that
+repeat both are one document, and keep the same lines. Columns of other names stay as they are.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP
+from .common import GAP, lookup, mark, materialize
 
 RUN = 3
 WORDS = 50
@@ -34,57 +38,96 @@ def _words(line: Column) -> Column:
     return F.size(F.filter(F.split(line, GAP), lambda x: x != ""))
 
 
-def repeated_windows(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
-    """(doc_id, at, length): windows of run lines, or of fewer with that many words, that occur at an earlier (doc_id, line)."""
-    lines = docs.where("doc_id is not null and text is not null").select("doc_id", _lines(F.col("text")).alias("lines"))
+def fingerprints(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
+    """doc_id, mark, at, fingerprint, spans: the selected lines of docs (doc_id, text).
+
+    spans are the windows that selected the line: start, length, and the line hashes left and right of it in the window.
+    """
     least = run if words is None else 1
-    hashed = lines.where(F.size("lines") >= least).select("doc_id", "lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"))
-    if words is not None and run > 1:
-        hashed = hashed.withColumn("n", F.transform("lines", _words))
-
-    def window(i: Column, length: int) -> Column:
-        own = [F.get("h", i + j) for j in range(length)]
-        low = F.least(*own) if length > 1 else own[0]
-        offset = F.lit(length - 1)
+    lines = docs.where("doc_id is not null and text is not null").select("doc_id", mark().alias("mark"), _lines(F.col("text")).alias("lines"))
+    hashed = lines.where(F.size("lines") >= least).select("doc_id", "mark", "lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"))
+    hashed = hashed.withColumn("n", F.transform("lines", _words) if least < run else F.lit(None)).drop("lines")
+
+    def selected(start: Column, length: int) -> Column:
+        """The line that the window at start selects."""
+        best = F.lit(length - 1)
+        low = F.get("h", start + (length - 1))
         for j in range(length - 2, -1, -1):
-            offset = F.when(own[j] == low, F.lit(j)).otherwise(offset)
-        return F.struct(i.alias("at"), F.lit(length).alias("length"), low.alias("fingerprint"), offset.alias("offset"), F.xxhash64(*[F.get("lines", i + j) for j in range(length)], F.lit(length)).alias("context"))
-
-    def windows_of(length: int) -> Column:
-        starts = F.when(F.size("lines") >= length, F.sequence(F.lit(0), F.size("lines") - length)).otherwise(F.array().cast("array<int>"))
+            own = F.get("h", start + j)
+            best, low = F.when(own < low, F.lit(j)).otherwise(best), F.least(own, low)
+        return start + best
+
+    def counts(start: Column, length: int) -> Column:
+        """Whether the window at start is there, and long enough."""
+        there = (start >= 0) & (start + length <= F.size("h"))
+        if length == run:
+            return there
+        return there & (sum((F.get("n", start + j) for j in range(length)), F.lit(0)) >= words)
+
+    def picks(length: int) -> Column:
+        starts = F.when(F.size("h") >= length, F.sequence(F.lit(0), F.size("h") - length)).otherwise(F.array().cast("array<int>"))
         if length < run:
-            starts = F.filter(starts, lambda i: sum((F.get("n", i + j) for j in range(length)), F.lit(0)) >= words)
-        return F.transform(starts, lambda i: window(i, length))
-
-    listed = F.concat(*[windows_of(length) for length in range(least, run + 1)])
-    windows = hashed.select("doc_id", F.explode(listed).alias("w")).select("doc_id", "w.*")
-    key = ["length", "fingerprint", "offset", "context"]
-    place = F.struct("doc_id", "at")
-    firsts = windows.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select(*key, "first")
-    return windows.join(firsts, key).where(place > F.col("first")).select("doc_id", "at", "length").distinct()
-
-
-def without_repeats(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
-    """docs with the columns _lines, _kept (arrays; null for null text): all lines and those that stay."""
-    marks = repeated_windows(docs, run, words).groupBy("doc_id").agg(F.collect_list(F.struct("at", "length")).alias("_starts")).withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(marks, docs["doc_id"] == F.col("_doc"), "left").withColumn("_lines", _lines(F.col("text")))
-    covered = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s["at"], s["at"] + s["length"] - 1))))
-    places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), covered)
-    kept = F.when(F.col("_starts").isNull(), F.col("_lines")).otherwise(F.transform(places, lambda i: F.get("_lines", i)))
-    return joined.withColumn("_kept", F.when(F.col("text").isNotNull(), kept)).drop("_doc", "_starts")
+            starts = F.filter(starts, lambda i: counts(i, length))
+        return F.transform(starts, lambda i: selected(i, length))
+
+    def spans(at: Column) -> Column:
+        own = []
+        for length in range(least, run + 1):
+            for offset in range(length):
+                start = at - offset
+                left, right = F.slice("h", start + 1, F.lit(offset)), F.slice("h", at + 2, F.lit(length - 1 - offset))
+                span = F.struct(start.alias("start"), F.lit(length).alias("length"), left.alias("left"), right.alias("right"))
+                own.append(F.when(counts(start, length) & (selected(start, length) == at), span))
+        return F.filter(F.array(*own), lambda x: x.isNotNull())
+
+    chosen = hashed.withColumn("at", F.array_distinct(F.concat(*[picks(length) for length in range(least, run + 1)])))
+    rows = F.transform("at", lambda at: F.struct(at.alias("at"), F.get("h", at).alias("fingerprint"), spans(at).alias("spans")))
+    return chosen.select("doc_id", "mark", F.explode(rows).alias("f")).select("doc_id", "mark", "f.*")
+
+
+def repeated_runs(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
+    """(doc_id, mark, start, length): lines of docs that also stand in an earlier place."""
+    found = materialize(fingerprints(docs, run, words), "fingerprints")
+    place = F.struct("doc_id", "mark", "at")
+    shared = found.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo < hi")
+    met = lookup(found, materialize(shared.select("fingerprint", "n"), "shared"), ["fingerprint"])
+    key = ["fingerprint", "left", "right"]
+    extended = met.select("doc_id", "mark", "at", "fingerprint", F.explode("spans").alias("s")).select("doc_id", "mark", "at", "fingerprint", "s.*")
+    firsts = extended.groupBy(*key).agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
+    later = lookup(extended, materialize(firsts.select(*key, "n", "first"), "firsts"), key)
+    return later.where(place > F.col("first")).select("doc_id", "mark", "start", "length")
+
+
+def _without_repeats(docs: DataFrame, run: int, words: int | None) -> DataFrame:
+    """row (docs' columns), lines, kept (arrays; null for null text): all lines and those that stay."""
+    runs = repeated_runs(docs, run, words).distinct().groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "length")).alias("runs"))
+    rows = docs.select("doc_id", mark().alias("mark"), F.struct("*").alias("row"))
+    joined = rows.join(runs, ["doc_id", "mark"], "left").select("row", "runs", _lines(F.col("row.text")).alias("lines"))
+    covered = F.array_distinct(F.flatten(F.transform("runs", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1))))
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), covered)
+    kept = F.when(F.col("runs").isNull(), F.col("lines")).otherwise(F.transform(places, lambda i: F.get("lines", i)))
+    return joined.select("row", "lines", F.when(F.col("row.text").isNotNull(), kept).alias("kept"))
 
 
 def deduplicated_lines(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_text for every row of docs (doc_id, text)."""
-    out = without_repeats(docs.select("doc_id", "text"), run, words)
-    n = F.coalesce(F.size("_lines"), F.lit(0))
-    return out.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(n - F.size("_kept")).cast("long").alias("n_removed"), F.array_join("_kept", "\n").alias("kept_text"))
+    out = _without_repeats(docs.select("doc_id", "text"), run, words)
+    n = lambda value: F.when(F.col("row.text").isNull(), 0).otherwise(value).cast("long")
+    return out.select("row.doc_id", n(F.size("lines")).alias("n_lines"), n(F.size("lines") - F.size("kept")).alias("n_removed"), F.array_join("kept", "\n").alias("kept_text"))
 
 
 def dedup_documents(docs: DataFrame, run: int = RUN, words: int | None = WORDS) -> DataFrame:
     """docs with repeated lines deleted, text and n_chars following; a document left without any line goes."""
-    out = without_repeats(docs, run, words)
-    changed = F.size("_kept") < F.size("_lines")
-    out = out.where(F.col("text").isNull() | (F.size("_kept") > 0)).withColumn("_text", F.when(changed, F.array_join("_kept", "\n")).otherwise(F.col("text")))
-    columns = [F.col("_text").alias(c) if c == "text" else F.when(changed, F.char_length("_text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*columns)
+    out = _without_repeats(docs, run, words).where(F.col("row.text").isNull() | (F.size("kept") > 0))
+    changed = F.size("kept") < F.size("lines")
+    out = out.select("row", changed.alias("changed"), F.when(changed, F.array_join("kept", "\n")).otherwise(F.col("row.text")).alias("text"))
+
+    def column(c: str) -> Column:
+        own = F.col("row").getField(c)
+        if c == "text":
+            own = F.col("text")
+        elif c == "n_chars":
+            own = F.when(F.col("changed"), F.char_length("text").cast(docs.schema[c].dataType)).otherwise(own)
+        return own.alias(c)
+
+    return out.select(*[column(c) for c in docs.columns])

@@ -2,15 +2,16 @@
 
 Two collections of ``m`` half keys are made from two MinHash values each; table (i, j) is keyed by half key i of
 the first and half key j of the second collection. So m*m tables with keys of four MinHash values need only 4*m
-MinHash values. A pair of similarity s misses all tables with probability below 2 * (1 - s*s)**m (1.1e-5 at 0.75 for
-the default m = 14, 1.4e-10 at 0.9). Two sets are candidates if some table has them under one key.
+MinHash values. A pair of similarity s misses all tables with probability below 2 * (1 - s*s)**m (1.9e-5 at 0.75 for
+the default m = 14, 1.6e-10 at 0.9). Two sets are candidates if some table has them under one key.
 
 Exact copies of a shingle set are collapsed first. Candidates are never expanded into all pairs of a bucket. First each
 set is compared with the smallest set of each of its half keys, if the two share a table; links are contracted to components.
 Then the tables are aggregated to the components they hold, and only sets in tables with several components go on.
 Among those, pairs of different components are found by an exact positional prefix filter: with shingles in order of
-frequency, two similar sets share an early one, at places that leave enough shingles to share. Every link is confirmed
-on full sets.
+frequency, two similar sets share an early one, at places that leave enough shingles to share. Sets that share a frequent
+shingle meet only if their sizes allow the similarity with what is left after that shingle. Every link is confirmed on full sets
+of 64-bit shingle hashes.
 
 Edge cases: null, empty or wordless text has an empty set and no links; rows that share a doc_id are one document
 whose set is the union over those rows; a null doc_id is a document without links (component null, kept).
@@ -19,14 +20,15 @@ whose set is the union over those rows; a null doc_id is a document without link
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialize, row_shingles, seeds, text_chunks, word_hashes, word_spans
+from .common import components, lookup, materialize, row_shingles, seeds, text_chunks, word_hashes, word_spans
 
 HALVES = 14
 _MULT, _XOR = seeds(2, 4 * HALVES) | np.uint64(1), seeds(3, 4 * HALVES)
@@ -41,7 +43,7 @@ def half_keys(sets: np.ndarray, m: int = HALVES) -> np.ndarray:
         return low[0::2] * np.uint64(0x9E3779B97F4A7C15) ^ (low[1::2] >> np.uint64(7))
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+def shingle_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     for batch in batches:
         ids = batch.column(0)
         for lo, hi, data, offsets in text_chunks(batch.column(1)):
@@ -51,7 +53,7 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Array,
             yield ids.slice(lo, hi - lo), [row_shingles(hashes[cuts[i] : cuts[i + 1]], k) for i in range(hi - lo)]
 
 
-def _long_lists(rows: list[np.ndarray]) -> pa.ListArray:
+def long_lists(rows: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
     flat = np.concatenate(rows) if rows else np.empty(0, np.uint64)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
@@ -61,10 +63,10 @@ def signatures(docs: DataFrame, k: int = 5, m: int = HALVES) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, digest of the set (null: empty), half keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in _sets(batches, k):
+        for ids, sets in shingle_batches(batches, k):
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             keys = [half_keys(s, m) if len(s) else s for s in sets]
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), _long_lists(keys)], names=["doc_id", "n_shingles", "digest", "halves"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), long_lists(keys)], names=["doc_id", "n_shingles", "digest", "halves"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, halves array<long>")
 
@@ -73,8 +75,8 @@ def shingle_sets(docs: DataFrame, k: int = 5) -> DataFrame:
     """(doc_id, shingles array<long>) of whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in _sets(batches, k):
-            yield pa.RecordBatch.from_arrays([ids, _long_lists(sets)], names=["doc_id", "shingles"])
+        for ids, sets in shingle_batches(batches, k):
+            yield pa.RecordBatch.from_arrays([ids, long_lists(sets)], names=["doc_id", "shingles"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
@@ -116,23 +118,37 @@ def _mixed_members(halves: DataFrame, labels: DataFrame, m: int) -> DataFrame:
     return halves.join(mixed, ["i", "half"], "left_semi").select("rep").distinct()
 
 
+#: Size classes of the prefix filter: sizes within one class differ by at most this factor.
+CLASS = 1.05
+
+
+def _class(size: Column) -> Column:
+    return F.floor(F.log(size.cast("double")) / math.log(CLASS))
+
+
 def _prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """(a, b, la, lb): pairs of sets (doc_id, shingles) of different components that can reach the similarity.
 
     Sets of similarity t share at least (|a| + |b|) * t / (1 + t) shingles. If the first shared one, by frequency, is at places i and j,
-    they share at most min(|a| - i, |b| - j). Of each shingle's holders, those of its most frequent component are
-    not compared with each other.
+    they share at most min(|a| - i, |b| - j). So with i, a's partners have at most (|a| - i) * (1 + t) / t - |a| shingles: the
+    smaller set of a pair looks for partners from its own size up to that, in classes of sizes, so sets that share a frequent
+    shingle but too little after it never meet. Of each shingle's holders, those of its most frequent component are not compared
+    with each other.
     """
     tokens = sets.select(F.col("doc_id").alias("d"), F.size("shingles").alias("n"), F.explode("shingles").alias("g"))
-    counted = tokens.join(tokens.groupBy("g").agg(F.count("*").alias("f")), "g")
-    placed = counted.withColumn("i", F.row_number().over(Window.partitionBy("d").orderBy("f", "g")) - 1)
-    early = placed.where((F.col("f") > 1) & ((F.col("n") - F.col("i")) * 100 >= F.col("n") * percent)).select("d", "n", "g", "i")
+    frequency = materialize(tokens.groupBy("g").agg(F.count("*").alias("f")).where("f > 1"), "frequency")
+    # shingles of one set only come before all others; they need no place of their own
+    own = Window.partitionBy("d")
+    met = lookup(tokens, frequency, ["g"], "f").withColumn("i", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("f", "g")) - 1)
+    early = met.withColumn("most", F.expr(f"((n - i) * {100 + percent}) div {percent} - n")).where(f"most * 100 >= n * {percent}").select("d", "n", "g", "most")
     rows = materialize(early.join(labels.select(F.col("node").alias("d"), "label"), "d"), "prefixes")
-    most = rows.groupBy("g", "label").count().groupBy("g").agg(F.max_by("label", F.struct("count", "label")).alias("top"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("g", "top")
-    minor = rows.join(most, "g").where("label <> top").select(F.col("g").alias("k"), F.col("d").alias("e"), F.col("n").alias("ne"), F.col("i").alias("j"), F.col("label").alias("le"))
-    reach = F.least(F.col("n") - F.col("i"), F.col("ne") - F.col("j")) * (100 + percent) >= (F.col("n") + F.col("ne")) * percent
-    met = rows.join(minor, (F.col("g") == F.col("k")) & (F.col("label") != F.col("le")) & reach)
-    return met.select(F.least("d", "e").alias("a"), F.greatest("d", "e").alias("b"), F.least("label", "le").alias("la"), F.greatest("label", "le").alias("lb")).distinct()
+    counted = rows.groupBy("g", "label").count().groupBy("g").agg(F.sum("count").alias("k"), F.max_by("label", F.struct("count", "label")).alias("top"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    marked = lookup(rows, materialize(counted.where("lo <> hi").select("g", "k", "top"), "holders"), ["g"], "k").withColumn("minor", F.col("label") != F.col("top"))
+    small = marked.where("most >= n").select(F.col("g").alias("h"), F.col("d").alias("e"), F.col("n").alias("m"), F.col("most").alias("up"), F.col("label").alias("le"), F.col("minor").alias("few"), F.explode(F.sequence(_class(F.col("n")), _class(F.col("most")))).alias("c"))
+    large = marked.select("g", "d", "n", "most", "label", "minor", _class(F.col("n")).alias("class"))
+    both = (F.col("h") == F.col("g")) & (F.col("c") == F.col("class")) & (F.col("le") != F.col("label")) & F.col("n").between(F.col("m"), F.col("up")) & (F.col("most") >= F.col("m"))
+    pairs = small.join(large.where("minor"), both).unionByName(small.where("few").join(large.where("not minor"), both))
+    return pairs.select(F.least("d", "e").alias("a"), F.greatest("d", "e").alias("b"), F.least("label", "le").alias("la"), F.greatest("label", "le").alias("lb")).distinct()
 
 
 def links_of(docs: DataFrame, k: int = 5, percent: int = 75, m: int = HALVES) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -166,7 +182,7 @@ def _united(docs: DataFrame, repeated: DataFrame, k: int, m: int) -> DataFrame:
         for batch in batches:
             sets = [np.unique(np.array(s or [], np.int64).view(np.uint64)) for s in batch.column(1).to_pylist()]
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), _long_lists([half_keys(s, m) if len(s) else s for s in sets])], names=["doc_id", "n_shingles", "digest", "halves"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), long_lists([half_keys(s, m) if len(s) else s for s in sets])], names=["doc_id", "n_shingles", "digest", "halves"])
 
     return whole.mapInArrow(run, "doc_id long, n_shingles long, digest binary, halves array<long>")
 
@@ -218,5 +234,3 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     out = documents.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
     out = out.withColumn("component_id", F.coalesce("label", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
-
-

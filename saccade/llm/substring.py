@@ -1,17 +1,18 @@
 """Substring dedup: removes words of 50-word windows that also start in a document with a smaller doc_id.
 
-Candidates are routed first, so that the search is linear in the corpus. Every window selects its smallest ten-word hash as its
+Windows are routed first, so that the search is linear in the corpus. Every window selects its smallest ten-word hash as its
 anchor (winnowing), so equal windows have equal anchors. Only anchors that occur in two documents go on; the windows that one
-anchor occurrence answers for form a segment of text. Equal segments are pre-aggregated to their first document. The
-distinct segments of an anchor meet in one shard, which builds a compressed FM-index of them; the segments are streamed through it by
-backward search, giving matching statistics up to the window length and the smallest document of each interval.
+anchor occurrence answers for form a segment of text. Equal segments are pre-aggregated, with the smallest document that
+has them. All distinct segments of an anchor meet in one shard, which builds a compressed FM-index over wavelet trees of them. The
+segments are streamed through the index by backward search; matching statistics give each window's interval, the interval its
+smallest document. Every removal comes from that: a place loses the windows whose smallest document is before its own.
 
-An anchor with more than ``HOT`` distinct segments is not gathered: its segments are taken apart into single windows, and
-only windows that occur in two segments are sharded, each by its own hash.
+An anchor with more than ``HOT`` distinct segments would make a shard too large. Its segments are cut into single windows, which are
+then segments like others, each with its own hash as anchor, and go the same way; their results return to the segments they
+were cut from.
 
-Edge cases: null text has no words; rows that share a doc_id are one document for the search, each row loses the words at the
-same positions as the others; rows with a null doc_id lose nothing; words are compared by 64-bit hashes within routing and by 64-bit word hashes
-in the index.
+Edge cases: null text has no words; rows that share a doc_id never repeat each other, and each row has its own positions; rows with a null
+doc_id lose nothing. Words are compared by 64-bit hashes, anchors and segments by 64-bit hashes each.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shingle_hashes, text_chunks, word_hashes, word_spans
+from .common import lookup, mark, materialize, shingle_hashes, text_chunks, word_hashes, word_spans
 from .fm_index import FMIndex
 
 WINDOW = 50
@@ -58,33 +59,41 @@ def _join(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
     return b" ".join([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
 
 
+_ANCHORS = "doc_id long, mark long, anchor long"
+
+
 def _anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """doc_id, mark, anchor: the anchors of each row of docs."""
+
+    def pack(batch: pa.RecordBatch, rows: list, found: list) -> pa.RecordBatch:
+        index = pa.array(np.concatenate(rows))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), pa.array(np.concatenate(found).view(np.int64))], names=["doc_id", "mark", "anchor"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
             rows, found = [], []
-            for row, words, *_ in _words(batch.column(1)):
-                if ids[row] is not None and len(words) >= window:
+            for row, words, *_ in _words(batch.column(2)):
+                if len(words) >= window:
                     hashes, at = anchors_of(words, window, gram)
                     own = np.unique(hashes[at])
-                    rows.append(np.full(len(own), ids[row], np.int64))
+                    rows.append(np.full(len(own), row, np.int64))
                     found.append(own)
                 if len(rows) >= 512:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(found).view(np.int64))], names=["doc_id", "anchor"])
+                    yield pack(batch, rows, found)
                     rows, found = [], []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(found).view(np.int64))], names=["doc_id", "anchor"])
+                yield pack(batch, rows, found)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, anchor long")
+    return docs.where("doc_id is not null").select("doc_id", mark().alias("mark"), "text").mapInArrow(run, _ANCHORS)
 
 
-_STAGED = "doc_id long, n_words long, kept string, text string, segments array<struct<start:int,size:int,anchor:long,hash:long,words:string>>"
+_STAGED = "doc_id long, mark long, n_words long, kept string, text string, segments array<struct<start:int,size:int,anchor:long,hash:long,words:string>>"
 
 
 def _staged(docs: DataFrame, shared: DataFrame, window: int, gram: int, digest: bool) -> DataFrame:
     """Rows of docs: without shared anchors finished, the others with their text and segments."""
-    own = shared.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")).withColumnRenamed("doc_id", "d")
-    joined = docs.select("doc_id", "text").join(own, F.col("doc_id") == F.col("d"), "left").select("doc_id", "text", "anchors")
+    own = shared.groupBy("doc_id", "mark").agg(F.collect_list("anchor").alias("anchors"))
+    joined = docs.select("doc_id", mark().alias("mark"), "text").join(own, ["doc_id", "mark"], "left").select("doc_id", "mark", "text", "anchors")
     struct = pa.struct([("start", pa.int32()), ("size", pa.int32()), ("anchor", pa.int64()), ("hash", pa.int64()), ("words", pa.string())])
 
     def segments(words: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray, anchors: list[int]) -> list[dict]:
@@ -104,9 +113,9 @@ def _staged(docs: DataFrame, shared: DataFrame, window: int, gram: int, digest:
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 batch = whole.slice(lo, 256)
-                listed = batch.column(2).to_pylist()
+                listed = batch.column(3).to_pylist()
                 n, kept, texts, parts = [], [], [], []
-                for row, words, raw, starts, ends in _words(batch.column(1)):
+                for row, words, raw, starts, ends in _words(batch.column(2)):
                     n.append(len(words))
                     if listed[row] is None:
                         kept.append(_finish(_join(raw, starts, ends), digest))
@@ -114,9 +123,9 @@ def _staged(docs: DataFrame, shared: DataFrame, window: int, gram: int, digest:
                         parts.append(None)
                     else:
                         kept.append(None)
-                        texts.append(batch.column(1)[row].as_py())
+                        texts.append(batch.column(2)[row].as_py())
                         parts.append(segments(words, raw, starts, ends, listed[row]) if len(words) >= window else [])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(kept, pa.string()), pa.array(texts, pa.string()), pa.array(parts, pa.list_(struct))], names=["doc_id", "n_words", "kept", "text", "segments"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(kept, pa.string()), pa.array(texts, pa.string()), pa.array(parts, pa.list_(struct))], names=["doc_id", "mark", "n_words", "kept", "text", "segments"])
 
     return joined.mapInArrow(run, _STAGED)
 
@@ -125,46 +134,58 @@ def _finish(text: bytes, digest: bool) -> str:
     return hashlib.sha256(text).hexdigest() if digest else text.decode()
 
 
-def _search(shards: DataFrame, window: int) -> DataFrame:
-    """(anchor, hash, start, end): of each segment (shard, anchor, hash, words, first) the words that a smaller document has."""
+_FOUND = "anchor long, hash long, n long, spans array<struct<start:int,end:int,least:long>>"
+
+
+def _search(segments: DataFrame, shards: int, window: int) -> DataFrame:
+    """anchor, hash, n, spans of distinct segments (anchor, hash, words, first, last, n).
+
+    spans: runs of windows, from window start to before window end, with the smallest document that has them. Runs that no
+    place of the segment can lose are left out; segments without any go.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        firsts = table.column("first").to_numpy()
-        segments = [w for _, w, *_ in _words(table.column("words").combine_chunks())]
-        index = FMIndex(segments)
-        group, begins, _ = index.groups(window)
-        smallest = np.minimum.reduceat(firsts[index.owner[index.suffixes]], begins)
-        rows, starts, ends = [], [], []
-        for lo in range(0, len(segments), 2048):
-            part = segments[lo : lo + 2048]
-            length, low, _ = index.matching_statistics(part, window)
-            longest = length.shape[1]
-            earlier = (length >= window) & (smallest[group[np.minimum(low, len(group) - 1)]] < firsts[lo : lo + 2048][:, None])
-            row, at = np.nonzero(earlier)
+        firsts, lasts = table.column("first").to_numpy(), table.column("last").to_numpy()
+        parts = [w for _, w, *_ in _words(table.column("words").combine_chunks())]
+        index = FMIndex(parts, firsts, window)
+        take, spans = [], []
+        for lo in range(0, len(parts), 2048):
+            queries = parts[lo : lo + 2048]
+            length, low, _ = index.matching_statistics(queries)
+            row, at = np.nonzero(length >= window)
+            least = index.value(low[row, at].astype(np.int64))
+            lose = least < lasts[lo + row]
+            row, least = row[lose], least[lose]
+            at = (at[lose] - length.shape[1]) + np.array([len(q) for q in queries])[row]
             if not len(row):
                 continue
-            at = at - (longest - np.array([len(s) for s in part]))[row]
-            new = np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)])
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1])
             last = np.append(new[1:], True)
-            rows.append(row[new] + lo)
-            starts.append(at[new])
-            ends.append(at[last] + window)
-        rows, starts, ends = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, starts, ends))
-        take = table.select(["anchor", "hash"]).take(pa.array(rows))
-        return take.append_column("start", pa.array(starts.astype(np.int32))).append_column("end", pa.array(ends.astype(np.int32)))
+            own = np.flatnonzero(np.concatenate([[True], row[new][1:] != row[new][:-1]]))
+            take.append(row[new][own] + lo)
+            flat = pa.StructArray.from_arrays([pa.array(at[new].astype(np.int32)), pa.array((at[last] + 1).astype(np.int32)), pa.array(least[new])], names=["start", "end", "least"])
+            spans.append(pa.ListArray.from_arrays(pa.array(np.append(own, new.sum()).astype(np.int32)), flat))
+        out = table.select(["anchor", "hash", "n"]).take(pa.array(np.concatenate(take) if take else np.empty(0, np.int64)))
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("least", pa.int64())]))
+        return out.append_column("spans", pa.chunked_array(spans, kind))
+
+    sharded = segments.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "anchor", "hash", "words", "first", "last", "n")
+    return sharded.groupBy("shard").applyInArrow(run, _FOUND)
+
 
-    return shards.groupBy("shard").applyInArrow(run, "anchor long, hash long, start int, end int")
+_WINDOWS = "anchor long, hash long, holders long, first long, last long, at int, key long, words string"
 
 
 def _windows(segments: DataFrame, window: int) -> DataFrame:
-    """Single windows of segments (anchor, hash, words, first): anchor, hash, at, window hash, words."""
+    """Single windows of distinct segments: the segment's anchor, hash, holders, first and last, and at, key, words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 128):
                 batch = whole.slice(lo, 128)
                 take, at, keys, texts = [], [], [], []
-                for row, words, raw, starts, ends in _words(batch.column(2)):
+                for row, words, raw, starts, ends in _words(batch.column(5)):
                     hashes = shingle_hashes(words, window)
                     for i in range(len(hashes)):
                         texts.append(_join(raw, starts[i : i + window], ends[i : i + window]))
@@ -172,60 +193,57 @@ def _windows(segments: DataFrame, window: int) -> DataFrame:
                     at.append(np.arange(len(hashes)))
                     keys.append(hashes)
                 index = pa.array(np.concatenate(take))
-                cols = [batch.column(0).take(index), batch.column(1).take(index), batch.column(3).take(index)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(keys).view(np.int64)), pa.array([t.decode() for t in texts], pa.string())], names=["anchor", "hash", "first", "at", "key", "words"])
+                cols = [batch.column(i).take(index) for i in range(5)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(keys).view(np.int64)), pa.array([t.decode() for t in texts], pa.string())], names=["anchor", "hash", "holders", "first", "last", "at", "key", "words"])
+
+    return segments.select("anchor", "hash", F.col("n").alias("holders"), "first", "last", "words").mapInArrow(run, _WINDOWS)
+
 
-    return segments.select("anchor", "hash", "words", "first").mapInArrow(run, "anchor long, hash long, first long, at int, key long, words string")
+def _distinct(places: DataFrame) -> DataFrame:
+    """anchor, hash, words, size, n, first, last of segments or windows with their holders."""
+    return places.groupBy("anchor", "hash").agg(F.any_value("words").alias("words"), F.any_value("size").alias("size"), F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
 
 
-def _hot_spans(hot: DataFrame, window: int) -> DataFrame:
-    """As _search, for segments of hot anchors: windows of two or more segments, sharded by their own hash."""
+def _search_hot(hot: DataFrame, window: int) -> DataFrame:
+    """As _search, for the segments of hot anchors, cut into single windows."""
     windows = materialize(_windows(hot, window), "windows")
-    shared = windows.groupBy("key").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo < hi").select("key")
-    mine = windows.join(shared, "key")
-    distinct = mine.groupBy("key", "words").agg(F.min("first").alias("first"))
-    # the first holder of a window, and the last, whose search then finds the first
-    twice = distinct.union(mine.groupBy("key", "words").agg(F.max("first").alias("first")))
-    n = F.lit(max(1, (windows.count() * window) // (8 * SHARD_WORDS)))
-    shards = twice.select(F.pmod(F.xxhash64("key"), n).alias("shard"), F.col("key").alias("anchor"), F.col("first").alias("hash"), "words", "first")
-    confirmed = _search(shards, window).groupBy("anchor").agg(F.max("hash").alias("last")).select(F.col("anchor").alias("key"))
-    lowest = distinct.groupBy("key").agg(F.min("first").alias("lowest"))
-    repeated = windows.join(confirmed, "key").join(lowest, "key").where("first > lowest")
-    return repeated.select("anchor", "hash", F.col("at").alias("start"), (F.col("at") + window).cast("int").alias("end"))
+    single = windows.select(F.col("key").alias("anchor"), F.lit(0).cast("long").alias("hash"), "words", F.lit(window).alias("size"), F.col("holders").alias("n"), "first", "last")
+    distinct = materialize(_distinct(single).where("first < last"), "single")
+    shards = 1 + distinct.count() * window // SHARD_WORDS
+    found = materialize(_search(distinct, shards, window).select(F.col("anchor").alias("key"), "n", "spans"), "found")
+    back = lookup(windows.select("anchor", "hash", "holders", "at", "key"), found, ["key"])
+    span = F.struct(F.col("at").alias("start"), (F.col("at") + 1).cast("int").alias("end"), F.get("spans", F.lit(0)).least.alias("least"))
+    return back.groupBy("anchor", "hash").agg(F.any_value("holders").alias("n"), F.collect_list(span).alias("spans"))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, digest: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(staged rows, spans): spans (doc_id, start, end) cover the words to remove; staged rows hold what finish() needs."""
+    """(staged rows, spans): spans (doc_id, mark, start, end) cover the words to remove; staged rows hold what remove_repeats() needs."""
     anchors = materialize(_anchor_rows(docs, window, gram), "anchors")
-    both = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    staged = materialize(_staged(docs, anchors.join(both, "anchor"), window, gram, digest), "staged")
-    found = staged.where("segments is not null").select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.*")
-    distinct = materialize(found.groupBy("anchor", "hash", "words").agg(F.min("doc_id").alias("first"), F.max("size").alias("size")), "segments")
-    # equal segments: later documents lose all of it
-    places = found.select("doc_id", "anchor", "hash", "start", "size").join(distinct.select("anchor", "hash", "first"), ["anchor", "hash"])
-    copies = places.where("doc_id > first").select("doc_id", "start", (F.col("start") + F.col("size")).alias("end"))
-    # different segments of one anchor: the first document of each is searched for in the others
-    counts = distinct.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
-    totals = counts.where("n > 1").agg(F.sum("total"), F.max("n")).first()
-    spans = None
-    if totals[0]:
-        several = distinct.join(counts.where(f"n > 1 and n <= {HOT}").select("anchor"), "anchor")
-        shards = several.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(1 + totals[0] // SHARD_WORDS)))
-        spans = _search(shards.select("shard", "anchor", "hash", "words", "first"), window)
-        if totals[1] > HOT:
-            hot = distinct.join(counts.where(f"n > {HOT}").select("anchor"), "anchor")
-            spans = spans.unionByName(_hot_spans(hot, window))
-        spans = materialize(spans, "spans")
-        near = places.where("doc_id = first").select("doc_id", "anchor", "hash", F.col("start").alias("at")).join(spans, ["anchor", "hash"])
-        copies = copies.unionByName(near.select("doc_id", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end")))
-    return staged, copies
+    both = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    shared = lookup(anchors, materialize(both.select("anchor", "n"), "shared"), ["anchor"])
+    staged = materialize(_staged(docs, shared, window, gram, digest), "staged")
+    places = staged.where("segments is not null").select("doc_id", "mark", F.explode("segments").alias("s")).select("doc_id", "mark", "s.*")
+    one = places.select("anchor", "hash", "words", "size", F.lit(1).cast("long").alias("n"), F.col("doc_id").alias("first"), F.col("doc_id").alias("last"))
+    distinct = materialize(_distinct(one), "segments")
+    # an anchor whose segments, all alike, have one document has nothing to lose
+    groups = distinct.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    hot = materialize(groups.where(F.col("n") > HOT).select("anchor", "n"), "hot")
+    total = distinct.agg(F.sum("size")).first()[0] or 0
+    if hot.limit(1).count():
+        found = _search(distinct.join(hot.select("anchor"), "anchor", "left_anti"), 1 + total // SHARD_WORDS, window)
+        found = found.unionByName(_search_hot(lookup(distinct.withColumnRenamed("n", "m"), hot, ["anchor"]).drop("n").withColumnRenamed("m", "n"), window))
+    else:
+        found = _search(distinct, 1 + total // SHARD_WORDS, window)
+    met = lookup(places.select("doc_id", "mark", "anchor", "hash", F.col("start").alias("at")), materialize(found, "found"), ["anchor", "hash"])
+    lost = met.select("doc_id", "mark", "at", F.explode(F.filter("spans", lambda s: s.least < F.col("doc_id"))).alias("s"))
+    return staged, lost.select("doc_id", "mark", (F.col("at") + F.col("s.start")).alias("start"), (F.col("at") + F.col("s.end") + (window - 1)).alias("end"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept for every row of docs (doc_id, text): the kept words, or with digest their SHA-256."""
     staged, spans = repeated_spans(docs, window, gram, digest)
-    listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")).withColumnRenamed("doc_id", "d")
-    open_ = staged.where("text is not null").select("doc_id", "n_words", "text").join(listed, F.col("doc_id") == F.col("d"), "left")
+    listed = spans.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    open_ = staged.where("text is not null").select("doc_id", "mark", "n_words", "text").join(listed, ["doc_id", "mark"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -17,15 +17,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, splitmix, word_count
+from .common import lookup, materialize, splitmix, word_count
 
 WEIGHTS = (3, 1, 2)
 BUCKET = 4096
-#: Source tables up to this many rows are broadcast, larger ones joined.
-SMALL = 20_000
+
+
+def _known(source: str) -> Column:
+    """The source as a value that equals itself also where it is null."""
+    return F.struct(F.col(source).isNull().alias("none"), F.coalesce(source, F.lit("")).alias("name"))
 
 
 def _ranked(sources: DataFrame) -> DataFrame:
@@ -112,9 +115,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0)
     units = docs.select("doc_id", "source", word_count().alias("size")).groupBy("doc_id", "source").agg(F.sum("size").alias("size"))
     units = materialize(units, "units")
     sources = materialize(targets(units.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents")), weights, share, most), "targets")
-    few = sources.count() <= SMALL
-    named = sources.withColumnRenamed("source", "its").select("its", "rank", "source_size", "documents", "target")
-    full = units.join(F.broadcast(named) if few else named, F.col("source").eqNullSafe(F.col("its"))).drop("its")
+    named = sources.select(_known("source").alias("its"), "rank", "source_size", "documents", "target")
+    full = lookup(units.withColumn("its", _known("source")), materialize(named, "named"), ["its"], "documents").drop("its")
     full = full.withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     full = full.withColumn("whole", F.floor(F.col("ratio") + 1e-9))
     open_ = full.where("size > 0").select("doc_id", "rank", "size", F.greatest(F.col("ratio") - F.col("whole"), F.lit(0.0)).alias("part"), F.expr(f"pmod(xxhash64(doc_id), greatest(1, cast(ceil(documents / {BUCKET}) as bigint)))").alias("bucket"))
@@ -139,9 +141,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0)
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: each document of docs as many times as it is taken, with copy_no counting from 1.
 
-    Documents that are not taken go; documents without words have nothing to take and go too.
+    Documents that are not taken go; documents without words have nothing to take and go too. If docs have a column copy_no,
+    it stays and the new one is copy_no_1, or the next name that is free.
     """
-    taken = mix(docs).where("taken > 0").select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), "copies")
-    taken = taken.withColumnRenamed("copies", "__n")
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")))
-    return joined.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).drop("__d", "__s", "__n")
+    taken = mix(docs).where("taken > 0").select(F.col("doc_id").alias("d"), F.col("source").alias("s"), "copies")
+    rows = docs.select("doc_id", "source", F.struct("*").alias("row"))
+    joined = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s"))).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    name = next(n for n in ("copy_no", *(f"copy_no_{i}" for i in range(1, len(docs.columns) + 2))) if n not in docs.columns)
+    return joined.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], F.col("copy").alias(name))

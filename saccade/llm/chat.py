@@ -8,7 +8,8 @@ A conversation's turns are collected as structs and sorted by turn; adjacent tur
 
 Inside roles and texts a backslash is doubled, ``</turn>`` becomes ``<\\/turn>`` and each # after two # gets a backslash, so
 neither control string can occur in them and formatting can be undone exactly; newlines in roles become ``\\n``. The loss mask
-marks the segments of the formatted text that are assistant texts.
+is a list of spans of the formatted text, one per assistant text: its turn (turns end in ``</turn>`` and a newline), and the code
+points before it within that turn and in it.
 
 Edge cases: null text is empty; a null role is ``\\0``, told apart from an empty one; rows of equal turn are ordered by role, then text;
 null turns come first; a null conv_id is one conversation; repeated rows are turns of their own; no rows, no result.
@@ -44,27 +45,25 @@ def _unescape_role(role: Column) -> Column:
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """conv_id, formatted, segments of turns (conv_id, turn, role, text).
+    """conv_id, formatted, loss of turns (conv_id, turn, role, text).
 
-    segments is an array<struct<text string, loss boolean>> whose texts joined are formatted.
+    loss is an array<struct<turn int, start int, length int>> of places in formatted, from 0.
     """
     row = F.struct(F.col("turn"), F.col("role"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("t"))
     starts = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | ~F.get("t", i).role.eqNullSafe(F.get("t", i - 1).role))
     merged = ordered.withColumn("start", starts).select("conv_id", F.transform("start", lambda s, k: F.slice("t", s + 1, F.coalesce(F.get("start", k + 1), F.size("t")) - s)).alias("run"))
 
-    def segment(text: Column, loss: Column) -> Column:
-        return F.struct(text.alias("text"), loss.alias("loss"))
-
     def block(run: Column) -> Column:
         role = F.get(run, F.lit(0)).role
-        header = segment(F.concat(F.lit(HEADER), _escape_role(role), F.lit("\n")), F.lit(False))
+        header = F.concat(F.lit(HEADER), _escape_role(role), F.lit("\n"))
         ours = F.coalesce(role == ASSISTANT, F.lit(False))
-        texts = F.transform(run, lambda x: F.array(segment(escape(x.text), ours), segment(F.lit(END + "\n"), F.lit(False))))
-        return F.concat(F.array(header), F.flatten(texts))
+        return F.transform(run, lambda x, i: F.struct(F.when(i == 0, header).otherwise(F.lit("")).alias("before"), escape(x.text).alias("text"), ours.alias("loss")))
 
-    segments = merged.select("conv_id", F.flatten(F.transform("run", block)).alias("segments"))
-    return segments.select("conv_id", F.array_join(F.transform("segments", lambda x: x.text), "").alias("formatted"), "segments")
+    written = merged.select("conv_id", F.flatten(F.transform("run", block)).alias("w"))
+    text = F.array_join(F.transform("w", lambda x: F.concat(x.before, x.text, F.lit(END + "\n"))), "")
+    spans = F.transform("w", lambda x, i: F.when(x.loss, F.struct(i.cast("int").alias("turn"), F.char_length(x.before).alias("start"), F.char_length(x.text).alias("length"))))
+    return written.select("conv_id", text.alias("formatted"), F.filter(spans, lambda s: s.isNotNull()).alias("loss"))
 
 
 def read_back(formatted: Column) -> Column:
@@ -95,7 +94,7 @@ def digests(formatted: DataFrame) -> DataFrame:
     pieces = formatted.withColumn("pieces", F.split("formatted", END + "\n", -1))
     parts = pieces.withColumn("parts", F.slice("pieces", 1, F.size("pieces") - 1))
     turns = parts.withColumn("turns", _turns(F.col("parts")))
-    loss = F.array_join(F.transform(F.filter("segments", lambda x: x.loss), lambda x: unescape(x.text)), "")
+    loss = F.array_join(F.transform("loss", lambda s: unescape(F.substring(F.get("pieces", s.turn), s.start + 1, s.length))), "")
     said = F.array_join(F.transform("turns", lambda x: F.concat(F.coalesce(x.role, F.lit("")), F.lit("\n"), x.text, F.lit("\n"))), "")
     both = turns.select("conv_id", "formatted", F.size("turns").cast("long").alias("n_turns"), said.alias("said"), loss.alias("loss"))
     return both.select(

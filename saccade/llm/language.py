@@ -7,7 +7,7 @@ proportion, its score that proportion.
 
 Texts are lower-cased (A-Z), ASCII bytes that are not letters become spaces, and the text is padded with a space at
 both ends. Trigrams are hashed to 2**16 cells, so a model has at most 65,536 cells per language; more than
-``MAX_LANGUAGES`` languages raise an error, which bounds what is sent to the executors.
+``MAX_LANGUAGES`` languages raise an error, which bounds what is sent to the executors (256 KB a language).
 
 Edge cases: null text or text without any letter gives ``und`` with score 0, as does a model without training rows;
 ties go to the language first in code-point order; rows are judged one by one, so repeated rows agree.
@@ -15,7 +15,6 @@ ties go to the language first in code-point order; rows are judged one by one, s
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import materialize, text_chunks
 
 CELLS = 1 << 16
-MAX_LANGUAGES = 1000
+MAX_LANGUAGES = 256
 SMOOTHING = 0.5
 ROUNDS = 30
 #: Log-likelihood that a further language must gain, times the logarithm of the number of trigrams.
@@ -38,7 +37,6 @@ _FOLD = np.full(256, 32, np.uint8)
 _FOLD[128:] = np.arange(128, 256)
 _FOLD[65:91] = np.arange(97, 123)
 _FOLD[97:123] = np.arange(97, 123)
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass(frozen=True)
@@ -96,16 +94,17 @@ def train(rows: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(full), pa.string()), pa.array(full.astype(np.int32)), pa.array(counts[full].astype(np.int64))], names=["lang", "cell", "n"])
 
     counted = rows.where("lang is not null and text is not null").select("text", "lang").mapInArrow(count, "lang string, cell int, n long")
-    counted = counted.groupBy("lang", "cell").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))
-    found = sorted(counted.limit(MAX_LANGUAGES + 1).collect(), key=lambda r: r.lang)
-    if len(found) > MAX_LANGUAGES:
+    counted = materialize(counted.groupBy("lang", "cell").agg(F.sum("n").alias("n")), "trigrams")
+    names = sorted(r.lang for r in counted.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
+    if len(names) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    logs = np.full((len(found), CELLS), SMOOTHING, np.float64)
-    for i, row in enumerate(found):
-        logs[i, [c.cell for c in row.cells]] += [c.n for c in row.cells]
-    if len(found):
+    logs = np.full((len(names), CELLS), SMOOTHING, np.float64)
+    for i, name in enumerate(names):  # at most CELLS rows each, as packed columns
+        rows = counted.where(F.col("lang") == name).select("cell", "n").toArrow()
+        logs[i, rows.column("cell").to_numpy()] += rows.column("n").to_numpy()
+    if names:
         logs = np.log(logs / logs.sum(1, keepdims=True))
-    return Model(tuple(r.lang for r in found), logs.astype(np.float32))
+    return Model(tuple(names), logs.astype(np.float32))
 
 
 def mixture(cells: np.ndarray, counts: np.ndarray, logs: np.ndarray) -> np.ndarray:
@@ -172,7 +171,8 @@ def _has_letter(raw: np.ndarray) -> bool:
     folded = _FOLD[raw]
     if ((folded >= 97) & (folded <= 122)).any():
         return True
-    return _LETTER.search(raw.tobytes().decode("utf-8", "replace")) is not None
+    # letters are the characters of the Unicode categories L, numerals are none
+    return bool((raw >= 128).any()) and any(map(str.isalpha, raw.tobytes().decode("utf-8", "replace")))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,8 +1,11 @@
 """WARC archives: a writer with identical-payload revisits and a splittable reader.
 
-Archives are sequences of gzip members, one record each. A read task gets a byte range: it looks for the gzip magic from the
-range's start, takes a candidate as a member only if its first bytes decompress to a WARC header, and owns the records whose
-member starts inside its range, reading past the end for the last one. So archives split anywhere, and each record is read once.
+Archives are sequences of gzip members, one record each. A task gets a byte range, looks for the gzip magic in it and takes
+as candidates what decodes as a whole member with a WARC header, reading past the range's end for the last one. A record may
+itself hold stored gzip members, which look the same from inside a range. So the candidates of an archive (16 bytes each) are chained: a
+member begins where the one before ends, and what lies inside a member is none. Then each task reads the members that start in
+its range. So archives split anywhere, and each record is read once. Our writer ends an archive at ``ARCHIVE_BYTES``; the chain
+of an archive is bounded by its length.
 
 Archive files are written and read by the tasks through ``pyarrow.fs``, in the shared folder. A file has a name of its own
 per attempt; only files in the manifest, itself a table of the successful tasks, are read, so lost or repeated tasks do no harm.
@@ -20,6 +23,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +34,9 @@ from .common import materialize, scratch
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 8 << 20
 PAGE_URN = "urn:x-page:"
-_PROBE = 1 << 14
+ARCHIVE_BYTES = 1 << 30
+_START = b"WARC/"
+_PROBE = 1 << 12
 _BLOCK = 1 << 20
 
 
@@ -68,83 +74,96 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
-        out, name, records, size = None, f"{base}/part-{uuid.uuid4().hex}.warc.gz", 0, 0
+        out, name, records, size = None, "", 0, 0
+
+        def close() -> pa.RecordBatch:
+            out.close()
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size], pa.int64()), pa.array([records], pa.int64())], names=["path", "bytes", "records"])
+
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256).to_pydict()
                 for page, url, html, first in zip(part["page_id"], part["url"], part["html"], part["refers_to"], strict=True):
+                    if out is not None and size >= ARCHIVE_BYTES:
+                        yield close()
+                        out = None
                     if out is None:
                         fs.create_dir(base, recursive=True)
-                        out = fs.open_output_stream(name, compression=None)
+                        name, records, size = f"part-{uuid.uuid4().hex}.warc.gz", 0, 0
+                        out = fs.open_output_stream(f"{base}/{name}", compression=None)
                     member = record(page, url, (html or "").encode(), first)
                     out.write(member)
                     records, size = records + 1, size + len(member)
         if out is not None:
-            out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([name.rsplit("/", 1)[1]]), pa.array([size], pa.int64()), pa.array([records], pa.int64())], names=["path", "bytes", "records"])
+            yield close()
 
     return materialize(pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, "path string, bytes long, records long"), "manifest")
 
 
-class _Window:
-    """Bytes of a file from a position on, read in blocks and dropped as they are done with."""
-
-    def __init__(self, file, size: int, start: int):
-        self.file, self.size, self.origin, self.data, self.pos = file, size, start, b"", 0
-
-    @property
-    def at(self) -> int:
-        return self.origin + self.pos
-
-    def want(self, n: int) -> bool:
-        """Whether n bytes are there from the position on."""
-        if len(self.data) - self.pos < n and self.origin + len(self.data) < self.size:
-            self.data, self.origin, self.pos = self.data[self.pos :], self.at, 0
-            self.file.seek(self.origin + len(self.data))
-            self.data += self.file.read(max(_BLOCK, n - len(self.data)))
-        return len(self.data) - self.pos >= n
-
-    def bytes(self, skip: int, n: int) -> bytes:
-        """Up to n bytes from skip bytes after the position."""
-        self.want(skip + n)
-        return self.data[self.pos + skip : self.pos + skip + n]
-
-
-def read_range(file, size: int, start: int, end: int) -> Iterator[bytes]:
-    """The decompressed records whose members start in [start, end) of an archive."""
-    window = _Window(file, size, start)
-    while window.at < end and window.want(len(MAGIC)):
-        found = window.data.find(MAGIC, window.pos)
-        if found < 0:  # the magic may lie across the end of what has been read
-            window.pos = len(window.data) - len(MAGIC) + 1
-            continue
-        window.pos = found
-        if window.at >= end:
-            return
-        got = _member(window)
-        if got is None:
-            window.pos += 1
-        else:
-            yield got
-
-
-def _member(window: _Window) -> bytes | None:
-    """The record of the member at the window's position, which then moves past it; None if there is none."""
-    unpacker, parts, used = zlib.decompressobj(31), [], 0
+class _Blocks:
+    """A file read in blocks, of which the last one is kept."""
+
+    def __init__(self, file, size: int):
+        self.file, self.size, self.start, self.data = file, size, 0, b""
+
+    def at(self, position: int) -> memoryview:
+        """Bytes from position on: at least one, unless the file ends there; no more than a block."""
+        if not self.start <= position < self.start + len(self.data):
+            self.file.seek(position)
+            self.start, self.data = position, self.file.read(min(_BLOCK, max(0, self.size - position)))
+        return memoryview(self.data)[position - self.start :]
+
+
+def _member(blocks: _Blocks, start: int, keep: bool) -> tuple[int, bytes] | None:
+    """(end, record) of the gzip member at start, if it is one and holds a WARC record; the record is empty without keep."""
+    unpacker, parts, head, at = zlib.decompressobj(31), [], b"", start
     try:
-        head = zlib.decompressobj(31).decompress(window.bytes(0, _PROBE), 16)
-        if not head.startswith(b"WARC/"):
-            return None
         while not unpacker.eof:
-            piece = window.bytes(used, _PROBE)
+            piece = blocks.at(at)
             if not piece:
                 return None
-            parts.append(unpacker.decompress(piece))
-            used += len(piece) - len(unpacker.unused_data)
+            piece = piece[: _PROBE if at == start else _BLOCK]
+            raw = unpacker.decompress(piece)
+            at += len(piece) - len(unpacker.unused_data)
+            if len(head) < len(_START):
+                head += raw[: len(_START)]
+                if not head.startswith(_START[: len(head)]):
+                    return None
+            if keep:
+                parts.append(raw)
     except zlib.error:  # it looked like a member and is none
         return None
-    window.pos += used
-    return b"".join(parts)
+    return (at, b"".join(parts)) if head.startswith(_START) else None
+
+
+def candidates(file, size: int, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of everything in [start, end) of an archive that decodes as a member with a record, nested ones too."""
+    blocks, probe, at = _Blocks(file, size), _Blocks(file, size), start
+    while at < end:
+        block = bytes(blocks.at(at)[: end - at + len(MAGIC) - 1])
+        found = block.find(MAGIC)
+        while found >= 0:
+            if (got := _member(probe, at + found, keep=False)) is not None:
+                yield at + found, got[0]
+            found = block.find(MAGIC, found + 1)
+        # the magic may lie across the end of the block
+        at += max(1, len(block) - len(MAGIC) + 1)
+
+
+def records_at(file, size: int, starts: list[int]) -> Iterator[bytes]:
+    """The decompressed records of the members at starts."""
+    blocks = _Blocks(file, size)
+    for start in starts:
+        yield _member(blocks, start, keep=True)[1]
+
+
+def chain(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which candidates of an archive (in order) are its members: each begins where the one before ends, or next after junk."""
+    own, at = np.zeros(len(starts), bool), 0
+    for i, (start, end) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        if start >= at:
+            own[i], at = True, end
+    return own
 
 
 def parse_record(raw: bytes) -> dict:
@@ -171,13 +190,41 @@ def parse_record(raw: bytes) -> dict:
     }
 
 
+def _members(manifest: DataFrame, folder: str, split: int) -> DataFrame:
+    """path, bytes, starts: the places of the members of all archives, by ranges of split bytes."""
+    ranges = manifest.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split).cast("long"))).alias("start"))
+    spread = ranges.repartition(max(1, min(100_000, ranges.count())), "path", "start")
+    wide = pa.list_(pa.int64())
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(folder)
+        for b in batches:
+            for path, size, start in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                with fs.open_input_file(f"{base}/{path}") as file:
+                    found = list(candidates(file, size, start, min(size, start + split)))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size], pa.int64()), pa.array([start], pa.int64()), pa.array([[x for x, _ in found]], wide), pa.array([[x for _, x in found]], wide)], names=["path", "bytes", "start", "starts", "ends"])
+
+    def confirm(table: pa.Table) -> pa.Table:
+        table = table.sort_by("start")
+        sizes = np.array([len(x) for x in table.column("starts")])
+        flat = [np.concatenate([x.values.to_numpy() for x in table.column(c)]) for c in ("starts", "ends")]
+        own = chain(*flat)
+        kept = [x[o].tolist() for x, o in zip(np.split(flat[0], np.cumsum(sizes)[:-1]), np.split(own, np.cumsum(sizes)[:-1]), strict=True)]
+        return pa.table({"path": table.column("path"), "bytes": table.column("bytes"), "starts": pa.array(kept, wide)})
+
+    found = spread.mapInArrow(look, "path string, bytes long, start long, starts array<long>, ends array<long>")
+    chained = found.groupBy("path").applyInArrow(confirm, "path string, bytes long, starts array<long>")
+    return materialize(chained.where(F.size("starts") > 0), "members")
+
+
 def read_archives(manifest: DataFrame, folder: str, split: int = SPLIT_BYTES) -> DataFrame:
     """page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload of all records in the manifest's archives.
 
     The digest of a response is computed from the payload that was read; a revisit states its own.
     """
-    ranges = manifest.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split).cast("long"))).alias("start"))
-    spread = ranges.repartition(max(1, min(100_000, ranges.count())), "path", "start")
+    members = _members(manifest, folder, split)
+    spread = members.repartition(max(1, min(100_000, members.count())), "path", F.element_at("starts", 1))
     schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
     names = [part.split()[0] for part in schema.split(", ")]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
@@ -188,10 +235,10 @@ def read_archives(manifest: DataFrame, folder: str, split: int = SPLIT_BYTES) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
         for b in batches:
-            for path, size, start in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for path, size, starts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 rows, held = [], 0
                 with fs.open_input_file(f"{base}/{path}") as file:
-                    for raw in read_range(file, size, start, min(size, start + split)):
+                    for raw in records_at(file, size, starts):
                         row = parse_record(raw)
                         row["payload_digest"] = row["stated_digest"] if row["payload"] is None else payload_digest(row["payload"])
                         rows.append(row)

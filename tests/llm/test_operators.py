@@ -4,6 +4,7 @@ import hashlib
 import io
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -348,20 +349,57 @@ def test_language(spark):
         lang = list(sound)[i % 3]
         rows.append((i, " ".join(rng.choices(sound[lang], k=30))))
         langs.append(lang)
-    rows += [(900, None), (901, ""), (902, "12 34 ..."), (903, "И"), (904, "the and of with " * 5000), (905, "the of and with " * 30 + "que una los de " * 30)]
-    langs += [None] * 6
+    rows += [(900, None), (901, ""), (902, "12 34 ..."), (906, "²½ 12 ¾ ① Ⅻ ٣ _"), (903, "И"), (904, "the and of with " * 5000), (905, "the of and with " * 30 + "que una los de " * 30)]
+    langs += [None] * 7
     docs = frame(spark, rows, lambda i: (langs[i], None))
     got = {r.doc_id: r for r in language.identify(docs).collect()}
     held = [i for i in range(300) if got[i].held_out]
     assert held and all(got[i].lang_pred == langs[i] for i in range(300))
-    assert [got[i].lang_pred for i in (900, 901, 902)] == ["und"] * 3 and got[903].lang_pred in sound and got[904].lang_pred == "aa"
+    assert [got[i].lang_pred for i in (900, 901, 902, 906)] == ["und"] * 4 and got[903].lang_pred in sound and got[904].lang_pred == "aa"
     assert 0.3 < got[905].score < 0.7
     kept = language.keep_identified(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(got) - {900, 901, 902}
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(got) - {900, 901, 902, 906}
     assert language.identify(docs.limit(0)).count() == 0
     assert {r.lang_pred for r in language.identify(docs.where("lang is null")).collect()} == {"und"}
 
 
+def brute_mixture(counts, tables, penalty=language.PENALTY):
+    """Proportions of the best language set, over all sets that greedy growth can reach; plain loops, many rounds."""
+    total = sum(counts.values())
+
+    def fit(names):
+        share = {n: 1 / len(names) for n in names}
+        for _ in range(400):
+            new = dict.fromkeys(names, 0.0)
+            for cell, k in counts.items():
+                mixed = sum(share[n] * tables[n][cell] for n in names)
+                for n in names:
+                    new[n] += k * share[n] * tables[n][cell] / mixed / total
+            share = new
+        return share, sum(k * np.log(sum(share[n] * tables[n][cell] for n in names)) for cell, k in counts.items())
+
+    chosen = [max(tables, key=lambda n: fit([n])[1])]
+    share, value = fit(chosen)
+    while len(chosen) < len(tables):
+        best, (new, gain) = max(((n, fit([*chosen, n])) for n in tables if n not in chosen), key=lambda x: x[1][1])
+        if gain - value <= penalty * np.log(total + 1):
+            return share
+        chosen, share, value = [*chosen, best], new, gain
+    return share
+
+
+def test_mixture_against_brute_force():
+    rng = np.random.default_rng(7)
+    names = ["aa", "bb", "cc", "dd"]
+    probs = rng.dirichlet(np.full(60, 0.3), 4) * 0.98 + 0.02 / 60
+    for own in ([1, 0, 0, 0], [0.7, 0.3, 0, 0], [0.4, 0.3, 0.3, 0], [0.25] * 4, [0, 0.95, 0, 0.05]):
+        drawn = rng.choice(60, 600, p=np.array(own) @ probs)
+        cells, n = np.unique(drawn, return_counts=True)
+        got = language.mixture(cells, n, np.log(probs))
+        want = brute_mixture(dict(zip(cells.tolist(), n.tolist(), strict=True)), dict(zip(names, probs, strict=True)))
+        assert got == pytest.approx([want.get(x, 0.0) for x in names], abs=0.02) and (got > 0).sum() == len(want)
+
+
 def test_language_without_labels(spark):
     rows = [(1, "the and of"), (2, "И"), (3, "12 34 ..."), (4, ""), (5, None), (6, "1\n2 é"), (None, "a")]
     for lang in (None, "aa"):
@@ -386,7 +424,9 @@ def test_chat(spark):
     for c in {r[0] for r in rows}:
         own = sorted((r for r in rows if r[0] == c), key=key)
         assert read[c] == [(r[2], r[3] or "") for r in own]
-        assert "".join(s.text for s in parts[c].segments) == parts[c].formatted
+        ends = parts[c].formatted.split("</turn>\n")
+        marked = [ends[s.turn][s.start : s.start + s.length] for s in parts[c].loss]
+        assert [re.sub(r"(?s)\\(.)", r"\1", x) for x in marked] == [r[3] or "" for r in own if r[2] == "assistant"]
         loss = "".join(r[3] or "" for r in own if r[2] == "assistant")
         said = "".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in own)
         d = digest[c]
@@ -563,16 +603,42 @@ def test_warc_round_trip(spark, monkeypatch):
     assert warc.round_trip(spark, pages.limit(0)).count() == 0
 
 
-def test_warc_ranges_find_records_between_false_magic():
-    member = warc.record(1, "u", b"text", None)
+def nested_archive():
+    """Three records of which the second holds members itself, stored: they must not be taken for records."""
     import zlib
 
+    member = warc.record(1, "u", b"text", None)
     packer = zlib.compressobj(0, zlib.DEFLATED, 31)
-    raw = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 0\r\n\r\n" + member * 3 + b"\x1f\x8b\x08" * 50
-    stored = packer.compress(raw) + packer.flush()
-    archive = member + stored + member
-    starts = []
-    for split in (1, 7, 50, len(archive)):
-        found = [(a, x) for a in range(0, len(archive), split) for x in warc.read_range(io.BytesIO(archive), len(archive), a, min(a + split, len(archive)))]
-        starts.append(len(found))
-    assert starts[-1] == 3
+    raw = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 0\r\n\r\n" + member * 3 + b"\x1f\x8b\x08" * 50 + member
+    return member + packer.compress(raw) + packer.flush() + member
+
+
+def test_warc_ranges_find_records_between_false_magic():
+    archive = nested_archive()
+    for split in (1, 7, 50, 200, 333, len(archive)):
+        found = [c for a in range(0, len(archive), split) for c in warc.candidates(io.BytesIO(archive), len(archive), a, min(a + split, len(archive)))]
+        assert len(found) == 7
+        starts, ends = np.array(found).T
+        own = warc.chain(starts, ends)
+        assert own.sum() == 3 and starts[own][0] == 0 and ends[own][-1] == len(archive)
+        assert [warc.parse_record(r)["record_type"] for r in warc.records_at(io.BytesIO(archive), len(archive), starts[own].tolist())] == ["response"] * 3
+
+
+def test_warc_nested_members_in_archives(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    archive = nested_archive()
+    junk = b"\x1f\x8b\x08 junk between records"
+    for name, data in (("a.warc.gz", archive), ("b.warc.gz", archive[: len(archive) // 8] + junk + archive), ("c.warc.gz", b"none")):
+        (tmp_path / name).write_bytes(data)
+    manifest = spark.createDataFrame([(p.name, p.stat().st_size, 0) for p in tmp_path.iterdir()], "path string, bytes long, records long")
+    for split in (50, 200, 1 << 20):
+        got = warc.read_archives(manifest, f"file://{tmp_path}", split).groupBy(F.col("page_id").isNull().alias("middle")).count().collect()
+        assert {r.middle: r["count"] for r in got} == {True: 2, False: 4}
+
+
+def test_warc_writer_ends_archives(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}</p>" * 20, None) for i in range(50)], "page_id long, url string, html string, refers_to long").coalesce(1)
+    manifest = warc.write_archives(pages, f"file://{tmp_path}")
+    assert manifest.count() > 3 and {r.page_id for r in warc.read_archives(manifest, f"file://{tmp_path}").collect()} == set(range(50))

@@ -1,12 +1,14 @@
 """Token counts by trie-shared dynamic programming over a unigram vocabulary.
 
-Text is split into pre-tokens (words, with a word mark in front). The distinct pre-tokens of a batch are put into a
-trie; each trie node is one prefix and gets the best unigram score of that prefix and its number of tokens, computed once however
-many pre-tokens share it; terminal nodes give the counts. A document's count is the sum over its words.
+Text is split into pre-tokens (words, with a word mark in front). The distinct pre-tokens of a batch that are not known yet are put
+into a trie; each trie node is one prefix and gets the best unigram score of that prefix and its number of tokens, computed
+once however many pre-tokens share it; terminal nodes give the counts. A document's count is the sum over its words. A
+pre-token of ``LONG`` characters or more is a branch of its own, scored without keeping it in a trie.
 
-The vocabulary comes from a public tokenizer file whose path is a parameter; nothing is trained. Its pieces are ranked by
-the file's order of merging; piece r of a vocabulary of any size gets the score -log(r + 2), so earlier pieces are likelier. A character without a piece is
-encoded as its UTF-8 bytes, each with ``BYTE_SCORE``. Of equally good segmentations the one with fewer tokens counts.
+The vocabulary comes from a public tokenizer file whose path is a parameter; nothing is trained, for tokenizers never are here. The
+file has no probabilities, only the order of its pieces, so they follow Zipf's law: piece r has the score -log(r + 2). A
+character without a piece is encoded as its UTF-8 bytes, each with ``BYTE_SCORE``. Of equally good segmentations the one with fewer
+tokens counts. Pieces are looked up by 64-bit hashes.
 
 Edge cases: null, empty or wordless text has 0 words and tokens; rows are counted one by one.
 """
@@ -14,16 +16,22 @@ Edge cases: null, empty or wordless text has 0 words and tokens; rows are counte
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import powers
+
 MARK = "▁"
 BYTE_SCORE = -20.0
 #: Distinct words whose counts a task keeps; a bound on memory, not on words.
 CACHE = 500_000
+#: Characters from which a pre-token is scored alone, and pre-tokens of one trie.
+LONG, TRIE = 64, 50_000
+_BASE, _BITS = np.uint64(0xD1342543DE82EF95), 22
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -31,6 +39,7 @@ class Vocabulary:
     def __init__(self, pieces: dict[str, float]):
         self.pieces = pieces
         self.longest = max(map(len, pieces), default=0)
+        self.table = Pieces(self) if pieces else None
 
     @classmethod
     def load(cls, model_file: str) -> Vocabulary:
@@ -42,71 +51,121 @@ class Vocabulary:
         return cls({name: -math.log(rank + 2) for rank, name in enumerate(names)})
 
 
-class Trie:
-    """Prefixes of inserted pre-tokens; children[node][character] is a node, node 0 the empty prefix."""
-
-    def __init__(self):
-        self.children: list[dict[str, int]] = [{}]
-        self.terminal: list[str | None] = [None]
-
-    def insert(self, token: str) -> None:
-        node = 0
-        for char in token:
-            below = self.children[node].get(char)
-            if below is None:
-                below = self.children[node][char] = len(self.children)
-                self.children.append({})
-                self.terminal.append(None)
-            node = below
-        self.terminal[node] = token
-
-    def counts(self, vocabulary: Vocabulary) -> Iterator[tuple[str, int]]:
-        """(pre-token, number of tokens) of all inserted ones; forward scores are computed once per node."""
-        pieces, longest = vocabulary.pieces, vocabulary.longest
-        path: list[str] = []
-        # forward values by depth along the path: best score, fewest tokens at that score
-        score, tokens = [0.0], [0]
-        stack = [(0, iter(self.children[0].items()))]
-        while stack:
-            node, below = stack[-1]
-            step = next(below, None)
-            if step is None:
-                stack.pop()
-                if path:
-                    path.pop()
-                    score.pop()
-                    tokens.pop()
-                continue
-            char, child = step
-            path.append(char)
-            prefix = "".join(path[-longest:]) if longest else ""
-            depth, size = len(path), len(prefix)
-            best, least = -math.inf, 0
-            for start in range(size):
-                value = pieces.get(prefix[start:])
-                if value is not None:
-                    at = depth - size + start
-                    value += score[at]
-                    if value > best or value == best and tokens[at] + 1 < least:
-                        best, least = value, tokens[at] + 1
-            if char not in pieces:
-                width = len(char.encode("utf-8", "surrogatepass"))
-                value = score[depth - 1] + width * BYTE_SCORE
-                if value > best:
-                    best, least = value, tokens[depth - 1] + width
-            score.append(best)
-            tokens.append(least)
-            if self.terminal[child] is not None:
-                yield self.terminal[child], least
-            stack.append((child, iter(self.children[child].items())))
+def _width(chars: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes of code points."""
+    return 1 + (chars >= 0x80).astype(np.int64) + (chars >= 0x800) + (chars >= 0x10000)
+
+
+class Pieces:
+    """A vocabulary as a table from the hash of a piece to its score."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.longest = vocabulary.longest
+        self.powers = powers(_BASE, self.longest + 1)
+        hashes = np.array([self._hash(p) for p in vocabulary.pieces], np.uint64)
+        order = np.argsort(hashes)
+        self.keys, self.scores = hashes[order], np.array(list(vocabulary.pieces.values()), np.float64)[order]
+        self.seen = np.zeros(1 << _BITS, bool)
+        self.seen[self._cell(self.keys)] = True
+
+    @staticmethod
+    def _hash(piece: str) -> int:
+        out = 0
+        for c in piece:
+            out = (out * int(_BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+        return out
+
+    @staticmethod
+    def _cell(hashes: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the hashes are pieces, their scores)."""
+        likely = np.flatnonzero(self.seen[self._cell(hashes)])
+        at = np.minimum(np.searchsorted(self.keys, hashes[likely]), len(self.keys) - 1)
+        hit = self.keys[at] == hashes[likely]
+        return likely[hit], self.scores[at[hit]]
+
+
+def trie_counts(tokens: list[str], pieces: Pieces) -> np.ndarray:
+    """Tokens of each of the sorted, distinct pre-tokens.
+
+    In sorted order the pre-tokens of one prefix are neighbours: a trie node is the first of them at the prefix's depth. Nodes are
+    handled depth by depth: each gets its forward score and its number of tokens from its ancestors, once; terminal nodes give the counts.
+    """
+    n, longest = len(tokens), pieces.longest
+    lengths = np.array([len(t) for t in tokens], np.int64)
+    begin = np.cumsum(lengths) - lengths
+    chars = np.frombuffer("".join(tokens).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    # forward values of the last depths, by pre-token: best score, fewest tokens at that score, hash of the prefix
+    score, least, prefix = {0: np.zeros(n)}, {0: np.zeros(n, np.int64)}, {0: np.zeros(n, np.uint64)}
+    out, same, live = np.zeros(n, np.int64), np.ones(n, bool), np.arange(n)
+    for depth in range(1, int(lengths.max(initial=0)) + 1):
+        live = live[lengths[live] >= depth]
+        char = chars[begin[live] + depth - 1]
+        before = np.maximum(live - 1, 0)
+        shared = same[live] & (live > 0) & (lengths[before] >= depth)
+        shared[shared] = chars[begin[before[shared]] + depth - 1] == char[shared]
+        same[live] = shared
+        own = np.zeros(n, np.uint64)
+        with np.errstate(over="ignore"):
+            own[live] = prefix[depth - 1][live] * _BASE + (char + 1).astype(np.uint64)
+        nodes = live[~shared]
+        best, tokens_, single = np.full(len(nodes), -np.inf), np.zeros(len(nodes), np.int64), np.zeros(len(nodes), bool)
+        for size in range(min(depth, longest), 0, -1):
+            with np.errstate(over="ignore"):
+                found, value = pieces.find(own[nodes] - prefix[depth - size][nodes] * pieces.powers[size])
+            if size == 1:
+                single[found] = True
+            value = value + score[depth - size][nodes[found]]
+            count = least[depth - size][nodes[found]] + 1
+            better = (value > best[found]) | ((value == best[found]) & (count < tokens_[found]))
+            best[found[better]], tokens_[found[better]] = value[better], count[better]
+        alone = np.flatnonzero(~single)
+        width = _width(char[~shared][alone])
+        value = score[depth - 1][nodes[alone]] + width * BYTE_SCORE
+        better = value > best[alone]
+        best[alone[better]], tokens_[alone[better]] = value[better], least[depth - 1][nodes[alone[better]]] + width[better]
+        node = np.cumsum(~shared) - 1
+        score[depth], least[depth], prefix[depth] = np.zeros(n), np.zeros(n, np.int64), own
+        score[depth][live], least[depth][live] = best[node], tokens_[node]
+        done = live[lengths[live] == depth]
+        out[done] = least[depth][done]
+        for values in (score, least, prefix):
+            values.pop(depth - longest, None)
+    return out
+
+
+def long_count(token: str, vocabulary: Vocabulary) -> int:
+    """Tokens of one long pre-token by the same forward scores; only those of the last places are held."""
+    pieces, longest = vocabulary.pieces, vocabulary.longest
+    last = deque([(0.0, 0)], maxlen=max(longest, 1))
+    for end in range(1, len(token) + 1):
+        best, least = -math.inf, 0
+        for size, (score, count) in enumerate(reversed(last), 1):
+            value = pieces.get(token[end - size : end])
+            if value is not None:
+                value += score
+                if value > best or value == best and count + 1 < least:
+                    best, least = value, count + 1
+        if token[end - 1] not in pieces:
+            width = len(token[end - 1].encode("utf-8", "surrogatepass"))
+            if last[-1][0] + width * BYTE_SCORE > best:
+                best, least = last[-1][0] + width * BYTE_SCORE, last[-1][1] + width
+        last.append((best, least))
+    return last[-1][1]
 
 
 def count_words(words: Iterable[str], vocabulary: Vocabulary) -> dict[str, int]:
     """Tokens of each distinct word, the word mark in front of it."""
-    trie = Trie()
-    for word in set(words):
-        trie.insert(MARK + word)
-    return {token[1:]: n for token, n in trie.counts(vocabulary)}
+    distinct = set(words)
+    out = {w: long_count(MARK + w, vocabulary) for w in distinct if len(w) >= LONG}
+    short = sorted(w for w in distinct if len(w) < LONG)
+    for lo in range(0, len(short), TRIE):
+        part = short[lo : lo + TRIE]
+        out.update(zip(part, trie_counts([MARK + w for w in part], vocabulary.table).tolist(), strict=True))
+    return out
 
 
 def token_counts(docs: DataFrame, model_file: str = DEFAULT_MODEL) -> DataFrame:

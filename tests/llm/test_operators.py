@@ -533,7 +533,10 @@ def test_token_counts(spark):
     model = models.Unigram([("<unk>", -1000.0), *vocabulary.pieces.items()], 0, False)
     same = sum(len(model.tokenize(tokens.MARK + w)) == got[w] for w in known if len(w) < 100)
     assert same >= 0.98 * len([w for w in known if len(w) < 100])  # equally good segmentations may differ
-    rows = corpus()
+    giant = "".join(rng.choices("aeé日x", k=200_000))
+    few = tokens.count_words([giant, giant[:70], giant[:63], giant[:64]], vocabulary)
+    assert tokens.long_count(tokens.MARK + giant[:63], vocabulary) == few[giant[:63]] and few[giant] > 50_000
+    rows = corpus() + [(9100, giant + " a")]
     out = tokens.token_counts(frame(spark, rows)).collect()
     every = tokens.count_words({w.decode() for _, t in rows for w in words(t)}, vocabulary)
     want = sorted((str(d), len(words(t)), sum(every[w.decode()] for w in words(t))) for d, t in rows)

@@ -10,26 +10,32 @@ The likeness of two fingerprints is shared / all distinct pieces. Edge cases: nu
 pieces, two such texts have likeness 1; equal texts always have equal fingerprints.
 
 For the edited texts the documents are range-partitioned by ascending doc_id (null last, ties by text), with the first
-row of each range also sent to the end of the range before it, so one shuffle of the texts is enough.
+row of each range also sent to the end of the range before it, so one shuffle of the texts is enough. The cuts between ranges
+come from a sample of ``SAMPLE`` keys a range (of about ``RANGE_BYTES``); they only share out the work. A doc_id, or null, that
+many rows have is cut by the first ``HEAD`` characters of the texts.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import splitmix, text_chunks, word_hashes, word_spans
+from .common import materialize, splitmix, text_chunks, word_hashes, word_spans
 
 PIECE = 8
 #: Cells of each of the three parts of a fingerprint.
 CELLS = 10
-RANGES = 4096
+#: Bytes and rows of a range, keys sampled for each, characters of a text that tell rows of one doc_id apart.
+RANGE_BYTES, RANGE_ROWS, SAMPLE, HEAD = 64 << 20, 20_000, 40, 100
 _CHECK = np.uint64(0x5851F42D4C957F2D)
 _CUT = np.uint64(PIECE - 1)
 
@@ -188,44 +194,65 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n] if n else text
 
 
-def _search(bounds: list[int], value: Column) -> Column:
-    """How many of the sorted bounds are at most value, by binary search."""
-    if not bounds:
-        return F.lit(0)
-    array = F.array(*[F.lit(b) for b in bounds])
-    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1))
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+class Cuts:
+    """Cuts between ranges of documents ordered by doc_id (null last) and text: the first key of each range but the first."""
 
-    def step(s: Column, _: Column) -> Column:
-        mid = F.floor((s.lo + s.hi) / 2).cast("int")
-        below = F.get(array, mid) <= value
-        go = s.lo < s.hi
-        return F.struct(F.when(go & below, mid + 1).otherwise(s.lo).alias("lo"), F.when(go & ~below, mid).otherwise(s.hi).alias("hi"))
+    def __init__(self, keys: list[tuple]):
+        """keys: sorted (null, doc_id, head), head the first HEAD characters of a text where doc_ids repeat."""
+        self.keys = keys
+        self.nulls = np.array([k[0] for k in keys], bool)
+        self.ids = np.array([k[1] for k in keys], np.int64)
 
-    return F.aggregate(steps, start, step, lambda s: s.lo)
+    def place(self, null: np.ndarray, ids: np.ndarray, heads: list[str]) -> np.ndarray:
+        """The range of each document: how many cuts are at most its key."""
+        known = int((~self.nulls).sum())
+        low = np.where(null, known, np.searchsorted(self.ids[:known], ids, "left"))
+        high = np.where(null, len(self.keys), np.searchsorted(self.ids[:known], ids, "right"))
+        for i in np.flatnonzero(low < high):  # the doc_id of a cut
+            low[i] += bisect.bisect_right([k[2] for k in self.keys[low[i] : high[i]]], heads[i])
+        return low
+
+
+def _cuts(rows: DataFrame, n: int, share: float) -> Cuts:
+    """Cuts for n ranges of about equal bytes, from a sample of SAMPLE * n documents' keys."""
+    sample = rows.sample(min(1.0, share), 1) if share < 1 else rows
+    found = sample.select("none", "id", F.substring("text", 1, HEAD).alias("head"), "bytes").collect()
+    found.sort(key=lambda r: (r.none, r.id, r.head.encode()))
+    done = np.cumsum([r.bytes + 64 for r in found])
+    at = np.searchsorted(done, done[-1] * np.arange(1, n) / n) if len(found) else []
+    picked = [found[i] for i in sorted(set(at))]
+    ids = Counter((r.none, r.id) for r in picked)
+    # a doc_id that is cut once is not split by text
+    return Cuts(sorted({(r.none, r.id, r.head.encode() if ids[r.none, r.id] > 1 else b"") for r in picked}))
 
 
 def in_order(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) as ranges of ascending doc_id: range, tail, doc_id, text, sorted within partitions.
+    """docs (doc_id, text) as ranges of ascending doc_id, one a partition: range, tail, doc_id, text, in order.
 
     The last row of each range (tail = 1) is the first row of the next one.
     """
-    ids = docs.select("doc_id")
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    n = min(RANGES, max(n, ids.count() // 20_000))
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else []
-    bounds = sorted(set(cuts or []))
-    place = F.when(F.col("doc_id").isNull(), len(bounds)).otherwise(_search(bounds, F.col("doc_id")))
-    found = {r.range: r.first for r in ids.select("doc_id", place.alias("range")).groupBy("range").agg(F.min("doc_id").alias("first")).collect()}
-    full = sorted(found)
-    firsts = F.array(*[F.lit(found.get(i)).cast("long") for i in range(len(bounds) + 1)])
-    before = F.array(*[F.lit(full[full.index(i) - 1] if i in found else 0) for i in range(len(bounds) + 1)])
-    ranged = docs.select("doc_id", "text", place.alias("range"))
-    own = F.struct("range", F.lit(0).alias("tail"))
-    ahead = F.struct(F.get(before, F.col("range")).alias("range"), F.lit(1).alias("tail"))
-    sent = F.when(F.col("doc_id").eqNullSafe(F.get(firsts, F.col("range"))), F.array(own, ahead)).otherwise(F.array(own))
-    rows = ranged.select("doc_id", "text", F.explode(sent).alias("to")).select("to.range", "to.tail", "doc_id", "text")
-    return rows.repartition(n, "range").sortWithinPartitions("range", "tail", F.col("doc_id").asc_nulls_last(), "text")
+    spark = docs.sparkSession
+    rows = docs.select("doc_id", F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("bytes", F.octet_length("text"))
+    count, size = rows.agg(F.count("*"), F.sum("bytes")).first()
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count // RANGE_ROWS, (size or 0) // RANGE_BYTES)
+    cuts = spark.sparkContext.broadcast(_cuts(rows, n, SAMPLE * n / max(count, 1)))
+    split = len(Counter(k[:2] for k in cuts.value.keys)) < len(cuts.value.keys)
+
+    @F.pandas_udf("int")
+    def place(none: pd.Series, ids: pd.Series, heads: pd.Series) -> pd.Series:
+        return pd.Series(cuts.value.place(none.to_numpy(), ids.to_numpy(), [h.encode() for h in heads]))
+
+    head = F.substring("text", 1, HEAD) if split else F.lit("")
+    ranged = rows.withColumn("range", place("none", "id", head))
+    # of each range the first text, with the range before it: one row a range
+    order = F.struct("none", "id", "text")
+    firsts = materialize(ranged.groupBy("range").agg(F.min(order).alias("first")), "firsts")
+    full = sorted(r.range for r in firsts.select("range").collect())
+    before = spark.createDataFrame([(r, full[i - 1]) for i, r in enumerate(full)], "range int, before int")
+    ahead = firsts.join(before, "range").select(F.col("before").alias("range"), F.lit(1).alias("tail"), F.when(~F.col("first.none"), F.col("first.id")).alias("doc_id"), F.col("first.text").alias("text"))
+    both = ranged.select("range", F.lit(0).alias("tail"), "doc_id", "text").unionByName(ahead)
+    return both.repartitionById(n, F.col("range")).sortWithinPartitions("range", "tail", F.col("doc_id").asc_nulls_last(), "text")
 
 
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -581,6 +581,53 @@ def test_fingerprints_ties_and_nulls(spark):
     assert {r.edited_sha256 for r in got if r.doc_id == 1} == {hashlib.sha256(x).hexdigest() for x in (b"a a a b", b"b b b ")}
 
 
+def brute_pieces(text):
+    """Pieces by a plain walk: cut after newlines and after words whose hash ends in given bits."""
+    import pyarrow as pa
+
+    raw, out, begin, i = text.encode(), set(), 0, 0
+    word = b""
+    for i, byte in enumerate(raw):
+        space = bytes([byte]).isspace() and byte < 33 and byte not in (28, 29, 30, 31)
+        if not space:
+            word += bytes([byte])
+        ended = not space and (i + 1 == len(raw) or raw[i + 1] in b" \t\n\v\f\r")
+        cut = byte == 10
+        if ended:
+            _, _, data, offsets = next(common.text_chunks(pa.array([word.decode()])))
+            cut, word = int(common.word_hashes(data, *common.word_spans(data, offsets)[:2])[0]) & 7 == 0, b""
+        if cut:
+            out.add(raw[begin : i + 1])
+            begin = i + 1
+    if begin < len(raw):
+        out.add(raw[begin:])
+    return out
+
+
+def test_fingerprint_pieces_by_a_plain_walk():
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(1, 80))) for _ in range(40)] + ["a\n\nb", " x \n y ", "é ü\tß" * 30, "one", "\n"]
+    for a, b in zip(texts, texts[1:], strict=False):
+        one, two = brute_pieces(a), brute_pieces(b)
+        assert len(piece_set(a)) == len(one) and len(piece_set(a) & piece_set(b)) == len(one & two)
+        assert len(piece_set(a + b)) == len(brute_pieces(a + b))
+
+
+def test_fingerprints_split_equal_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 10)
+    rng = random.Random(4)
+    rows = [(rng.choice([3, None, 5, 6]), f"{rng.randrange(10**6)} text {i}") for i in range(300)] + [(3, "same")] * 5
+    docs = frame(spark, rows)
+    ranges = fingerprint.in_order(docs).where("tail = 0").groupBy("range").count().collect()
+    assert len(ranges) >= 20 and max(r["count"] for r in ranges) < 60
+    ordered = sorted(((d is None, d or 0, t) for d, t in rows))
+    want = []
+    for (_, _, t), (_, _, following) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
+        n = len(t) // 4
+        want.append(hashlib.sha256((t[: len(t) - n] + following[:n]).encode()).hexdigest())
+    assert sorted(r.edited_sha256 for r in fingerprint.fingerprints(docs).collect()) == sorted(want)
+
+
 PAGES = "page_id long, url string, html string, record_type string"
 
 

@@ -1,8 +1,11 @@
 """As-of joins of a large fact with the intervals of a smaller, time-ordered dimension.
 
-Spark plans a bare range condition as a nested loop, so the interval join is rewritten to an equi-join: every interval is
-listed under the time buckets it touches, and a fact row under its own bucket. The open ends are handled by clamping the fact's
-bucket to the dimension's, so neither the first nor the last interval is listed without bound.
+Spark plans a bare range condition as a nested loop, so the interval join is rewritten to an equi-join on time buckets. Every
+interval has the level of its length: at level k buckets are 16**k wide, and an interval not longer than that touches two of
+them at most, however long the gaps between dimension rows are. A fact row looks in its own bucket of each level that
+is in use (one or two where rows come at a steady rate). The open ends are handled by clamping the fact's time to the
+dimension's, so neither the first nor the last interval is listed without bound. A dimension small enough for Spark's broadcast
+limit is broadcast, and then the fact is not shuffled.
 """
 
 from __future__ import annotations
@@ -10,77 +13,91 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
+
+BASE = 16
+
 
 def _one_per_time(dim: DataFrame, keys: list[str], t: str) -> DataFrame:
     """Of dimension rows with equal time, one (they would make empty intervals)."""
     return dim.where(F.col(t).isNotNull()).dropDuplicates([*keys, t])
 
 
-def _bucketed(fact: DataFrame, intervals: DataFrame, keys: list[str], t: str, inside: Column, step: int, how: str) -> DataFrame:
-    """fact joined to the interval [lo, hi] that holds its clamped time; intervals: keys, lo, hi, first, last, payload."""
-    bounds = intervals.groupBy(*keys).agg(F.min("lo").alias("_least"), F.max("hi").alias("_most"))
-    listed = intervals.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("lo") / step), F.floor(F.col("hi") / step))))
-    if keys:
-        clamped = fact.join(bounds, keys, how)
-    else:
-        clamped = fact.crossJoin(F.broadcast(bounds)) if how == "inner" else fact.join(F.broadcast(bounds), F.lit(True), how)
-    clamped = clamped.withColumn("_bucket", F.floor(F.greatest("_least", F.least("_most", F.col(t))) / step)).drop("_least", "_most")
-    named = listed.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_b"), *[c for c in listed.columns if c not in (*keys, "_bucket")])
-    match = F.col("_bucket") == F.col("_b")
-    for k in keys:
-        match &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    joined = clamped.join(named, match & inside, how)
-    return joined.drop("_bucket", "_b", *[f"_k_{k}" for k in keys])
+def _width(level: Column) -> Column:
+    return F.pow(F.lit(float(BASE)), level)
 
 
-def median_step(dim: DataFrame, keys: list[str], t: str) -> int:
-    """Bucket width: about the median distance of dimension rows."""
-    w = Window.partitionBy(*keys).orderBy(t)
-    gaps = dim.select((F.col(t) - F.lag(t).over(w)).alias("d")).where("d > 0")
-    return max(1, int(gaps.agg(F.percentile_approx("d", 0.5)).first()[0] or 1))
+def _bucketed(fact: DataFrame, intervals: DataFrame, keys: list[str], t: str, inside: Column, end: Column, how: str) -> DataFrame:
+    """fact joined to the interval (keys, lo, hi, payload) for which inside holds; _least and _most are the bounds of lo and end."""
+    length = F.greatest(F.col("hi") - F.col("lo"), F.lit(1)).cast("double")
+    # the tenth keeps exact powers at their own level
+    levelled = intervals.withColumn("_level", F.greatest(F.ceil(F.log(length) / F.log(F.lit(float(BASE))) - 1e-9), F.lit(0)).cast("int"))
+    bounds = levelled.groupBy(*keys).agg(F.min("lo").alias("_least"), F.max(end).alias("_most"), F.collect_set("_level").alias("_levels"))
+    named = bounds.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    held = fact.join(named if keys else F.broadcast(named), same, "inner" if how == "inner" else "left").drop(*[f"_k_{k}" for k in keys])
+    known = held.where(F.col("_levels").isNotNull() & F.col(t).isNotNull()).withColumn("_level", F.explode("_levels"))
+    clamped = F.greatest("_least", F.least("_most", F.col(t)))
+    known = known.withColumn("_bucket", F.floor(clamped / _width(F.col("_level"))))
+    listed = levelled.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("lo") / _width(F.col("_level"))), F.floor(F.col("hi") / _width(F.col("_level"))))))
+    listed = listed.withColumnsRenamed({c: f"_k_{c}" for c in (*keys, "_level", "_bucket")})
+    match = inside
+    for k in (*keys, "_level", "_bucket"):
+        match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    joined = known.join(listed, match).drop("_level", "_bucket", *[f"_k_{k}" for k in (*keys, "_level", "_bucket")])
+    if how == "left":
+        joined = joined.unionByName(held.where(F.col("_levels").isNull() | F.col(t).isNull()), allowMissingColumns=True)
+    return joined.drop("_levels")
 
 
 def intervals_from(dim: DataFrame, keys: list[str], t: str) -> DataFrame:
-    """Each dimension row with the next one: keys, cur, nxt (structs of its columns), lo, hi, first, last."""
-    payload = [c for c in dim.columns if c not in keys]
-    w = Window.partitionBy(*keys).orderBy(t)
-    rows = _one_per_time(dim, keys, t).select(*keys, t, F.struct(*payload).alias("cur"))
-    rows = rows.withColumn("nxt", F.lead("cur").over(w)).withColumn("first", F.lag(t).over(w).isNull())
-    last = F.col("nxt").isNull()
-    return rows.select(*keys, "cur", F.coalesce("nxt", "cur").alias("nxt"), F.col(t).alias("lo"), F.coalesce(F.col(f"nxt.{t}"), F.col(t)).alias("hi"), "first", last.alias("last"))
+    """Each dimension row with the next one: keys, cur, nxt (structs of its columns), lo, hi; the last row's own time twice."""
+    rows = ordered.neighbours(_one_per_time(dim, keys, t), t, keys)
+    return rows.select(*keys, "cur", F.coalesce("after", "cur").alias("nxt"), F.col(f"cur.{t}").alias("lo"), F.coalesce(F.col(f"after.{t}"), F.col(f"cur.{t}")).alias("hi"))
 
 
-def asof_interpolated(fact: DataFrame, dim: DataFrame, keys: list[str] | None = None, t: str = "t", step: int | None = None, how: str = "inner") -> DataFrame:
+def asof_interpolated(fact: DataFrame, dim: DataFrame, keys: list[str] | None = None, t: str = "t", how: str = "inner") -> DataFrame:
     """fact with prev, next (structs of dim's columns) and alpha, right-sided.
 
     The interval is [t_i, t_i+1): before the first row both are the first, from the last row on both are the last, alpha then 0. how="left"
-    keeps fact rows without any dimension row.
+    keeps fact rows without any dimension row, and those without a time.
     """
     keys = keys or []
-    intervals = intervals_from(dim, keys, t)
-    x = F.col(t)
-    inside = ((x >= F.col("lo")) | F.col("first")) & ((x < F.col("hi")) | F.col("last"))
-    out = _bucketed(fact, intervals, keys, t, inside, step or median_step(dim, keys, t), how)
-    before = F.col("first") & (x < F.col("lo"))
+    x, first, last = F.col(t), F.col("lo") == F.col("_least"), F.col("lo") == F.col("_most")
+    inside = ((x >= F.col("lo")) | first) & ((x < F.col("hi")) | last)
+    out = _bucketed(fact, intervals_from(dim, keys, t), keys, t, inside, F.col("lo"), how)
+    before = first & (x < F.col("lo"))
     span = (F.col("hi") - F.col("lo")).cast("double")
-    alpha = F.when(before | F.col("last"), 0.0).otherwise((x - F.col("lo")) / F.nullif(span, F.lit(0.0)))
+    alpha = F.when(before | last, 0.0).otherwise((x - F.col("lo")) / F.nullif(span, F.lit(0.0)))
     out = out.withColumn("prev", F.col("cur")).withColumn("next", F.when(before, F.col("cur")).otherwise(F.col("nxt"))).withColumn("alpha", alpha)
-    return out.drop("cur", "nxt", "lo", "hi", "first", "last")
+    return out.drop("cur", "nxt", "lo", "hi", "_least", "_most")
 
 
-def asof_bracket(fact: DataFrame, dim: DataFrame, keys: list[str] | None = None, t: str = "t", step: int | None = None) -> DataFrame:
+def asof_bracket(fact: DataFrame, dim: DataFrame, keys: list[str] | None = None, t: str = "t") -> DataFrame:
     """fact with prev and next, left-sided: intervals (t_i-1, t_i], the first and last extended outward.
 
     A single dimension row has no interval, so nothing joins.
     """
     keys = keys or []
-    w = Window.partitionBy(*keys).orderBy("lo")
-    rows = intervals_from(dim, keys, t).where("not last")
-    rows = rows.withColumn("last", F.lead("lo").over(w).isNull())
-    x = F.col(t)
-    inside = ((x > F.col("lo")) | F.col("first")) & ((x <= F.col("hi")) | F.col("last"))
-    out = _bucketed(fact, rows, keys, t, inside, step or median_step(dim, keys, t), "inner")
-    return out.withColumn("prev", F.col("cur")).withColumn("next", F.col("nxt")).drop("cur", "nxt", "lo", "hi", "first", "last")
+    x, first, last = F.col(t), F.col("lo") == F.col("_least"), F.col("hi") == F.col("_most")
+    inside = ((x > F.col("lo")) | first) & ((x <= F.col("hi")) | last)
+    out = _bucketed(fact, intervals_from(dim, keys, t).where("lo < hi"), keys, t, inside, F.col("hi"), "inner")
+    return out.withColumn("prev", F.col("cur")).withColumn("next", F.col("nxt")).drop("cur", "nxt", "lo", "hi", "_least", "_most")
+
+
+def asof_nearest_before(dim: DataFrame, at: Column | int | float, t: str = "t", other: DataFrame | None = None) -> DataFrame:
+    """The state of dim at one time: prev, next, alpha as in asof_interpolated; with other, what that dimension has then, too (other_prev, ...).
+
+    One row; none without dimension rows.
+    """
+    moment = dim.sparkSession.range(1).select((at if isinstance(at, Column) else F.lit(at)).alias(t))
+    out = asof_interpolated(moment, dim, t=t)
+    if other is not None:
+        beside = asof_interpolated(moment, other, t=t).select(F.col("prev").alias("other_prev"), F.col("next").alias("other_next"), F.col("alpha").alias("other_alpha"))
+        out = out.crossJoin(beside)
+    return out
 
 
 def asof_union(fact: DataFrame, dim: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
@@ -101,9 +118,11 @@ def clock_offset(real: DataFrame, other: DataFrame) -> DataFrame:
 
     One row: idx, ratio, offset (other - real). Intervals of length 0 do not count.
     """
-    w = Window.orderBy("t")
-    a = real.select(F.row_number().over(w).alias("idx"), F.col("t").alias("a"), (F.lead("t").over(w) - F.col("t")).alias("da"))
-    b = other.select(F.row_number().over(w).alias("idx"), F.col("t").alias("b"), (F.lead("t").over(w) - F.col("t")).alias("db"))
+    def steps(clock: DataFrame, name: str) -> DataFrame:
+        rows = ordered.neighbours(clock.select("t"), "t").select(F.col("cur.t").alias("t"), (F.col("after.t") - F.col("cur.t")).alias("d"))
+        return ordered.numbered(rows, "t").select("idx", F.col("t").alias(name), F.col("d").alias(f"d{name}"))
+
+    a, b = steps(real, "a"), steps(other, "b")
     rows = a.join(b, "idx").where("da > 0 and db is not null").withColumn("ratio", F.col("db") / F.col("da"))
     best = F.min_by(F.struct("idx", "ratio", (F.col("b") - F.col("a")).alias("offset")), F.struct(F.abs(F.col("ratio") - 1), "idx"))
     return rows.agg(best.alias("r")).select("r.*")

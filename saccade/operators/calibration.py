@@ -37,7 +37,7 @@ def bucket_fits(rows: DataFrame, ranges: DataFrame | None = None, bins: int = 50
     keys = keys or ["p"]
     if ranges is None:
         ranges = histogram.valid_range(rows, "lbar", "dl", keys=keys)
-    joined = rows.join(F.broadcast(ranges), keys)
+    joined = rows.join(ranges, keys)
     i = histogram.half_open_bin(F.col("lbar"), F.col("x_min"), F.col("x_max"), bins)
     j = histogram.half_open_bin(F.col("dl"), F.col("y_min"), F.col("y_max"), bins)
     cells = joined.withColumn("i", i).withColumn("j", j).where("i is not null and j is not null")

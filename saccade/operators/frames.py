@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
+
 
 def consecutive(pixels: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """pixels (frame_idx, t, x, y, lum) with the same pixel's previous luminance and time (null in its first frame)."""
@@ -48,9 +50,9 @@ def prepared_events(events: DataFrame) -> DataFrame:
 
 def late_cutoff(events: DataFrame, frame_t: str = "frame_t") -> DataFrame:
     """Of each pixel's events only those later than the last earlier frame that had events (batch form of the live cut-off)."""
-    frames = events.groupBy(frame_t).agg(F.min("t").alias("_least"))
-    before = frames.withColumn("_cut", F.lag(frame_t).over(Window.orderBy(frame_t))).select(frame_t, "_cut")
-    return events.join(F.broadcast(before), frame_t).where("_cut is null or t > _cut").drop("_cut")
+    frames = ordered.neighbours(events.select(frame_t).distinct(), frame_t)
+    before = frames.select(F.col(f"cur.{frame_t}").alias(frame_t), F.col(f"before.{frame_t}").alias("_cut"))
+    return events.join(before, frame_t).where("_cut is null or t > _cut").drop("_cut")
 
 
 def validity_report(events: DataFrame, width: int, height: int) -> DataFrame:

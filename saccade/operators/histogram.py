@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of counts that are broadcast.
+FEW = 100_000
+
 
 def edge(i: Column, lo: Column, hi: Column, bins: int) -> Column:
     return lo + i * (hi - lo) / bins
@@ -35,7 +38,8 @@ def histogram(df: DataFrame, value: str, bins: int, lo: float | None = None, hi:
     counted = ranged.withColumn("bin", bin_of(F.col(value), F.col("_lo"), F.col("_hi"), bins)).where("bin is not null").groupBy("bin").agg(F.count("*").alias("count"))
     bounds = ranged.agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")) if lo is None or hi is None else df.sparkSession.range(1).select(F.lit(float(lo)).alias("_lo"), F.lit(float(hi)).alias("_hi"))
     dense = df.sparkSession.range(bins).withColumnRenamed("id", "bin").crossJoin(F.broadcast(bounds))
-    out = dense.join(F.broadcast(counted), "bin", "left")
+    # counted has at most bins rows; a long series is joined by Spark's own choice
+    out = dense.join(F.broadcast(counted) if bins <= FEW else counted, "bin", "left")
     return out.select("bin", edge(F.col("bin"), F.col("_lo"), F.col("_hi"), bins).alias("left"), edge(F.col("bin") + 1, F.col("_lo"), F.col("_hi"), bins).alias("right"), F.coalesce("count", F.lit(0)).alias("count"))
 
 
@@ -50,7 +54,7 @@ def histogram2d(df: DataFrame, x: str, y: str, xbins: int, ybins: int, keys: lis
     """i, j, count of the occupied cells over the data's range of both axes, per key, with the range."""
     keys = keys or []
     bounds = df.groupBy(*keys).agg(F.min(x).alias("x_lo"), F.max(x).alias("x_hi"), F.min(y).alias("y_lo"), F.max(y).alias("y_hi"))
-    joined = df.join(F.broadcast(bounds), keys) if keys else df.crossJoin(F.broadcast(bounds))
+    joined = df.join(bounds, keys) if keys else df.crossJoin(F.broadcast(bounds))
     i = bin_of(F.col(x), F.col("x_lo"), F.col("x_hi"), xbins)
     j = bin_of(F.col(y), F.col("y_lo"), F.col("y_hi"), ybins)
     return joined.groupBy(*keys, i.alias("i"), j.alias("j"), "x_lo", "x_hi", "y_lo", "y_hi").agg(F.count("*").alias("count"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import histogram
+from . import histogram, ordered
 
 
 def busy_pixels(events: DataFrame, least: int, keys: tuple[str, ...] = ("x", "y")) -> DataFrame:
@@ -33,15 +33,17 @@ def intervals(events: DataFrame, keys: tuple[str, ...] = ("x", "y"), least: int
 def pool_statistics(df: DataFrame, value: str, keys: tuple[str, ...] = ("x", "y"), by: tuple[str, ...] = ()) -> DataFrame:
     """n, pixels, mean, median, std (population), min, max of the values."""
     v = F.col(value).cast("double")
-    return df.groupBy(*by).agg(
+    out = df.groupBy(*by).agg(
         F.count(value).alias("n"),
         F.countDistinct(F.struct(*keys)).alias("pixels"),
         F.avg(v).alias("mean"),
-        F.percentile(v, F.lit(0.5)).alias("median"),
         F.stddev_pop(v).alias("std"),
         F.min(v).alias("min"),
         F.max(v).alias("max"),
     )
+    middle = ordered.median(df, value, by)
+    joined = out.join(middle, list(by), "left") if by else out.join(F.broadcast(middle), F.lit(True), "left")
+    return joined.select(*by, "n", "pixels", "mean", "median", "std", "min", "max")
 
 
 def inverse_gaussian(tau: Column) -> tuple[Column, Column]:

@@ -1,4 +1,4 @@
-"""Weighted least squares as aggregates: sums of centered products, one or two regressors."""
+"""Weighted least squares as aggregates of one pass, with one or two regressors."""
 
 from __future__ import annotations
 
@@ -10,27 +10,33 @@ def _safe(a, b):
     return a / F.nullif(b, F.lit(0.0))
 
 
+def _moments(rows: DataFrame, columns: tuple[str, ...], weight: str, by: list[str]) -> DataFrame:
+    """by, n, total, m_<c> (means), c_<a><b> (centered sums of products) of weighted rows, in one pass.
+
+    A sum of products less the product of sums loses as many digits as the squared mean is larger than the variance.
+    """
+    w = F.col(weight)
+    sums = {c: F.sum(w * F.col(c)) for c in columns}
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum(w).alias("total"), *[s.alias(f"s_{c}") for c, s in sums.items()], *[F.sum(w * F.col(a) * F.col(b)).alias(f"p_{a}{b}") for a, b in pairs])
+    out = out.withColumns({f"m_{c}": _safe(F.col(f"s_{c}"), F.col("total")) for c in columns})
+    return out.withColumns({f"c_{a}{b}": F.col(f"p_{a}{b}") - F.col(f"s_{a}") * F.col(f"m_{b}") for a, b in pairs})
+
+
 def weighted_line(df: DataFrame, x: str, y: str, weight: str, by: list[str], least: int = 1) -> DataFrame:
     """by, n, total (weight), slope, intercept of y ~ x; groups with fewer than least rows go, a constant x gives nulls."""
-    rows = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.col(weight).cast("double").alias("_w")).where("_x is not null and _y is not null and _w is not null")
-    x_, y_, w = F.col("_x"), F.col("_y"), F.col("_w")
-    means = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum(w).alias("total"), _safe(F.sum(w * x_), F.sum(w)).alias("_mx"), _safe(F.sum(w * y_), F.sum(w)).alias("_my")).where(F.col("n") >= least)
-    dx, dy = x_ - F.col("_mx"), y_ - F.col("_my")
-    joined = rows.join(means, by) if by else rows.crossJoin(F.broadcast(means))
-    sums = joined.groupBy(*by, "n", "total", "_mx", "_my").agg(F.sum(w * dx * dy).alias("_xy"), F.sum(w * dx * dx).alias("_xx"))
-    out = sums.withColumn("slope", _safe(F.col("_xy"), F.col("_xx")))
-    return out.withColumn("intercept", F.col("_my") - F.col("slope") * F.col("_mx")).select(*by, "n", "total", "slope", "intercept")
+    rows = df.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(weight).cast("double").alias("w")).where("x is not null and y is not null and w is not null")
+    sums = _moments(rows, ("x", "y"), "w", by).where(F.col("n") >= least)
+    out = sums.withColumn("slope", _safe(F.col("c_xy"), F.when(F.col("c_xx") > 1e-12 * F.col("p_xx"), F.col("c_xx"))))
+    return out.withColumn("intercept", F.col("m_y") - F.col("slope") * F.col("m_x")).select(*by, "n", "total", "slope", "intercept")
 
 
 def weighted_plane(df: DataFrame, u: str, v: str, y: str, weight: str, by: list[str]) -> DataFrame:
     """by, n, slope_u, slope_v, intercept of y ~ u + v; nulls where the regressors depend on each other."""
-    rows = df.select(*by, F.col(u).cast("double").alias("_u"), F.col(v).cast("double").alias("_v"), F.col(y).cast("double").alias("_y"), F.col(weight).cast("double").alias("_w")).na.drop()
-    w = F.col("_w")
-    means = rows.groupBy(*by).agg(F.count("*").alias("n"), *[_safe(F.sum(w * F.col(c)), F.sum(w)).alias(f"_m{c}") for c in ("_u", "_v", "_y")])
-    joined = rows.join(means, by) if by else rows.crossJoin(F.broadcast(means))
-    d = {c: F.col(f"_{c}") - F.col(f"_m_{c}") for c in "uvy"}
-    sums = joined.groupBy(*by, "n", "_m_u", "_m_v", "_m_y").agg(*[F.sum(w * d[a] * d[b]).alias(f"_{a}{b}") for a, b in ("uu", "uv", "vv", "uy", "vy")])
-    det = F.col("_uu") * F.col("_vv") - F.col("_uv") * F.col("_uv")
-    det = F.when(det > 1e-12 * F.col("_uu") * F.col("_vv"), det)
-    out = sums.withColumn("slope_u", (F.col("_uy") * F.col("_vv") - F.col("_vy") * F.col("_uv")) / det).withColumn("slope_v", (F.col("_vy") * F.col("_uu") - F.col("_uy") * F.col("_uv")) / det)
-    return out.withColumn("intercept", F.col("_m_y") - F.col("slope_u") * F.col("_m_u") - F.col("slope_v") * F.col("_m_v")).select(*by, "n", "slope_u", "slope_v", "intercept")
+    rows = df.select(*by, F.col(u).cast("double").alias("u"), F.col(v).cast("double").alias("v"), F.col(y).cast("double").alias("y"), F.col(weight).cast("double").alias("w")).na.drop()
+    c = {k: F.col(f"c_{k}") for k in ("uu", "uv", "vv", "uy", "vy")}
+    det = c["uu"] * c["vv"] - c["uv"] * c["uv"]
+    det = F.when(det > 1e-12 * c["uu"] * c["vv"], det)
+    out = _moments(rows, ("u", "v", "y"), "w", by)
+    out = out.withColumn("slope_u", (c["uy"] * c["vv"] - c["vy"] * c["uv"]) / det).withColumn("slope_v", (c["vy"] * c["uu"] - c["uy"] * c["uv"]) / det)
+    return out.withColumn("intercept", F.col("m_y") - F.col("slope_u") * F.col("m_u") - F.col("slope_v") * F.col("m_v")).select(*by, "n", "slope_u", "slope_v", "intercept")

@@ -12,7 +12,7 @@ def voxel_grid(events: DataFrame, bins: int, keys: tuple[str, ...] = ()) -> Data
     An event between two bins gives each its share; nothing falls beyond the last bin.
     """
     bounds = events.groupBy(*keys).agg(F.min("t").alias("_t0"), F.max("t").alias("_t1"))
-    joined = events.join(F.broadcast(bounds), list(keys)) if keys else events.crossJoin(F.broadcast(bounds))
+    joined = events.join(bounds, list(keys)) if keys else events.crossJoin(F.broadcast(bounds))
     span = F.greatest(F.col("_t1") - F.col("_t0"), F.lit(1))
     tau = (bins - 1) * (F.col("t") - F.col("_t0")) / span
     placed = joined.withColumn("_tau", tau).withColumn("_i", F.floor("_tau"))
@@ -28,4 +28,4 @@ def normalized_slices(grid: DataFrame, width: int, height: int) -> DataFrame:
     cells = grid.groupBy("bin").agg(F.min("val").alias("lo"), F.max("val").alias("hi"), F.count("*").alias("n"))
     full = F.col("n") == width * height
     cells = cells.select("bin", F.when(full, F.col("lo")).otherwise(F.least("lo", F.lit(0.0))).alias("lo"), F.when(full, F.col("hi")).otherwise(F.greatest("hi", F.lit(0.0))).alias("hi"))
-    return grid.join(F.broadcast(cells), "bin").withColumn("level", (F.col("val") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))).drop("lo", "hi")
+    return grid.join(cells, "bin").withColumn("level", (F.col("val") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))).drop("lo", "hi")

@@ -6,7 +6,7 @@ import pickle
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -36,7 +36,7 @@ def tumbling_counts(events: DataFrame, width: str = "33 milliseconds", late: str
 
 
 def only_later(events: DataFrame, keys: str = "x long, y long") -> DataFrame:
-    """Per key the events later than all seen before; within a batch in time order. Late and repeated rows go."""
+    """Per key the events later than all seen before; within a batch in time order. Late and repeated rows go; different events of one time stay."""
     names = [k.split()[0] for k in keys.split(", ")]
     fields = events.schema
 
@@ -45,7 +45,7 @@ def only_later(events: DataFrame, keys: str = "x long, y long") -> DataFrame:
         rows = pd.concat(list(batches)).sort_values("t", kind="stable")
         if last is not None:
             rows = rows[rows.t > last]
-        rows = rows.drop_duplicates("t")
+        rows = rows.drop_duplicates()
         if len(rows):
             state.update((int(rows.t.iloc[-1]),))
             yield rows
@@ -62,21 +62,39 @@ def _decayed(level: Column, dt: Column, decay: float) -> Column:
     return NEUTRAL + F.signum(away) * F.greatest(F.abs(away) - decay * dt, F.lit(0.0))
 
 
+#: Events of a pixel that are folded in one array; longer histories are folded piece by piece.
+PIECE = 1 << 20
+
+
 def accumulate(events: DataFrame, until: int | None = None, keys: tuple[str, ...] = (), contribution: float = CONTRIBUTION, decay: float = DECAY) -> DataFrame:
     """Leaky accumulator per pixel: level in [0, 1] after its last event, and decayed linearly toward neutral up to until.
 
-    Each event adds or takes contribution by polarity; pixels decay on their own between their events. An ordered fold in the JVM.
+    Each event adds or takes contribution by polarity; pixels decay on their own between their events. An ordered fold in the
+    JVM, over at most PIECE events of a pixel at a time, the level carried from piece to piece.
     """
-    listed = events.groupBy(*keys, "x", "y").agg(F.array_sort(F.collect_list(F.struct("t", "p"))).alias("e"))
-    start = F.struct(F.lit(NEUTRAL).alias("level"), F.col("e")[0]["t"].alias("t"))
+    pixel = [*keys, "x", "y"]
+    most = events.groupBy(*pixel).count().agg(F.max("count")).first()[0] or 0
+    order = Window.partitionBy(*pixel).orderBy("t", "p")
+    piece = F.floor((F.row_number().over(order) - 1) / PIECE) if most > PIECE else F.lit(0)
+    rows = events.select(*pixel, "t", "p", piece.alias("piece"))
+    state = None
+    for i in range(max(1, -(-most // PIECE))):
+        listed = rows.where(F.col("piece") == i).groupBy(*pixel).agg(F.array_sort(F.collect_list(F.struct("t", "p"))).alias("e"))
+        folded = _fold(listed if state is None else state.join(listed, pixel, "left"), state is not None, contribution, decay)
+        state = folded.select(*pixel, "s")
+    level = F.col("s.level") if until is None else _decayed(F.col("s.level"), F.greatest(F.lit(until) - F.col("s.t"), F.lit(0)), decay)
+    return state.select(*pixel, level.alias("level"), F.col("s.t").alias("t"))
+
+
+def _fold(rows: DataFrame, carried: bool, contribution: float, decay: float) -> DataFrame:
+    """rows with s, the state (level, t) after the events e; carried: from the state s, otherwise from neutral."""
+    start = F.col("s") if carried else F.struct(F.lit(NEUTRAL).alias("level"), F.col("e")[0]["t"].alias("t"))
 
     def step(s: Column, e: Column) -> Column:
         level = _decayed(s.level, e.t - s.t, decay) + F.when(e.p > 0, contribution).otherwise(-contribution)
         return F.struct(F.least(F.lit(1.0), F.greatest(F.lit(0.0), level)).alias("level"), e.t.alias("t"))
 
-    folded = listed.withColumn("s", F.aggregate("e", start, step))
-    level = F.col("s.level") if until is None else _decayed(F.col("s.level"), F.greatest(F.lit(until) - F.col("s.t"), F.lit(0)), decay)
-    return folded.select(*keys, "x", "y", level.alias("level"), F.col("s.t").alias("t"))
+    return rows.withColumn("s", F.coalesce(F.aggregate("e", start, step), start))
 
 
 def simulated_stream(pixels: DataFrame, camera: str | Sensor = "Raw2DVS346", seed: int = 0, on_disorder: str = "fail", **options) -> DataFrame:

@@ -24,9 +24,12 @@ def blend(a: Column, b: Column, alpha: Column) -> Column:
     return (1 - alpha) * a + alpha * b
 
 
-def blend_angle(a: Column, b: Column, alpha: Column) -> Column:
-    """Interpolation in degrees along the shorter arc; at exactly half a turn, backwards."""
-    return a + alpha * (F.pmod(b - a + 180, F.lit(360.0)) - 180)
+def blend_angle(a: Column, b: Column, alpha: Column, half: int = -1) -> Column:
+    """Interpolation in degrees along the shorter arc; at exactly half a turn, backwards, or forwards from a to b with half=1."""
+    arc = F.pmod(b - a + 180, F.lit(360.0)) - 180
+    if half > 0:
+        arc = F.when((arc == -180) & (b >= a), 180.0).otherwise(arc)
+    return a + alpha * arc
 
 
 def rotate(point: Point, center: Point, degrees: Column) -> Point:

@@ -107,7 +107,37 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z > 6, 1.0).when(z < -6, 0.0).otherwise(inner)
 
 
+def normal_quantile(p: Column) -> Column:
+    """Inverse of normal_cdf to about 1e-9 within (1e-9, 1 - 1e-9), by Newton steps from a logistic start; null outside (0, 1)."""
+    start = F.log(p / (1 - p)) / 1.702
+    steps = F.array(*[F.lit(i) for i in range(12)])
+
+    def step(z: Column, _: Column) -> Column:
+        moved = (normal_cdf(z) - p) / (F.exp(-z * z / 2) / 2.5066282746310002)
+        return F.greatest(F.lit(-6.0), F.least(F.lit(6.0), z - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), moved))))
+
+    return F.when((p > 0) & (p < 1), F.aggregate(steps, F.greatest(F.lit(-6.0), F.least(F.lit(6.0), start)), step))
+
+
+def _mills(z: Column) -> Column:
+    """(1 - normal_cdf(z)) * exp(z * z / 2) for z >= 0, without overflow."""
+    s = z * z
+    far = (1 - 1 / s + 3 / (s * s) - 15 / (s * s * s)) / (z * 2.5066282746310002)
+    return F.when(z > 5.5, far).otherwise(normal_cdf(-z) * F.exp(F.least(s, F.lit(40.0)) / 2))
+
+
 def inverse_gaussian_cdf(t: Column, mean: Column, shape: Column) -> Column:
-    root = F.sqrt(shape / t)
-    value = normal_cdf(root * (t / mean - 1)) + F.exp(2 * shape / mean) * normal_cdf(-root * (t / mean + 1))
+    """Probability of a passage by t. The second term's exponents are joined, so a large shape / mean cannot overflow."""
+    root, part = F.sqrt(shape / t), t / mean
+    value = normal_cdf(root * (part - 1)) + F.exp(-shape * (part - 1) * (part - 1) / (2 * t)) * _mills(root * (part + 1))
     return F.when(t > 0, value).otherwise(0.0)
+
+
+def inverse_gaussian_interval(start: Column, end: Column, mean: Column, shape: Column) -> Column:
+    """Probability of a passage between start and end."""
+    return inverse_gaussian_cdf(end, mean, shape) - inverse_gaussian_cdf(start, mean, shape)
+
+
+def shifted_clock(t: Column, offset: Column | int) -> Column:
+    """Times of one clock on another that is offset behind it, as found by clock_offset."""
+    return t - offset

@@ -87,17 +87,16 @@ def asof_bracket(fact: DataFrame, dim: DataFrame, keys: list[str] | None = None,
     return out.withColumn("prev", F.col("cur")).withColumn("next", F.col("nxt")).drop("cur", "nxt", "lo", "hi", "_least", "_most")
 
 
-def asof_nearest_before(dim: DataFrame, at: Column | int | float, t: str = "t", other: DataFrame | None = None) -> DataFrame:
-    """The state of dim at one time: prev, next, alpha as in asof_interpolated; with other, what that dimension has then, too (other_prev, ...).
-
-    One row; none without dimension rows.
-    """
-    moment = dim.sparkSession.range(1).select((at if isinstance(at, Column) else F.lit(at)).alias(t))
-    out = asof_interpolated(moment, dim, t=t)
-    if other is not None:
-        beside = asof_interpolated(moment, other, t=t).select(F.col("prev").alias("other_prev"), F.col("next").alias("other_next"), F.col("alpha").alias("other_alpha"))
-        out = out.crossJoin(beside)
-    return out
+def asof_left(fact: DataFrame, dim: DataFrame, keys: list[str] | None = None, t: str = "t") -> DataFrame:
+    """fact with prev, next and alpha, left-sided: intervals (t_i-1, t_i]; up to the first row both are the first, after the last both the last, alpha then 0."""
+    keys = keys or []
+    x, first, last = F.col(t), F.col("lo") == F.col("_least"), F.col("lo") == F.col("_most")
+    inside = ((x > F.col("lo")) | first) & ((x <= F.col("hi")) | last)
+    out = _bucketed(fact, intervals_from(dim, keys, t), keys, t, inside, F.col("lo"), "inner")
+    before = x <= F.col("_least")
+    alpha = F.when(before | last, 0.0).otherwise((x - F.col("lo")) / (F.col("hi") - F.col("lo")).cast("double"))
+    out = out.withColumn("prev", F.col("cur")).withColumn("next", F.when(before, F.col("cur")).otherwise(F.col("nxt"))).withColumn("alpha", alpha)
+    return out.drop("cur", "nxt", "lo", "hi", "_least", "_most")
 
 
 def asof_union(fact: DataFrame, dim: DataFrame, keys: list[str], t: str = "t") -> DataFrame:

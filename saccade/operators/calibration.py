@@ -22,13 +22,20 @@ def attach_luminance(events: DataFrame, pixels: DataFrame, rectangle: tuple[int,
     frames = pixels.groupBy(*keys, "frame_idx").agg(F.min("t").alias("t"))
     near = asof.asof_bracket(events, frames, keys)
     near = near.select(*events.columns, F.col("prev.frame_idx").alias("_a"), F.col("next.frame_idx").alias("_b"), (F.col("next.t") - F.col("prev.t")).alias("frame_dt"))
-    lums = pixels.select(*keys, "frame_idx", "x", "y", F.col("lum").cast("double").alias("lum"))
+    lums = needed_frames(near, pixels, keys).select(*keys, "frame_idx", "x", "y", F.col("lum").cast("double").alias("lum"))
     before = lums.withColumnsRenamed({"frame_idx": "_a", "lum": "prev_lum"})
     after = lums.withColumnsRenamed({"frame_idx": "_b", "lum": "next_lum"})
     out = near.join(before, [*keys, "_a", "x", "y"]).join(after, [*keys, "_b", "x", "y"])
     return out.select(*events.columns, "prev_lum", "next_lum", "frame_dt")
 
 
+def needed_frames(near: DataFrame, pixels: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The pixels of frames that some event needs: near has the frames before and after each event as _a and _b."""
+    keys = keys or []
+    wanted = near.select(*keys, F.explode(F.array("_a", "_b")).alias("frame_idx")).distinct()
+    return pixels.join(wanted, [*keys, "frame_idx"], "left_semi")
+
+
 def bucket_fits(rows: DataFrame, ranges: DataFrame | None = None, bins: int = 50, least: int = 200, on_sign: int = -1, compat_lambda: bool = False, keys: list[str] | None = None) -> DataFrame:
     """Interval fits per polarity and cell of (lbar, dl), in one pass: the columns of FITS.
 
@@ -36,8 +43,9 @@ def bucket_fits(rows: DataFrame, ranges: DataFrame | None = None, bins: int = 50
     """
     keys = keys or ["p"]
     if ranges is None:
-        ranges = histogram.valid_range(rows, "lbar", "dl", keys=keys)
-    joined = rows.join(ranges, keys)
+        joined = rows.join(histogram.valid_range(rows, "lbar", "dl", keys=keys), keys)
+    else:
+        joined = rows.join(F.broadcast(ranges) if ranges.limit(histogram.FEW + 1).count() <= histogram.FEW else ranges, keys)
     i = histogram.half_open_bin(F.col("lbar"), F.col("x_min"), F.col("x_max"), bins)
     j = histogram.half_open_bin(F.col("dl"), F.col("y_min"), F.col("y_max"), bins)
     cells = joined.withColumn("i", i).withColumn("j", j).where("i is not null and j is not null")
@@ -120,7 +128,7 @@ def synthetic_fits(spark, levels: int = 50, noise: bool = True, seed: int = 0, k
     rows = spark.range(levels * levels * 2).select((F.col("id") % 2).cast("tinyint").alias("p"), F.floor(F.col("id") / (2 * levels)).alias("i"), (F.floor(F.col("id") / 2) % levels).alias("j"))
     rows = rows.withColumn("l", 1 + 99 * uniform(F.lit("l"), "i")).withColumn("d", 20 * normal("d", "i", "j"))
     mu = k1 * F.col("d") / dt / (F.col("l") + k2) + k4 + k5 * F.col("l")
-    sigma = F.sqrt("l") / (F.col("l") + k2) * 1e-3
+    sigma = 0.3 * F.sqrt("l") / (F.col("l") + k2) + 0.001
     factor = (lambda name, part: 1 + part * normal(name, "p", "i", "j")) if noise else (lambda name, part: F.lit(1.0))
     return rows.select(
         "p", (F.col("l") - 0.5).alias("mean_min"), (F.col("l") + 0.5).alias("mean_max"), (F.col("d") - 0.5).alias("diff_min"), (F.col("d") + 0.5).alias("diff_max"),

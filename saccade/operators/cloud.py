@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..params import Sensor
+from . import simulate
 
 
 def normalized(df: DataFrame, columns: tuple[str, ...] = ("t", "x", "y")) -> DataFrame:
@@ -26,26 +29,75 @@ def within_time_of(events: DataFrame, other: DataFrame) -> DataFrame:
     return events.join(F.broadcast(bounds), F.col("t").between(F.col("_a"), F.col("_b"))).drop("_a", "_b")
 
 
-def quantized(df: DataFrame, cells: int, columns: tuple[str, ...] = ("t", "x", "y")) -> tuple[np.ndarray, np.ndarray]:
-    """Centers and weights of the occupied cells of normalized points: at most cells ** len(columns) rows reach the driver."""
-    at = [F.least(F.floor(F.col(c) * cells), F.lit(cells - 1)).alias(c) for c in columns]
-    rows = df.groupBy(*at).agg(F.count("*").alias("n")).collect()
-    points = np.array([[r[c] for c in columns] for r in rows], float).reshape(-1, len(columns))
-    weights = np.array([r.n for r in rows], float)
-    return (points + 0.5) / cells, weights / weights.sum() if len(rows) else weights
+#: Points of a cloud that a distance works on at most; clouds with more distinct points are counted in cells.
+MOST_POINTS = 20_000
+#: Cells per axis that are tried, finest first; the last is taken where no other has few enough points.
+CELLS = (1024, 512, 256, 128, 64, 32, 27, 20, 16, 12)
+#: Pairs of points up to which a step is done without a job.
+LOCAL_PAIRS = 4_000_000
 
 
-def _cost(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return ((a[:, None, :] - b[None, :, :]) ** 2).sum(-1) / 2
+def _cell(c: str, cells: int) -> Column:
+    return F.least(F.floor(F.col(c) * cells), F.lit(cells - 1))
 
 
-def _soft_min(eps: float, cost: np.ndarray, h: np.ndarray) -> np.ndarray:
-    z = h[None, :] - cost / eps
-    top = z.max(1, keepdims=True)
-    return -eps * (top[:, 0] + np.log(np.exp(z - top).sum(1)))
+def resolution_for(df: DataFrame, points: int, columns: tuple[str, ...] = ("t", "x", "y")) -> int | None:
+    """Cells per axis with at most about that many occupied ones; None if the distinct points are few enough."""
+    counts = [F.approx_count_distinct(F.struct(*columns), 0.02).alias("n0"), *[F.approx_count_distinct(F.struct(*[_cell(c, g) for c in columns]), 0.02).alias(f"n{g}") for g in CELLS[:-1]]]
+    most = df.agg(*counts).first()
+    return next((g or None for g in (0, *CELLS[:-1]) if (most[f"n{g}"] or 0) <= points * 0.9), CELLS[-1])
 
 
-def sinkhorn_divergence(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray, blur: float = 0.05, scaling: float = 0.5) -> float:
+def quantized(df: DataFrame, cells: int | None, columns: tuple[str, ...] = ("t", "x", "y"), keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, columns, n: the mean point of each occupied cell of normalized points; without cells, the distinct points."""
+    if cells is None:
+        return df.groupBy(*keys, *columns).agg(F.count("*").alias("n"))
+    at = [_cell(c, cells).alias(f"_{c}") for c in columns]
+    return df.groupBy(*keys, *at).agg(*[F.avg(c).alias(c) for c in columns], F.count("*").alias("n")).drop(*[f"_{c}" for c in columns])
+
+
+def points_of(rows: DataFrame, columns: tuple[str, ...] = ("t", "x", "y")) -> tuple[np.ndarray, np.ndarray]:
+    """Points and weights of a quantized cloud, of which there are MOST_POINTS at most."""
+    table = rows.select(*columns, "n").toArrow()
+    weights = table.column("n").to_numpy().astype(float)
+    return np.stack([table.column(c).to_numpy().astype(float) for c in columns], 1), weights / max(weights.sum(), 1.0)
+
+
+def _soft_min(eps: float, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """-eps * log sum_j exp(h_j - |x_i - y_j|^2 / 2 eps), in blocks of x."""
+    out = np.empty(len(x))
+    block = max(1, LOCAL_PAIRS // max(1, len(y)))
+    for lo in range(0, len(x), block):
+        z = h[None, :] - ((x[lo : lo + block, None, :] - y[None, :, :]) ** 2).sum(-1) / (2 * eps)
+        top = z.max(1, keepdims=True)
+        out[lo : lo + block] = -eps * (top[:, 0] + np.log(np.exp(z - top).sum(1)))
+    return out
+
+
+def _soft_mins(spark: SparkSession | None, eps: float, problems: list[tuple]) -> list[np.ndarray]:
+    """_soft_min of each (x, y, h): by Spark tasks over blocks of x, with the bounded points and potentials broadcast, if there are many pairs."""
+    if spark is None or sum(len(x) * len(y) for x, y, _ in problems) <= LOCAL_PAIRS:
+        return [_soft_min(eps, *p) for p in problems]
+    shared = spark.sparkContext.broadcast(problems)
+    blocks = [(k, lo, min(lo + 512, len(p[0]))) for k, p in enumerate(problems) for lo in range(0, len(p[0]), 512)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, lo, hi in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                x, y, h = shared.value[k]
+                value = _soft_min(eps, x[lo:hi], y, h)
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(value), pa.int32()), pa.array(range(lo, hi), pa.int32()), pa.array(value)], names=["k", "i", "value"])
+
+    rows = spark.createDataFrame(blocks, "k int, lo int, hi int").repartition(min(len(blocks), 4 * spark.sparkContext.defaultParallelism)).mapInArrow(run, "k int, i int, value double").toArrow()
+    shared.unpersist()
+    k, i, value = (rows.column(c).to_numpy() for c in ("k", "i", "value"))
+    out = [np.empty(len(p[0])) for p in problems]
+    for j in range(len(problems)):
+        out[j][i[k == j]] = value[k == j]
+    return out
+
+
+def sinkhorn_divergence(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray, blur: float = 0.01, scaling: float = 0.5, spark: SparkSession | None = None) -> float:
     """Debiased Sinkhorn divergence with squared distances, by annealing from the clouds' diameter to blur; empty: infinite."""
     if not len(a) or not len(b):
         return math.inf
@@ -56,24 +108,25 @@ def sinkhorn_divergence(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.nda
         steps.append(max(steps[-1] * scaling**2, blur**2))
     steps += [blur**2] * 3
     la, lb = np.log(wa), np.log(wb)
-    ab, aa, bb = _cost(a, b), _cost(a, a), _cost(b, b)
     f, g, p, q = (np.zeros(len(x)) for x in (a, b, a, b))
     for eps in steps:
-        f_new, g_new = _soft_min(eps, ab, lb + g / eps), _soft_min(eps, ab.T, la + f / eps)
-        f, g = (f + f_new) / 2, (g + g_new) / 2
-        p, q = (p + _soft_min(eps, aa, la + p / eps)) / 2, (q + _soft_min(eps, bb, lb + q / eps)) / 2
+        f_new, g_new, p_new, q_new = _soft_mins(spark, eps, [(a, b, lb + g / eps), (b, a, la + f / eps), (a, a, la + p / eps), (b, b, lb + q / eps)])
+        f, g, p, q = (f + f_new) / 2, (g + g_new) / 2, (p + p_new) / 2, (q + q_new) / 2
     return float(wa @ (f - p) + wb @ (g - q))
 
 
-def cloud_distance(one: DataFrame, two: DataFrame, blur: float = 0.05, cells: int = 16, most: int = 5_000_000) -> float:
-    """Divergence of two event streams, each normalized to the unit cube and counted in cells per axis; above most events, infinite.
+def cloud_distance(one: DataFrame, two: DataFrame, blur: float = 0.01, scaling: float = 0.9, most: int = 5_000_000, points: int | None = None) -> float:
+    """Divergence of two event streams, each normalized to the unit cube; above most events, infinite.
 
-    The error is at most of the order of a cell's diagonal.
+    Clouds of at most points (default MOST_POINTS) distinct points are compared exactly, larger ones by the mean points of the finest cells that
+    are few enough; points move by less than a cell's diagonal then.
     """
     if max(one.limit(most + 1).count(), two.limit(most + 1).count()) > most:
         return math.inf
-    a, b = quantized(normalized(one), cells), quantized(normalized(two), cells)
-    return sinkhorn_divergence(*a, *b, blur=blur)
+    clouds = []
+    for df in (normalized(one), normalized(two)):
+        clouds += points_of(quantized(df, resolution_for(df, points or MOST_POINTS)))
+    return sinkhorn_divergence(*clouds, blur=blur, scaling=scaling, spark=one.sparkSession)
 
 
 # fixed values: search ranges of k1 to k6, all on a logarithmic scale
@@ -103,3 +156,36 @@ def search(spark: SparkSession, score: Callable[[Sensor], float], trials: int, s
         row = (i, *map(float, vars(sensor).values()), float(score(sensor)))
         spark.createDataFrame([row], schema).write.mode("append").parquet(store)
     return spark.read.schema(schema).parquet(store).orderBy("distance", "trial")
+
+
+def simulated_distances(pixels: DataFrame, real: DataFrame, trials: int, seed: int = 42, ranges: dict | None = None, blur: float = 0.05, most: int = 5_000_000, cells: int = 12, fill: float | None = None) -> DataFrame:
+    """trial, k1..k6, events, distance of all proposals in one plan: each is simulated on pixels and compared with the real events.
+
+    Every (trial, tile) is simulated by itself; each trial's events are normalized and counted in cells by aggregates, and its
+    distance to the real cloud (cells per axis, so cells ** 3 points at most, broadcast) is found in a task of its own. No or too many
+    events: infinite.
+    """
+    spark = pixels.sparkSession
+    sensors = proposals(trials, seed, ranges)
+    table = spark.createDataFrame([(i, *map(float, vars(s).values())) for i, s in enumerate(sensors)], "trial int, k1 double, k2 double, k3 double, k4 double, k5 double, k6 double")
+    cloud = spark.sparkContext.broadcast(points_of(quantized(normalized(real), cells)))
+    keyed = simulate.tiled(pixels, None, fill).crossJoin(F.broadcast(table.select("trial")))
+
+    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = simulate.simulate_tile(pdf, simulate.Options(sensors[key[0]], seed), 0, fill)
+        return out[["t", "x", "y"]].astype({"t": "int64", "x": "int32", "y": "int32"}).assign(trial=key[0])
+
+    drawn = keyed.groupBy("trial", "_tx", "_ty").applyInPandas(draw, "t long, x int, y int, trial int")
+    bounds = drawn.groupBy("trial").agg(F.count("*").alias("events"), *[f(c).alias(f"{n}_{c}") for c in ("t", "x", "y") for n, f in (("lo", F.min), ("hi", F.max))])
+    scaled = drawn.join(F.broadcast(bounds), "trial").where(F.col("events") <= most)  # one row a trial
+    unit = scaled.select("trial", *[F.coalesce((F.col(c) - F.col(f"lo_{c}")) / F.nullif((F.col(f"hi_{c}") - F.col(f"lo_{c}")).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in ("t", "x", "y")])
+    counted = quantized(unit, cells, keys=("trial",))
+
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        weights = pdf["n"].to_numpy(float)
+        value = sinkhorn_divergence(pdf[["t", "x", "y"]].to_numpy(float), weights / weights.sum(), *cloud.value, blur=blur)
+        return pd.DataFrame({"trial": [key[0]], "distance": [value]})
+
+    found = counted.groupBy("trial").applyInPandas(compare, "trial int, distance double")
+    out = table.join(bounds.select("trial", "events"), "trial", "left").join(found, "trial", "left")
+    return out.withColumn("events", F.coalesce("events", F.lit(0))).withColumn("distance", F.coalesce("distance", F.lit(math.inf)))

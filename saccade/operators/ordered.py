@@ -6,6 +6,8 @@ from one range to the next comes from a table of one row per range (and key).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,3 +95,18 @@ def median(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
     inside = _beside(rows, sizes.where(holds).select(*by, "_range", "_n", "_from"), list(by)).where("_n is not null")
     at = F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_v")) - 1 + F.col("_from")
     return inside.withColumn("_at", at).where((F.col("_at") == low) | (F.col("_at") == high)).groupBy(*by).agg(F.avg("_v").alias("median"))
+
+
+def strided(df: DataFrame, parts: int, t: str) -> DataFrame:
+    """df with part: every parts-th row by t belongs to the same one, from 0."""
+    return numbered(df, t, "_idx").withColumn("part", F.pmod(F.col("_idx") - 1, F.lit(parts)).cast("int")).drop("_idx")
+
+
+def subsample(df: DataFrame, most: int, seed: int = 0) -> DataFrame:
+    """most rows of df at random, the same for the same rows and seed; all if there are fewer."""
+    return df.withColumn("_draw", F.xxhash64(F.lit(seed), *df.columns)).orderBy("_draw", *df.columns).limit(most).drop("_draw")
+
+
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    """The rows of all parts by column name; columns that a part lacks are null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p.select("*") for p in parts])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -61,6 +61,26 @@ def with_box(events: DataFrame, boxes: DataFrame, keys: list[str] | None = None,
     return out
 
 
+def with_either_box(events: DataFrame, boxes: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """events with the left-sided interpolated box of all frames (polygon x0..y3, angle, cx, cy); where one side has no box, the other's.
+
+    boxes may have null geometry (not detected); such rows still count as frames. Neither side has one: nulls.
+    """
+    keys = keys or []
+    names = ["cx", "cy", *[f"{c}{i}" for i in range(4) for c in "xy"]]
+    whole = F.col("polygon").isNotNull() & F.col("angle").isNotNull() & F.col("center").isNotNull()
+    corners = [G.quad("polygon")[i][k].alias(f"{'xy'[k]}{i}") for i in range(4) for k in range(2)]
+    flat = boxes.select(*keys, "t", whole.alias("found"), "angle", F.col("center.x").alias("cx"), F.col("center.y").alias("cy"), *corners)
+    joined = asof.asof_left(events, flat, keys)
+    one, two = F.col("prev.found"), F.col("next.found")
+
+    def either(c: str, blended: Column) -> Column:
+        return F.when(one & two, blended).when(one, F.col(f"prev.{c}")).when(two, F.col(f"next.{c}"))
+
+    angle = either("angle", G.blend_angle(F.col("prev.angle"), F.col("next.angle"), F.col("alpha"), half=1))
+    return _row(joined, events.columns, {"angle": angle, **{c: either(c, G.blend(F.col(f"prev.{c}"), F.col(f"next.{c}"), F.col("alpha"))) for c in names}})
+
+
 def _row(df: DataFrame, keep: list[str], columns: dict) -> DataFrame:
     """keep and computed columns; these are values of a one-row generator, so the optimizer does not copy them into every later use."""
     return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

@@ -93,32 +93,51 @@ def step(state: State | None, lum: np.ndarray, t: int, x: np.ndarray, y: np.ndar
     return State(lum, t, residual), np.rint(join(times, float)), join(pixels, int), join(signs, int)
 
 
-def simulate_tile(pdf: pd.DataFrame, o: Options, clip: int) -> pd.DataFrame:
-    """Events of one tile's pixel rows (frame_idx, t, x, y, lum)."""
+def simulate_tile(pdf: pd.DataFrame, o: Options, clip: int, fill: float | None = None) -> pd.DataFrame:
+    """Events of one tile's pixel rows (frame_idx, t, x, y, lum). With fill, rows without x name frames, and pixels that a frame lacks have that luminance."""
     out, state = [], None
     first = pdf.frame_idx.min() if len(pdf) else 0
-    for frame, rows in pdf.sort_values(["frame_idx", "y", "x"]).groupby("frame_idx"):
+    if fill is not None:
+        inside = pdf.x.notna()
+        grid = pdf[inside].pivot_table("lum", "frame_idx", ["y", "x"], aggfunc="last").reindex(sorted(pdf.frame_idx.unique())).fillna(fill)
+        times = pdf.groupby("frame_idx").t.first()
+        at = np.array(grid.columns.tolist()).reshape(-1, 2).astype(int)
+        parts = ((f, int(times[f]), at[:, 1], at[:, 0], lum) for f, lum in zip(grid.index, grid.to_numpy(), strict=True))
+    else:
+        ordered = pdf.sort_values(["frame_idx", "y", "x"]).groupby("frame_idx")
+        parts = ((f, int(rows.t.iloc[0]), rows.x.to_numpy(), rows.y.to_numpy(), rows.lum.to_numpy()) for f, rows in ordered)
+    for frame, t, x, y, lum in parts:
         if o.skip_first_frame and frame == first:
             continue
-        x, y = rows.x.to_numpy(), rows.y.to_numpy()
-        state, t, at, p = step(state, rows.lum.to_numpy(), int(rows.t.iloc[0]), x, y, clip, int(frame), o)
-        out.append(pd.DataFrame({"t": t.astype("int64"), "x": x[at], "y": y[at], "p": p}))
+        state, times_, at_, p = step(state, lum, t, x, y, clip, int(frame), o)
+        out.append(pd.DataFrame({"t": times_.astype("int64"), "x": x[at_], "y": y[at_], "p": p}))
     return pd.concat(out) if out else pd.DataFrame({"t": [], "x": [], "y": [], "p": []})
 
 
-def dvs_events(pixels: DataFrame, camera: str | Sensor = "Raw2DVS346", clip: str | None = None, seed: int = 0, ordered: bool = False, **options) -> DataFrame:
-    """Events (clip, t, x, y, p) of pixel rows (clip, frame_idx, t, x, y, lum); every pixel is in every frame.
+def tiled(pixels: DataFrame, clip: str | None = None, fill: float | None = None) -> DataFrame:
+    """pixels with _clip and their tile _tx, _ty; with fill, also a row without x for every frame of each tile."""
+    keyed = pixels.withColumn("_clip", F.col(clip) if clip else F.lit(0)).withColumn("_tx", F.floor(F.col("x") / TILE)).withColumn("_ty", F.floor(F.col("y") / TILE))
+    if fill is None:
+        return keyed
+    # a row per tile and frame, not per pixel and frame: the pixels are filled in within the tile
+    tiles, frames = keyed.select("_clip", "_tx", "_ty").distinct(), keyed.groupBy("_clip", "frame_idx").agg(F.min("t").alias("t"))
+    marks = tiles.join(frames, "_clip")
+    return keyed.unionByName(marks.withColumn(clip, F.col("_clip")) if clip else marks, allowMissingColumns=True)
+
+
+def dvs_events(pixels: DataFrame, camera: str | Sensor = "Raw2DVS346", clip: str | None = None, seed: int = 0, ordered: bool = False, fill: float | None = None, **options) -> DataFrame:
+    """Events (clip, t, x, y, p) of pixel rows (clip, frame_idx, t, x, y, lum); every pixel is in every frame, or has luminance fill where it is not.
 
     Default options: frame 0 counts, textbook Levy times, the limit at zero drift.
     """
     sensor = camera if isinstance(camera, Sensor) else preset(camera)
     o = replace(Options(sensor, seed), **options)
-    keyed = pixels.withColumn("_clip", F.col(clip) if clip else F.lit(0)).withColumn("_tx", F.floor(F.col("x") / TILE)).withColumn("_ty", F.floor(F.col("y") / TILE))
+    keyed = tiled(pixels, clip, fill)
     names = f"{clip} {pixels.schema[clip].dataType.simpleString()}, " if clip else ""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         number = int(R.keys(*[ord(c) for c in str(key[0])]).astype(np.int64)) if clip else 0
-        out = simulate_tile(pdf, o, number).astype({"t": "int64", "x": "int32", "y": "int32", "p": "int8"})
+        out = simulate_tile(pdf, o, number, fill).astype({"t": "int64", "x": "int32", "y": "int32", "p": "int8"})
         if clip:
             out.insert(0, clip, key[0])
         return out

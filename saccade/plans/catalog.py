@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import pixels as P
-from ..operators import asof, calibration, cloud, frames, histogram, intervals, regression, roi, simulate, spectrum, voxel
-from ..params import preset
+from ..operators import asof, calibration, cloud, frames, histogram, intervals, ordered, regression, roi, simulate, spectrum, voxel
+from ..params import PRESETS, preset
+from ..params import preset_table as presets
 from ..streaming import events as streams
 from . import lens
 
@@ -166,8 +167,6 @@ SELECT idx::INT AS idx, round(db / da, 9) AS ratio, b - a AS "offset" FROM r WHE
 )
 def clock_offset(spark, sf_dir):
     days = lens.events(spark, sf_dir).select(F.expr(f"(t div {lens.DAY}) * {lens.DAY}").alias("t")).distinct()
-    from pyspark.sql import Window
-
     other = days.select((F.col("t") + 5_000_000 + (F.row_number().over(Window.orderBy("t")) % 7) * 1_000_000).alias("t"))
     return rounded(asof.clock_offset(days, other), ratio=9)
 
@@ -320,9 +319,15 @@ def rate_dft(spark, sf_dir):
     return rounded(spectrum.rate_dft(lens.events(spark, sf_dir), _BINS), hz=9, magnitude=9)
 
 
-@_query("fft_spectrum")
+@_query(
+    "fft_spectrum",
+    f"""{E}, z AS (SELECT t::DOUBLE AS v, (min(t) OVER ())::DOUBLE AS lo, (max(t) OVER ())::DOUBLE AS hi FROM e), n AS (SELECT any_value((hi - lo) * 1e-6) AS s, greatest(1024, floor(1e-3 * any_value((hi - lo) * 1e-6)))::BIGINT AS n FROM z),
+c AS (SELECT least(floor((v - lo) * n / (hi - lo)), n - 1)::BIGINT AS bin, count(*) AS c FROM z, n GROUP BY 1),
+m AS (SELECT k, sum(c / (s / n) * cos(2 * pi() * ((k * bin) % n) / n)) AS re, sum(-c / (s / n) * sin(2 * pi() * ((k * bin) % n) / n)) AS im, any_value(s) AS s, any_value(n) AS n FROM c, n, range(100000) q(k) WHERE k <= n // 2 GROUP BY k)
+SELECT k, round(k / s, 9) AS hz, round(sqrt(re * re + im * im) * CASE WHEN k = 0 THEN 1 ELSE 2 END / n, 9) AS magnitude FROM m WHERE k / s <= 1e-3""",
+)
 def fft_spectrum(spark, sf_dir):
-    return spectrum.spectrum(lens.events(spark, sf_dir), 1e-3, 1e-3)
+    return rounded(spectrum.spectrum(lens.events(spark, sf_dir), 1e-3, 1e-3), hz=9, magnitude=9)
 
 
 @_query(
@@ -383,14 +388,41 @@ def wls_plane(spark, sf_dir):
     return rounded(regression.weighted_plane(rows, "p_size", "p_partkey", "p_retailprice", "w", ["p_brand"]), slope_u=5, slope_v=7, intercept=3)
 
 
-@_query("sensor_constants")
+def _plane_sql(source: str, by: str) -> str:
+    """slope_u, slope_v, intercept of y ~ u + v, weights w."""
+    return f"""(SELECT {by}, (uy * vv - vy * uv) / (uu * vv - uv * uv) AS slope_u, (vy * uu - uy * uv) / (uu * vv - uv * uv) AS slope_v, my - (uy * vv - vy * uv) / (uu * vv - uv * uv) * mu_ - (vy * uu - uy * uv) / (uu * vv - uv * uv) * mv AS intercept FROM
+  (SELECT {by}, any_value(mu_) AS mu_, any_value(mv) AS mv, any_value(my) AS my, sum(w * (u - mu_) * (u - mu_)) AS uu, sum(w * (u - mu_) * (v - mv)) AS uv, sum(w * (v - mv) * (v - mv)) AS vv, sum(w * (u - mu_) * (y - my)) AS uy, sum(w * (v - mv) * (y - my)) AS vy
+   FROM {source} JOIN (SELECT {by}, sum(w * u) / sum(w) AS mu_, sum(w * v) / sum(w) AS mv, sum(w * y) / sum(w) AS my FROM {source} GROUP BY {by}) USING ({by}) GROUP BY {by}))"""
+
+
+@_query(
+    "sensor_constants",
+    f"""WITH {lens.FITS_SQL}, f AS (SELECT p, (mean_min + mean_max) / 2 AS lbar, (diff_min + diff_max) / 2 / 16667.0 AS kdl, mu, count FROM fits),
+s AS (SELECT * FROM {_line_sql('f', 'kdl', 'mu', 'count', 'p, lbar', 5)}), r AS (SELECT p, lbar, 1 / slope AS inverse, total FROM s WHERE slope <> 0),
+g AS (SELECT p, 1 / slope AS k1, intercept / slope AS k2 FROM {_line_sql('r', 'lbar', 'inverse', 'total', 'p')}),
+o AS (SELECT f.p, kdl / (f.lbar + k2) AS u, f.lbar AS v, mu AS y, count AS w FROM f JOIN s ON s.p = f.p AND s.lbar = f.lbar JOIN g ON g.p = f.p)
+SELECT p, round(k1, 6) AS k1, round(k2, 5) AS k2, round(slope_u, 6) AS k1_check, round(intercept * 1e9, 3) AS k4, round(slope_v * 1e9, 5) AS k5 FROM g JOIN {_plane_sql('o', 'p')} USING (p)""",
+)
 def sensor_constants(spark, sf_dir):
-    return calibration.sensor_constants(calibration.synthetic_fits(spark))
+    found = calibration.sensor_constants(lens.fits(spark))
+    return rounded(found.select("p", "k1", "k2", "k1_check", (F.col("k4") * 1e9).alias("k4"), (F.col("k5") * 1e9).alias("k5")), k1=6, k2=5, k1_check=6, k4=3, k5=5)
 
 
-@_query("calibrate_sessions")
+@_query(
+    "calibrate_sessions",
+    f"""{_LI}, b AS (SELECT p, min(lbar) AS xa, max(lbar) AS xb, min(dl) AS ya, max(dl) AS yb FROM li GROUP BY p),
+c AS (SELECT p, least(floor((lbar - xa) * 30 / (xb - xa)), 29) AS i, least(floor((dl - ya) * 30 / (yb - ya)), 29) AS j, any_value(xa) AS xa, any_value(xb) AS xb, any_value(ya) AS ya, any_value(yb) AS yb, count(*) AS n FROM li JOIN b USING (p) GROUP BY 1, 2, 3),
+v AS (SELECT p, coalesce(min(CASE WHEN n > 100 THEN xa + i * (xb - xa) / 30 END), any_value(xa)) AS xa, coalesce(max(CASE WHEN n > 100 THEN xa + (i + 1) * (xb - xa) / 30 END), any_value(xb)) AS xb,
+  coalesce(min(CASE WHEN n > 100 THEN ya + j * (yb - ya) / 30 END), any_value(ya)) AS ya, coalesce(max(CASE WHEN n > 100 THEN ya + (j + 1) * (yb - ya) / 30 END), any_value(yb)) AS yb FROM c GROUP BY p),
+k AS (SELECT p, floor((lbar - xa) * 4 / (xb - xa)) AS i, floor((dl - ya) * 4 / (yb - ya)) AS j, xa, xb, ya, yb, tau / 1e6 AS s FROM li JOIN v USING (p) WHERE lbar >= xa AND lbar < xb AND dl >= ya AND dl < yb),
+z AS (SELECT p, i, j, any_value(xa) AS xa, any_value(xb) AS xb, any_value(ya) AS ya, any_value(yb) AS yb, count(*) AS n, avg(s) AS m, 1 / (avg(1 / s) - 1 / avg(s)) AS l FROM k GROUP BY p, i, j)
+SELECT p, round(xa + i * (xb - xa) / 4, 4) AS mean_min, round(xa + (i + 1) * (xb - xa) / 4, 4) AS mean_max, round(ya + j * (yb - ya) / 4, 4) AS diff_min, round(ya + (j + 1) * (yb - ya) / 4, 4) AS diff_max,
+  round(m, 2) AS mean_s, round(l, 2) AS shape_s, round(CASE WHEN p = 1 THEN -1 ELSE 1 END / m * 1e6, 4) AS mu, n AS count FROM z WHERE n >= 20 AND l > 0""",
+)
 def calibrate_sessions(spark, sf_dir):
-    return calibration.calibrate(_attached(spark, sf_dir), LONGEST * 10, bins=4, least=20)
+    fitted = calibration.calibrate(_attached(spark, sf_dir), LONGEST * 10, bins=4, least=20)
+    out = fitted.select("p", "mean_min", "mean_max", "diff_min", "diff_max", (F.col("mu_hat") / 1e6).alias("mean_s"), (F.col("lambda_hat") / 1e6).alias("shape_s"), (F.col("mu") * 1e12).alias("mu"), "count")
+    return rounded(out, mean_min=4, mean_max=4, diff_min=4, diff_max=4, mean_s=2, shape_s=2, mu=4)
 
 
 @_query("normalize_cloud", f"{E}, r AS (SELECT *, min(t) OVER () AS a, max(t) OVER () AS b, max(x) OVER () AS mx, min(x) OVER () AS nx, max(y) OVER () AS my, min(y) OVER () AS ny FROM e) SELECT round((t - a) / (b - a), 9) AS t, round((x - nx) / (mx - nx), 9) AS x, coalesce(round((y - ny) / nullif(my - ny, 0), 9), 0) AS y FROM r")
@@ -431,9 +463,9 @@ def first_barrier_prob(spark, sf_dir):
     return _drifts(spark, sf_dir).select("frame_idx", "x", "y", F.round(prob, 6).alias("p_on"))
 
 
-@_query("pixel_functions", f"{E}, v AS (SELECT t, x, y, floor(value)::INT AS v FROM e) SELECT t, x, y, floor(v * 255 / 1023)::INT AS eight, (v >> 6) & 1023 AS bits, round(0.299 * v + 0.587 * (v % 256) + 0.114 * (v % 7))::INT AS gray, ((t - {lens.ORIGIN}) / 1000)::BIGINT AS us FROM v WHERE t % 1000 = 0")
+@_query("pixel_functions", f"{E}, v AS (SELECT t, x, y, floor(value)::INT AS v FROM e) SELECT t, x, y, floor(v * 255 / 1023)::INT AS eight, (v >> 6) & 1023 AS bits, round(0.299 * v + 0.587 * (v % 256) + 0.114 * (v % 7))::INT AS gray, trunc((t - {lens.ORIGIN}) / 1000)::BIGINT AS us FROM v")
 def pixel_functions(spark, sf_dir):
-    return _pixel_functions(lens.events(spark, sf_dir).where("t % 1000 = 0"))
+    return _pixel_functions(lens.events(spark, sf_dir))
 
 
 def _pixel_functions(rows):
@@ -442,10 +474,17 @@ def _pixel_functions(rows):
     return rows.select("t", "x", "y", P.ten_to_eight_bits(v).alias("eight"), P.unpack_ten_bits(v).alias("bits"), P.gray(v, v % 256, v % 7).alias("gray"), P.to_microseconds(F.col("t"), F.lit(lens.ORIGIN)).alias("us"))
 
 
-@_query("pixel_functions_all", f"{E}, v AS (SELECT t, x, y, floor(value)::INT AS v FROM e) SELECT t, x, y, floor(v * 255 / 1023)::INT AS eight, (v >> 6) & 1023 AS bits, round(0.299 * v + 0.587 * (v % 256) + 0.114 * (v % 7))::INT AS gray, trunc((t - {lens.ORIGIN}) / 1000)::BIGINT AS us FROM v")
-def pixel_functions_all(spark, sf_dir):
-    """Every event; pixel_functions keeps only those its SQL keeps, whose times are whole thousands."""
-    return _pixel_functions(lens.events(spark, sf_dir))
+QUERIES["pixel_functions_all"], SQL["pixel_functions_all"] = pixel_functions, SQL["pixel_functions"]
+
+
+@_query(
+    "eight_bits",
+    f"{E}, v AS (SELECT t, x, y, floor(value * 130)::INT AS v FROM e) SELECT t, x, y, floor(v / 256)::INT AS high, floor(v / (max(v) OVER (PARTITION BY x, y))::DOUBLE * 255)::INT AS stretched FROM v",
+)
+def eight_bits(spark, sf_dir):
+    rows = lens.events(spark, sf_dir).select("t", "x", "y", F.floor(F.col("value") * 130).cast("int").alias("v"))
+    most = F.max("v").over(Window.partitionBy("x", "y"))
+    return rows.select("t", "x", "y", P.sixteen_to_eight_bits(F.col("v")).alias("high"), P.stretch_to_eight_bits(F.col("v"), most).alias("stretched"))
 
 
 @_query("center_crop", f"{E} SELECT t, x - 4 AS x, y - 1 AS y, p FROM e WHERE x BETWEEN 4 AND 11 AND y BETWEEN 1 AND 8")
@@ -453,16 +492,123 @@ def center_crop(spark, sf_dir):
     return P.center_crop(lens.events(spark, sf_dir), 16, 10, 8, 8).select("t", "x", "y", "p")
 
 
-@_query("preset_table", "SELECT * FROM (VALUES ('DVS346', 20.0::DOUBLE), ('DVS240', 23.0), ('Raw2DVS346', 4.166e-7), ('RGB2DVS346', 0.9003332027266823)) v(camera, k2)")
+@_query("preset_table", f"SELECT * FROM (VALUES {', '.join(f'({n!r}, ' + ', '.join(f'{float(v)!r}::DOUBLE' for v in vars(preset(n)).values()) + ')' for n in PRESETS)}) v(camera, k1, k2, k3, k4, k5, k6)")
 def preset_table(spark, sf_dir):
-    from ..params import preset_table
+    return presets(spark)
+
 
-    return preset_table(spark).select("camera", "k2")
+@_query(
+    "ig_density",
+    f"{E} SELECT t, x, y, round(CASE WHEN value > 0 THEN sqrt(5 / (2 * pi() * (value / 100) ** 3)) * exp(-5 * (value / 100 - 2) ** 2 / (8 * value / 100)) ELSE 0 END, 9) AS density FROM e",
+)
+def ig_density(spark, sf_dir):
+    density = P.inverse_gaussian_pdf(F.col("value") / 100, F.lit(2.0), F.lit(5.0))
+    return rounded(lens.events(spark, sf_dir).select("t", "x", "y", density.alias("density")), density=9)
 
 
-@_query("accumulator_map")
+@_query(
+    "voxel_levels",
+    f"""{E}, r AS (SELECT *, 4 * (t - min(t) OVER ()) / greatest(max(t) OVER () - min(t) OVER (), 1) AS tau FROM e), s AS (SELECT x, y, floor(tau)::BIGINT AS i, tau - floor(tau) AS f, CASE WHEN p > 0 THEN 1 ELSE -1 END AS q FROM r),
+u AS (SELECT i AS bin, y, x, q * (1 - f) AS v FROM s UNION ALL SELECT i + 1, y, x, q * f FROM s), g AS (SELECT bin, y, x, sum(v) AS val FROM u WHERE bin < 5 GROUP BY ALL),
+b AS (SELECT bin, CASE WHEN count(*) = 256 THEN min(val) ELSE least(min(val), 0) END AS lo, CASE WHEN count(*) = 256 THEN max(val) ELSE greatest(max(val), 0) END AS hi FROM g GROUP BY bin)
+SELECT bin, y, x, round((val - lo) / nullif(hi - lo, 0), 6) AS level FROM g JOIN b USING (bin)""",
+)
+def voxel_levels(spark, sf_dir):
+    return rounded(voxel.normalized_slices(voxel.voxel_grid(lens.events(spark, sf_dir), 5), 16, 16).select("bin", "y", "x", "level"), level=6)
+
+
+def _quad_sql(f: str) -> str:
+    return ", ".join(f.format(c=c, i=i) for i in range(4) for c in "xy")
+
+
+@_query(
+    "quad_measures",
+    f"""WITH {lens.BOXES_SQL}, m AS (SELECT *, (x0 + x1 + x2 + x3) / 4 AS mx, (y0 + y1 + y2 + y3) / 4 AS my FROM b), e AS (SELECT t, mx, my, {_quad_sql('m{c} + ({c}{i} - m{c}) * 1.25 AS {c}{i}')} FROM m)
+SELECT t, {_quad_sql('round({c}{i}, 6) AS {c}{i}')}, {', '.join(f'round(sqrt((x{(i + 1) % 4} - x{i}) ** 2 + (y{(i + 1) % 4} - y{i}) ** 2), 6) AS side{i}' for i in range(4))},
+  (ceil(round(greatest(greatest(x0, x1, x2, x3) - least(x0, x1, x2, x3), greatest(y0, y1, y2, y3) - least(y0, y1, y2, y3)), 6) / 10) * 10)::INT AS size,
+  greatest(0, floor(least(x0, x1, x2, x3)))::INT AS "left", greatest(0, floor(least(y0, y1, y2, y3)))::INT AS top, least(16, ceil(greatest(x0, x1, x2, x3)))::INT AS "right", least(10, ceil(greatest(y0, y1, y2, y3)))::INT AS bottom FROM e""",
+)
+def quad_measures(spark, sf_dir):
+    wide = G.expand([(F.col(f"x{i}"), F.col(f"y{i}")) for i in range(4)], 0.25)
+    rows = lens.flat_boxes(spark).select("t", *[wide[i][k].alias(f"{'xy'[k]}{i}") for i in range(4) for k in range(2)])
+    points = [(F.col(f"x{i}"), F.col(f"y{i}")) for i in range(4)]
+    bounds = dict(zip(("left", "top", "right", "bottom"), G.crop_bounds(points, 16, 10), strict=True))
+    names = [f"{c}{i}" for i in range(4) for c in "xy"]
+    return rows.select("t", *[F.round(c, 6).alias(c) for c in names], *[F.round(v, 6).alias(f"side{i}") for i, v in enumerate(G.side_lengths(points))], G.round_up_to_ten(F.round(G.extent(points), 6)).alias("size"), *[v.alias(n) for n, v in bounds.items()])
+
+
+@_query(
+    "either_box",
+    f"""{E}, {lens.BOXES_SQL}, z AS (SELECT t, CASE WHEN ok THEN angle END AS angle, CASE WHEN ok THEN cx END AS cx, CASE WHEN ok THEN cy END AS cy, ok FROM (SELECT *, ((t - {lens.ORIGIN}) // {lens.DAY}) % 5 < 3 AS ok FROM b)),
+n AS (SELECT *, lead(t) OVER (ORDER BY t) AS hi, row_number() OVER (ORDER BY t) AS k FROM z),
+m AS (SELECT e.t, x, y, n.k, n.t AS lo, hi, CASE WHEN e.t <= n.t OR hi IS NULL THEN n.k ELSE n.k + 1 END AS k2 FROM e JOIN n ON (e.t > n.t OR n.k = 1) AND (e.t <= n.hi OR n.hi IS NULL)),
+q AS (SELECT m.t, m.x, m.y, CASE WHEN m.k = m.k2 THEN 0.0 ELSE (m.t - lo) / (m.hi - lo) END AS w, a.ok AS o1, c.ok AS o2, a.angle AS a1, c.angle AS a2, a.cx AS x1, c.cx AS x2, a.cy AS y1, c.cy AS y2,
+  CASE WHEN c.angle - a.angle > 180 THEN -360 WHEN c.angle - a.angle < -180 THEN 360 ELSE 0 END AS turn FROM m JOIN n a ON a.k = m.k JOIN n c ON c.k = m.k2)
+SELECT t, x, y, {', '.join(f'round(CASE WHEN o1 AND o2 THEN {both} WHEN o1 THEN {one} WHEN o2 THEN {two} END, 6) AS {name}' for name, both, one, two in (('angle', 'a1 + w * (a2 + turn - a1)', 'a1', 'a2'), ('cx', '(1 - w) * x1 + w * x2', 'x1', 'x2'), ('cy', '(1 - w) * y1 + w * y2', 'y1', 'y2')))} FROM q""",
+)
+def either_box(spark, sf_dir):
+    return rounded(roi.with_either_box(lens.events(spark, sf_dir).select("t", "x", "y"), lens.gappy_boxes(spark)).select("t", "x", "y", "angle", "cx", "cy"), angle=6, cx=6, cy=6)
+
+
+@_query("strided_parts", f"{E} SELECT t, x, y, ((row_number() OVER (ORDER BY t) - 1) % 7)::INT AS part FROM e")
+def strided_parts(spark, sf_dir):
+    return ordered.strided(lens.events(spark, sf_dir).select("t", "x", "y"), 7, "t")
+
+
+@_query("union_of_clocks", f"{E} SELECT t - {lens.ORIGIN} AS t, x, y, p, 'shifted' AS source FROM e WHERE p > 0 UNION ALL SELECT t, x, y, p, NULL FROM e WHERE p = 0")
+def union_of_clocks(spark, sf_dir):
+    rows = lens.events(spark, sf_dir).select("t", "x", "y", "p")
+    on = rows.where("p > 0").withColumn("t", P.shifted_clock(F.col("t"), F.lit(lens.ORIGIN))).withColumn("source", F.lit("shifted"))
+    return ordered.union_all([on, rows.where("p = 0")])
+
+
+@_query("subsample_size", f"{E} SELECT least(count(*), 700)::BIGINT AS n, 1 AS inside FROM e")
+def subsample_size(spark, sf_dir):
+    rows = lens.events(spark, sf_dir).select("t", "x", "y", "p")
+    some = ordered.subsample(rows, 700, 3)
+    return some.agg(F.count("*").alias("n")).crossJoin(some.join(rows, rows.columns, "left_anti").agg((F.count("*") == 0).cast("int").alias("inside")))
+
+
+@_query(
+    "interval_analysis",
+    f"{TAU} SELECT count(*) AS n, round(avg(tau / 1e6), 3) AS mean, round(1 / (avg(1e6 / tau) - 1 / avg(tau / 1e6)), 3) AS shape, count(DISTINCT (x, y)) AS pixels FROM i",
+)
+def interval_analysis(spark, sf_dir):
+    fitted, _ = intervals.interval_analysis(lens.events(spark, sf_dir).select("t", "x", "y", "p"), 10)
+    return rounded(fitted.select("n", (F.col("mean") / 1e6).alias("mean"), (F.col("shape") / 1e6).alias("shape"), "pixels"), mean=3, shape=3)
+
+
+@_query("needed_frames", f"{_LUM} SELECT frame_idx, count(*) AS pixels FROM f WHERE frame_idx IN (SELECT a FROM j UNION SELECT b FROM j) GROUP BY frame_idx")
+def needed_frames(spark, sf_dir):
+    pixels = lens.pixels(spark, sf_dir)
+    near = asof.asof_bracket(lens.events(spark, sf_dir), pixels.select("frame_idx", "t").distinct()).select(F.col("prev.frame_idx").alias("_a"), F.col("next.frame_idx").alias("_b"))
+    return calibration.needed_frames(near, pixels).groupBy("frame_idx").agg(F.count("*").alias("pixels"))
+
+
+@_query("cloud_distance")
+def cloud_distance(spark, sf_dir):
+    rows = lens.events(spark, sf_dir)
+    value = cloud.cloud_distance(rows.where("p = 1"), rows.where("p = 0"), blur=0.05, scaling=0.5, points=3000)
+    return spark.createDataFrame([(value,)], "distance double")
+
+
+@_query("parameter_search")
+def parameter_search(spark, sf_dir):
+    real = lens.events(spark, sf_dir).select("t", "x", "y", "p")
+    return cloud.simulated_distances(_full_frames(spark, sf_dir), real, 4, fill=50.0)
+
+
+_LEVEL = "0.5 + sign(a.level - 0.5) * greatest(abs(a.level - 0.5) - 1e-12 * (b.t - a.t), 0)"
+
+
+@_query(
+    "accumulator_map",
+    f"""{E}, l AS (SELECT x, y, list({{'level': 0.5::DOUBLE, 't': t, 'p': p::INT}} ORDER BY t, p) AS l FROM e GROUP BY x, y),
+r AS (SELECT x, y, list_reduce(list_concat([{{'level': 0.5::DOUBLE, 't': l[1].t, 'p': -1}}], l), lambda a, b: {{'level': least(1.0, greatest(0.0, {_LEVEL} + CASE WHEN b.p > 0 THEN 0.25 ELSE -0.25 END))::DOUBLE, 't': b.t, 'p': b.p}}) AS r FROM l)
+SELECT x, y, round(r.level, 9) AS level, r.t AS t FROM r""",
+)
 def accumulator_map(spark, sf_dir):
-    return streams.accumulate(lens.events(spark, sf_dir), decay=1e-12)
+    return rounded(streams.accumulate(lens.events(spark, sf_dir), decay=1e-12), level=9)
 
 
 def _full_frames(spark, sf_dir):
@@ -472,7 +618,4 @@ def _full_frames(spark, sf_dir):
 
 @_query("dvs_events")
 def dvs_events(spark, sf_dir):
-    rows = _full_frames(spark, sf_dir)
-    grid = rows.select("x", "y").distinct().crossJoin(F.broadcast(rows.select("frame_idx", "t").distinct()))
-    full = grid.join(rows.select("frame_idx", "x", "y", "lum"), ["frame_idx", "x", "y"], "left").select("frame_idx", "t", "x", "y", F.coalesce("lum", F.lit(50.0)).alias("lum"))
-    return simulate.dvs_events(full, "DVS346", seed=1)
+    return simulate.dvs_events(_full_frames(spark, sf_dir), "DVS346", seed=1, fill=50.0)

@@ -67,3 +67,26 @@ def _corner_sql(i: int, dx: int, dy: int) -> str:
 
 BOXES_SQL = f"""b AS (SELECT t, angle, cx, cy, {', '.join(_corner_sql(i, dx, dy) for i, (dx, dy) in enumerate(((-4, 3), (4, 3), (4, -3), (-4, -3))))} FROM
   (SELECT {ORIGIN} + d * {DAY} AS t, ((d * 40 + 180) % 360 - 180)::DOUBLE AS angle, (8 + d % 3)::DOUBLE AS cx, (5 + d % 2)::DOUBLE AS cy FROM range({BOX_DAYS}) r(d)))"""
+
+
+LEVELS = 20
+
+
+def fits(spark: SparkSession) -> DataFrame:
+    """Bucket fits of a sensor with k1 = 5, k2 = 20, k4 = 1e-7, k5 = 5e-9 and waves in place of noise: LEVELS luminances times LEVELS changes."""
+    p, i, j = F.col("id") % 2, F.floor(F.col("id") / 2) % LEVELS, F.floor(F.col("id") / (2 * LEVELS))
+    rows = spark.range(2 * LEVELS * LEVELS).select(p.cast("tinyint").alias("p"), (1 + i * 5.0).alias("l"), (j * 4.0 - 38).alias("d"), (1 + F.sin(7 * i + 13 * j + p) / 50).alias("wave"), (200 + (i * 37 + j * 101) % 1800).cast("long").alias("count"))
+    mu = (5.0 * F.col("d") / 16667 / (F.col("l") + 20) + 1e-7 + 5e-9 * F.col("l")) * F.col("wave")
+    return rows.select("p", (F.col("l") - 0.5).alias("mean_min"), (F.col("l") + 0.5).alias("mean_max"), (F.col("d") - 0.5).alias("diff_min"), (F.col("d") + 0.5).alias("diff_max"), mu.alias("mu"), "count")
+
+
+FITS_SQL = f"""fits AS (SELECT p, l - 0.5 AS mean_min, l + 0.5 AS mean_max, d - 0.5 AS diff_min, d + 0.5 AS diff_max, (5.0 * d / 16667 / (l + 20) + 1e-7 + 5e-9 * l) * wave AS mu, count FROM
+  (SELECT (id % 2)::TINYINT AS p, 1 + i * 5.0::DOUBLE AS l, j * 4.0::DOUBLE - 38 AS d, 1 + sin(7 * i + 13 * j + id % 2) / 50 AS wave, 200 + (i * 37 + j * 101) % 1800 AS count FROM
+  (SELECT id, (id // 2) % {LEVELS} AS i, id // {2 * LEVELS} AS j FROM range({2 * LEVELS * LEVELS}) r(id))))"""
+
+
+def gappy_boxes(spark: SparkSession) -> DataFrame:
+    """boxes with nothing detected on every fifth day and the one before it."""
+    day = F.expr(f"(t - {ORIGIN}) div {DAY}") % 5
+    seen = day < 3
+    return boxes(spark).select("t", *[F.when(seen, F.col(c)).alias(c) for c in ("polygon", "angle", "center")])

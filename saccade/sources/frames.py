@@ -1,27 +1,46 @@
-"""Frame, metadata and event files: Python data sources and readers."""
+"""Frame, metadata and event files: Python data sources and readers.
+
+Files are opened with ``pyarrow.fs`` by the tasks, in any file system that it reaches; a path without a scheme is a local one.
+"""
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
-from urllib.parse import urlparse
+import traceback
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import schema as S
+from ..functions import pixels as P
 
 FRAMES_PER_TASK = 32
+RECORDS_PER_TASK = 1_000_000
+
+
+def _at(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+
+
+def _open(path: str) -> pa.NativeFile:
+    """The file at path, for reading at any place."""
+    fs, name = _at(path)
+    return fs.open_input_file(name)
 
 
-def _local(path: str) -> str:
-    parsed = urlparse(path)
-    if parsed.scheme not in ("", "file"):
-        raise ValueError("raw frame and metadata files are read from a file system that all executors mount")
-    return parsed.path if parsed.scheme else path
+def _npy_header(file) -> tuple[tuple[int, ...], np.dtype, int]:
+    """Shape, type and begin of the data of an .npy file in row-major order."""
+    version = np.lib.format.read_magic(file)
+    shape, fortran, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(file)
+    if fortran:
+        raise ValueError("column-major stacks are not read")
+    return shape, kind, file.tell()
 
 
 class FrameRange(InputPartition):
@@ -48,15 +67,20 @@ class RawFrames(DataSource):
 
 class _RawReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path = _local(options["path"])
-        self.npy = self.path.endswith(".npy")
-        if self.npy:
-            stack = np.load(self.path, mmap_mode="r")
-            self.n, self.height, self.width = stack.shape[:3]
-        else:
-            self.height, self.width, channels = int(options["height"]), int(options["width"]), int(options.get("channels", 1))
+        self.path, channels = options["path"], int(options.get("channels", 1))
+        self.begin = 0
+        with _open(self.path) as file:
+            if self.path.endswith(".npy"):
+                shape, kind, self.begin = _npy_header(file)
+                wanted = np.dtype("<u2") if channels == 1 else np.dtype(np.uint8)
+                if kind != wanted or len(shape) != (3 if channels == 1 else 4) or (channels > 1 and shape[3] != channels):
+                    raise ValueError(f"{self.path} holds {kind} of shape {shape}, not frames of {channels} channel(s) of {wanted}")
+                self.n, self.height, self.width = shape[:3]
+            else:
+                self.height, self.width = int(options["height"]), int(options["width"])
             self.size = self.height * self.width * (2 if channels == 1 else channels)
-            self.n = os.path.getsize(self.path) // self.size
+            if not self.begin:
+                self.n = file.size() // self.size
 
     def partitions(self):
         return [FrameRange(self.path, i, min(i + FRAMES_PER_TASK, self.n)) for i in range(0, self.n, FRAMES_PER_TASK)]
@@ -64,13 +88,9 @@ class _RawReader(DataSourceReader):
     def read(self, part: FrameRange) -> Iterator[pa.RecordBatch]:
         if part is None:
             return
-        if self.npy:
-            stack = np.load(self.path, mmap_mode="r")
-            frames = [np.ascontiguousarray(stack[i]).tobytes() for i in range(part.first, part.last)]
-        else:
-            with open(part.path, "rb") as f:
-                f.seek(part.first * self.size)
-                frames = [f.read(self.size) for _ in range(part.first, part.last)]
+        with _open(part.path) as file:
+            file.seek(self.begin + part.first * self.size)
+            frames = [file.read(self.size) for _ in range(part.first, part.last)]
         n = len(frames)
         yield pa.RecordBatch.from_arrays([pa.array(range(part.first, part.last), pa.int32()), pa.array([self.height] * n, pa.int32()), pa.array([self.width] * n, pa.int32()), pa.array(frames, pa.binary())], names=["frame_idx", "height", "width", "px"])
 
@@ -91,15 +111,26 @@ class Metadata(DataSource):
 
 class _MetadataReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.layout = _local(options["path"]), options.get("layout", "sensor_real")
+        self.path, self.layout = options["path"], options.get("layout", "sensor_real")
         if self.layout not in ("sensor_real", "sensor_only"):
             raise ValueError(f"unknown layout {self.layout!r}")
+        self.size = 38 if self.layout == "sensor_real" else 8
+        with _open(self.path) as file:
+            self.n = file.size() // self.size
 
-    def read(self, part) -> Iterator[tuple]:
-        kind = np.dtype([("s", "<f8"), ("r", "S30")]) if self.layout == "sensor_real" else np.dtype([("s", "<f8")])
-        rows = np.fromfile(self.path, kind)
-        for i, row in enumerate(rows):
-            yield i, float(row["s"]), row["r"].decode("ascii").strip("\x00 ") if self.layout == "sensor_real" else None
+    def partitions(self):
+        return [FrameRange(self.path, i, min(i + RECORDS_PER_TASK, self.n)) for i in range(0, self.n, RECORDS_PER_TASK)]
+
+    def read(self, part: FrameRange) -> Iterator[pa.RecordBatch]:
+        if part is None:
+            return
+        with _open(part.path) as file:
+            file.seek(part.first * self.size)
+            raw = file.read((part.last - part.first) * self.size)
+        full = self.layout == "sensor_real"
+        rows = np.frombuffer(raw, np.dtype([("s", "<f8"), ("r", "S30")]) if full else np.dtype([("s", "<f8")]))
+        texts = pa.array(np.char.strip(np.char.decode(rows["r"], "ascii"), "\x00 ")) if full else pa.nulls(len(rows), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(part.first, part.last, dtype=np.int32)), pa.array(rows["s"].copy()), texts.cast(pa.string())], names=["frame_idx", "sensor_ts", "real_ts"])
 
 
 def register(spark: SparkSession) -> None:
@@ -118,16 +149,48 @@ def real_time_us(text):
 
 
 def read_metadata(spark: SparkSession, path: str, layout: str = "sensor_real") -> DataFrame:
-    """frame_idx, sensor_ts, real_ts, real_us from .dat; of .csv and .txt files the table with header. Others are an error."""
+    """frame_idx, sensor_ts, real_ts, real_us from .dat; the named columns, with frame_idx, of .npy, .csv and .txt files. Others are an error.
+
+    Columns of text files get the types that their values have.
+    """
     if path.endswith(".dat"):
         register(spark)
         rows = spark.read.format("framemetadata").options(path=path, layout=layout).load()
         return rows.withColumn("real_us", real_time_us(F.col("real_ts")))
     if path.endswith((".csv", ".txt")):
-        return spark.read.option("header", True).option("inferSchema", False).csv(path)
+        return spark.read.option("header", True).option("inferSchema", True).option("ignoreLeadingWhiteSpace", True).csv(path)
+    if path.endswith(".npy"):
+        return _npy_records(spark, path)
     raise ValueError(f"unknown metadata type: {path}")
 
 
+def _npy_records(spark: SparkSession, path: str) -> DataFrame:
+    """frame_idx and the fields of a structured array of numbers and texts."""
+    with _open(path) as file:
+        shape, kind, begin = _npy_header(file)
+    if kind.names is None:
+        raise ValueError("metadata has no named fields")
+    schema = "frame_idx int, " + ", ".join(f"`{n}` {'string' if kind[n].kind in 'SU' else 'double' if kind[n].kind == 'f' else 'long'}" for n in kind.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in batch.column(0).to_pylist():
+                n = min(RECORDS_PER_TASK, shape[0] - first)
+                with _open(path) as file:
+                    file.seek(begin + first * kind.itemsize)
+                    rows = np.frombuffer(file.read(n * kind.itemsize), kind)
+                columns = [pa.array(np.arange(first, first + n, dtype=np.int32))]
+                for name in kind.names:
+                    value = np.ascontiguousarray(rows[name])
+                    if kind[name].kind == "S":
+                        value = np.char.strip(np.char.decode(value, "ascii"), "\x00 ")
+                    text = kind[name].kind in "SU"
+                    columns.append(pa.array(value.tolist(), pa.string()) if text else pa.array(value.astype(float if kind[name].kind == "f" else np.int64)))
+                yield pa.RecordBatch.from_arrays(columns, names=["frame_idx", *kind.names])
+
+    return spark.range(0, shape[0], RECORDS_PER_TASK).mapInArrow(run, schema)
+
+
 def timestamps(metadata: DataFrame) -> DataFrame:
     """t of metadata, truncated to whole numbers: SensorTimestamp, sensor_ts or timestamp, whichever comes first."""
     for name in ("SensorTimestamp", "sensor_ts", "timestamp"):
@@ -156,10 +219,67 @@ def with_times(frames: DataFrame, metadata: DataFrame) -> DataFrame:
     return frames.join(metadata.select("frame_idx", F.col("sensor_ts").cast("long").alias("t")), "frame_idx")
 
 
+def _session(path: Column) -> Column:
+    return F.regexp_extract(path, "([^/]+)/[^/]+$", 1)
+
+
+def _listed(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """path of the files below folder that are not empty; their content is not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).select("path")
+
+
+def scan_sessions(spark: SparkSession, folder: str, schema=S.EVENTS_WITH_LUMINANCE) -> DataFrame:
+    """The rows of all Parquet files below folder with session (the file's folder), path and error.
+
+    A file that cannot be read gives one row with its error and null columns, besides what was read of it before.
+    """
+    names = [f.name for f in schema]
+    arrow = pa.schema([(f.name, _ARROW[f.dataType.simpleString()]) for f in schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(path: str, table: pa.RecordBatch | None, error: str | None) -> pa.RecordBatch:
+            n = 1 if table is None else table.num_rows
+            columns = [pa.nulls(n, f.type) if table is None else table.column(f.name).cast(f.type) for f in arrow]
+            return pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array([error] * n, pa.string()), *columns], names=["path", "error", *names])
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                try:
+                    with _open(path) as file:
+                        for part in pq.ParquetFile(file).iter_batches(columns=names):
+                            yield row(path, part, None)
+                except Exception as e:  # one bad file must not end the scan; it becomes a row
+                    yield row(path, None, f"{type(e).__name__}: {e}")
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
+    files = _listed(spark, folder, "*.parquet")
+    rows = files.repartition(spark.sparkContext.defaultParallelism * 4, "path").mapInArrow(run, f"path string, error string, {fields}")
+    return rows.withColumn("session", _session(F.col("path")))
+
+
+_ARROW = {"tinyint": pa.int8(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
+
+
 def read_sessions(spark: SparkSession, folder: str, schema=S.EVENTS_WITH_LUMINANCE) -> DataFrame:
-    """All Parquet files below folder with session, the file's folder; corrupt files are skipped."""
+    """All Parquet files below folder with session, the file's folder; corrupt files are skipped (scan_sessions names them)."""
     rows = spark.read.schema(schema).option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("pathGlobFilter", "*.parquet").parquet(folder)
-    return rows.withColumn("session", F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1))
+    return rows.withColumn("session", _session(F.col("_metadata.file_path")))
+
+
+def by_session(rows: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str = "session") -> DataFrame:
+    """work's rows (schema) for each session, with key and error; a session whose work fails gives one row with its error instead.
+
+    work gets all rows of a session, so it is for per-session summaries and reports, not for raw events.
+    """
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def run(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return work(pdf)[names].assign(**{key: keys[0], "error": None})
+        except Exception as e:  # isolated: the other sessions go on
+            return pd.DataFrame({**{n: [None] for n in names}, key: [keys[0]], "error": ["".join(traceback.format_exception_only(e)).strip()]})
+
+    return rows.groupBy(key).applyInPandas(run, f"{schema}, {key} {rows.schema[key].dataType.simpleString()}, error string")
 
 
 # fixed values: parts of the names of a session's files
@@ -168,14 +288,15 @@ ROLES = {"events": "dv_output", "metadata": "metadata", "rgb": "rgb_frames", "ra
 
 def session_files(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
     """role, path, session of the four files of a recording; a missing role is an error."""
-    names = sorted(os.listdir(_local(folder)))
-    found = {}
+    fs, base = _at(folder)
+    files = sorted((f.base_name, f.path) for f in fs.get_file_info(pafs.FileSelector(base)) if f.is_file)
+    found = []
     for role, part in ROLES.items():
-        match = [n for n in names if part in n and os.path.splitext(n)[0].endswith(suffix)]
-        if not match:
+        match = next((path for name, path in files if part in name and name.rsplit(".", 1)[0].endswith(suffix)), None)
+        if match is None:
             raise FileNotFoundError(f"no {role} file for {suffix!r} in {folder}")
-        found[role] = os.path.join(folder, match[0])
-    return spark.createDataFrame([(role, path, suffix) for role, path in found.items()], "role string, path string, session string")
+        found.append((role, match, suffix))
+    return spark.createDataFrame(found, "role string, path string, session string")
 
 
 def read_events(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
@@ -189,32 +310,64 @@ def read_events(spark: SparkSession, path: str, most: int | None = None) -> Data
     return events.limit(most) if most is not None else events
 
 
-def _aedat4(spark: SparkSession, path: str) -> DataFrame:
+def _recordings(spark: SparkSession, path: str, read: Callable, schema) -> DataFrame:
+    """What read yields for the recordings that path (a file, folder or pattern) names, one task a file: the format has no index to split by."""
     try:
-        import dv_processing as dv
+        import dv_processing  # noqa: F401
     except ImportError as e:
         raise RuntimeError("AEDAT4 files need the dv_processing library; convert to Parquet or text elsewhere") from e
-    del dv
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import dv_processing as dv
 
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                reader = dv.io.MonoCameraRecording(name)
-                while reader.isRunning():
-                    part = reader.getNextEventBatch()
-                    if part is not None:
-                        e = part.numpy()
-                        yield pa.RecordBatch.from_arrays([pa.array(e["timestamp"].astype("int64")), pa.array(e["x"].astype("int32")), pa.array(e["y"].astype("int32")), pa.array(e["polarity"].astype("int8"))], names=["t", "x", "y", "p"])
+                yield from read(dv.io.MonoCameraRecording(name.removeprefix("file:")))
+
+    files = _listed(spark, path, "*")
+    return files.repartition(max(1, files.count()), "path").mapInArrow(run, schema)
+
+
+def _aedat4(spark: SparkSession, path: str) -> DataFrame:
+    def read(recording) -> Iterator[pa.RecordBatch]:
+        while recording.isEventStreamAvailable() and (part := recording.getNextEventBatch()) is not None and len(part):
+            e = part.numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(e["timestamp"].astype("int64")), pa.array(e["x"].astype("int32")), pa.array(e["y"].astype("int32")), pa.array(e["polarity"].astype("int8"))], names=["t", "x", "y", "p"])
+
+    return _recordings(spark, path, read, S.EVENTS)
+
+
+def read_recorded_frames(spark: SparkSession, path: str) -> DataFrame:
+    """frame_idx, t, height, width, px (one byte a pixel) of the frames in AEDAT4 files; color images become gray."""
+
+    def read(recording) -> Iterator[pa.RecordBatch]:
+        index = 0
+        while recording.isFrameStreamAvailable() and (frame := recording.getNextFrame()) is not None:
+            image = np.asarray(frame.image)
+            if image.ndim == 3:
+                image = np.floor(image[..., :3].astype(float) @ np.array(P.LUMA[::-1]) + 0.5)  # blue, green, red
+            image = np.ascontiguousarray(image.astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([index], pa.int32()), pa.array([int(frame.timestamp)], pa.int64()), pa.array([image.shape[0]], pa.int32()), pa.array([image.shape[1]], pa.int32()), pa.array([image.tobytes()])], names=["frame_idx", "t", "height", "width", "px"])
+            index += 1
+
+    return _recordings(spark, path, read, "frame_idx int, t bigint, height int, width int, px binary")
 
-    return spark.createDataFrame([(_local(path),)], "path string").mapInArrow(run, S.EVENTS)
 
+#: Columns of fit results as other tools name them.
+FIT_NAMES = {"P": "p", "MeanMin": "mean_min", "MeanMax": "mean_max", "DiffMin": "diff_min", "DiffMax": "diff_max", "MuHat": "mu_hat", "LambdaHat": "lambda_hat", "Mu": "mu", "Sigma": "sigma", "Count": "count"}
 
-def write_event_text(events: DataFrame, path: str) -> None:
-    """Events as lines of four integers, ordered by t, in one file."""
+
+def read_fits(spark: SparkSession, path: str) -> DataFrame:
+    """Fit results from CSV with header, under either naming; columns that the file lacks are null."""
+    rows = spark.read.option("header", True).csv(path)
+    rows = rows.withColumnsRenamed({k: v for k, v in FIT_NAMES.items() if k in rows.columns})
+    return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast("double").cast(f.dataType).alias(f.name) for f in S.FITS])
+
+
+def write_event_text(events: DataFrame, path: str, one_file: bool = True) -> None:
+    """Events as lines of four integers, ordered by t; in one file, or in files whose order is that of their names."""
     rows = events.select(*[F.col(c).cast("long") for c in ("t", "x", "y", "p")]).orderBy("t", "x", "y", "p")
-    rows.coalesce(1).write.mode("overwrite").option("sep", " ").csv(path)
+    (rows.coalesce(1) if one_file else rows).write.mode("overwrite").option("sep", " ").csv(path)
 
 
 def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
@@ -249,3 +402,59 @@ def detect(frames: DataFrame, detector) -> DataFrame:
             yield pd.DataFrame(rows, columns=["t", "tag_id", "corners"])
 
     return frames.select("t", "height", "width", "px").mapInPandas(run, schema)
+
+
+def record(stream: DataFrame, path: str, checkpoint: str, most: int | None = None, gray: bool = False):
+    """Starts a query that records a stream of packed frames (frame_idx, sensor_ts, height, width, px of 16 bits).
+
+    path gets frames (Parquet) and metadata (CSV with FrameIndex and SensorTimestamp). most: frames with frame_idx below it only.
+    gray also keeps each frame in 8 bits. Batches are written under their number, so a repeated batch replaces itself.
+    """
+
+    def eight(px: pd.Series) -> pd.Series:
+        return px.map(lambda raw: (np.frombuffer(raw, "<u2").astype(np.uint32) * 255 // 1023).astype(np.uint8).tobytes())
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = batch if most is None else batch.where(F.col("frame_idx") < most)
+        if gray:
+            rows = rows.withColumn("gray", F.pandas_udf(eight, "binary")("px"))
+        rows.write.mode("overwrite").parquet(f"{path}/frames/batch={number}")
+        rows.select(F.col("frame_idx").alias("FrameIndex"), F.col("sensor_ts").alias("SensorTimestamp")).write.mode("overwrite").option("header", True).csv(f"{path}/metadata/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+
+
+def rotated_crops(frames: DataFrame) -> DataFrame:
+    """t, left, top, height, width, px: each frame turned about center by angle and cut to its polygon's bounds there.
+
+    frames: t, height, width, px (16 bits), polygon, angle, center; no polygon, no crop. Pixels are interpolated linearly, outside is 0.
+    """
+    schema = "t bigint, left int, top int, height int, width int, px binary"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [_crop(f) for f in pdf.itertuples()]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return frames.where("polygon is not null").select("t", "height", "width", "px", "polygon", "angle", "center").mapInPandas(run, schema)
+
+
+def _crop(f) -> tuple:
+    a, cx, cy = np.radians(f.angle), f.center["x"], f.center["y"]
+    cos, sin = np.cos(a), np.sin(a)
+    corners = np.array([(p["x"], p["y"]) for p in f.polygon]) - (cx, cy)
+    turned = np.stack([corners[:, 0] * cos + corners[:, 1] * sin + cx, -corners[:, 0] * sin + corners[:, 1] * cos + cy], 1)
+    left, top = np.maximum(turned.min(0), 0).astype(int)
+    right, bottom = np.minimum(turned.max(0), (f.width, f.height)).astype(int)
+    height, width = max(0, bottom - top), max(0, right - left)
+    y, x = np.mgrid[top : top + height, left : left + width]
+    sx, sy = (x - cx) * cos - (y - cy) * sin + cx, (x - cx) * sin + (y - cy) * cos + cy
+    # a border of zeros around the image
+    image = np.zeros((f.height + 2, f.width + 2))
+    image[1:-1, 1:-1] = np.frombuffer(f.px, "<u2").reshape(f.height, f.width)
+    sx, sy = np.clip(sx, -1, f.width), np.clip(sy, -1, f.height)
+    ix, iy = np.minimum(np.floor(sx).astype(int), f.width - 1), np.minimum(np.floor(sy).astype(int), f.height - 1)
+    fx, fy = sx - ix, sy - iy
+    at = lambda dy, dx: image[iy + 1 + dy, ix + 1 + dx]
+    value = (at(0, 0) * (1 - fx) + at(0, 1) * fx) * (1 - fy) + (at(1, 0) * (1 - fx) + at(1, 1) * fx) * fy
+    return f.t, int(left), int(top), height, width, np.rint(value).astype("<u2").tobytes()

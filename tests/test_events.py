@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from saccade import params, schema
 from saccade.functions import geometry as G
 from saccade.functions import pixels as P
 from saccade.functions import random as R
-from saccade.operators import asof, calibration, cloud, frames, histogram, intervals, regression, roi, simulate, spectrum, voxel
+from saccade.operators import asof, calibration, cloud, frames, histogram, intervals, ordered, regression, roi, simulate, spectrum, voxel
 from saccade.plans import catalog, lens
 from saccade.sources import frames as sources
 from saccade.streaming import events as streams
@@ -425,3 +426,251 @@ def test_simulator_names_pixels_it_cannot_finish():
     state, o = simulate.State(np.zeros(2), 10**15, np.zeros(2)), simulate.Options(params.Sensor(1e9, 1e-7, 1e-4, 1e-7, 1e-9, 1e-4))
     with pytest.raises(ValueError, match=r"frame 7.*\[\(5, 6\)\]"):
         simulate.step(state, np.array([0.0, 100.0]), 10**15 + 8333, np.array([4, 5]), np.array([6, 6]), 0, 7, o)
+
+
+def test_asof_over_a_long_gap(spark):
+    times = [i * 8333 for i in range(50)] + [3 * 10**13 + i * 8333 for i in range(50)]
+    facts = [5, 8333 * 20 + 1, 10**12, 3 * 10**13 - 1, 3 * 10**13 + 8333 * 7 + 4]
+    f, d = spark.createDataFrame([(t,) for t in facts], "t long"), boxes(spark, times)
+    got = {r.t: (r.prev.t, r.next.t) for r in asof.asof_interpolated(f, d).collect()}
+    want = {t: (max(x for x in times if x <= t), min(x for x in times if x > t)) for t in facts}
+    assert got == want
+    assert {r.t: (r.prev.t, r.next.t) for r in asof.asof_bracket(f, d).collect()} == want
+    assert {r.t: (r.prev.t, r.next.t) for r in asof.asof_left(f, d).collect()} == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_asof_of_uneven_rows(spark, seed):
+    rng = random.Random(seed)
+    dim = [(k, int(10 ** rng.uniform(0, 9)), 1.0) for k in "ab" for _ in range(60)]
+    facts = [(rng.choice("abc"), int(10 ** rng.uniform(0, 9.3))) for _ in range(300)] + [("a", None)]
+    f, d = spark.createDataFrame(facts, "k string, t long"), spark.createDataFrame(dim, "k string, t long, v double")
+    times = {k: sorted({t for j, t, _ in dim if j == k}) for k in "ab"}
+    want = []
+    for k, t in facts:
+        if k in times and t is not None:
+            i = int(np.searchsorted(times[k], t, "right"))
+            want.append((k, t, times[k][max(i - 1, 0)], times[k][min(i, len(times[k]) - 1)]))
+    got = asof.asof_interpolated(f, d, ["k"], how="left").select("k", "t", F.col("prev.t").alias("a"), F.col("next.t").alias("b")).collect()
+    assert sorted(tuple(r) for r in got if r.a is not None) == sorted(want)
+    assert len(got) == len(facts)
+
+
+def test_order_across_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "WINDOW_ROWS", 40)
+    rng = random.Random(2)
+    values_ = rng.sample(range(10**6), 300)
+    df = spark.createDataFrame([(v, v % 3) for v in values_], "t long, k long")
+    ranked = sorted(values_)
+    assert {r.t: r.idx for r in ordered.numbered(df, "t").collect()} == {v: i + 1 for i, v in enumerate(ranked)}
+    assert {(r.t, r.part) for r in ordered.strided(df, 7, "t").collect()} == {(v, i % 7) for i, v in enumerate(ranked)}
+    for keys in ([], ["k"]):
+        for r in ordered.neighbours(df, "t", keys).collect():
+            own = ranked if not keys else [v for v in ranked if v % 3 == r.k]
+            i = own.index(r.cur.t)
+            assert (r.before.t if r.before else None, r.after.t if r.after else None) == (own[i - 1] if i else None, own[i + 1] if i + 1 < len(own) else None)
+    assert ordered.median(df, "t").first()[0] == pytest.approx(np.median(values_))
+    assert {r.k: r["median"] for r in ordered.median(df, "t", ("k",)).collect()} == {k: pytest.approx(np.median([v for v in values_ if v % 3 == k])) for k in range(3)}
+
+
+def test_subsample_and_union(spark):
+    df = spark.range(100)
+    some = {r.id for r in ordered.subsample(df, 10, 1).collect()}
+    assert len(some) == 10 and some == {r.id for r in ordered.subsample(df.repartition(7), 10, 1).collect()} and some != {r.id for r in ordered.subsample(df, 10, 2).collect()}
+    both = ordered.union_all([df, spark.createDataFrame([(5, "x")], "id long, s string")])
+    assert both.count() == 101 and both.where("s is null").count() == 100
+
+
+def test_either_box(spark):
+    rows = spark.createDataFrame([rotated_box(0, 10), rotated_box(100, 190), (200, None, None, None), (300, None, None, None), rotated_box(400, 40)], schema.BOXES)
+    events = spark.createDataFrame([(t, 0, 0, 1) for t in (-5, 0, 50, 100, 150, 250, 350, 400, 500)], schema.EVENTS)
+    got = {r.t: r.angle for r in roi.with_either_box(events, rows).collect()}
+    assert got == {-5: 10, 0: 10, 50: pytest.approx(100), 100: pytest.approx(190), 150: 190, 250: None, 350: 40, 400: 40, 500: 40}
+
+
+def test_inverse_gaussian_functions(spark):
+    from statistics import NormalDist
+
+    cases = [(0.5, 1.0, 2.0), (2.0, 1.0, 2.0), (1.0, 0.01, 50.0), (1e-3, 1e-3, 900.0), (3.0, 2.0, 1e4), (5.0, 40.0, 0.1)]
+    df = spark.createDataFrame(cases, "t double, m double, s double").select("t", "m", "s", P.inverse_gaussian_cdf(F.col("t"), F.col("m"), F.col("s")).alias("c"), P.inverse_gaussian_interval(F.col("t") / 2, F.col("t"), F.col("m"), F.col("s")).alias("i"))
+    for r in df.collect():
+        grid = np.linspace(1e-9, r.t, 400_001)
+        pdf = np.sqrt(r.s / (2 * np.pi * grid**3)) * np.exp(-r.s * (grid - r.m) ** 2 / (2 * r.m**2 * grid))
+        assert r.c == pytest.approx(np.trapezoid(pdf, grid), abs=2e-3) and 0 <= r.c <= 1
+        half = grid >= r.t / 2
+        assert r.i == pytest.approx(np.trapezoid(pdf[half], grid[half]), abs=2e-3)
+    p = [1e-6, 0.01, 0.3, 0.5, 0.9, 0.99999, 0.0, 1.0]
+    got = spark.createDataFrame([(v,) for v in p], "p double").select(P.normal_quantile(F.col("p")).alias("z")).collect()
+    assert [r.z for r in got[:6]] == pytest.approx([NormalDist().inv_cdf(v) for v in p[:6]], abs=1e-6) and got[6].z is None and got[7].z is None
+
+
+def test_simulator_probes_in_batch_and_stream(spark, tmp_path):
+    """Every event of a pixel is drawn: the counts do not stop at a number of draws."""
+    bright = params.Sensor(100, 20, 1e-4, 1e-7, 5e-9, 1e-5)
+    for name, sensor, frames_, least, most in (("step", bright, [(0, 0, 20.0), (1, 8333, 240.0)], 140, 200), ("gap", params.preset("DVS346"), [(0, 0, 100.0), (1, 600_000_000, 100.0)], 340, 380)):
+        pixels = spark.createDataFrame([(i, t, 0, 0, v) for i, t, v in frames_], schema.PIXELS)
+        batch = sorted(values(simulate.dvs_events(pixels, sensor), "t", "p"))
+        assert least <= len(batch) <= most
+        pixels.coalesce(1).write.parquet(str(tmp_path / name))
+        q = streams.simulated_stream(streams.event_stream(spark, str(tmp_path / name), schema.PIXELS), sensor).writeStream.format("memory").queryName(f"probe_{name}").option("checkpointLocation", str(tmp_path / f"c_{name}")).start()
+        q.processAllAvailable()
+        q.stop()
+        assert sorted(values(spark.table(f"probe_{name}"), "t", "p")) == batch
+
+
+def test_events_of_one_time_stay(spark, tmp_path):
+    spark.createDataFrame([(4, 0, 0, 1), (4, 0, 0, 0), (4, 0, 0, 1), (2, 0, 0, 1)], schema.EVENTS).coalesce(1).write.parquet(str(tmp_path / "e"))
+    q = streams.only_later(streams.event_stream(spark, str(tmp_path / "e"), schema.EVENTS), "x, y").writeStream.format("memory").queryName("same").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(values(spark.table("same"), "t", "p")) == [(2, 1), (4, 0), (4, 1)]
+
+
+def test_accumulator_in_pieces(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(rng.randrange(10**6), rng.randrange(3), 0, rng.randrange(2)) for _ in range(300)] + [(5, 9, 9, 1)]
+    events = spark.createDataFrame(rows, schema.EVENTS)
+    want = {(r.x, r.y): (r.level, r.t) for r in streams.accumulate(events, until=2 * 10**6).collect()}
+    monkeypatch.setattr(streams, "PIECE", 30)
+    assert {(r.x, r.y): (pytest.approx(r.level), r.t) for r in streams.accumulate(events, until=2 * 10**6).collect()} == want
+
+
+def test_scan_names_broken_sessions(spark, tmp_path):
+    good = spark.createDataFrame([(1, 0, 0, 1, 1.0, 2.0, 5), (2, 0, 0, 1, 1.0, 2.0, 5)], schema.EVENTS_WITH_LUMINANCE)
+    good.coalesce(1).write.parquet(str(tmp_path / "s1"))
+    (tmp_path / "s2").mkdir()
+    (tmp_path / "s2" / "bad.parquet").write_bytes(b"not a table")
+    spark.createDataFrame([(1,)], "t long").coalesce(1).write.parquet(str(tmp_path / "s3"))
+    got = sources.scan_sessions(spark, str(tmp_path)).collect()
+    assert sorted((r.session, r.t) for r in got if r.error is None) == [("s1", 1), ("s1", 2)]
+    assert sorted(r.session for r in got if r.error) == ["s2", "s3"]
+
+    def work(pdf):
+        if pdf["n"].iloc[0] < 0:
+            raise ValueError("negative")
+        return pdf[["n"]] * 2
+
+    done = {r.session: (r.n, r.error) for r in sources.by_session(spark.createDataFrame([("a", 1), ("b", -1)], "session string, n long"), work, "n long").collect()}
+    assert done == {"a": (2, None), "b": (None, "ValueError: negative")}
+
+
+def test_more_metadata_and_fits(spark, tmp_path):
+    rows = np.array([(1.9, b"x"), (7.2, b"y")], np.dtype([("SensorTimestamp", "<f8"), ("RealTime", "S30")]))
+    np.save(tmp_path / "m.npy", rows)
+    got = sources.read_metadata(spark, str(tmp_path / "m.npy"))
+    assert [(r.frame_idx, r.SensorTimestamp, r.RealTime) for r in got.orderBy("frame_idx").collect()] == [(0, 1.9, "x"), (1, 7.2, "y")]
+    assert sorted(r.t for r in sources.timestamps(got).collect()) == [1, 7]
+    np.save(tmp_path / "raw.npy", np.zeros((2, 3, 4)))
+    with pytest.raises(Exception, match="float64"):
+        sources.read_frames(spark, str(tmp_path / "raw.npy"), 3, 4).collect()
+    (tmp_path / "fits.csv").write_text("P,MeanMin,MeanMax,DiffMin,DiffMax,Mu,Sigma,Count\n1,0.5,1.5,2,3,1e-5,0.1,300\n")
+    r = sources.read_fits(spark, str(tmp_path / "fits.csv")).first()
+    assert (r.p, r.mean_max, r.mu, r["count"], r.mu_hat) == (1, 1.5, 1e-5, 300, None)
+    fits = calibration.synthetic_fits(spark, 3).select("*", F.lit(None).cast("double").alias("mu_hat"), F.lit(None).cast("double").alias("lambda_hat")).select(*schema.FITS.names)
+    sources.write_table(fits, str(tmp_path / "own"), "csv")
+    assert sorted(map(tuple, sources.read_fits(spark, str(tmp_path / "own")).select("p", "count", "mu").collect())) == sorted(map(tuple, fits.select("p", "count", "mu").collect()))
+
+
+def test_recordings_through_a_stand_in(spark, tmp_path):
+    """AEDAT4 readers against a module of the library's name: the format itself needs the library."""
+    (tmp_path / "dv_processing.py").write_text(
+        "import numpy as np\n"
+        "class Frame:\n    def __init__(self, i): self.image = np.full((2, 3, 3) if i else (2, 3), 100 + i, np.uint8); self.timestamp = 10 * i\n"
+        "class Batch:\n    def __init__(self, i): self.rows = np.array([(i, 1, 2, 1)], [('timestamp', 'i8'), ('x', 'i2'), ('y', 'i2'), ('polarity', 'i1')])\n"
+        "    def numpy(self): return self.rows\n    def __len__(self): return len(self.rows)\n"
+        "class MonoCameraRecording:\n    def __init__(self, path): self.e, self.f = iter(range(3)), iter(range(2))\n"
+        "    def isEventStreamAvailable(self): return True\n    def isFrameStreamAvailable(self): return True\n"
+        "    def getNextEventBatch(self): return next((Batch(i) for i in self.e), None)\n    def getNextFrame(self): return next((Frame(i) for i in self.f), None)\n"
+        "class io: MonoCameraRecording = MonoCameraRecording\n"
+    )
+    (tmp_path / "a.aedat4").write_bytes(b"x")
+    sys.path.insert(0, str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "dv_processing.py"))
+    try:
+        assert sorted(values(sources.read_events(spark, str(tmp_path / "a.aedat4")), "t", "x", "y", "p")) == [(0, 1, 2, 1), (1, 1, 2, 1), (2, 1, 2, 1)]
+        got = sources.read_recorded_frames(spark, str(tmp_path / "a.aedat4")).orderBy("frame_idx").collect()
+        assert [(r.frame_idx, r.t, r.height, r.width, set(r.px)) for r in got] == [(0, 0, 2, 3, {100}), (1, 10, 2, 3, {101})]
+    finally:
+        sys.path.remove(str(tmp_path))
+        sys.modules.pop("dv_processing", None)
+
+
+def test_recorder(spark, tmp_path):
+    kind = "frame_idx int, sensor_ts double, height int, width int, px binary"
+    rows = [(i, 1.5 * i, 1, 2, np.array([i, 1023], "<u2").tobytes()) for i in range(5)]
+    spark.createDataFrame(rows, kind).coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = sources.record(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c"), most=4, gray=True)
+    q.processAllAvailable()
+    q.stop()
+    frames_ = spark.read.parquet(str(tmp_path / "out" / "frames")).orderBy("frame_idx").collect()
+    assert [(r.frame_idx, r.px, r.gray) for r in frames_] == [(i, rows[i][4], bytes([i * 255 // 1023, 255])) for i in range(4)]
+    assert spark.read.option("header", True).csv(str(tmp_path / "out" / "metadata")).where("FrameIndex = 3 and SensorTimestamp = 4.5").count() == 1
+
+
+def test_rotated_crops(spark):
+    image = np.arange(30 * 40, dtype="<u2").reshape(30, 40)
+    square = [(10.0, 20.0), (20.0, 20.0), (20.0, 10.0), (10.0, 10.0)]
+    kind = "t long, height int, width int, px binary, polygon array<struct<x:double,y:double>>, angle double, center struct<x:double,y:double>"
+    rows = [(0, 30, 40, image.tobytes(), square, 0.0, (15.0, 15.0)), (1, 30, 40, image.tobytes(), square, 90.0, (15.0, 15.0)), (2, 30, 40, image.tobytes(), None, None, None)]
+    got = {r.t: r for r in sources.rotated_crops(spark.createDataFrame(rows, kind)).collect()}
+    assert set(got) == {0, 1}
+    assert (np.frombuffer(got[0].px, "<u2").reshape(got[0].height, got[0].width) == image[10:20, 10:20]).all()
+    turned = np.frombuffer(got[1].px, "<u2").reshape(got[1].height, got[1].width)
+    assert got[1].left == got[1].top == 10
+    for y in range(got[1].height):
+        for x in range(got[1].width):
+            assert turned[y, x] == image[x + 10, 30 - (y + 10)]
+
+
+def test_distance_of_large_clouds(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    a, b = rng.random((400, 3)), rng.random((300, 3)) ** 1.3
+    events = [spark.createDataFrame([(int(t * 10**6), int(x * 1000), int(y * 1000), 1) for t, x, y in c], schema.EVENTS) for c in (a, b)]
+    exact = cloud.cloud_distance(*events, blur=0.05, scaling=0.5)
+    monkeypatch.setattr(cloud, "LOCAL_PAIRS", 1000)
+    assert cloud.cloud_distance(*events, blur=0.05, scaling=0.5) == pytest.approx(exact, rel=1e-9)
+    monkeypatch.setattr(cloud, "MOST_POINTS", 350)
+    assert cloud.cloud_distance(*events, blur=0.05, scaling=0.5) == pytest.approx(exact, rel=0.05)
+    near = [spark.createDataFrame([(0, 0, 0, 1), (10**6, 1000, 1000, 1), (int(5e5 + d), 500, 500, 1)], schema.EVENTS) for d in (0, 20_000)]
+    assert cloud.cloud_distance(*near) > 1e-5
+
+
+def test_simulated_distances(spark):
+    pixels = clip(spark, [50, 150, 60, 150], 12)
+    real = simulate.dvs_events(pixels, cloud.proposals(4, 3)[2], seed=3)
+    rows = {r.trial: r for r in cloud.simulated_distances(pixels, real, 4, seed=3).collect()}
+    assert set(rows) == set(range(4)) and abs(rows[2].distance) < 1e-6
+    assert all(r.distance == math.inf if r.events == 0 else r.distance > -1e-6 for r in rows.values())
+
+
+def test_simulator_against_a_plain_recursion(spark):
+    """One pixel after the other, event by event, with the same random numbers."""
+    o = simulate.Options(params.preset("DVS346"), 7)
+    levels = [50.0, 150.0, 20.0, 90.0, 90.0]
+    pixels = [(f, f * 8333, x, y, v + 3 * x + y) for f, v in enumerate(levels) for x in range(33) for y in range(2) if (f + x) % 6]
+    filled = {(f, x, y): v for f, _, x, y, v in pixels}
+    want = []
+    for x in range(33):
+        for y in range(2):
+            residual, before = 0.0, None
+            for f in range(len(levels)):
+                lum, t = filled.get((f, x, y), 60.0), float(f * 8333)
+                if before is not None:
+                    last, now = before
+                    mean, k = (lum + last) / 2, o.sensor
+                    mu = k.k1 * (lum - last) / (t - now) / (mean + k.k2) + k.k4 + k.k5 * mean
+                    sigma = k.k3 * math.sqrt(mean) / (mean + k.k2) + k.k6
+                    key, draw = R.keys(o.seed, 0, np.array([x]), np.array([y]), f), 0
+                    while True:
+                        one = lambda v: np.array([v])
+                        on = R.uniform(key, 8 * draw)[0] <= simulate.on_probability(one(mu), one(sigma), one(residual))[0]
+                        distance = max(1 - residual if on else 1 + residual, 1e-12)
+                        wait = R.first_passage(one(distance), one(mu if on else -mu), one(sigma), key, 8 * draw + 1)[0]
+                        if now + wait >= t:
+                            residual = min(1.0, max(-1.0, residual + (distance if on else -distance) * (t - now) / wait))
+                            break
+                        now, residual, draw = now + wait, 0.0, draw + 1
+                        want.append((round(now), x, y, int(on)))
+                before = (lum, t)
+    got = simulate.dvs_events(spark.createDataFrame(pixels, schema.PIXELS), "DVS346", seed=7, fill=60.0)
+    assert len(want) > 100 and sorted(values(got, "t", "x", "y", "p")) == sorted(want)

@@ -166,8 +166,10 @@ def links_of(docs: DataFrame, k: int = 5, percent: int = 75, m: int = HALVES) ->
     if repeated.limit(1).count():
         again = materialize(_united(docs, repeated, k, m), "united")
         sig = sig.join(repeated.select("doc_id"), "doc_id", "left_anti").unionByName(again)
-    firsts = sig.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    documents = sig.join(firsts, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"), "digest", "halves")
+    firsts = sig.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep"))
+    copies = materialize(firsts.where("n > 1").select("digest", "rep"), "copies")
+    rep = F.when(F.col("doc_id").isNotNull() & F.col("digest").isNotNull(), F.coalesce("rep", "doc_id"))
+    documents = sig.join(copies, "digest", "left").select("doc_id", "n_shingles", rep.alias("rep"), "digest", "halves")
     sets = documents.where("doc_id = rep").select("rep", "halves")
     links, labels = _confirm_all(docs, materialize(sets, "reps"), k, percent, m)
     return documents.select("doc_id", "n_shingles", "rep"), links, labels

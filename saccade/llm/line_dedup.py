@@ -89,12 +89,14 @@ def repeated_runs(docs: DataFrame, run: int = RUN, words: int | None = None) ->
     """(doc_id, mark, start, length): lines of docs that also stand in an earlier place."""
     found = materialize(fingerprints(docs, run, words), "fingerprints")
     place = F.struct("doc_id", "mark", "at")
-    shared = found.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo < hi")
-    met = lookup(found, materialize(shared.select("fingerprint", "n"), "shared"), ["fingerprint"])
+    # counts are enough here: rows that repeat one place have no later one, so they go at the end
+    shared = found.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1")
+    met = lookup(found, materialize(shared, "shared"), ["fingerprint"])
     key = ["fingerprint", "left", "right"]
     extended = met.select("doc_id", "mark", "at", "fingerprint", F.explode("spans").alias("s")).select("doc_id", "mark", "at", "fingerprint", "s.*")
-    firsts = extended.groupBy(*key).agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
-    later = lookup(extended, materialize(firsts.select(*key, "n", "first"), "firsts"), key)
+    extended = materialize(extended, "extended")
+    firsts = extended.groupBy(*key).agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
+    later = lookup(extended, materialize(firsts, "firsts"), key)
     return later.where(place > F.col("first")).select("doc_id", "mark", "start", "length")
 
 

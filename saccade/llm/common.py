@@ -168,13 +168,14 @@ def mark(text: str = "text") -> Column:
 HEAVY = 500
 
 
-def lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str = "n") -> DataFrame:
-    """rows joined to a written table that has one row per key and, as weight, how many rows hold it.
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str = "n", total: int | None = None) -> DataFrame:
+    """rows joined to a table that has one row per key and, as weight, how many rows hold it; total: all weights, or more.
 
     Heavy keys are sent to the rows wherever those are; only the others are shuffled, so no task gets more than 1 / HEAVY of
     all rows for one key. The broadcast has fewer than HEAVY rows, whatever the size of the table.
     """
-    total = table.agg(F.sum(weight)).first()[0] or 0
+    if total is None:
+        total = table.agg(F.sum(weight)).first()[0] or 0
     heavy = F.col(weight) * HEAVY > total
     many = F.broadcast(table.where(heavy))
     rest = rows.join(F.broadcast(table.where(heavy).select(*keys)), keys, "left_anti")
@@ -192,22 +193,30 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.col("v").cast("decimal(38,0)"))).first())
 
 
+def _to_lowest(pairs: DataFrame, moved: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of moved (u, v) as v with the smallest of u and u's partners in pairs; that smallest, m, of each u).
+
+    A node of many links is joined where its links are, see lookup(); total is the number of pairs, or more.
+    """
+    lowest = pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+    return lookup(moved, lowest, ["u"], total=total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"), lowest
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a long, b long, a <> b) as (node, label), label the smallest node.
 
-    Alternates large-star and small-star steps; each round is written to shared storage, nothing reaches
-    the driver but a count. Every node of links appears once. No links: no rows.
+    Alternates large-star and small-star steps; each step is written to shared storage, nothing reaches
+    the driver but a count, and the links of a node stay spread however many they are. Every node of links appears once. No links: no rows.
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     state = _state(edges)
     while state[0]:
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        turned = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        large = materialize(_to_lowest(edges.union(turned), turned, 2 * state[0])[0], "large")
+        small, low = _to_lowest(large, large, state[0])
         new = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         dispose(edges)
+        dispose(large)
         edges, old = new, state
         state = _state(edges)
         if state == old:

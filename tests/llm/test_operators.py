@@ -110,6 +110,20 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 10: 1, 5: 5, 6: 5, 7: 5, 9: 5, 20: 20, 21: 20}
 
 
+def test_components_of_stars_and_chains(spark, monkeypatch):
+    rng = random.Random(9)
+    links = [(500, v) for v in range(501, 560)] + [(v, v + 1) for v in range(30, 55)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(150)]
+    links = [(a, b) for a, b in links if a != b] + [(540, 30)]
+    label = {n: n for pair in links for n in pair}
+    for _ in label:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    for heavy in (3, 500):
+        monkeypatch.setattr(common, "HEAVY", heavy)
+        got = common.components(spark.createDataFrame(links, "a long, b long")).collect()
+        assert sorted((r.node, r.label) for r in got) == sorted(label.items())
+
+
 def test_word_hashes_split_like_python():
     import pyarrow as pa
 

@@ -214,6 +214,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(train_on_documents(docs))
     at = docs.columns.index("text")
+    named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with dots or in two cases are no matter below
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,4 +222,4 @@ def keep_identified(docs: DataFrame) -> DataFrame:
             kept = [x != UNDETERMINED for x in _judge(shared.value, column)[0]] if len(shared.value.names) else _lettered(column)
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return named.mapInArrow(run, named.schema).toDF(*docs.columns)

@@ -16,7 +16,7 @@ value of its own, null sources come last; documents without words have size 0 an
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +24,8 @@ from .common import lookup, materialize, splitmix, word_count
 
 WEIGHTS = (3, 1, 2)
 BUCKET = 4096
+#: Tells a document without an id from the one with id 0.
+_NULL_KEY = np.uint64(0xD1342543DE82EF95)
 
 
 def _known(source: str) -> Column:
@@ -60,8 +62,8 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float
     return ranked.withColumn("target", F.when(F.lit(not got[1]), F.col("source_size") * most).otherwise(target))
 
 
-def _uniform(ids: np.ndarray, level: int) -> np.ndarray:
-    mixed = splitmix(splitmix(ids.astype(np.int64).view(np.uint64)) ^ np.uint64(level + 1))
+def _uniform(keys: np.ndarray, level: int) -> np.ndarray:
+    mixed = splitmix(splitmix(keys) ^ np.uint64(level + 1))
     return (mixed >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
@@ -92,22 +94,26 @@ def round_pairs(sizes: np.ndarray, parts: np.ndarray, draws: np.ndarray) -> np.n
     return np.array(out)
 
 
-_ROUNDED = "doc_id long, rank long, size long, part double"
+_ROUNDED = "none boolean, id long, rank long, size long, part double"
 
 
 def _level(rows: DataFrame, level: int, last: bool) -> DataFrame:
-    """Rounds each (rank, bucket) of rows; last: a single open part is drawn."""
+    """Rounds each (rank, bucket) of rows (none: there is no doc_id, then id is 0); last: a single open part is drawn.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(key=pdf.doc_id.fillna(-1).astype("int64"))
-        pdf = pdf.assign(order=splitmix(pdf.key.to_numpy().view(np.uint64) + np.uint64(level))).sort_values(["order", "key"], kind="stable")
-        draws = _uniform(pdf.key.to_numpy(), level)
-        parts = round_pairs(pdf["size"].to_numpy(), pdf.part.to_numpy(), draws)
+    Ids stay 64-bit integers all the way: a nullable column would come as floats, in which large ids collide.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        none, ids = table.column("none").to_numpy(), table.column("id").to_numpy()
+        key = splitmix(ids.view(np.uint64)) ^ (none.astype(np.uint64) * _NULL_KEY)
+        at = np.lexsort((ids, none, splitmix(key + np.uint64(level))))
+        table, key = table.take(pa.array(at)), key[at]
+        parts = round_pairs(table.column("size").to_numpy(), table.column("part").to_numpy(), _uniform(key, level))
         if last:
-            parts = np.where((parts > 0) & (parts < 1), (_uniform(pdf.key.to_numpy(), 1_000_003) < parts).astype(float), parts)
-        return pd.DataFrame({"doc_id": pdf.doc_id, "rank": pdf["rank"], "size": pdf["size"], "part": parts})
+            parts = np.where((parts > 0) & (parts < 1), (_uniform(key, 1_000_003) < parts).astype(float), parts)
+        return pa.table({**{c: table.column(c) for c in ("none", "id", "rank", "size")}, "part": pa.array(parts)})
 
-    return rows.groupBy("rank", "bucket").applyInPandas(run, _ROUNDED)
+    return rows.groupBy("rank", "bucket").applyInArrow(run, _ROUNDED)
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -119,7 +125,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0)
     full = lookup(units.withColumn("its", _known("source")), materialize(named, "named"), ["its"], "documents").drop("its")
     full = full.withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     full = full.withColumn("whole", F.floor(F.col("ratio") + 1e-9))
-    open_ = full.where("size > 0").select("doc_id", "rank", "size", F.greatest(F.col("ratio") - F.col("whole"), F.lit(0.0)).alias("part"), F.expr(f"pmod(xxhash64(doc_id), greatest(1, cast(ceil(documents / {BUCKET}) as bigint)))").alias("bucket"))
+    keys = (F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"))
+    open_ = full.where("size > 0").select(*keys, "rank", "size", F.greatest(F.col("ratio") - F.col("whole"), F.lit(0.0)).alias("part"), F.expr(f"pmod(xxhash64(doc_id is null, coalesce(doc_id, 0)), greatest(1, cast(ceil(documents / {BUCKET}) as bigint)))").alias("bucket"))
     done, level = None, 0
     most_open = sources.agg(F.max(F.ceil(F.col("documents") / BUCKET))).first()[0] or 1
     while True:
@@ -131,8 +138,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0)
             break
         level += 1
         most_open = -(-most_open // BUCKET)
-        open_ = rounded.where("part > 0 and part < 1").withColumn("bucket", F.pmod(F.xxhash64(F.lit(level), "doc_id"), F.lit(int(most_open))))
-    done = done.select(F.col("doc_id").alias("d"), F.col("rank").alias("r"), "part")
+        open_ = rounded.where("part > 0 and part < 1").withColumn("bucket", F.pmod(F.xxhash64(F.lit(level), "none", "id"), F.lit(int(most_open))))
+    done = done.select(F.when(~F.col("none"), F.col("id")).alias("d"), F.col("rank").alias("r"), "part")
     out = full.join(done, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("rank") == F.col("r")), "left")
     out = out.withColumn("copies", (F.col("whole") + F.coalesce("part", F.lit(0.0))).cast("long"))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

@@ -706,3 +706,17 @@ def test_warc_writer_ends_archives(spark, tmp_path, monkeypatch):
     pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}</p>" * 20, None) for i in range(50)], "page_id long, url string, html string, refers_to long").coalesce(1)
     manifest = warc.write_archives(pages, f"file://{tmp_path}")
     assert manifest.count() > 3 and {r.page_id for r in warc.read_archives(manifest, f"file://{tmp_path}").collect()} == set(range(50))
+
+
+def test_mixing_of_large_ids_and_a_null_one(spark):
+    """Ids that a double cannot hold, a null one, -1 and 0: each document once, and the words stay near the target."""
+    ids = [2**60 + i for i in range(150)] + [None, -1, 0]
+    rows = [(d, "w " * (16 + i % 3), "en", "s", 0) for i, d in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = mixing.mix(docs).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(map(str, ids))
+    assert abs(sum(r.taken for r in got) - got[0].target) <= 18
+    again = {r.doc_id: r.taken for r in mixing.mix(docs.repartition(5)).collect()}
+    assert again == {r.doc_id: r.taken for r in got}
+    out = mixing.mixed_documents(docs).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in out} == {r.doc_id: r.copies for r in got if r.copies}

@@ -2,6 +2,7 @@
 
 import random
 
+from pyspark.sql import functions as F
 from test_operators import brute_components, brute_lines, shingles
 
 import corpus_pipeline
@@ -62,3 +63,16 @@ def test_queries_return_a_row_per_document(spark, tmp_path):
         assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows), name
     assert queries.QUERIES["op1_warc_round_trip"](spark, str(tmp_path)).where("record_type = 'response'").count() == 4
     assert queries.QUERIES["op3_chat_format"](spark, str(tmp_path)).count() == 2
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Extra columns with dots, quotes, in another case's letters and with names that the operators use themselves."""
+    rows, _ = tables(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("a.b", "with space", "mark", "row", "lines", "size", "rank", "_gone", "d"):
+        docs = docs.withColumn(name, F.lit(name))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns[: len(docs.columns)] == docs.columns, name
+        got = out.select(*[F.col(f"`{c}`") for c in docs.columns]).collect()
+        assert got and all(r["a.b"] == "a.b" and r["_gone"] == "_gone" and r["size"] == "size" for r in got), name

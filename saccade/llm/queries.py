@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprint, language, line_dedup, mixing, near_dup, substring, tokens, warc
+from . import chat, decontaminate, fingerprint, language, line_dedup, mixing, near_dup, substring, tokens, warc, whitening
 from .common import read_table
 
 QUERIES: dict = {}
@@ -174,3 +174,8 @@ FROM d LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN y ON y.doc_id = d.doc_id
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.remove_repeats(read_table(spark, sf_dir, "documents"), digest=True)
     return out.withColumnRenamed("kept", "kept_sha256")
+
+
+@_query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))

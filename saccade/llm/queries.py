@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprint, language, line_dedup, mixing, near_dup, substring, tokens, warc, whitening
+from . import chat, decontaminate, fingerprint, language, line_dedup, mixing, near_dup, quality, substring, tokens, warc, whitening
 from .common import read_table
 
 QUERIES: dict = {}
@@ -179,3 +179,8 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op13_whitening")
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+@_query("op12_quality")
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))

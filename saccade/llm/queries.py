@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprint, language, line_dedup, mixing, near_dup, quality, substring, tokens, warc, whitening
+from . import chat, decontaminate, fingerprint, language, line_dedup, mixing, near_dup, prefix_trie, quality, substring, tokens, warc, whitening
 from .common import read_table
 
 QUERIES: dict = {}
@@ -184,3 +184,39 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op12_quality")
 def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+_CRC_STEP = "CASE WHEN (xor(a, b) & 1) = 1 THEN xor(xor(a, b) >> 1, 3988292384::BIGINT) ELSE xor(a, b) >> 1 END"
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text: bit by bit, each byte followed by seven zeros in the list."""
+    bits = f"flatten(list_transform(range(1, len({text}) + 1), lambda i: [ascii(({text})[i])::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {bits}), lambda a, b: {_CRC_STEP}), 4294967295::BIGINT)"
+
+
+@_query(
+    "op11_prefix_trie",
+    f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), left(coalesce(text, ''), {prefix_trie.HEAD}), md5(coalesce(text, ''))) AS n, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, max(n) AS len FROM t GROUP BY conv_id),
+c AS (SELECT l.conv_id, l.len, l.conv_id - l.conv_id % 5 AS base, {_crc32_sql("l.conv_id::VARCHAR")} % 9 AS h FROM l),
+k AS (SELECT c.*, least(h, coalesce(b.len, 0)) AS k FROM c LEFT JOIN l b ON b.conv_id = c.base),
+r AS (SELECT k.conv_id, t.n AS d, role, text FROM k JOIN t ON t.conv_id = k.base AND t.n <= h
+  UNION ALL SELECT k.conv_id, t.n - h + k.k, role, text FROM k JOIN t ON t.conv_id = k.conv_id AND t.n > h),
+s AS (SELECT conv_id, d, octet_length(encode(text)) AS bytes, array_to_string(list(sha256(len(role) || ':' || role || text)) OVER (PARTITION BY conv_id ORDER BY d), '') AS path FROM r),
+x AS (SELECT conv_id, d, bytes, sha256(path) AS node, CASE WHEN d = 1 THEN 'root' ELSE sha256(left(path, len(path) - 64)) END AS parent FROM s),
+v AS (SELECT node, min(conv_id) AS conv_id, any_value(d) AS depth, any_value(parent) AS parent, count(*) AS n_convs, any_value(bytes) AS bytes FROM x GROUP BY node
+  UNION ALL SELECT 'root', min(conv_id), 0, NULL, count(*), 0 FROM l HAVING count(*) > 0),
+w AS (SELECT parent AS node, count(*) AS n_children FROM v GROUP BY parent),
+o AS (SELECT v.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * bytes AS saved FROM v LEFT JOIN w USING (node)),
+a AS (SELECT x.node, o.saved, (o.n_children = 0)::BIGINT AS leaf FROM o JOIN x ON x.conv_id = o.conv_id AND x.d <= o.depth UNION ALL SELECT 'root', saved, (n_children = 0)::BIGINT FROM o),
+u AS (SELECT node, sum(saved) AS saved, sum(leaf) AS leaves FROM a GROUP BY node),
+e AS (SELECT conv_id, coalesce((SELECT arg_max(node, d) FROM x WHERE x.conv_id = l.conv_id), 'root') AS node FROM l),
+g AS (SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM e GROUP BY node)
+SELECT o.conv_id, o.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, o.n_convs::BIGINT AS n_convs, o.n_children::BIGINT AS n_children, u.leaves::BIGINT AS n_leaves, u.saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM o JOIN u USING (node) LEFT JOIN v p ON p.node = o.parent LEFT JOIN g ON g.node = o.node
+""",
+)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"))

@@ -619,3 +619,14 @@ def _full_frames(spark, sf_dir):
 @_query("dvs_events")
 def dvs_events(spark, sf_dir):
     return simulate.dvs_events(_full_frames(spark, sf_dir), "DVS346", seed=1, fill=50.0)
+
+
+@_query(
+    "wls_time",
+    f"{E}, s AS (SELECT p, t::DOUBLE AS x, value AS y, 1 + p AS w FROM e) SELECT p, n, round(total, 3) AS total, round(slope * 1e15, 2) AS slope_e15, round(intercept, 2) AS intercept FROM {_line_sql('s', 'x', 'y', 'w', 'p')}",
+)
+def wls_time(spark, sf_dir):
+    """value ~ t with t in microseconds of our days, about 1.7e15."""
+    rows = lens.events(spark, sf_dir).withColumn("w", 1 + F.col("p"))
+    out = regression.weighted_line(rows, "t", "value", "w", ["p"]).withColumn("slope_e15", F.col("slope") * 1e15)
+    return rounded(out.select("p", "n", "total", "slope_e15", "intercept"), total=3, slope_e15=2, intercept=2)

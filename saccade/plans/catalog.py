@@ -10,6 +10,8 @@ from ..functions import pixels as P
 from ..operators import asof, calibration, cloud, frames, histogram, intervals, ordered, regression, roi, simulate, spectrum, voxel
 from ..params import PRESETS, preset
 from ..params import preset_table as presets
+from ..sources import frames as sources
+from ..storage import scratch
 from ..streaming import events as streams
 from . import lens
 
@@ -623,10 +625,40 @@ def dvs_events(spark, sf_dir):
 
 @_query(
     "wls_time",
-    f"{E}, s AS (SELECT p, t::DOUBLE AS x, value AS y, 1 + p AS w FROM e) SELECT p, n, round(total, 3) AS total, round(slope * 1e15, 2) AS slope_e15, round(intercept, 2) AS intercept FROM {_line_sql('s', 'x', 'y', 'w', 'p')}",
+    f"{E}, s AS (SELECT p, t::DOUBLE AS x, value AS y, (1 + p)::DOUBLE AS w FROM e) SELECT p, n, round(total, 3) AS total, round(slope * 1e15, 2) AS slope_e15, round(intercept, 2) AS intercept FROM {_line_sql('s', 'x', 'y', 'w', 'p')}",
 )
 def wls_time(spark, sf_dir):
     """value ~ t with t in microseconds of our days, about 1.7e15."""
     rows = lens.events(spark, sf_dir).withColumn("w", 1 + F.col("p"))
     out = regression.weighted_line(rows, "t", "value", "w", ["p"]).withColumn("slope_e15", F.col("slope") * 1e15)
     return rounded(out.select("p", "n", "total", "slope_e15", "intercept"), total=3, slope_e15=2, intercept=2)
+
+
+_WEEK = 7 * lens.DAY
+_BRIGHT = f"e AS (SELECT * FROM a WHERE p = 1 AND value > 100 AND t >= {lens.ORIGIN + _WEEK} AND t < {lens.ORIGIN + 2 * _WEEK})"
+
+
+@_query(
+    "needed_frame_scan",
+    f"""WITH {lens.EVENTS_SQL.replace('e AS (', 'a AS (', 1)}, {lens.PIXELS_SQL.replace('FROM e GROUP', 'FROM a GROUP').replace('max(value) AS lum', 'floor(max(value) * 10)::BIGINT AS lum')}, {_BRIGHT},
+g AS (SELECT DISTINCT frame_idx, t FROM f), h AS (SELECT frame_idx AS a, t AS lo, lead(frame_idx) OVER (ORDER BY t) AS b, lead(t) OVER (ORDER BY t) AS hi FROM g),
+i AS (SELECT *, row_number() OVER (ORDER BY lo) AS k, count(*) OVER () AS n FROM h WHERE b IS NOT NULL),
+j AS (SELECT e.t, x, y, a, b FROM e JOIN i ON (e.t > lo OR k = 1) AND (e.t <= hi OR k = n))
+SELECT j.t, j.x, j.y, a AS prev_frame, b AS next_frame, coalesce(u.lum, 0)::INT AS prev_lum, coalesce(v.lum, 0)::INT AS next_lum FROM j LEFT JOIN f u ON u.frame_idx = a AND u.x = j.x AND u.y = j.y LEFT JOIN f v ON v.frame_idx = b AND v.x = j.x AND v.y = j.y""",
+)
+def needed_frame_scan(spark, sf_dir):
+    """All frames are written to a frame store; the events of one week that are of interest read theirs only, a tenth of the frames."""
+    rows = lens.events(spark, sf_dir)
+    height, width = rows.agg(F.max("y") + 1).first()[0], 16
+    store = scratch(spark)
+    pixels = lens.pixels(spark, sf_dir).withColumn("lum", F.floor(F.col("lum") * 10))
+    sources.write_frames(sources.packed_frames(pixels, height, width), store, height, width)
+    bright = rows.where((F.col("p") == 1) & (F.col("value") > 100) & (F.col("t") >= lens.ORIGIN + _WEEK) & (F.col("t") < lens.ORIGIN + 2 * _WEEK)).select("t", "x", "y")
+    near = asof.asof_bracket(bright, sources.frame_times(spark, store))
+    near = near.select("t", "x", "y", F.col("prev.frame_idx").alias("prev_frame"), F.col("next.frame_idx").alias("next_frame"))
+    wanted = near.select(F.explode(F.array("prev_frame", "next_frame")).alias("frame_idx"))
+    lums = sources.pixel_rows(sources.frames_at(wanted, store))
+    for side in ("prev", "next"):
+        own = lums.select(F.col("frame_idx").alias(f"{side}_frame"), "x", "y", F.col("lum").alias(f"{side}_lum"))
+        near = near.join(own, [f"{side}_frame", "x", "y"])
+    return near.select("t", "x", "y", "prev_frame", "next_frame", "prev_lum", "next_lum")

@@ -21,6 +21,8 @@ def _fields(text: str) -> T.StructType:
 EVENTS = _fields("t BIGINT, x INT, y INT, p TINYINT")
 #: A packed frame: little-endian pixels, row-major.
 FRAMES = _fields("frame_idx INT, height INT, width INT, px BINARY")
+FRAMES_WITH_TIME = _fields("frame_idx INT, height INT, width INT, px BINARY, t BIGINT")
+FRAME_TIMES = _fields("frame_idx INT, t BIGINT")
 PIXELS = _fields("frame_idx INT, t BIGINT, x INT, y INT, lum DOUBLE")
 METADATA = _fields("frame_idx INT, sensor_ts DOUBLE, real_ts STRING, real_us BIGINT")
 BOXES = T.StructType([T.StructField("t", T.LongType()), T.StructField("polygon", T.ArrayType(_POINT)), T.StructField("angle", T.DoubleType()), T.StructField("center", _POINT)])

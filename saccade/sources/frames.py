@@ -5,32 +5,32 @@ Files are opened with ``pyarrow.fs`` by the tasks, in any file system that it re
 
 from __future__ import annotations
 
+import bisect
 import traceback
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 from .. import schema as S
 from ..functions import pixels as P
+from .sinks import INDEX, NO_TIME, FrameSink, at, read_event_text, read_manifest, write_event_text, write_frames  # noqa: F401
 
-FRAMES_PER_TASK = 32
+#: Frames of a task: at least these many, and these many bytes of small ones; bytes of a batch of them.
+FRAMES_PER_TASK, TASK_BYTES, BATCH_BYTES = 32, 32 << 20, 8 << 20
 RECORDS_PER_TASK = 1_000_000
 
 
-def _at(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
-
-
 def _open(path: str) -> pa.NativeFile:
     """The file at path, for reading at any place."""
-    fs, name = _at(path)
+    fs, name = at(path)
     return fs.open_input_file(name)
 
 
@@ -44,14 +44,69 @@ def _npy_header(file) -> tuple[tuple[int, ...], np.dtype, int]:
 
 
 class FrameRange(InputPartition):
-    def __init__(self, path: str, first: int, last: int):
-        self.path, self.first, self.last = path, first, last
+    """Frames (or records) first to last - 1 of a file, counted from its begin."""
+
+    def __init__(self, path: str, first: int, last: int, begin: int = 0, index: str | None = None):
+        self.path, self.first, self.last, self.begin, self.index = path, first, last, begin, index
+
+
+class Wanted:
+    """What pushed filters leave of one whole-number column: a range and, where there is one, a set of values."""
+
+    def __init__(self):
+        self.lo, self.hi, self.values = None, None, None
+
+    def push(self, f: Filter) -> bool:
+        """Takes f in; False if it is of another kind."""
+        if isinstance(f, IsNotNull):
+            return True
+        if isinstance(f, In):
+            self._among({v for v in f.value if v is not None})
+        elif f.value is None:
+            return False
+        elif isinstance(f, EqualTo):
+            self._among({f.value})
+        elif isinstance(f, GreaterThan | GreaterThanOrEqual):
+            low = f.value + isinstance(f, GreaterThan)
+            self.lo = low if self.lo is None else max(self.lo, low)
+        elif isinstance(f, LessThan | LessThanOrEqual):
+            high = f.value - isinstance(f, LessThan)
+            self.hi = high if self.hi is None else min(self.hi, high)
+        else:
+            return False
+        return True
+
+    def _among(self, values: set) -> None:
+        self.values = values if self.values is None else self.values & values
+
+    def meets(self, lo: int, hi: int) -> bool:
+        """Whether a value of lo to hi can be wanted."""
+        if (self.lo is not None and hi < self.lo) or (self.hi is not None and lo > self.hi):
+            return False
+        return self.values is None or any(lo <= v <= hi for v in self.values)
+
+    def of(self, values: np.ndarray) -> np.ndarray:
+        out = np.ones(len(values), bool)
+        if self.lo is not None:
+            out &= values >= self.lo
+        if self.hi is not None:
+            out &= values <= self.hi
+        return out if self.values is None else out & np.isin(values, list(self.values))
+
+    @property
+    def any(self) -> bool:
+        return self.lo is not None or self.hi is not None or self.values is not None
 
 
 class RawFrames(DataSource):
-    """Headerless pixel files (and .npy stacks) as packed frames.
+    """Headerless pixel files, .npy stacks and folders written by sinks.write_frames() as packed frames.
 
-    Options: path, height, width, channels (1: 16-bit little-endian, otherwise 8-bit). A trailing partial frame is not read.
+    Options: path; height, width, channels (1: 16-bit little-endian, otherwise 8-bit) of files. A trailing partial frame is not read.
+    metadata (and layout, see Metadata): the file with a record per frame, whose time in whole numbers becomes the column t; folders
+    have it already. index_only: frame_idx and t without pixels, from the index or the metadata alone. ordered: the times ascend, so bounds of t are looked up in the metadata before anything is planned.
+
+    Filters on frame_idx and t are taken by the scan: they select parts, then ranges of frames, and a task reads the bytes of
+    wanted frames only.
     """
 
     @classmethod
@@ -59,16 +114,39 @@ class RawFrames(DataSource):
         return "rawframes"
 
     def schema(self):
-        return S.FRAMES
+        if str(self.options.get("index_only", "")).lower() == "true":
+            return S.FRAME_TIMES
+        timed = "metadata" in self.options or read_manifest(self.options["path"]) is not None
+        return S.FRAMES_WITH_TIME if timed else S.FRAMES
 
     def reader(self, schema):
         return _RawReader(dict(self.options))
 
+    def writer(self, schema, overwrite: bool):
+        return FrameSink(dict(self.options), overwrite)
+
 
 class _RawReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, channels = options["path"], int(options.get("channels", 1))
+        self.path, self.channels = options["path"], int(options.get("channels", 1))
+        self.frames, self.times = Wanted(), Wanted()
+        self.metadata, self.layout = options.get("metadata"), options.get("layout", "sensor_real")
+        self.ascending = str(options.get("ordered", "")).lower() == "true"
+        self.index_only = str(options.get("index_only", "")).lower() == "true"
         self.begin = 0
+        self.manifest = read_manifest(self.path)
+        if self.manifest is not None:
+            self.height, self.width, self.channels = self.manifest.height, self.manifest.width, self.manifest.channels
+        self.size = 0
+        if self.manifest is None:
+            self._open(options)
+        else:
+            self.size = self.height * self.width * (2 if self.channels == 1 else self.channels)
+        self.timed = self.manifest is not None or self.metadata is not None
+        self.per_task = max(FRAMES_PER_TASK, TASK_BYTES // max(1, self.size))
+
+    def _open(self, options: dict) -> None:
+        channels = self.channels
         with _open(self.path) as file:
             if self.path.endswith(".npy"):
                 shape, kind, self.begin = _npy_header(file)
@@ -82,17 +160,105 @@ class _RawReader(DataSourceReader):
             if not self.begin:
                 self.n = file.size() // self.size
 
-    def partitions(self):
-        return [FrameRange(self.path, i, min(i + FRAMES_PER_TASK, self.n)) for i in range(0, self.n, FRAMES_PER_TASK)]
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            column = getattr(f, "attribute", None)
+            taken = column == ("frame_idx",) and self.frames.push(f) or column == ("t",) and self.timed and self.times.push(f)
+            if not taken or (isinstance(f, IsNotNull) and column == ("t",)):
+                yield f
+
+    def _blocks(self, path: str, n: int, first: int, index: str | None) -> Iterator[FrameRange]:
+        """Ranges of a part whose frames count on from first."""
+        lo = 0 if self.frames.lo is None else min(n, max(0, self.frames.lo - first))
+        hi = n if self.frames.hi is None else max(0, min(n, self.frames.hi - first + 1))
+        for i in range(lo - lo % self.per_task, hi, self.per_task):
+            a, b = max(i, lo), min(i + self.per_task, hi)
+            if a < b and self.frames.meets(first + a, first + b - 1):
+                yield FrameRange(path, a, b, self.begin, index)
+
+    def partitions(self) -> list[FrameRange]:
+        if self.manifest is None:
+            if self.ascending and self.metadata and self.times.any:
+                self._by_time()
+            return list(self._blocks(self.path, self.n, 0, None))
+        out = []
+        for part in self.manifest.parts:
+            data, index = (f"{self.path.rstrip('/')}/{part.name}{s}" for s in (".dat", ".idx"))
+            if not self.frames.meets(part.first, part.last) or (part.first_t is not None and not self.times.meets(part.first_t, part.last_t)):
+                continue
+            if part.last - part.first + 1 == part.rows:
+                out += self._blocks(data, part.rows, part.first, index)
+            else:  # numbers with gaps: the index tells
+                out += [FrameRange(data, i, min(i + self.per_task, part.rows), 0, index) for i in range(0, part.rows, self.per_task)]
+        return out
+
+    def _by_time(self) -> None:
+        """Narrows the range of frames to the bounds of t, by binary search in the metadata."""
+        size = _record(self.layout).itemsize
+        with _open(self.metadata) as file:
+            n = min(self.n, file.size() // size)
+
+            def time(i: int) -> int:
+                file.seek(i * size)
+                return int(np.frombuffer(file.read(8), "<f8")[0])
+
+            values = self.times.values
+            lo = max((v for v in (self.times.lo, min(values, default=None) if values else None) if v is not None), default=None)
+            hi = min((v for v in (self.times.hi, max(values, default=None) if values else None) if v is not None), default=None)
+            if lo is not None:
+                self.frames.push(GreaterThanOrEqual(("frame_idx",), bisect.bisect_left(range(n), lo, key=time)))
+            if hi is not None:
+                self.frames.push(LessThan(("frame_idx",), bisect.bisect_right(range(n), hi, key=time)))
+
+    def _index(self, part: FrameRange) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+        """Numbers of the range's frames, their times, and which have none."""
+        if part.index is not None:
+            with _open(part.index) as file:
+                file.seek(part.first * INDEX.itemsize)
+                rows = np.frombuffer(file.read((part.last - part.first) * INDEX.itemsize), INDEX)
+            return rows["frame_idx"], rows["t"], rows["t"] == NO_TIME
+        numbers = np.arange(part.first, part.last)
+        if self.metadata is None:
+            return numbers, None, None
+        kind = _record(self.layout)
+        with _open(self.metadata) as file:
+            file.seek(part.first * kind.itemsize)
+            got = np.frombuffer(file.read((part.last - part.first) * kind.itemsize) or b"", np.uint8)
+        rows = got[: len(got) // kind.itemsize * kind.itemsize].view(kind)["s"]
+        times = np.full(len(numbers), NO_TIME)
+        times[: len(rows)] = rows.astype(np.int64)
+        return numbers, times, times == NO_TIME
 
     def read(self, part: FrameRange) -> Iterator[pa.RecordBatch]:
         if part is None:
             return
+        numbers, times, none = self._index(part)
+        wanted = self.frames.of(numbers)
+        if self.times.any:
+            wanted &= self.times.of(times) & ~none
+        places = np.flatnonzero(wanted)
+        if self.index_only:
+            own = pa.nulls(len(places), pa.int64()) if times is None else pa.array(times[places], pa.int64(), mask=none[places])
+            yield pa.RecordBatch.from_arrays([pa.array(numbers[places].astype(np.int32)), own], names=["frame_idx", "t"])
+            return
+        step = max(1, BATCH_BYTES // max(1, self.size))
         with _open(part.path) as file:
-            file.seek(self.begin + part.first * self.size)
-            frames = [file.read(self.size) for _ in range(part.first, part.last)]
-        n = len(frames)
-        yield pa.RecordBatch.from_arrays([pa.array(range(part.first, part.last), pa.int32()), pa.array([self.height] * n, pa.int32()), pa.array([self.width] * n, pa.int32()), pa.array(frames, pa.binary())], names=["frame_idx", "height", "width", "px"])
+            for run in np.split(places, np.flatnonzero(np.diff(places) != 1) + 1):
+                for lo in range(0, len(run), step):
+                    at_ = run[lo : lo + step]
+                    file.seek(part.begin + (part.first + int(at_[0])) * self.size)
+                    raw, n = file.read(len(at_) * self.size), len(at_)
+                    px = pa.array([raw[i * self.size : (i + 1) * self.size] for i in range(n)], pa.binary())
+                    columns = [pa.array(numbers[at_].astype(np.int32)), pa.array(np.full(n, self.height, np.int32)), pa.array(np.full(n, self.width, np.int32)), px]
+                    names = ["frame_idx", "height", "width", "px"]
+                    if self.timed:
+                        columns, names = [*columns, pa.array(times[at_], pa.int64(), mask=none[at_])], [*names, "t"]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _record(layout: str) -> np.dtype:
+    """A metadata record; fixed values: its fields."""
+    return np.dtype([("s", "<f8"), ("r", "S30")]) if layout == "sensor_real" else np.dtype([("s", "<f8")])
 
 
 class Metadata(DataSource):
@@ -134,13 +300,73 @@ class _MetadataReader(DataSourceReader):
 
 
 def register(spark: SparkSession) -> None:
+    """The data sources of this module; the scans take filters."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RawFrames)
     spark.dataSource.register(Metadata)
 
 
-def read_frames(spark: SparkSession, path: str, height: int = 520, width: int = 692, channels: int = 1) -> DataFrame:
+def read_frames(spark: SparkSession, path: str, height: int = 520, width: int = 692, channels: int = 1, metadata: str | None = None, layout: str = "sensor_real", ordered: bool = False) -> DataFrame:
+    """Packed frames of a file or of a folder of sinks.write_frames(); filters on frame_idx and t prune what is read (see RawFrames)."""
+    register(spark)
+    reader = spark.read.format("rawframes").options(path=path, height=height, width=width, channels=channels, layout=layout, ordered=str(ordered).lower())
+    return (reader.option("metadata", metadata) if metadata else reader).load()
+
+
+def frame_times(spark: SparkSession, path: str, **options) -> DataFrame:
+    """frame_idx and t of frames; their pixels are not read. options: as of read_frames()."""
     register(spark)
-    return spark.read.format("rawframes").options(path=path, height=height, width=width, channels=channels).load()
+    return spark.read.format("rawframes").options(path=path, index_only="true", **{k: str(v) for k, v in options.items()}).load()
+
+
+def frames_at(wanted: DataFrame, path: str, height: int = 520, width: int = 692, channels: int = 1) -> DataFrame:
+    """The packed frames whose frame_idx is in wanted, any number of them: tasks open the parts that hold theirs, and read those frames only.
+
+    For needed frames that a join finds, which no filter of a scan can name. Of a folder the manifest, a line per part, goes to all tasks.
+    """
+    spark = wanted.sparkSession
+    reader = _RawReader({"path": path, "height": height, "width": width, "channels": channels})
+    if reader.manifest is None:
+        parts = [(0, reader.n - 1, FrameRange(path, 0, reader.n, reader.begin))]
+    else:
+        parts = [(p.first, p.last, FrameRange(f"{path.rstrip('/')}/{p.name}.dat", 0, p.rows, 0, f"{path.rstrip('/')}/{p.name}.idx")) for p in reader.manifest.parts]
+    shared = spark.sparkContext.broadcast((reader, sorted(parts, key=lambda p: p[:2])))
+    schema = S.FRAMES_WITH_TIME if reader.timed else S.FRAMES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader_, parts_ = shared.value
+        for batch in batches:
+            need = batch.column(0).to_numpy()
+            for first, last, part in parts_:
+                own = need[(need >= first) & (need <= last)]
+                if not len(own):
+                    continue
+                reader_.frames = Wanted()
+                reader_.frames.push(In(("frame_idx",), tuple(own.tolist())))
+                span = range(int(own.min()) - first, int(own.max()) - first + 1) if last - first + 1 == part.last else range(part.last)
+                for lo in range(span.start, span.stop, reader_.per_task):
+                    yield from reader_.read(FrameRange(part.path, lo, min(lo + reader_.per_task, span.stop), part.begin, part.index))
+
+    rows = wanted.where("frame_idx is not null").select(F.col("frame_idx").cast("int").alias("frame_idx")).distinct()
+    return rows.repartitionByRange("frame_idx").sortWithinPartitions("frame_idx").mapInArrow(run, schema)
+
+
+def packed_frames(pixels: DataFrame, height: int, width: int) -> DataFrame:
+    """Frames (frame_idx, t, height, width, px of 16 bits) of pixel rows (frame_idx, t, x, y, lum); a pixel without a row is 0.
+
+    A frame is put together in one task: height * width pixels. Rows outside go; of rows of one pixel the largest luminance counts.
+    """
+
+    def pack(table: pa.Table) -> pa.Table:
+        image = np.zeros(height * width, np.int64)
+        x, y, lum = (table.column(c).to_numpy() for c in ("x", "y", "lum"))
+        np.maximum.at(image, y.astype(np.int64) * width + x, lum)
+        raw = np.clip(image, 0, 0xFFFF).astype("<u2").tobytes()
+        return pa.table({"frame_idx": table.column("frame_idx").slice(0, 1), "t": pa.array([pc.min(table.column("t")).as_py()], pa.int64()), "height": pa.array([height], pa.int32()), "width": pa.array([width], pa.int32()), "px": pa.array([raw], pa.binary())})
+
+    inside = pixels.where(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1))
+    rows = inside.select(F.col("frame_idx").cast("int").alias("frame_idx"), F.col("t").cast("long").alias("t"), "x", "y", F.col("lum").cast("long").alias("lum"))
+    return rows.groupBy("frame_idx").applyInArrow(pack, "frame_idx int, t bigint, height int, width int, px binary")
 
 
 def real_time_us(text):
@@ -288,7 +514,7 @@ ROLES = {"events": "dv_output", "metadata": "metadata", "rgb": "rgb_frames", "ra
 
 def session_files(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
     """role, path, session of the four files of a recording; a missing role is an error."""
-    fs, base = _at(folder)
+    fs, base = at(folder)
     files = sorted((f.base_name, f.path) for f in fs.get_file_info(pafs.FileSelector(base)) if f.is_file)
     found = []
     for role, part in ROLES.items():
@@ -304,7 +530,7 @@ def read_events(spark: SparkSession, path: str, most: int | None = None) -> Data
     if path.endswith(".aedat4"):
         events = _aedat4(spark, path)
     elif path.endswith(".txt"):
-        events = spark.read.schema("t bigint, x int, y int, p tinyint").option("sep", " ").csv(path)
+        events = read_event_text(spark, path)
     else:
         events = spark.read.schema(S.EVENTS).parquet(path)
     return events.limit(most) if most is not None else events
@@ -364,12 +590,6 @@ def read_fits(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast("double").cast(f.dataType).alias(f.name) for f in S.FITS])
 
 
-def write_event_text(events: DataFrame, path: str, one_file: bool = True) -> None:
-    """Events as lines of four integers, ordered by t; in one file, or in files whose order is that of their names."""
-    rows = events.select(*[F.col(c).cast("long") for c in ("t", "x", "y", "p")]).orderBy("t", "x", "y", "p")
-    (rows.coalesce(1) if one_file else rows).write.mode("overwrite").option("sep", " ").csv(path)
-
-
 def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
     """Fit results as CSV with header, other relations as Parquet."""
     writer = df.write.mode("overwrite")

@@ -6,6 +6,7 @@ Files are opened with ``pyarrow.fs`` by the tasks, in any file system that it re
 from __future__ import annotations
 
 import bisect
+import json
 import traceback
 from collections.abc import Callable, Iterator
 
@@ -105,8 +106,9 @@ class RawFrames(DataSource):
     metadata (and layout, see Metadata): the file with a record per frame, whose time in whole numbers becomes the column t; folders
     have it already. index_only: frame_idx and t without pixels, from the index or the metadata alone. ordered: the times ascend, so bounds of t are looked up in the metadata before anything is planned.
 
-    Filters on frame_idx and t are taken by the scan: they select parts, then ranges of frames, and a task reads the bytes of
-    wanted frames only.
+    wanted: bounds of frame_idx and t (see read_frames()). They select parts, then ranges of frames, and a task reads the bytes of wanted
+    frames only. pushdown: filters of the query do the same. Spark 4.1 keeps the filters that were pushed last with the loaded
+    relation, for all its uses, so a DataFrame with pushdown is good for one filter only; without it filters work on the rows that are read.
     """
 
     @classmethod
@@ -120,7 +122,8 @@ class RawFrames(DataSource):
         return S.FRAMES_WITH_TIME if timed else S.FRAMES
 
     def reader(self, schema):
-        return _RawReader(dict(self.options))
+        kind = _PushingReader if str(self.options.get("pushdown", "")).lower() == "true" else _RawReader
+        return kind(dict(self.options))
 
     def writer(self, schema, overwrite: bool):
         return FrameSink(dict(self.options), overwrite)
@@ -132,6 +135,12 @@ class _RawReader(DataSourceReader):
         self.frames, self.times = Wanted(), Wanted()
         self.metadata, self.layout = options.get("metadata"), options.get("layout", "sensor_real")
         self.ascending = str(options.get("ordered", "")).lower() == "true"
+        wanted = json.loads(options.get("wanted") or "{}")
+        for column, bounds in ((self.frames, wanted.get("frames")), (self.times, wanted.get("times"))):
+            if bounds is not None:
+                column.lo, column.hi = bounds
+        if wanted.get("only") is not None:
+            self.frames.values = set(wanted["only"])
         self.index_only = str(options.get("index_only", "")).lower() == "true"
         self.begin = 0
         self.manifest = read_manifest(self.path)
@@ -160,13 +169,6 @@ class _RawReader(DataSourceReader):
             if not self.begin:
                 self.n = file.size() // self.size
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            column = getattr(f, "attribute", None)
-            taken = column == ("frame_idx",) and self.frames.push(f) or column == ("t",) and self.timed and self.times.push(f)
-            if not taken or (isinstance(f, IsNotNull) and column == ("t",)):
-                yield f
-
     def _blocks(self, path: str, n: int, first: int, index: str | None) -> Iterator[FrameRange]:
         """Ranges of a part whose frames count on from first."""
         lo = 0 if self.frames.lo is None else min(n, max(0, self.frames.lo - first))
@@ -256,6 +258,17 @@ class _RawReader(DataSourceReader):
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
+class _PushingReader(_RawReader):
+    """Takes the query's filters on frame_idx and t."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            column = getattr(f, "attribute", None)
+            taken = column == ("frame_idx",) and self.frames.push(f) or column == ("t",) and self.timed and self.times.push(f)
+            if not taken or (isinstance(f, IsNotNull) and column == ("t",)):
+                yield f
+
+
 def _record(layout: str) -> np.dtype:
     """A metadata record; fixed values: its fields."""
     return np.dtype([("s", "<f8"), ("r", "S30")]) if layout == "sensor_real" else np.dtype([("s", "<f8")])
@@ -300,23 +313,31 @@ class _MetadataReader(DataSourceReader):
 
 
 def register(spark: SparkSession) -> None:
-    """The data sources of this module; the scans take filters."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RawFrames)
     spark.dataSource.register(Metadata)
 
 
-def read_frames(spark: SparkSession, path: str, height: int = 520, width: int = 692, channels: int = 1, metadata: str | None = None, layout: str = "sensor_real", ordered: bool = False) -> DataFrame:
-    """Packed frames of a file or of a folder of sinks.write_frames(); filters on frame_idx and t prune what is read (see RawFrames)."""
-    register(spark)
-    reader = spark.read.format("rawframes").options(path=path, height=height, width=width, channels=channels, layout=layout, ordered=str(ordered).lower())
-    return (reader.option("metadata", metadata) if metadata else reader).load()
+def read_frames(spark: SparkSession, path: str, height: int = 520, width: int = 692, channels: int = 1, frames: tuple | list | None = None, times: tuple | None = None, metadata: str | None = None, layout: str = "sensor_real", ordered: bool = False, pushdown: bool = False) -> DataFrame:
+    """Packed frames of a file or of a folder of sinks.write_frames().
+
+    frames: a tuple of the first and last frame_idx, or a list of them; times: a tuple of the first and last t; None leaves an end
+    open. Only what they select is opened. pushdown: filters of the query select too, for one use of the DataFrame (see RawFrames).
+    """
+    return _frames(spark, path, frames, times, {"height": height, "width": width, "channels": channels, "layout": layout, "ordered": ordered, "pushdown": pushdown, "metadata": metadata})
 
 
-def frame_times(spark: SparkSession, path: str, **options) -> DataFrame:
+def frame_times(spark: SparkSession, path: str, frames: tuple | list | None = None, times: tuple | None = None, **options) -> DataFrame:
     """frame_idx and t of frames; their pixels are not read. options: as of read_frames()."""
+    return _frames(spark, path, frames, times, {**options, "index_only": True})
+
+
+def _frames(spark: SparkSession, path: str, frames: tuple | list | None, times: tuple | None, options: dict) -> DataFrame:
     register(spark)
-    return spark.read.format("rawframes").options(path=path, index_only="true", **{k: str(v) for k, v in options.items()}).load()
+    if options.get("pushdown"):
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    wanted = {"frames": list(frames) if isinstance(frames, tuple) else None, "only": sorted(set(frames)) if isinstance(frames, list) else None, "times": times}
+    given = {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items() if v is not None}
+    return spark.read.format("rawframes").options(path=path, wanted=json.dumps(wanted), **given).load()
 
 
 def frames_at(wanted: DataFrame, path: str, height: int = 520, width: int = 692, channels: int = 1) -> DataFrame:

@@ -55,19 +55,23 @@ def test_only_wanted_parts_are_opened(spark, tmp_path):
         if part != keep:
             os.remove(f"{path}/{part.name}.dat"), os.remove(f"{path}/{part.name}.idx")
     at = [keep.first, keep.last]
-    frames = sources.read_frames(spark, path)
-    where = lambda text: sorted(r.frame_idx for r in frames.where(text).collect())
-    assert where(f"frame_idx = {at[0]}") == [at[0]]
-    assert where(f"frame_idx in ({at[0]}, {at[1]}, 999)") == sorted(set(at))
+    numbers = lambda df: sorted(r.frame_idx for r in df.collect())
+    read = lambda **bounds: numbers(sources.read_frames(spark, path, **bounds))
+    assert read(frames=(at[0], at[0])) == [at[0]] and read(frames=[at[0], at[1], 999]) == sorted(set(at))
+    assert read(frames=(at[0], at[1]), times=(1000 * at[0] + 2, None)) == list(range(at[0] + 1, at[1] + 1))
+    assert read(times=(1000 * at[0], 1000 * at[1] + 999)) == list(range(at[0], at[1] + 1))
+    assert read(frames=(1000, None)) == [] == read(frames=[])
+    assert sources.read_frames(spark, path, frames=[at[0]]).rdd.getNumPartitions() == 1
+    # filters of the query, if the scan is asked to take them; a new DataFrame each time
+    where = lambda text: numbers(sources.read_frames(spark, path, pushdown=True).where(text))
+    assert where(f"frame_idx = {at[0]}") == [at[0]] and where(f"frame_idx in ({at[0]}, {at[1]}, 999)") == sorted(set(at))
     assert where(f"frame_idx between {at[0]} and {at[1]} and t > {1000 * at[0] + 1}") == list(range(at[0] + 1, at[1] + 1))
     assert where(f"t >= {1000 * at[0]} and t < {1000 * (at[1] + 1)}") == list(range(at[0], at[1] + 1))
     assert where("frame_idx > 1000") == [] == where("frame_idx = 3 and frame_idx = 5")
-    assert frames.where(f"frame_idx = {at[0]}").rdd.getNumPartitions() == 1
-    assert "Filter" not in frames.where(f"frame_idx = {at[0]}")._jdf.queryExecution().optimizedPlan().toString().replace("PushedFilters", "")
     wanted = spark.createDataFrame([(at[0],), (at[1],), (at[1],), (None,)], "frame_idx int")
     assert sorted(r.frame_idx for r in sources.frames_at(wanted, path).collect()) == sorted(set(at))
     with pytest.raises(Exception):
-        frames.where("frame_idx = 79" if keep.last < 79 else "frame_idx = 0").collect()
+        read(frames=[79 if keep.last < 79 else 0])
 
 
 def test_bytes_of_a_file_are_pruned(spark, tmp_path, monkeypatch):
@@ -80,7 +84,7 @@ def test_bytes_of_a_file_are_pruned(spark, tmp_path, monkeypatch):
     options = {"path": str(tmp_path / "raw.dat"), "height": 3, "width": 4}
 
     def scan(filters, **more):
-        reader = sources._RawReader({**options, **more})
+        reader = sources._PushingReader({**options, **more})
         assert list(reader.pushFilters(filters)) == []
         parts = reader.partitions()
         return len(parts), [i for p in parts for b in reader.read(p) for i in b.column("frame_idx").to_pylist()], sum(b.column("px").nbytes for p in parts for b in reader.read(p))
@@ -96,6 +100,8 @@ def test_bytes_of_a_file_are_pruned(spark, tmp_path, monkeypatch):
     assert scan([sources.GreaterThanOrEqual(t, 31_000), sources.LessThanOrEqual(t, 33_000)], ordered="true", **meta)[:2] == (2, [31, 32, 33])
     frames = sources.read_frames(spark, options["path"], 3, 4, metadata=meta["metadata"], ordered=True)
     assert [(r.frame_idx, r.t) for r in frames.where("t = 7000").collect()] == [(7, 7000)]
+    # one DataFrame with several filters: none of them is pushed, so none of them meets another's
+    assert frames.where("frame_idx < 5").union(frames.where("frame_idx >= 310")).count() == 15 and frames.count() == n
 
 
 def test_gaps_appends_overwrites_and_named_jobs(spark, tmp_path):

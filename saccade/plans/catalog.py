@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import pixels as P
-from ..operators import asof, calibration, cloud, frames, histogram, intervals, ordered, regression, roi, simulate, spectrum, voxel
+from ..operators import accumulator, asof, calibration, cloud, frames, histogram, intervals, ordered, regression, roi, simulate, spectrum, voxel
 from ..params import PRESETS, preset
 from ..params import preset_table as presets
 from ..sources import frames as sources
@@ -613,6 +613,20 @@ def accumulator_map(spark, sf_dir):
     return rounded(streams.accumulate(lens.events(spark, sf_dir), decay=1e-12), level=9)
 
 
+_QUARTER = 6 * 3_600_000_000
+
+
+@_query(
+    "accumulator_slices",
+    f"""{E}, w AS (SELECT x, y, t, p, t // {_QUARTER} AS slice, list({{'level': 0.5::DOUBLE, 't': t, 'p': p::INT}}) OVER u AS l, row_number() OVER (PARTITION BY x, y, t // {_QUARTER} ORDER BY t DESC, p DESC) AS k, count(*) OVER (PARTITION BY x, y, t // {_QUARTER}) AS n
+  FROM e WINDOW u AS (PARTITION BY x, y ORDER BY t, p ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT x, y, slice, n, t, list_reduce(list_concat([{{'level': 0.5::DOUBLE, 't': l[1].t, 'p': -1}}], l), lambda a, b: {{'level': least(1.0, greatest(0.0, {_LEVEL} + CASE WHEN b.p > 0 THEN 0.25 ELSE -0.25 END))::DOUBLE, 't': b.t, 'p': b.p}}).level AS level FROM w WHERE k = 1)
+SELECT x, y, slice, n, t, round(level, 9) AS level, (slice + 1) * {_QUARTER} AS "end", round(0.5 + sign(level - 0.5) * greatest(abs(level - 0.5) - 1e-12 * ((slice + 1) * {_QUARTER} - t), 0), 9) AS shown FROM r""",
+)
+def accumulator_slices(spark, sf_dir):
+    return rounded(accumulator.slice_frames(lens.events(spark, sf_dir), _QUARTER, decay=1e-12), level=9, shown=9)
+
+
 def _full_frames(spark, sf_dir):
     """Pseudo-frames in milliseconds: every pixel's luminance scaled to the sensor's, short enough apart for events."""
     return lens.pixels(spark, sf_dir).select("frame_idx", (F.col("frame_idx").cast("long") * 8333).alias("t"), "x", "y", (F.col("lum") / 2).alias("lum"))

@@ -6,12 +6,14 @@ import pickle
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators import simulate
+from ..operators import accumulator, simulate
+from ..operators.accumulator import CONTRIBUTION, DECAY, PIECE, SLICE, accumulate  # noqa: F401
 from ..params import Sensor, preset
 
 
@@ -53,48 +55,72 @@ def only_later(events: DataFrame, keys: str = "x long, y long") -> DataFrame:
     return events.groupBy(*names).applyInPandasWithState(run, fields, "last long", "append", GroupStateTimeout.NoTimeout)
 
 
-# fixed values: the live accumulator's contribution, neutral level and decay per microsecond
-CONTRIBUTION, NEUTRAL, DECAY = 0.25, 0.5, 1e-6
-
-
-def _decayed(level: Column, dt: Column, decay: float) -> Column:
-    away = level - NEUTRAL
-    return NEUTRAL + F.signum(away) * F.greatest(F.abs(away) - decay * dt, F.lit(0.0))
-
-
-#: Events of a pixel that are folded in one array; longer histories are folded piece by piece.
-PIECE = 1 << 20
-
-
-def accumulate(events: DataFrame, until: int | None = None, keys: tuple[str, ...] = (), contribution: float = CONTRIBUTION, decay: float = DECAY) -> DataFrame:
-    """Leaky accumulator per pixel: level in [0, 1] after its last event, and decayed linearly toward neutral up to until.
-
-    Each event adds or takes contribution by polarity; pixels decay on their own between their events. An ordered fold in the
-    JVM, over at most PIECE events of a pixel at a time, the level carried from piece to piece.
+class _Slices(StatefulProcessor):
+    """A pixel's level and the events of its open slices; a timer at the end of each slice folds it and gives its row."""
+
+    def __init__(self, slice_: int, contribution: float, decay: float):
+        self.slice, self.c, self.decay = slice_, contribution, decay
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.level = handle.getValueState("level", "level double, t long")
+        self.open = handle.getMapState("open", "slice long", "t array<long>, p array<int>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        closed = timerValues.getCurrentWatermarkInMs()
+        for pdf in rows:
+            for slice_, part in pdf.groupby(pdf.t // self.slice):
+                ms = self._timer(int(slice_))
+                if ms <= closed:
+                    continue  # too late: the slice's row is out
+                at = (int(slice_),)
+                t, p = self.open.getValue(at) if self.open.containsKey(at) else ([], [])
+                if not len(t):
+                    self.handle.registerTimer(ms)
+                self.open.updateValue(at, ([*t, *part.t.astype(int).tolist()], [*p, *(part.p > 0).astype(int).tolist()]))
+        return iter(())
+
+    def _timer(self, slice_: int) -> int:
+        """Milliseconds at which no event of the slice can come any more."""
+        return -(-((slice_ + 1) * self.slice) // 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        due = sorted(k[0] for k in self.open.keys() if self._timer(k[0]) <= now)
+        level, last = self.level.get() if self.level.exists() else (accumulator.NEUTRAL, None)
+        out = []
+        for slice_ in due:
+            t, p = self.open.getValue((slice_,))
+            for at, sign in sorted(zip(t, p, strict=True)):
+                level = float(accumulator.stepped(level, 0 if last is None else at - last, sign, self.c, self.decay))
+                last = at
+            out.append((*key, slice_, len(t), last, level))
+            self.open.removeKey((slice_,))
+        if out:
+            self.level.update((level, last))
+            columns = list(zip(*out, strict=True))
+            yield pd.DataFrame({n: c for n, c in zip([*self.names, "slice", "n", "t", "level"], columns, strict=True)})
+
+    names: list[str] = ["x", "y"]
+
+    def close(self) -> None:
+        pass
+
+
+def slice_stream(events: DataFrame, slice_: int = SLICE, late: str = "100 milliseconds", keys: tuple[str, ...] = (), contribution: float = CONTRIBUTION, decay: float = DECAY) -> DataFrame:
+    """accumulator.accumulated() of a stream: keys, x, y, slice, n, t, level, a row when the watermark has passed the slice's end.
+
+    Events may come in any order up to late; later ones than that go. The state of a pixel is its level and the events of its open
+    slices. Keyed state with timers needs the RocksDB state store, which is set in the session here.
     """
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     pixel = [*keys, "x", "y"]
-    most = events.groupBy(*pixel).count().agg(F.max("count")).first()[0] or 0
-    order = Window.partitionBy(*pixel).orderBy("t", "p")
-    piece = F.floor((F.row_number().over(order) - 1) / PIECE) if most > PIECE else F.lit(0)
-    rows = events.select(*pixel, "t", "p", piece.alias("piece"))
-    state = None
-    for i in range(max(1, -(-most // PIECE))):
-        listed = rows.where(F.col("piece") == i).groupBy(*pixel).agg(F.array_sort(F.collect_list(F.struct("t", "p"))).alias("e"))
-        folded = _fold(listed if state is None else state.join(listed, pixel, "left"), state is not None, contribution, decay)
-        state = folded.select(*pixel, "s")
-    level = F.col("s.level") if until is None else _decayed(F.col("s.level"), F.greatest(F.lit(until) - F.col("s.t"), F.lit(0)), decay)
-    return state.select(*pixel, level.alias("level"), F.col("s.t").alias("t"))
-
-
-def _fold(rows: DataFrame, carried: bool, contribution: float, decay: float) -> DataFrame:
-    """rows with s, the state (level, t) after the events e; carried: from the state s, otherwise from neutral."""
-    start = F.col("s") if carried else F.struct(F.lit(NEUTRAL).alias("level"), F.col("e")[0]["t"].alias("t"))
-
-    def step(s: Column, e: Column) -> Column:
-        level = _decayed(s.level, e.t - s.t, decay) + F.when(e.p > 0, contribution).otherwise(-contribution)
-        return F.struct(F.least(F.lit(1.0), F.greatest(F.lit(0.0), level)).alias("level"), e.t.alias("t"))
-
-    return rows.withColumn("s", F.coalesce(F.aggregate("e", start, step), start))
+    timed = events.where("t is not null and p is not null").select(*pixel, F.col("t").cast("long").alias("t"), F.col("p").cast("int").alias("p"), event_time(F.col("t")).alias("_time"))
+    processor = _Slices(slice_, contribution, decay)
+    processor.names = pixel
+    fields = ", ".join(f"`{c}` {events.schema[c].dataType.simpleString()}" for c in pixel)
+    return timed.withWatermark("_time", late).groupBy(*pixel).transformWithStateInPandas(processor, f"{fields}, slice long, n long, t long, level double", "Append", "EventTime")
 
 
 def simulated_stream(pixels: DataFrame, camera: str | Sensor = "Raw2DVS346", seed: int = 0, on_disorder: str = "fail", **options) -> DataFrame:
@@ -126,5 +152,3 @@ def reset(state: GroupState) -> None:
     """Forgets a key: its next frame starts it anew."""
     if state.exists:
         state.remove()
-
-

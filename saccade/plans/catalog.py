@@ -13,6 +13,7 @@ from ..params import preset_table as presets
 from ..sources import frames as sources
 from ..storage import scratch
 from ..streaming import events as streams
+from ..streaming import live
 from . import lens
 
 QUERIES: dict = {}
@@ -676,3 +677,18 @@ def needed_frame_scan(spark, sf_dir):
         own = lums.select(F.col("frame_idx").alias(f"{side}_frame"), "x", "y", F.col("lum").alias(f"{side}_lum"))
         near = near.join(own, [f"{side}_frame", "x", "y"])
     return near.select("t", "x", "y", "prev_frame", "next_frame", "prev_lum", "next_lum")
+
+
+@_query("live_replay", f"{E} SELECT 'c' || (x % 4) AS camera, t, x, y, p, row_number() OVER (PARTITION BY x % 4 ORDER BY t, x, y, p) - 1 AS record FROM e")
+def live_replay(spark, sf_dir):
+    """The events as logs of four cameras, played back by the live source in batches of 8,000 at most."""
+    logs, out = scratch(spark), scratch(spark)
+    rows = lens.events(spark, sf_dir).withColumn("camera", F.concat(F.lit("c"), (F.col("x") % 4).cast("string")))
+    live.write_logs(rows, logs)
+    stream = live.live_events(spark, logs, 8000)
+    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.read.schema(stream.schema).parquet(out)

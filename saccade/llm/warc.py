@@ -10,6 +10,10 @@ of an archive is bounded by its length.
 Archive files are written and read by the tasks through ``pyarrow.fs``, in the shared folder. A file has a name of its own
 per attempt; only files in the manifest, itself a table of the successful tasks, are read, so lost or repeated tasks do no harm.
 
+Foreign archives (archives()) are read too: record types of all kinds, ids as text, field names in any case, blocks that are no HTTP message.
+What lies between members and is none (a member that was cut or damaged), a record without a sensible head and a number of records that
+differs from the manifest's are rows with an error. Archives are compressed by record, as the format asks for.
+
 Edge cases: null html is an empty payload, null url gives no WARC-Target-URI; a null page_id is never referred to and is a
 response; rows with the smallest page_id of equal payloads are all responses; no pages, no archives, no records.
 """
@@ -167,81 +171,115 @@ def chain(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def parse_record(raw: bytes) -> dict:
-    """Fields of one record; the payload is None for a revisit."""
-    head, _, body = raw.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
-    body = body[: int(fields["Content-Length"])]
-    http, _, payload = body.partition(b"\r\n\r\n")
-    length = re.search(rb"(?i)^content-length: *(\d+)", http, re.M)
-    revisit = fields["WARC-Type"] == "revisit"
+    """Fields of one record of any type; field names in any case. ValueError if its head makes no sense."""
+    head, blank, body = raw.partition(b"\r\n\r\n")
+    lines = head.decode("utf-8", "replace").split("\r\n")
+    fields: dict[str, str] = {}
+    for line in lines[1:]:
+        name, colon, value = line.partition(":")
+        if colon:
+            fields.setdefault(name.strip().lower(), value.strip())
+    if not blank or "warc-type" not in fields:
+        raise ValueError("no WARC-Type")
+    length = fields.get("content-length", "")
+    if not length.isdecimal() or len(body) < int(length):
+        raise ValueError(f"Content-Length {length!r} with a block of {len(body)} bytes")
+    body, kind = body[: int(length)], fields["warc-type"].lower()
+    http, payload = b"", body
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        http, _, payload = body.partition(b"\r\n\r\n")
+    stated = re.search(rb"(?im)^content-length: *(\d+)", http)
 
     def page(name: str) -> int | None:
-        value = fields.get(name, "").removeprefix(f"<{PAGE_URN}").removesuffix(">")
-        return int(value) if value else None
+        """The page that an id of our own names."""
+        value = fields.get(name, "").removeprefix("<").removesuffix(">")
+        own = value.removeprefix(PAGE_URN)
+        return int(own) if own != value and re.fullmatch(r"-?\d+", own) else None
 
     return {
-        "page_id": page("WARC-Record-ID"),
-        "url": fields.get("WARC-Target-URI"),
-        "record_type": fields["WARC-Type"],
-        "refers_to": page("WARC-Refers-To"),
-        "stated_digest": fields.get("WARC-Payload-Digest", "").removeprefix("sha1:"),
-        "payload": None if revisit else payload,
-        "payload_bytes": int(length[1]) if revisit and length else len(payload),
+        "page_id": page("warc-record-id"),
+        "record_id": fields.get("warc-record-id"),
+        "url": fields.get("warc-target-uri"),
+        "record_type": kind,
+        "refers_to": page("warc-refers-to"),
+        "refers_to_id": fields.get("warc-refers-to"),
+        "date": fields.get("warc-date"),
+        "stated_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:") or None,
+        "payload": None if kind == "revisit" else payload,
+        "payload_bytes": int(stated[1]) if kind == "revisit" and stated else len(payload),
     }
 
 
+def archives(spark: SparkSession, folder: str) -> DataFrame:
+    """A manifest of the *.warc.gz files of a folder, also of foreign ones: path, bytes, records (null: not known)."""
+    fs, base = pafs.FileSystem.from_uri(folder)
+    found = [(f.base_name, f.size, None) for f in fs.get_file_info(pafs.FileSelector(base)) if f.is_file and f.base_name.endswith(".warc.gz")]
+    return spark.createDataFrame(found, "path string, bytes long, records long")
+
+
 def _members(manifest: DataFrame, folder: str, split: int) -> DataFrame:
-    """path, bytes, starts: the places of the members of all archives, by ranges of split bytes."""
-    ranges = manifest.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split).cast("long"))).alias("start"))
+    """path, bytes, starts (the places of the archives' members, by ranges of split bytes), errors (what is no whole record, wrong counts)."""
+    ranges = manifest.where("bytes > 0").select("path", "bytes", "records", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split).cast("long"))).alias("start"))
     spread = ranges.repartition(max(1, min(100_000, ranges.count())), "path", "start")
     wide = pa.list_(pa.int64())
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
         for b in batches:
-            for path, size, start in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for path, size, records, start in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 with fs.open_input_file(f"{base}/{path}") as file:
                     found = list(candidates(file, size, start, min(size, start + split)))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size], pa.int64()), pa.array([start], pa.int64()), pa.array([[x for x, _ in found]], wide), pa.array([[x for _, x in found]], wide)], names=["path", "bytes", "start", "starts", "ends"])
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size], pa.int64()), pa.array([records], pa.int64()), pa.array([start], pa.int64()), pa.array([[x for x, _ in found]], wide), pa.array([[x for _, x in found]], wide)], names=["path", "bytes", "records", "start", "starts", "ends"])
 
     def confirm(table: pa.Table) -> pa.Table:
         table = table.sort_by("start")
-        sizes = np.array([len(x) for x in table.column("starts")])
-        flat = [np.concatenate([x.values.to_numpy() for x in table.column(c)]) for c in ("starts", "ends")]
-        own = chain(*flat)
-        kept = [x[o].tolist() for x, o in zip(np.split(flat[0], np.cumsum(sizes)[:-1]), np.split(own, np.cumsum(sizes)[:-1]), strict=True)]
-        return pa.table({"path": table.column("path"), "bytes": table.column("bytes"), "starts": pa.array(kept, wide)})
-
-    found = spread.mapInArrow(look, "path string, bytes long, start long, starts array<long>, ends array<long>")
-    chained = found.groupBy("path").applyInArrow(confirm, "path string, bytes long, starts array<long>")
-    return materialize(chained.where(F.size("starts") > 0), "members")
+        cuts = np.cumsum([len(x) for x in table.column("starts")])[:-1]
+        starts, ends = (np.concatenate([np.asarray(x, np.int64) for x in table.column(c).to_pylist()]) for c in ("starts", "ends"))
+        own = chain(starts, ends)
+        kept = [x[o].tolist() for x, o in zip(np.split(starts, cuts), np.split(own, cuts), strict=True)]
+        # between the end of a member and the begin of the next there is nothing, unless something is damaged
+        size, records = table.column("bytes")[0].as_py(), table.column("records")[0].as_py()
+        gaps = zip([0, *ends[own].tolist()], [*starts[own].tolist(), size], strict=True)
+        errors = [f"bytes {a} to {b} hold no whole record" for a, b in gaps if a < b]
+        if records is not None and records != own.sum():
+            errors.append(f"{int(own.sum())} records, {records} were written")
+        none = [[] for _ in range(len(kept) - 1)]
+        return pa.table({"path": table.column("path"), "bytes": table.column("bytes"), "starts": pa.array(kept, wide), "errors": pa.array([errors, *none], pa.list_(pa.string()))})
+
+    found = spread.mapInArrow(look, "path string, bytes long, records long, start long, starts array<long>, ends array<long>")
+    chained = found.groupBy("path").applyInArrow(confirm, "path string, bytes long, starts array<long>, errors array<string>")
+    return materialize(chained.where((F.size("starts") > 0) | (F.size("errors") > 0)), "members")
 
 
 def read_archives(manifest: DataFrame, folder: str, split: int = SPLIT_BYTES) -> DataFrame:
-    """page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload of all records in the manifest's archives.
+    """All records in the manifest's archives: path, record_id, record_type, url, date, refers_to_id, payload, payload_bytes,
+    payload_digest, error; page_id and refers_to for records whose ids name pages.
 
-    The digest of a response is computed from the payload that was read; a revisit states its own.
+    The digest of a record is computed from the payload that was read; a revisit states its own. Damaged bytes, records that cannot be
+    parsed and wrong numbers of records are rows of their own, with error and nothing but the path.
     """
     members = _members(manifest, folder, split)
-    spread = members.repartition(max(1, min(100_000, members.count())), "path", F.element_at("starts", 1))
-    schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+    spread = members.repartition(max(1, min(100_000, members.count())), "path", F.get("starts", F.lit(0)))
+    schema = "page_id long, record_id string, url string, record_type string, refers_to long, refers_to_id string, date string, payload_bytes long, payload_digest string, payload binary, path string, error string"
     names = [part.split()[0] for part in schema.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.string()]
 
     def batch(rows: list[dict]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], k) for n, k in zip(names, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
         for b in batches:
-            for path, size, starts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                rows, held = [], 0
+            for path, size, starts, errors in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                rows, held = [{"path": path, "error": e} for e in errors], 0
                 with fs.open_input_file(f"{base}/{path}") as file:
-                    for raw in records_at(file, size, starts):
-                        row = parse_record(raw)
-                        row["payload_digest"] = row["stated_digest"] if row["payload"] is None else payload_digest(row["payload"])
-                        rows.append(row)
+                    for start, raw in zip(starts, records_at(file, size, starts), strict=True):
+                        try:
+                            row = parse_record(raw)
+                            row["payload_digest"] = row["stated_digest"] if row["payload"] is None else payload_digest(row["payload"])
+                        except ValueError as e:
+                            row = {"error": f"record at byte {start}: {e}"}
+                        rows.append({**row, "path": path})
                         held += len(raw)
                         if held > 4 << 20:
                             yield batch(rows)

@@ -11,7 +11,7 @@ pieces, two such texts have likeness 1; equal texts always have equal fingerprin
 
 For the edited texts the documents are range-partitioned by ascending doc_id (null last, ties by text), with the first
 row of each range also sent to the end of the range before it, so one shuffle of the texts is enough. The cuts between ranges
-come from a sample of ``SAMPLE`` keys a range (of about ``RANGE_BYTES``); they only share out the work. A doc_id, or null, that
+come from a sample of ``SAMPLE`` keys a range (of about ``RANGE_BYTES``), ``MOST_SAMPLED`` in all; they only share out the work. A doc_id, or null, that
 many rows have is cut by the first ``HEAD`` characters of the texts.
 """
 
@@ -36,6 +36,8 @@ PIECE = 8
 CELLS = 10
 #: Bytes and rows of a range, keys sampled for each, characters of a text that tell rows of one doc_id apart.
 RANGE_BYTES, RANGE_ROWS, SAMPLE, HEAD = 64 << 20, 20_000, 40, 100
+#: Ranges, and sampled keys, at most: what the driver sees does not grow with the data. Beyond, ranges get longer and their sorts spill.
+MOST_RANGES, MOST_SAMPLED = 100_000, 400_000
 _CHECK = np.uint64(0x5851F42D4C957F2D)
 _CUT = np.uint64(PIECE - 1)
 
@@ -214,16 +216,16 @@ class Cuts:
 
 
 def _cuts(rows: DataFrame, n: int, share: float) -> Cuts:
-    """Cuts for n ranges of about equal bytes, from a sample of SAMPLE * n documents' keys."""
+    """Cuts for n ranges of about equal bytes, from a sample of MOST_SAMPLED documents' keys at most, in columns."""
     sample = rows.sample(min(1.0, share), 1) if share < 1 else rows
-    found = sample.select("none", "id", F.substring("text", 1, HEAD).alias("head"), "bytes").collect()
-    found.sort(key=lambda r: (r.none, r.id, r.head.encode()))
-    done = np.cumsum([r.bytes + 64 for r in found])
-    at = np.searchsorted(done, done[-1] * np.arange(1, n) / n) if len(found) else []
-    picked = [found[i] for i in sorted(set(at))]
-    ids = Counter((r.none, r.id) for r in picked)
+    found = sample.select("none", "id", F.substring("text", 1, HEAD).alias("head"), "bytes").toArrow()
+    found = found.sort_by([("none", "ascending"), ("id", "ascending"), ("head", "ascending")])
+    done = np.cumsum(found.column("bytes").to_numpy() + 64)
+    at = np.unique(np.searchsorted(done, done[-1] * np.arange(1, n) / n)) if len(done) else np.empty(0, np.int64)
+    picked = [(none, id_, head.encode()) for none, id_, head in zip(*(found.column(c).take(pa.array(at)).to_pylist() for c in ("none", "id", "head")), strict=True)]
+    ids = Counter(k[:2] for k in picked)
     # a doc_id that is cut once is not split by text
-    return Cuts(sorted({(r.none, r.id, r.head.encode() if ids[r.none, r.id] > 1 else b"") for r in picked}))
+    return Cuts(sorted({(none, id_, head if ids[none, id_] > 1 else b"") for none, id_, head in picked}))
 
 
 def in_order(docs: DataFrame) -> DataFrame:
@@ -235,8 +237,8 @@ def in_order(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("bytes", F.octet_length("text"))
     count, size = rows.agg(F.count("*"), F.sum("bytes")).first()
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count // RANGE_ROWS, (size or 0) // RANGE_BYTES)
-    cuts = spark.sparkContext.broadcast(_cuts(rows, n, SAMPLE * n / max(count, 1)))
+    n = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), count // RANGE_ROWS, (size or 0) // RANGE_BYTES))
+    cuts = spark.sparkContext.broadcast(_cuts(rows, n, min(SAMPLE * n, MOST_SAMPLED) / max(count, 1)))
     split = len(Counter(k[:2] for k in cuts.value.keys)) < len(cuts.value.keys)
 
     @F.pandas_udf("int")

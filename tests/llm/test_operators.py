@@ -720,3 +720,16 @@ def test_mixing_of_large_ids_and_a_null_one(spark):
     assert again == {r.doc_id: r.taken for r in got}
     out = mixing.mixed_documents(docs).groupBy("doc_id").count().collect()
     assert {r.doc_id: r["count"] for r in out} == {r.doc_id: r.copies for r in got if r.copies}
+
+
+def test_fingerprint_ranges_and_samples_are_bounded(spark, monkeypatch):
+    """With fewer ranges and sampled keys than the table asks for, the rows stay the same."""
+    rng = random.Random(17)
+    rows = [(i // 3, " ".join(f"w{rng.randrange(90)}" for _ in range(30))) for i in range(600)]
+    docs = frame(spark, rows)
+    want = sorted(map(tuple, fingerprint.fingerprints(docs).collect()), key=str)
+    for name, value in (("RANGE_ROWS", 10), ("MOST_RANGES", 7), ("MOST_SAMPLED", 25)):
+        monkeypatch.setattr(fingerprint, name, value)
+    ranged = fingerprint.in_order(docs.select("doc_id", "text"))
+    assert ranged.select("range").distinct().count() <= 7
+    assert sorted(map(tuple, fingerprint.fingerprints(docs).collect()), key=str) == want

@@ -102,14 +102,30 @@ def asof_left(fact: DataFrame, dim: DataFrame, keys: list[str] | None = None, t:
 def asof_union(fact: DataFrame, dim: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
     """fact with prev, the last dimension row at or before it (null before the first), for large keyed dimensions.
 
-    One shuffle on the keys and one sort, whatever the size of the dimension.
+    Both sides are cut into ranges of time and merged by key and range, so one key is spread over as many tasks as it has ranges; the
+    last dimension row of each range is carried on to the later ones of its key by a table with a row per key and range. Of dimension
+    rows with equal key and time one counts; fact rows without a time have no prev; null keys are equal.
     """
     payload = [c for c in dim.columns if c not in keys]
-    sides = fact.select(*keys, F.col(t).alias("_t"), F.lit(1).alias("_side"), F.struct(*[c for c in fact.columns if c not in keys]).alias("_fact"), F.lit(None).cast(dim.select(F.struct(*payload).alias("s")).schema["s"].dataType).alias("prev"))
-    other = _one_per_time(dim, keys, t).select(*keys, F.col(t).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(sides.schema["_fact"].dataType).alias("_fact"), F.struct(*payload).alias("prev"))
-    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = sides.unionByName(other).withColumn("prev", F.last("prev", ignorenulls=True).over(w))
-    return both.where("_side = 1").select(*keys, "_fact.*", "prev")
+    kind = dim.select(F.struct(*payload).alias("s")).schema["s"].dataType
+    dims = _one_per_time(dim, keys, t)
+    bounds = ordered.cuts(fact.select(F.col(t).alias("_t")).where("_t is not null"), "_t")
+    place = lambda c: ordered.range_of(F.col(c), bounds)
+    sides = fact.select(*keys, F.col(t).alias("_t"), F.lit(1).alias("_side"), F.struct(*[c for c in fact.columns if c not in keys]).alias("_fact"), F.lit(None).cast(kind).alias("prev"))
+    other = dims.select(*keys, F.col(t).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(sides.schema["_fact"].dataType).alias("_fact"), F.struct(*payload).alias("prev"))
+    both = sides.where("_t is not null").unionByName(other).withColumn("_range", place("_t"))
+    w = Window.partitionBy(*keys, "_range").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    merged = both.withColumn("prev", F.last("prev", ignorenulls=True).over(w)).where("_side = 1")
+    if bounds:
+        lasts = other.withColumn("_range", place("_t")).groupBy(*keys, "_range").agg(F.max_by("prev", "_t").alias("_last"))
+        # ranges without a dimension row take the last one before them, so all ranges of a key with rows are asked
+        asked = sides.where("_t is not null").select(*keys, place("_t").alias("_range")).distinct().withColumn("_last", F.lit(None).cast(kind))
+        along = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        edges = lasts.unionByName(asked).groupBy(*keys, "_range").agg(F.first("_last", ignorenulls=True).alias("_last"))
+        edges = edges.select(*keys, "_range", F.last("_last", ignorenulls=True).over(along).alias("_before")).where("_before is not null")
+        merged = ordered._beside(merged, edges, keys).withColumn("prev", F.coalesce("prev", "_before")).drop("_before")
+    out = merged.select(*keys, "_fact.*", "prev")
+    return out.unionByName(sides.where("_t is null").select(*keys, "_fact.*", "prev"))
 
 
 def clock_offset(real: DataFrame, other: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from . import ordered
@@ -55,12 +55,25 @@ def late_cutoff(events: DataFrame, frame_t: str = "frame_t") -> DataFrame:
     return events.join(before, frame_t).where("_cut is null or t > _cut").drop("_cut")
 
 
+def _broken(width: int, height: int) -> dict[str, Column]:
+    """Conditions of rows that break the event schema."""
+    return {
+        "bad_time": F.col("t").isNull() | (F.col("t") < 0),
+        "out_of_frame": ~F.col("x").between(0, width - 1) | ~F.col("y").between(0, height - 1),
+        "bad_polarity": ~F.col("p").isin(0, 1),
+    }
+
+
 def validity_report(events: DataFrame, width: int, height: int) -> DataFrame:
     """Counts of rows that break the event schema."""
-    bad = lambda c: F.count_if(c)
-    return events.agg(
-        F.count("*").alias("events"),
-        bad(F.col("t").isNull() | (F.col("t") < 0)).alias("bad_time"),
-        bad(~F.col("x").between(0, width - 1) | ~F.col("y").between(0, height - 1)).alias("out_of_frame"),
-        bad(~F.col("p").isin(0, 1)).alias("bad_polarity"),
-    )
+    return events.agg(F.count("*").alias("events"), *[F.count_if(c).alias(n) for n, c in _broken(width, height).items()])
+
+
+def observed_validity(events: DataFrame, width: int, height: int, name: str = "validity") -> tuple[DataFrame, Observation]:
+    """(events, observation): validity_report()'s counts, gathered by the pass that does the work on the returned events; no scan of their own.
+
+    After the first action on what is made of the events, observation.get has the counts; that action has to read all of them (a limit does
+    not). Streams: see streaming.events.observed_stream().
+    """
+    seen = Observation(name)
+    return events.observe(seen, F.count(F.lit(1)).alias("events"), *[F.count_if(c).alias(n) for n, c in _broken(width, height).items()]), seen

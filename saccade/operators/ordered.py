@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,10 +56,10 @@ def neighbours(df: DataFrame, t: str, keys: list[str] | None = None) -> DataFram
     keys = keys or []
     bounds = cuts(df, t)
     rows = df.select(*keys, F.struct(*[c for c in df.columns if c not in keys]).alias("cur"), range_of(F.col(t), bounds).alias("_range"))
-    w = Window.partitionBy(*keys, "_range").orderBy(f"cur.{t}")
+    w = Window.partitionBy(*keys, "_range").orderBy(f"cur.{t}", "cur")  # rows of equal t stand by their other columns
     out = rows.withColumn("before", F.lag("cur").over(w)).withColumn("after", F.lead("cur").over(w))
     if bounds:
-        edges = rows.groupBy(*keys, "_range").agg(F.min_by("cur", f"cur.{t}").alias("_first"), F.max_by("cur", f"cur.{t}").alias("_last"))
+        edges = rows.groupBy(*keys, "_range").agg(F.min_by("cur", F.struct(f"cur.{t}", "cur")).alias("_first"), F.max_by("cur", F.struct(f"cur.{t}", "cur")).alias("_last"))
         along = Window.partitionBy(*keys).orderBy("_range")
         edges = edges.select(*keys, "_range", F.lag("_last").over(along).alias("_left"), F.lead("_first").over(along).alias("_right"))
         out = _beside(out, edges, keys).withColumn("before", F.coalesce("before", "_left")).withColumn("after", F.coalesce("after", "_right"))
@@ -66,10 +67,10 @@ def neighbours(df: DataFrame, t: str, keys: list[str] | None = None) -> DataFram
 
 
 def numbered(df: DataFrame, t: str, name: str = "idx") -> DataFrame:
-    """df with the number of each row by t, from 1."""
+    """df with the number of each row by t, then its other columns, from 1."""
     bounds = cuts(df, t)
     rows = df.withColumn("_range", range_of(F.col(t), bounds))
-    out = rows.withColumn(name, F.row_number().over(Window.partitionBy("_range").orderBy(t)))
+    out = rows.withColumn(name, F.row_number().over(Window.partitionBy("_range").orderBy(t, *[F.col(f"`{c}`") for c in df.columns if c != t])))
     if bounds:
         sizes = rows.groupBy("_range").count()
         earlier = F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -102,9 +103,36 @@ def strided(df: DataFrame, parts: int, t: str) -> DataFrame:
     return numbered(df, t, "_idx").withColumn("part", F.pmod(F.col("_idx") - 1, F.lit(parts)).cast("int")).drop("_idx")
 
 
+def _border(counts: DataFrame, most: int) -> tuple[int, int]:
+    """Of counts (bucket, count; 2**16 buckets at most): the bucket in which the most-th row lies, and the rows before it."""
+    found = counts.toArrow()
+    order = np.argsort(found.column("bucket").to_numpy())
+    buckets, until = found.column("bucket").to_numpy()[order], np.cumsum(found.column("count").to_numpy()[order])
+    at = int(np.searchsorted(until, most, "left"))
+    if at == len(buckets):
+        return 1 << 16, int(until[-1]) if len(until) else 0
+    return int(buckets[at]), int(until[at - 1]) if at else 0
+
+
 def subsample(df: DataFrame, most: int, seed: int = 0) -> DataFrame:
-    """most rows of df at random, the same for the same rows and seed; all if there are fewer."""
-    return df.withColumn("_draw", F.xxhash64(F.lit(seed), *df.columns)).orderBy("_draw", *df.columns).limit(most).drop("_draw")
+    """most rows of df at random, the same for the same rows and seed; all if there are fewer.
+
+    Every row draws a hash of itself. Counts per range of draws, twice 2**16 of them, tell below which draw the rows are wanted; only those in
+    the one range of 2**-32 of all draws that holds the border are put in order, equal rows as one with their number. Equal rows draw alike.
+    """
+    drawn = df.withColumn("_draw", F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns]))
+    high, low = F.expr("shiftrightunsigned(_draw, 48)"), F.expr("shiftrightunsigned(_draw, 32) & 65535")
+    b, before = _border(drawn.groupBy(high.alias("bucket")).count(), most)
+    if b == 1 << 16:
+        return df
+    c, inside = _border(drawn.where(high == b).groupBy(low.alias("bucket")).count(), most - before)
+    whole = drawn.where((high < b) | ((high == b) & (low < c))).drop("_draw")
+    keys = [F.col(f"`{k}`") for k in df.columns]
+    edge = drawn.where((high == b) & (low == c)).groupBy(*keys, "_draw").agg(F.count("*").alias("_n"))
+    until = F.sum("_n").over(Window.orderBy("_draw", *keys).rowsBetween(Window.unboundedPreceding, 0))
+    left = F.least(F.col("_n"), F.lit(most - before - inside) - (until - F.col("_n")))
+    some = edge.withColumn("_left", left).where("_left > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_left").cast("int"))))
+    return whole.unionByName(some.select(*keys))
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:

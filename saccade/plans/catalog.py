@@ -692,3 +692,42 @@ def live_replay(spark, sf_dir):
     finally:
         query.stop()
     return spark.read.schema(stream.schema).parquet(out)
+
+
+@_query("asof_keyed", f"{EF} SELECT e.t, e.x, e.y, e.p, f.frame_idx AS frame_idx, f.lum AS lum FROM e ASOF LEFT JOIN f ON e.x = f.x AND e.y = f.y AND e.t >= f.t")
+def asof_keyed(spark, sf_dir):
+    """Each event with its own pixel's last frame row: a dimension as large as the fact, keyed by pixel."""
+    out = asof.asof_union(lens.events(spark, sf_dir).select("t", "x", "y", "p"), lens.pixels(spark, sf_dir), ["x", "y"])
+    return out.select("t", "x", "y", "p", F.col("prev.frame_idx").alias("frame_idx"), F.col("prev.lum").alias("lum"))
+
+
+@_query("validity_observed", SQL["validity_report"])
+def validity_observed(spark, sf_dir):
+    """The counts of validity_report, seen by the pass that writes the events' intervals."""
+    rows, seen = frames.observed_validity(lens.events(spark, sf_dir), 16, 5)
+    intervals.intervals(rows.select("t", "x", "y", "p")).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([seen.get], "events long, bad_time long, out_of_frame long, bad_polarity long")
+
+
+@_query("session_scan", f"{E} SELECT 's' || (x % 3) AS session, count(*) AS n, min(t) AS first_t, max(t) AS last_t, sum(p)::BIGINT AS on_events FROM e WHERE t < {lens.ORIGIN + 10 * lens.DAY} GROUP BY 1")
+def session_scan(spark, sf_dir):
+    """The events as a folder of sessions, scanned by row groups: two columns, the first ten days."""
+    folder = scratch(spark)
+    rows = lens.events(spark, sf_dir).select(F.concat(F.lit("s"), (F.col("x") % 3).cast("string")).alias("part"), "t", "x", "y", "p", F.col("value").alias("prev_lum"), F.col("value").alias("next_lum"), F.lit(5).cast("long").alias("frame_dt"))
+    for name in ("s0", "s1", "s2"):
+        rows.where(F.col("part") == name).drop("part").orderBy("t").write.option("parquet.block.size", 1 << 15).option("parquet.page.row.count.limit", 500).parquet(f"{folder}/{name}")
+    found = sources.scan_sessions(spark, folder, columns=["t", "p"], times=(None, lens.ORIGIN + 10 * lens.DAY - 1))
+    return found.groupBy("session").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.sum("p").alias("on_events"))
+
+
+def _summary_step(state, batch):
+    t, p = batch.column("t").to_numpy(), batch.column("p").to_numpy()
+    n, first, last, on = state
+    return n + len(t), min(first, int(t.min())), max(last, int(t.max())), on + int(p.sum())
+
+
+@_query("session_fold", f"{E} SELECT x AS session, count(*) AS n, min(t) AS first_t, max(t) AS last_t, sum(p)::BIGINT AS on_events FROM e GROUP BY x")
+def session_fold(spark, sf_dir):
+    rows = lens.events(spark, sf_dir).select(F.col("x").alias("session"), "t", "p")
+    out = sources.fold_sessions(rows, lambda: (0, 1 << 62, -(1 << 62), 0), _summary_step, lambda s: {"n": [s[0]], "first_t": [s[1]], "last_t": [s[2]], "on_events": [s[3]]}, "n long, first_t long, last_t long, on_events long")
+    return out.where("error is null").select("session", "n", "first_t", "last_t", "on_events")

@@ -22,11 +22,14 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 from .. import schema as S
 from ..functions import pixels as P
+from ..storage import written
 from .sinks import INDEX, NO_TIME, FrameSink, at, read_event_text, read_manifest, write_event_text, write_frames  # noqa: F401
 
 #: Frames of a task: at least these many, and these many bytes of small ones; bytes of a batch of them.
 FRAMES_PER_TASK, TASK_BYTES, BATCH_BYTES = 32, 32 << 20, 8 << 20
 RECORDS_PER_TASK = 1_000_000
+#: Tasks of a scan at most; beyond, a task reads several row groups.
+MOST_TASKS = 100_000
 
 
 def _open(path: str) -> pa.NativeFile:
@@ -475,36 +478,84 @@ def _listed(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).select("path")
 
 
-def scan_sessions(spark: SparkSession, folder: str, schema=S.EVENTS_WITH_LUMINANCE) -> DataFrame:
-    """The rows of all Parquet files below folder with session (the file's folder), path and error.
+def row_groups(spark: SparkSession, folder: str, time: str | None = None) -> DataFrame:
+    """path, group, rows, bytes, first, last (of the column time, null if not stated), error of the Parquet files below folder.
 
-    A file that cannot be read gives one row with its error and null columns, besides what was read of it before.
+    Footers are read by tasks; a file without a readable one is a row with its error and no group.
     """
-    names = [f.name for f in schema]
-    arrow = pa.schema([(f.name, _ARROW[f.dataType.simpleString()]) for f in schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def row(path: str, table: pa.RecordBatch | None, error: str | None) -> pa.RecordBatch:
-            n = 1 if table is None else table.num_rows
-            columns = [pa.nulls(n, f.type) if table is None else table.column(f.name).cast(f.type) for f in arrow]
-            return pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array([error] * n, pa.string()), *columns], names=["path", "error", *names])
-
         for batch in batches:
             for path in batch.column(0).to_pylist():
+                rows = []
                 try:
                     with _open(path) as file:
-                        for part in pq.ParquetFile(file).iter_batches(columns=names):
-                            yield row(path, part, None)
+                        footer = pq.ParquetFile(file).metadata
+                        names = [footer.schema.column(i).path for i in range(footer.num_columns)]
+                        at_ = names.index(time) if time in names else None
+                        for g in range(footer.num_row_groups):
+                            group = footer.row_group(g)
+                            stated = group.column(at_).statistics if at_ is not None else None
+                            bounds = (stated.min, stated.max) if stated is not None and stated.has_min_max and not isinstance(stated.min, bytes) else (None, None)
+                            rows.append((path, g, group.num_rows, sum(group.column(i).total_compressed_size for i in range(group.num_columns)), *bounds, None))
                 except Exception as e:  # one bad file must not end the scan; it becomes a row
-                    yield row(path, None, f"{type(e).__name__}: {e}")
+                    rows = [(path, None, None, None, None, None, f"{type(e).__name__}: {e}")]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["path", "group", "rows", "bytes", "first", "last", "error"])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
     files = _listed(spark, folder, "*.parquet")
-    rows = files.repartition(spark.sparkContext.defaultParallelism * 4, "path").mapInArrow(run, f"path string, error string, {fields}")
+    spread = files.repartition(spark.sparkContext.defaultParallelism * 4, "path")
+    return spread.mapInArrow(run, "path string, group int, rows bigint, bytes bigint, first bigint, last bigint, error string")
+
+
+def scan_sessions(spark: SparkSession, folder: str, schema=S.EVENTS_WITH_LUMINANCE, columns: list[str] | None = None, times: tuple[int | None, int | None] | None = None) -> DataFrame:
+    """The rows of all Parquet files below folder with session (the file's folder), path, group and error.
+
+    Work is planned by row groups, from the files' footers: a large file is read by several tasks. columns: those of schema that are wanted;
+    others are not read. times: bounds of t; groups whose statistics lie outside are not opened. A file or a group that cannot be
+    read gives one row with its error and null columns, besides what was read of it before.
+    """
+    wanted = [f for f in schema if columns is None or f.name in columns]
+    arrow = pa.schema([(f.name, _ARROW[f.dataType.simpleString()]) for f in wanted])
+    names = arrow.names
+    lo, hi = times or (None, None)
+
+    def row(path: str, group: int | None, table: pa.RecordBatch | None, error: str | None) -> pa.RecordBatch:
+        n = 1 if table is None else table.num_rows
+        filled = [pa.nulls(n, f.type) if table is None else table.column(f.name).cast(f.type) for f in arrow]
+        return pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array([group] * n, pa.int32()), pa.array([error] * n, pa.string()), *filled], names=["path", "group", "error", *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, group, error in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if error is not None:
+                    yield row(path, group, None, error)
+                    continue
+                try:
+                    with _open(path) as file:
+                        read = [*names, *(["t"] if times and "t" not in names else [])]
+                        for part in pq.ParquetFile(file).iter_batches(row_groups=[group], columns=read):
+                            if times:
+                                t = part.column(part.schema.get_field_index("t"))
+                                keep = pc.and_(pc.greater_equal(t, lo) if lo is not None else pc.is_valid(t), pc.less_equal(t, hi) if hi is not None else pc.is_valid(t))
+                                part = part.filter(keep)
+                            if part.num_rows:
+                                yield row(path, group, part, None)
+                except Exception as e:
+                    yield row(path, group, None, f"{type(e).__name__}: {e}")
+
+    groups = row_groups(spark, folder, "t" if times else None)
+    if lo is not None:
+        groups = groups.where(F.col("last").isNull() | (F.col("last") >= lo))
+    if hi is not None:
+        groups = groups.where(F.col("first").isNull() | (F.col("first") <= hi))
+    plan = written(groups.select("path", "group", "error"))
+    fields = "".join(f", {f.name} {f.dataType.simpleString()}" for f in wanted)
+    rows = plan.repartition(max(1, min(MOST_TASKS, plan.count())), "path", "group").mapInArrow(run, f"path string, group int, error string{fields}")
     return rows.withColumn("session", _session(F.col("path")))
 
 
-_ARROW = {"tinyint": pa.int8(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
+_ARROW = {"boolean": pa.bool_(), "long": pa.int64(), "tinyint": pa.int8(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
 
 
 def read_sessions(spark: SparkSession, folder: str, schema=S.EVENTS_WITH_LUMINANCE) -> DataFrame:
@@ -516,7 +567,7 @@ def read_sessions(spark: SparkSession, folder: str, schema=S.EVENTS_WITH_LUMINAN
 def by_session(rows: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str = "session") -> DataFrame:
     """work's rows (schema) for each session, with key and error; a session whose work fails gives one row with its error instead.
 
-    work gets all rows of a session, so it is for per-session summaries and reports, not for raw events.
+    work gets all rows of a session as one frame: for sessions that fit a task. Larger ones: fold_sessions().
     """
     names = [part.split()[0] for part in schema.split(", ")]
 
@@ -529,6 +580,43 @@ def by_session(rows: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], sc
     return rows.groupBy(key).applyInPandas(run, f"{schema}, {key} {rows.schema[key].dataType.simpleString()}, error string")
 
 
+def fold_sessions(rows: DataFrame, start: Callable, step: Callable, finish: Callable, schema: str, key: str = "session") -> DataFrame:
+    """finish's rows (schema) for each session, with key and error, from a state that batches of the session's rows are folded into.
+
+    start() makes a state, step(state, batch) takes an Arrow batch in and gives the next state, finish(state) gives a dict of columns. Only
+    the state and one batch are held, so a session may be larger than a task's memory. A session for which one of them fails gives one
+    row with its error instead; the others go on. Batches come in no order.
+    """
+    names = [part.split()[0] for part in schema.split(", ")]
+    kind = rows.schema[key].dataType.simpleString()
+    arrow = [pa.type_for_alias("string") if kind == "string" else _ARROW[kind]]
+    given = rows.select(key, *[c for c in rows.columns if c != key])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, error, name = None, None, None
+        for batch in batches:
+            name = batch.column(0)[0].as_py()
+            if error is not None:
+                continue  # the rest of the session is read over
+            try:
+                state = step(start() if state is None else state, batch)
+            except Exception as e:  # isolated: the other sessions go on
+                error = "".join(traceback.format_exception_only(e)).strip()
+        columns: dict = {}
+        if error is None:
+            try:
+                columns = finish(state)
+            except Exception as e:
+                error = "".join(traceback.format_exception_only(e)).strip()
+        if error is not None:
+            columns = {n: [None] for n in names}
+        n = len(next(iter(columns.values())))
+        yield pa.RecordBatch.from_arrays([*(pa.array(columns[c], _ARROW[k]) for c, k in kinds), pa.array([name] * n, arrow[0]), pa.array([error] * n, pa.string())], names=[*names, key, "error"])
+
+    kinds = [(c, k) for c, k in ((part.split()[0], part.split()[1]) for part in schema.split(", "))]
+    return given.groupBy(key).applyInArrow(run, f"{schema}, {key} {kind}, error string")
+
+
 # fixed values: parts of the names of a session's files
 ROLES = {"events": "dv_output", "metadata": "metadata", "rgb": "rgb_frames", "raw": "raw_frames"}
 

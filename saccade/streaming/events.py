@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators import accumulator, simulate
+from ..operators import accumulator, frames, simulate
 from ..operators.accumulator import CONTRIBUTION, DECAY, PIECE, SLICE, accumulate  # noqa: F401
 from ..params import Sensor, preset
 
@@ -55,6 +56,21 @@ def only_later(events: DataFrame, keys: str = "x long, y long") -> DataFrame:
     return events.groupBy(*names).applyInPandasWithState(run, fields, "last long", "append", GroupStateTimeout.NoTimeout)
 
 
+def observed_stream(events: DataFrame, width: int, height: int, name: str = "validity") -> DataFrame:
+    """A stream whose batches report frames.validity_report()'s counts as observed metrics of that name (see batch_validity())."""
+    return events.observe(name, F.count(F.lit(1)).alias("events"), *[F.count_if(c).alias(n) for n, c in frames._broken(width, height).items()])
+
+
+def batch_validity(query: StreamingQuery, name: str = "validity") -> list[dict]:
+    """batch and the counts of the batches in a query's recent progress; batches without events count nothing."""
+    out = []
+    for progress in query.recentProgress:
+        row = progress.observedMetrics.get(name)
+        if row is not None:
+            out.append({"batch": progress.batchId, **row.asDict()})
+    return out
+
+
 class _Slices(StatefulProcessor):
     """A pixel's level and the events of its open slices; a timer at the end of each slice folds it and gives its row."""
 

@@ -36,18 +36,19 @@ def needed_frames(near: DataFrame, pixels: DataFrame, keys: list[str] | None = N
     return pixels.join(wanted, [*keys, "frame_idx"], "left_semi")
 
 
-def bucket_fits(rows: DataFrame, ranges: DataFrame | None = None, bins: int = 50, least: int = 200, on_sign: int = -1, compat_lambda: bool = False, keys: list[str] | None = None) -> DataFrame:
-    """Interval fits per polarity and cell of (lbar, dl), in one pass: the columns of FITS.
+def bucket_fits(rows: DataFrame, ranges: DataFrame | None = None, bins: int | tuple[int, int] = 50, least: int = 200, on_sign: int = -1, compat_lambda: bool = False, keys: list[str] | None = None) -> DataFrame:
+    """Interval fits per polarity and cell of (lbar, dl), in one pass: the columns of FITS. bins: of both, or of lbar and dl.
 
     ranges: per key x_min..y_max (default: valid_range of rows). on_sign is the sign of mu for ON events. compat_lambda takes shape / scale for lambda.
     """
     keys = keys or ["p"]
+    across, along = bins if isinstance(bins, tuple) else (bins, bins)
     if ranges is None:
         joined = rows.join(histogram.valid_range(rows, "lbar", "dl", keys=keys), keys)
     else:
         joined = rows.join(F.broadcast(ranges) if ranges.limit(histogram.FEW + 1).count() <= histogram.FEW else ranges, keys)
-    i = histogram.half_open_bin(F.col("lbar"), F.col("x_min"), F.col("x_max"), bins)
-    j = histogram.half_open_bin(F.col("dl"), F.col("y_min"), F.col("y_max"), bins)
+    i = histogram.half_open_bin(F.col("lbar"), F.col("x_min"), F.col("x_max"), across)
+    j = histogram.half_open_bin(F.col("dl"), F.col("y_min"), F.col("y_max"), along)
     cells = joined.withColumn("i", i).withColumn("j", j).where("i is not null and j is not null")
     mean, shape = intervals.inverse_gaussian(F.col("tau"))
     fitted = cells.groupBy(*keys, "i", "j", "x_min", "x_max", "y_min", "y_max").agg(F.count("*").alias("count"), mean.alias("mu_hat"), shape.alias("_shape"))
@@ -58,10 +59,10 @@ def bucket_fits(rows: DataFrame, ranges: DataFrame | None = None, bins: int = 50
     out = fitted.withColumn("lambda_hat", lam).withColumn("mu", sign / F.col("mu_hat")).withColumn("sigma", 1 / F.sqrt("lambda_hat"))
     return out.select(
         *keys,
-        edge(F.col("i"), F.col("x_min"), F.col("x_max"), bins).alias("mean_min"),
-        edge(F.col("i") + 1, F.col("x_min"), F.col("x_max"), bins).alias("mean_max"),
-        edge(F.col("j"), F.col("y_min"), F.col("y_max"), bins).alias("diff_min"),
-        edge(F.col("j") + 1, F.col("y_min"), F.col("y_max"), bins).alias("diff_max"),
+        edge(F.col("i"), F.col("x_min"), F.col("x_max"), across).alias("mean_min"),
+        edge(F.col("i") + 1, F.col("x_min"), F.col("x_max"), across).alias("mean_max"),
+        edge(F.col("j"), F.col("y_min"), F.col("y_max"), along).alias("diff_min"),
+        edge(F.col("j") + 1, F.col("y_min"), F.col("y_max"), along).alias("diff_max"),
         "mu_hat", "lambda_hat", "mu", "sigma", "count",
     )
 

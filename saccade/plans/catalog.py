@@ -229,23 +229,23 @@ def roi_transform(spark, sf_dir):
 
 @_query(
     "tag_region",
-    f"""WITH {lens.BOXES_SQL}, c AS (SELECT t, least(x0 - y0, x1 - y1, x2 - y2, x3 - y3) AS lo, greatest(x0 + y0, x1 + y1, x2 + y2, x3 + y3) AS hi, * EXCLUDE (t) FROM b),
+    f"""WITH {lens.EVENT_BOXES_SQL}, c AS (SELECT t, least(x0 - y0, x1 - y1, x2 - y2, x3 - y3) AS lo, greatest(x0 + y0, x1 + y1, x2 + y2, x3 + y3) AS hi, * EXCLUDE (t) FROM b),
 k AS (SELECT t, {', '.join(f'CASE {" ".join(f"WHEN x{i} {op} y{i} = {best} THEN {c}{i}" for i in range(4))} END AS {name}{c}' for name, op, best in (('l', '-', 'lo'), ('r', '+', 'hi')) for c in 'xy')} FROM c),
 u AS (SELECT *, (rx - lx) / n AS ux, (ry - ly) / n AS uy, n / 287 AS s FROM (SELECT *, sqrt((rx - lx) ** 2 + (ry - ly) ** 2) AS n FROM k)),
 r AS (SELECT *, lx - 82 * s * ux AS ax, ly - 82 * s * uy AS ay FROM u)
 SELECT t, round(degrees(atan2(uy, ux)), 4) AS angle, round(ax, 4) AS right_x, round(ay, 4) AS right_y, round(ax - 861 * s * ux, 4) AS left_x, round(ay - 861 * s * uy, 4) AS left_y FROM r""",
 )
 def tag_region(spark, sf_dir):
-    tags = lens.boxes(spark).select("t", F.lit(0).alias("tag_id"), F.col("polygon").alias("corners"))
+    tags = lens.event_boxes(spark, sf_dir).select("t", F.lit(0).alias("tag_id"), F.col("polygon").alias("corners"))
     out = roi.boxes_from_tags(tags, 0.0)
     corner = lambda i: F.get("polygon", F.lit(i))
     rows = out.select("t", "angle", corner(1).x.alias("right_x"), corner(1).y.alias("right_y"), corner(0).x.alias("left_x"), corner(0).y.alias("left_y"))
     return rounded(rows, angle=4, right_x=4, right_y=4, left_x=4, left_y=4)
 
 
-@_query("trajectory", f"WITH {lens.BOXES_SQL} SELECT t, cx AS center_x, cy AS center_y, angle FROM b")
+@_query("trajectory", f"WITH {lens.EVENT_BOXES_SQL} SELECT t, cx AS center_x, cy AS center_y, angle FROM b")
 def trajectory(spark, sf_dir):
-    return roi.trajectory(lens.boxes(spark))
+    return roi.trajectory(lens.event_boxes(spark, sf_dir))
 
 
 @_query(
@@ -398,16 +398,30 @@ def _plane_sql(source: str, by: str) -> str:
    FROM {source} JOIN (SELECT {by}, sum(w * u) / sum(w) AS mu_, sum(w * v) / sum(w) AS mv, sum(w * y) / sum(w) AS my FROM {source} GROUP BY {by}) USING ({by}) GROUP BY {by}))"""
 
 
+#: Line items as intervals of a sensor: the rate grows with the discount and falls with the quantity, the tax scatters it.
+_RESPONSES = """WITH d AS (SELECT (CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)::TINYINT AS p, l_quantity AS lbar, l_discount * 100 + 1 AS dl, (l_quantity + 20) * 3333 / (l_discount * 100 + 1) * (1 + l_tax) AS tau FROM lineitem),
+cells AS (SELECT p, floor((lbar - 0.5) * 10 / 50) AS i, floor((dl - 0.5) * 11 / 11) AS j, tau FROM d WHERE lbar >= 0.5 AND lbar < 50.5 AND dl >= 0.5 AND dl < 11.5),
+fitted AS (SELECT p, i, j, count(*) AS n, avg(tau) AS m, 1 / (avg(1 / tau) - 1 / avg(tau)) AS l FROM cells GROUP BY ALL HAVING count(*) >= 10),
+k AS (SELECT p, 0.5 + i * 50.0 / 10 AS mean_min, 0.5 + (i + 1) * 50.0 / 10 AS mean_max, 0.5 + j * 11.0 / 11 AS diff_min, 0.5 + (j + 1) * 11.0 / 11 AS diff_max, CASE WHEN p = 1 THEN 1 ELSE -1 END / m AS mu, n AS count FROM fitted WHERE l > 0)"""
+
+
+def _response_fits(spark, sf_dir):
+    rate = (F.col("l_quantity") + 20) * 3333 / (F.col("l_discount") * 100 + 1) * (1 + F.col("l_tax"))
+    rows = lens.table(spark, sf_dir, "lineitem").select(F.when(F.col("l_returnflag") == "R", 1).otherwise(0).cast("tinyint").alias("p"), F.col("l_quantity").alias("lbar"), (F.col("l_discount") * 100 + 1).alias("dl"), rate.alias("tau"))
+    ranges = spark.createDataFrame([(p, bins, 0.5, 50.5, 0.5, 11.5) for p, bins in ((0, 10), (1, 10))], "p tinyint, bins int, x_min double, x_max double, y_min double, y_max double").drop("bins")
+    return calibration.bucket_fits(rows, ranges, bins=(10, 11), least=10, on_sign=1)
+
+
 @_query(
     "sensor_constants",
-    f"""WITH {lens.FITS_SQL}, f AS (SELECT p, (mean_min + mean_max) / 2 AS lbar, (diff_min + diff_max) / 2 / 16667.0 AS kdl, mu, count FROM fits),
+    f"""{_RESPONSES}, f AS (SELECT p, (mean_min + mean_max) / 2 AS lbar, (diff_min + diff_max) / 2 / 16667.0 AS kdl, mu, count FROM k),
 s AS (SELECT * FROM {_line_sql('f', 'kdl', 'mu', 'count', 'p, lbar', 5)}), r AS (SELECT p, lbar, 1 / slope AS inverse, total FROM s WHERE slope <> 0),
 g AS (SELECT p, 1 / slope AS k1, intercept / slope AS k2 FROM {_line_sql('r', 'lbar', 'inverse', 'total', 'p')}),
 o AS (SELECT f.p, kdl / (f.lbar + k2) AS u, f.lbar AS v, mu AS y, count AS w FROM f JOIN s ON s.p = f.p AND s.lbar = f.lbar JOIN g ON g.p = f.p)
 SELECT p, round(k1, 6) AS k1, round(k2, 5) AS k2, round(slope_u, 6) AS k1_check, round(intercept * 1e9, 3) AS k4, round(slope_v * 1e9, 5) AS k5 FROM g JOIN {_plane_sql('o', 'p')} USING (p)""",
 )
 def sensor_constants(spark, sf_dir):
-    found = calibration.sensor_constants(lens.fits(spark))
+    found = calibration.sensor_constants(_response_fits(spark, sf_dir))
     return rounded(found.select("p", "k1", "k2", "k1_check", (F.col("k4") * 1e9).alias("k4"), (F.col("k5") * 1e9).alias("k5")), k1=6, k2=5, k1_check=6, k4=3, k5=5)
 
 
@@ -477,7 +491,16 @@ def _pixel_functions(rows):
     return rows.select("t", "x", "y", P.ten_to_eight_bits(v).alias("eight"), P.unpack_ten_bits(v).alias("bits"), P.gray(v, v % 256, v % 7).alias("gray"), P.to_microseconds(F.col("t"), F.lit(lens.ORIGIN)).alias("us"))
 
 
-QUERIES["pixel_functions_all"], SQL["pixel_functions_all"] = pixel_functions, SQL["pixel_functions"]
+@_query(
+    "pixel_functions_all",
+    """WITH v AS (SELECT l_orderkey, l_linenumber, floor(l_extendedprice)::INT % 65536 AS v FROM lineitem)
+SELECT l_orderkey, l_linenumber, floor(v % 1024 * 255 / 1023)::INT AS eight, (v >> 6) & 1023 AS bits, round(0.114 * (v % 256) + 0.587 * (v % 251) + 0.299 * (v % 241))::INT AS gray, floor(v / 256)::INT AS high FROM v""",
+)
+def pixel_functions_all(spark, sf_dir):
+    """The pixel functions over line items as 16-bit pixels, gray from channels in blue, green, red order."""
+    v = F.col("v")
+    rows = lens.table(spark, sf_dir, "lineitem").withColumn("v", F.floor("l_extendedprice").cast("int") % 65536)
+    return rows.select("l_orderkey", "l_linenumber", P.ten_to_eight_bits(v % 1024).alias("eight"), P.unpack_ten_bits(v).alias("bits"), P.gray(v % 256, v % 251, v % 241, "bgr").alias("gray"), P.sixteen_to_eight_bits(v).alias("high"))
 
 
 @_query(
@@ -495,9 +518,19 @@ def center_crop(spark, sf_dir):
     return P.center_crop(lens.events(spark, sf_dir), 16, 10, 8, 8).select("t", "x", "y", "p")
 
 
-@_query("preset_table", f"SELECT * FROM (VALUES {', '.join(f'({n!r}, ' + ', '.join(f'{float(v)!r}::DOUBLE' for v in vars(preset(n)).values()) + ')' for n in PRESETS)}) v(camera, k1, k2, k3, k4, k5, k6)")
+@_query(
+    "preset_table",
+    f"""{E}, c AS (SELECT * FROM (VALUES {', '.join(f'({i}, {n!r}, ' + ', '.join(f'{float(v)!r}::DOUBLE' for v in vars(preset(n)).values()) + ')' for i, n in enumerate(PRESETS))}) v(i, camera, k1, k2, k3, k4, k5, k6))
+SELECT camera, k1, k2, k3, k4, k5, k6, count(*) AS n, round(avg(k3 * sqrt(value) / (value + k2) + k6) * 1e6, 6) AS mean_sigma FROM e JOIN c ON i = x % {len(PRESETS)} GROUP BY ALL""",
+)
 def preset_table(spark, sf_dir):
-    return presets(spark)
+    """The presets with the events of the pixels that have them, and the mean noise at their values."""
+    names = list(PRESETS)
+    camera = F.get(F.array(*[F.lit(n) for n in names]), F.col("x") % len(names))
+    joined = lens.events(spark, sf_dir).withColumn("camera", camera).join(F.broadcast(presets(spark)), "camera")
+    sigma = F.col("k3") * F.sqrt("value") / (F.col("value") + F.col("k2")) + F.col("k6")
+    out = joined.groupBy("camera", "k1", "k2", "k3", "k4", "k5", "k6").agg(F.count("*").alias("n"), (F.avg(sigma) * 1e6).alias("mean_sigma"))
+    return rounded(out, mean_sigma=6)
 
 
 @_query(
@@ -526,14 +559,14 @@ def _quad_sql(f: str) -> str:
 
 @_query(
     "quad_measures",
-    f"""WITH {lens.BOXES_SQL}, m AS (SELECT *, (x0 + x1 + x2 + x3) / 4 AS mx, (y0 + y1 + y2 + y3) / 4 AS my FROM b), e AS (SELECT t, mx, my, {_quad_sql('m{c} + ({c}{i} - m{c}) * 1.25 AS {c}{i}')} FROM m)
+    f"""WITH {lens.EVENT_BOXES_SQL}, m AS (SELECT *, (x0 + x1 + x2 + x3) / 4 AS mx, (y0 + y1 + y2 + y3) / 4 AS my FROM b), w AS (SELECT t, mx, my, {_quad_sql('m{c} + ({c}{i} - m{c}) * 1.25 AS {c}{i}')} FROM m)
 SELECT t, {_quad_sql('round({c}{i}, 6) AS {c}{i}')}, {', '.join(f'round(sqrt((x{(i + 1) % 4} - x{i}) ** 2 + (y{(i + 1) % 4} - y{i}) ** 2), 6) AS side{i}' for i in range(4))},
   (ceil(round(greatest(greatest(x0, x1, x2, x3) - least(x0, x1, x2, x3), greatest(y0, y1, y2, y3) - least(y0, y1, y2, y3)), 6) / 10) * 10)::INT AS size,
-  greatest(0, floor(least(x0, x1, x2, x3)))::INT AS "left", greatest(0, floor(least(y0, y1, y2, y3)))::INT AS top, least(16, ceil(greatest(x0, x1, x2, x3)))::INT AS "right", least(10, ceil(greatest(y0, y1, y2, y3)))::INT AS bottom FROM e""",
+  greatest(0, floor(least(x0, x1, x2, x3)))::INT AS "left", greatest(0, floor(least(y0, y1, y2, y3)))::INT AS top, least(16, ceil(greatest(x0, x1, x2, x3)))::INT AS "right", least(10, ceil(greatest(y0, y1, y2, y3)))::INT AS bottom FROM w""",
 )
 def quad_measures(spark, sf_dir):
     wide = G.expand([(F.col(f"x{i}"), F.col(f"y{i}")) for i in range(4)], 0.25)
-    rows = lens.flat_boxes(spark).select("t", *[wide[i][k].alias(f"{'xy'[k]}{i}") for i in range(4) for k in range(2)])
+    rows = lens.event_flat_boxes(spark, sf_dir).select("t", *[wide[i][k].alias(f"{'xy'[k]}{i}") for i in range(4) for k in range(2)])
     points = [(F.col(f"x{i}"), F.col(f"y{i}")) for i in range(4)]
     bounds = dict(zip(("left", "top", "right", "bottom"), G.crop_bounds(points, 16, 10), strict=True))
     names = [f"{c}{i}" for i in range(4) for c in "xy"]

@@ -56,19 +56,38 @@ def flat_boxes(spark: SparkSession) -> DataFrame:
 
 
 def boxes(spark: SparkSession) -> DataFrame:
-    flat = flat_boxes(spark)
+    return _as_boxes(flat_boxes(spark))
+
+
+def _as_boxes(flat: DataFrame) -> DataFrame:
     polygon = G.as_polygon([(F.col(f"x{i}"), F.col(f"y{i}")) for i in range(4)])
     return flat.select("t", polygon.alias("polygon"), "angle", F.struct(F.col("cx").alias("x"), F.col("cy").alias("y")).alias("center"))
 
 
-def _corner_sql(i: int, dx: int, dy: int) -> str:
-    return f"round(cx + {dx} * cos(radians(angle)) - {dy} * sin(radians(angle)), 6) AS x{i}, round(cy + {dx} * sin(radians(angle)) + {dy} * cos(radians(angle)), 6) AS y{i}"
+def event_flat_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box for each event: about its pixel, turned by its value; columns as of flat_boxes()."""
+    rows = events(spark, sf_dir).select("t", (F.col("value") * 0.7310585 - 180).alias("angle"), (F.col("x") + 8).cast("double").alias("cx"), (F.col("y") + 5).cast("double").alias("cy"))
+    corners = [G.rotate((F.col("cx") + dx, F.col("cy") + dy), (F.col("cx"), F.col("cy")), F.col("angle")) for dx, dy in ((-4, 3), (4, 3), (4, -3), (-4, -3))]
+    return rows.select("t", "angle", "cx", "cy", *[corners[i][k].alias(f"{'xy'[k]}{i}") for i in range(4) for k in range(2)])
+
+
+def event_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _as_boxes(event_flat_boxes(spark, sf_dir))
+
+
+def _corner_sql(i: int, dx: int, dy: int, digits: int | None = 6) -> str:
+    x, y = f"cx + {dx} * cos(radians(angle)) - {dy} * sin(radians(angle))", f"cy + {dx} * sin(radians(angle)) + {dy} * cos(radians(angle))"
+    return f"{x} AS x{i}, {y} AS y{i}" if digits is None else f"round({x}, {digits}) AS x{i}, round({y}, {digits}) AS y{i}"
 
 
 BOXES_SQL = f"""b AS (SELECT t, angle, cx, cy, {', '.join(_corner_sql(i, dx, dy) for i, (dx, dy) in enumerate(((-4, 3), (4, 3), (4, -3), (-4, -3))))} FROM
   (SELECT {ORIGIN} + d * {DAY} AS t, ((d * 40 + 180) % 360 - 180)::DOUBLE AS angle, (8 + d % 3)::DOUBLE AS cx, (5 + d % 2)::DOUBLE AS cy FROM range({BOX_DAYS}) r(d)))"""
 
 
+_CORNERS_SQL = ", ".join(_corner_sql(i, dx, dy, None) for i, (dx, dy) in enumerate(((-4, 3), (4, 3), (4, -3), (-4, -3))))
+EVENT_BOXES_SQL = f"{EVENTS_SQL}, b AS (SELECT t, angle, cx, cy, {_CORNERS_SQL} FROM (SELECT t, value * 0.7310585::DOUBLE - 180 AS angle, (x + 8)::DOUBLE AS cx, (y + 5)::DOUBLE AS cy FROM e))"
+
+
 LEVELS = 20
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import ordered
@@ -10,8 +10,7 @@ from . import ordered
 
 def consecutive(pixels: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """pixels (frame_idx, t, x, y, lum) with the same pixel's previous luminance and time (null in its first frame)."""
-    w = Window.partitionBy(*keys, "x", "y").orderBy("frame_idx")
-    return pixels.withColumn("prev_lum", F.lag("lum").over(w)).withColumn("prev_t", F.lag("t").over(w)).withColumn("prev_idx", F.lag("frame_idx").over(w))
+    return ordered.lagged(pixels, "frame_idx", [*keys, "x", "y"], ("lum", "t", "frame_idx")).withColumnRenamed("prev_frame_idx", "prev_idx")
 
 
 def naive_events(pixels: DataFrame, threshold: float = 20, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import histogram, ordered
@@ -10,24 +10,21 @@ from . import histogram, ordered
 
 def busy_pixels(events: DataFrame, least: int, keys: tuple[str, ...] = ("x", "y")) -> DataFrame:
     """Events of pixels that have at least ``least`` events."""
-    n = F.count("*").over(Window.partitionBy(*keys))
-    return events.withColumn("_n", n).where(F.col("_n") >= least).drop("_n")
+    return ordered.counted(events, list(keys), least)
 
 
 def intervals(events: DataFrame, keys: tuple[str, ...] = ("x", "y"), least: int = 0, longest: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """events with tau, the time since the pixel's previous event; only 0 < tau (< longest).
 
     carry: columns of which the previous event's value is wanted, as prev_<name>; one sort serves all. least: events that a pixel needs.
+    A stuck pixel is no single task: pixels are split at ranges of time (ordered.lagged). Of events of one pixel and time all but
+    one have tau 0 and go; which one stays is fixed by the other columns.
     """
-    w = Window.partitionBy(*keys)
-    ordered = w.orderBy("t")
-    out = events.withColumn("tau", F.col("t") - F.lag("t").over(ordered))
-    for c in carry:
-        out = out.withColumn(f"prev_{c}", F.lag(c).over(ordered))
-    if least:
-        out = out.withColumn("_n", F.count("*").over(w)).where(F.col("_n") >= least).drop("_n")
-    out = out.where("tau > 0")
-    return out.where(F.col("tau") < longest) if longest is not None else out
+    out = ordered.lagged(events, "t", list(keys), ("t", *carry))
+    out = out.withColumn("tau", F.col("t") - F.col("prev_t")).drop("prev_t").where("tau > 0")
+    if longest is not None:
+        out = out.where(F.col("tau") < longest)
+    return ordered.counted(out, list(keys), least, events) if least else out
 
 
 def pool_statistics(df: DataFrame, value: str, keys: tuple[str, ...] = ("x", "y"), by: tuple[str, ...] = ()) -> DataFrame:

@@ -66,6 +66,37 @@ def neighbours(df: DataFrame, t: str, keys: list[str] | None = None) -> DataFram
     return out.select(*keys, "cur", "before", "after")
 
 
+def lagged(df: DataFrame, t: str, keys: list[str], columns: tuple[str, ...], first: str | None = None) -> DataFrame:
+    """df with prev_<c> of each of columns: the value in the key's row before, by t, then by df's other columns; null in its first row.
+
+    A key with many rows is split at the ranges' bounds; over them the last row of a key's ranges is carried by a table of one row each.
+    first: a column that orders equal t before the others.
+    """
+    bounds = cuts(df, t)
+    rest = [c for c in df.columns if c not in keys and c not in (t, first)]
+    order = [F.col(f"`{c}`") for c in (t, *([first] if first else []), *rest)]
+    if not bounds:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumns({f"prev_{c}": F.lag(c).over(w) for c in columns})
+    rows = df.withColumn("_range", range_of(F.col(t), bounds))
+    w = Window.partitionBy(*keys, "_range").orderBy(*order)
+    own = F.struct(*[F.col(c).alias(c) for c in columns])
+    out = rows.withColumn("_prev", F.lag(own).over(w))
+    lasts = rows.groupBy(*keys, "_range").agg(F.max_by(own, F.struct(*order)).alias("_last"))
+    edges = lasts.select(*keys, "_range", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_range")).alias("_left"))
+    out = _beside(out, edges, keys).withColumn("_prev", F.coalesce("_prev", "_left"))
+    return out.withColumns({f"prev_{c}": F.col(f"_prev.{c}") for c in columns}).drop("_range", "_prev", "_left")
+
+
+def counted(df: DataFrame, keys: list[str], least: int, of: DataFrame | None = None) -> DataFrame:
+    """Rows of df whose key has least rows or more (in of, if given); keys are counted first, so none has to meet in one task."""
+    many = (df if of is None else of).groupBy(*keys).count().where(F.col("count") >= least).select(*[F.col(c).alias(f"_of_{c}") for c in keys])
+    match = F.lit(True)
+    for c in keys:
+        match = match & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return df.join(many, match, "left_semi")
+
+
 def numbered(df: DataFrame, t: str, name: str = "idx") -> DataFrame:
     """df with the number of each row by t, then its other columns, from 1."""
     bounds = cuts(df, t)

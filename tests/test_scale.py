@@ -144,3 +144,18 @@ def test_counts_are_observed_by_the_working_pass(spark, tmp_path):
     q.awaitTermination()
     batches = streams.batch_validity(q)
     assert len(batches) == 2 and {k: sum(b[k] for b in batches) for k in report} == report
+
+
+def test_a_stuck_pixel_is_split(spark, monkeypatch):
+    """Intervals and frame differences with a hot pixel over many ranges are those of one window."""
+    from saccade.operators import intervals
+
+    rng = random.Random(4)
+    rows = [(rng.randrange(3000), *(rng.choice([(7, 7)] * 6 + [(1, 0), (2, 0)])), rng.randrange(2)) for _ in range(1500)]
+    events = spark.createDataFrame(rows, schema.EVENTS)
+    pixels = spark.createDataFrame([(f, f * 10, x, 0, float((f * 7 + x) % 50)) for f in range(300) for x in range(3) if f % 9 != x], schema.PIXELS)
+    many = lambda df: sorted(map(tuple, df.collect()))
+    ask = lambda: (many(intervals.intervals(events, least=10, carry=("p",))), many(intervals.intervals(events, ("p", "x", "y"), longest=50)), many(frames.naive_events(pixels, 5)), many(intervals.busy_pixels(events, 300)))
+    one = ask()
+    monkeypatch.setattr(ordered, "WINDOW_ROWS", 70)
+    assert ask() == one and len(one[0]) > 500 and len(one[3]) > 900

@@ -4,8 +4,9 @@ Of every window of ``run`` consecutive lines the smallest line hash (the last of
 select is one fingerprint. A repeated run of at least ``run`` lines has the same windows in both places, so it shares at least
 one fingerprint with its earlier copy. Positions of fingerprints that occur once go. The others are joined on the fingerprint and
 extended both ways: the neighbours to the left and right, as far as the windows that selected the line reach, must agree
-with those of an earlier position. The first position of each extended match stays, the lines of later ones (by doc_id, then row,
-then line) are deleted; matches that overlap add up to the whole repeated run.
+with those of an earlier position, the first one of its kind (common lines are not paired with all their places). Matches with one earlier
+document at one distance grow together, line by line in both directions, to the maximal repeated run. The lines of later places (by
+doc_id, then row, then line) are deleted.
 
 With ``words`` a shorter run that holds at least that many words counts too: the same selection and extension over windows of 1
 to run - 1 lines. The pipeline and op5_line_dedup_passages use WORDS; op5_line_dedup, whose SQL knows whole windows only, does not.
@@ -21,7 +22,7 @@ repeat both are one document, and keep the same lines. Columns of other names st
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import GAP, lookup, mark, materialize
@@ -86,7 +87,11 @@ def fingerprints(docs: DataFrame, run: int = RUN, words: int | None = None) -> D
 
 
 def repeated_runs(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
-    """(doc_id, mark, start, length): lines of docs that also stand in an earlier place."""
+    """doc_id, mark, start, length, first_doc, first_mark, first_start: maximal runs of lines of docs that also stand in an earlier place.
+
+    A run is as long as its lines agree with the same earlier document at the same distance; lines whose first place is another one begin a
+    run of their own, so runs of a document may overlap.
+    """
     found = materialize(fingerprints(docs, run, words), "fingerprints")
     place = F.struct("doc_id", "mark", "at")
     # counts are enough here: rows that repeat one place have no later one, so they go at the end
@@ -96,13 +101,25 @@ def repeated_runs(docs: DataFrame, run: int = RUN, words: int | None = None) ->
     extended = met.select("doc_id", "mark", "at", "fingerprint", F.explode("spans").alias("s")).select("doc_id", "mark", "at", "fingerprint", "s.*")
     extended = materialize(extended, "extended")
     firsts = extended.groupBy(*key).agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
-    later = lookup(extended, materialize(firsts, "firsts"), key)
-    return later.where(place > F.col("first")).select("doc_id", "mark", "start", "length")
+    later = lookup(extended, materialize(firsts, "firsts"), key).where(place > F.col("first"))
+    return _grown(later.select("doc_id", "mark", "start", "length", F.col("first.doc_id").alias("first_doc"), F.col("first.mark").alias("first_mark"), (F.col("at") - F.col("first.at")).alias("apart")))
+
+
+def _grown(pairs: DataFrame) -> DataFrame:
+    """Pairs of a later and an earlier place, grown line by line both ways: those on one diagonal (a pair of documents at one distance) that
+    overlap or touch are one run."""
+    diagonal = ["doc_id", "mark", "first_doc", "first_mark", "apart"]
+    along = Window.partitionBy(*diagonal).orderBy("start", "length")
+    reach = F.max(F.col("start") + F.col("length")).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    opens = (reach.isNull() | (F.col("start") > reach)).cast("int")
+    runs = pairs.withColumn("opens", opens).withColumn("run", F.sum("opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = runs.groupBy(*diagonal, "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"))
+    return whole.select("doc_id", "mark", "start", (F.col("end") - F.col("start")).alias("length"), "first_doc", "first_mark", (F.col("start") - F.col("apart")).alias("first_start"))
 
 
 def _without_repeats(docs: DataFrame, run: int, words: int | None) -> DataFrame:
     """row (docs' columns), lines, kept (arrays; null for null text): all lines and those that stay."""
-    runs = repeated_runs(docs, run, words).distinct().groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "length")).alias("runs"))
+    runs = repeated_runs(docs, run, words).select("doc_id", "mark", "start", "length").distinct().groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "length")).alias("runs"))
     rows = docs.select("doc_id", mark().alias("mark"), F.struct("*").alias("row"))
     joined = rows.join(runs, ["doc_id", "mark"], "left").select("row", "runs", _lines(F.col("row.text")).alias("lines"))
     covered = F.array_distinct(F.flatten(F.transform("runs", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1))))

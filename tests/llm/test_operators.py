@@ -733,3 +733,11 @@ def test_fingerprint_ranges_and_samples_are_bounded(spark, monkeypatch):
     ranged = fingerprint.in_order(docs.select("doc_id", "text"))
     assert ranged.select("range").distinct().count() <= 7
     assert sorted(map(tuple, fingerprint.fingerprints(docs).collect()), key=str) == want
+
+
+def test_repeated_runs_are_maximal(spark):
+    """A passage of 40 lines that stands in three documents, at other places, is one run of each later one."""
+    passage = [f"line {i}" for i in range(40)]
+    rows = [(1, "\n".join(["a", *passage, "b"])), (2, "\n".join(["c", "d", *passage])), (3, "\n".join([*passage[5:30], "e"])), (4, "x\ny\nz\nx\ny\nz\nx\ny"), (5, None)]
+    got = sorted((r.doc_id, r.start, r.length, r.first_doc, r.first_start) for r in line_dedup.repeated_runs(frame(spark, rows)).collect())
+    assert got == [(2, 2, 40, 1, 1), (3, 0, 25, 1, 6), (4, 3, 5, 4, 0)]

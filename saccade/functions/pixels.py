@@ -100,9 +100,9 @@ def normal_cdf(z: Column) -> Column:
 
     Within 6: 0.5 + pdf(z) * (z + z^3/3 + z^5/15 + ...), summed by Horner's rule; beyond, 0 or 1 to 1e-9.
     """
-    s, total = z * z, F.lit(1.0)
-    for odd in range(101, 1, -2):
-        total = 1 + s / odd * total
+    s = z * z
+    odds = F.array(*[F.lit(float(odd)) for odd in range(101, 1, -2)])
+    total = F.aggregate(odds, F.lit(1.0), lambda sum_, odd: 1 + s / odd * sum_)
     inner = 0.5 + F.exp(-s / 2) / 2.5066282746310002 * z * total
     return F.when(z > 6, 1.0).when(z < -6, 0.0).otherwise(inner)
 

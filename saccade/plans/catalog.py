@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from ..operators import accumulator, asof, calibration, cloud, frames, histogram
 from ..params import PRESETS, preset
 from ..params import preset_table as presets
 from ..sources import frames as sources
+from ..sources import sinks
 from ..storage import scratch
 from ..streaming import events as streams
 from ..streaming import live
@@ -697,10 +700,7 @@ SELECT j.t, j.x, j.y, a AS prev_frame, b AS next_frame, coalesce(u.lum, 0)::INT
 def needed_frame_scan(spark, sf_dir):
     """All frames are written to a frame store; the events of one week that are of interest read theirs only, a tenth of the frames."""
     rows = lens.events(spark, sf_dir)
-    height, width = rows.agg(F.max("y") + 1).first()[0], 16
-    store = scratch(spark)
-    pixels = lens.pixels(spark, sf_dir).withColumn("lum", F.floor(F.col("lum") * 10))
-    sources.write_frames(sources.packed_frames(pixels, height, width), store, height, width)
+    store, _, _ = _stored_frames(spark, sf_dir)
     bright = rows.where((F.col("p") == 1) & (F.col("value") > 100) & (F.col("t") >= lens.ORIGIN + _WEEK) & (F.col("t") < lens.ORIGIN + 2 * _WEEK)).select("t", "x", "y")
     near = asof.asof_bracket(bright, sources.frame_times(spark, store))
     near = near.select("t", "x", "y", F.col("prev.frame_idx").alias("prev_frame"), F.col("next.frame_idx").alias("next_frame"))
@@ -764,3 +764,134 @@ def session_fold(spark, sf_dir):
     rows = lens.events(spark, sf_dir).select(F.col("x").alias("session"), "t", "p")
     out = sources.fold_sessions(rows, lambda: (0, 1 << 62, -(1 << 62), 0), _summary_step, lambda s: {"n": [s[0]], "first_t": [s[1]], "last_t": [s[2]], "on_events": [s[3]]}, "n long, first_t long, last_t long, on_events long")
     return out.where("error is null").select("session", "n", "first_t", "last_t", "on_events")
+
+
+@_query("fit_table_round_trip", SQL["bucket_fit"])
+def fit_table_round_trip(spark, sf_dir):
+    """Bucket fits written as CSV with the other tools' column names, and read back."""
+    path = scratch(spark)
+    names = {v: k for k, v in sources.FIT_NAMES.items()}
+    sources.write_table(_fits(spark, sf_dir).withColumnsRenamed(names), path, "csv")
+    return rounded(sources.read_fits(spark, path), mean_min=6, mean_max=6, diff_min=6, diff_max=6, mu_hat=5, lambda_hat=5, mu=7, sigma=6)
+
+
+@_query("event_text_round_trip", f"{E} SELECT t, x, y, p FROM e WHERE t >= 0")
+def event_text_round_trip(spark, sf_dir):
+    """The events as text in ordered parts, read by the manifest."""
+    path = scratch(spark) + ".txt"
+    sources.write_event_text(lens.events(spark, sf_dir).where("t >= 0"), path)
+    return sources.read_events(spark, path)
+
+
+def _brightest(image):
+    """A detector: the brightest pixel (the first of equal ones) as tag 0 with the corners of its square; a dark frame has none."""
+    at = int(image.argmax())
+    if image.flat[at] < 2500:
+        return []
+    x, y = at % image.shape[1], at // image.shape[1]
+    return [(0, [(x, y), (x + 1, y), (x + 1, y + 1), (x, y + 1)])]
+
+
+def _stored_frames(spark, sf_dir):
+    """(folder, height, width) of all frames of lens.pixels, luminances times ten, in a frame store."""
+    height, width, store = lens.events(spark, sf_dir).agg(F.max("y") + 1).first()[0], 16, scratch(spark)
+    pixels = lens.pixels(spark, sf_dir).withColumn("lum", F.floor(F.col("lum") * 10))
+    sources.write_frames(sources.packed_frames(pixels, height, width), store, height, width)
+    return store, height, width
+
+
+@_query(
+    "detected_tags",
+    f"""{EF}, m AS (SELECT t, arg_min({{'x': x, 'y': y}}, -floor(lum * 10) * 1000000 + y * 16 + x) AS a, max(floor(lum * 10)) AS lum FROM f GROUP BY t)
+SELECT t, CASE WHEN lum >= 2500 THEN 0 END AS tag_id, CASE WHEN lum >= 2500 THEN a.x::DOUBLE END AS "left", CASE WHEN lum >= 2500 THEN a.y::DOUBLE END AS top, CASE WHEN lum >= 2500 THEN a.x + 1.0::DOUBLE END AS "right", CASE WHEN lum >= 2500 THEN a.y + 1.0::DOUBLE END AS bottom FROM m""",
+)
+def detected_tags(spark, sf_dir):
+    """A detector plugged in over all frames of the store."""
+    store, _, _ = _stored_frames(spark, sf_dir)
+    found = sources.detect(sources.read_frames(spark, store), _brightest)
+    corner = lambda i: F.get("corners", F.lit(i))
+    return found.select("t", "tag_id", corner(0).x.alias("left"), corner(0).y.alias("top"), corner(2).x.alias("right"), corner(2).y.alias("bottom"))
+
+
+@_query("frames_by_time", f"{EF} SELECT frame_idx, t, x, y, floor(lum * 10)::INT AS lum FROM f WHERE t >= {lens.ORIGIN + 3 * lens.DAY} AND t <= {lens.ORIGIN + 5 * lens.DAY} AND floor(lum * 10) > 0")
+def frames_by_time(spark, sf_dir):
+    """The frames of two days from one headerless file, found through the records of its metadata file.
+
+    The file is the store's parts in a row; a metadata record is 38 bytes, so a store of 1 x 19 pixels of 16 bits holds them.
+    """
+    store, height, width = _stored_frames(spark, sf_dir)
+    frames_file, metadata_file, records = f"{store}/all.dat", f"{store}/metadata.dat", scratch(spark)
+    times = sources.frame_times(spark, store)
+    # the file counts its frames from 0, the store by number
+    numbered = ordered.numbered(times.select("frame_idx", "t"), "frame_idx", "place").withColumn("place", (F.col("place") - 1).cast("int"))
+
+    def pack(batches):
+        for batch in batches:
+            rows = np.zeros(batch.num_rows, np.dtype([("s", "<f8"), ("r", "S30")]))
+            rows["s"], rows["r"] = batch.column(1).to_numpy(), b"2024-01-01 00:00:00.000000"
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([1] * n, pa.int32()), pa.array([19] * n, pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["frame_idx", "height", "width", "px"])
+
+    packed = numbered.select("place", F.col("t").cast("double")).mapInArrow(pack, "frame_idx int, height int, width int, px binary")
+    sources.write_frames(packed, records, 1, 19)
+    sinks.join_parts(store, frames_file, ".dat")
+    sinks.join_parts(records, metadata_file, ".dat")
+    got = sources.read_frames(spark, frames_file, height, width, times=(lens.ORIGIN + 3 * lens.DAY, lens.ORIGIN + 5 * lens.DAY), metadata=metadata_file, ordered=True)
+    lums = sources.pixel_rows(got).where("lum > 0").withColumnRenamed("frame_idx", "place")
+    return lums.join(numbered, "place").select("frame_idx", "t", "x", "y", "lum")
+
+
+@_query(
+    "rgb_frame_scan",
+    """WITH o AS (SELECT o_orderkey, floor(o_totalprice)::BIGINT AS v FROM orders), c AS (SELECT o_orderkey, v % 256 AS r, (v // 256) % 256 AS g, v % 251 AS b, v % 7 AS a FROM o)
+SELECT o_orderkey::INT AS frame_idx, r::INT AS c0, g::INT AS c1, b::INT AS c2, a::INT AS c3, round(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b)::INT AS gray FROM c WHERE o_orderkey >= 50""",
+)
+def rgb_frame_scan(spark, sf_dir):
+    """Orders as frames of one pixel with four channels: written, pruned by number, unpacked, turned gray."""
+    store, v = scratch(spark), F.floor("o_totalprice").cast("long")
+    byte = lambda c: F.lpad(F.hex(c), 2, "0")
+    px = F.unhex(F.concat(byte(v % 256), byte(F.floor(v / 256) % 256), byte(v % 251), byte(v % 7)))
+    rows = lens.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("int").alias("frame_idx"), F.lit(1).alias("height"), F.lit(1).alias("width"), px.alias("px"))
+    sources.write_frames(rows, store, 1, 1, 4)
+    pixels = sources.pixel_rows(sources.read_frames(spark, store, frames=(50, None)), 4)
+    return pixels.select("frame_idx", "c0", "c1", "c2", "c3", P.gray(F.col("c0"), F.col("c1"), F.col("c2")).alias("gray"))
+
+
+@_query("recorded_timestamps", f"{EF} SELECT DISTINCT t FROM f WHERE frame_idx < 60")
+def recorded_timestamps(spark, sf_dir):
+    """The recorder over a stream of the frames, and the times that its metadata has."""
+    source, out = scratch(spark), scratch(spark)
+    store, _, _ = _stored_frames(spark, sf_dir)
+    rows = sources.read_frames(spark, store).select("frame_idx", F.col("t").cast("double").alias("sensor_ts"), "height", "width", "px")
+    rows.write.parquet(source)
+    query = sources.record(spark.readStream.schema(rows.schema).parquet(source), out, f"{out}-checkpoint", most=60)
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    metadata = spark.read.option("header", True).option("inferSchema", True).csv(f"{out}/metadata/batch=*")
+    return sources.timestamps(metadata)
+
+
+@_query("video_times", f"{EF} SELECT DISTINCT frame_idx, frame_idx::BIGINT * 33333 AS t FROM f")
+def video_times(spark, sf_dir):
+    return lens.pixels(spark, sf_dir).select("frame_idx").distinct().withColumn("t", P.video_time(F.col("frame_idx"), 30.0))
+
+
+_ODD = ", ".join(str(float(i)) for i in range(101, 1, -2))
+
+
+def _normal_sql(z: str) -> str:
+    return f"CASE WHEN {z} > 6 THEN 1 WHEN {z} < -6 THEN 0 ELSE 0.5 + exp(-{z} * {z} / 2) / sqrt(2 * pi()) * {z} * list_reduce([1.0::DOUBLE, {_ODD}], lambda a, b: 1 + {z} * {z} / b * a) END"
+
+
+@_query(
+    "ig_interval",
+    f"""{E}, v AS (SELECT t, x, y, value / 100 AS s, value / 100 + 0.5 AS u FROM e), z AS (SELECT t, x, y, sqrt(5 / s) * (s / 2 - 1) AS s1, -sqrt(5 / s) * (s / 2 + 1) AS s2, sqrt(5 / u) * (u / 2 - 1) AS u1, -sqrt(5 / u) * (u / 2 + 1) AS u2 FROM v)
+SELECT t, x, y, round({_normal_sql('u1')} + exp(5) * ({_normal_sql('u2')}) - ({_normal_sql('s1')} + exp(5) * ({_normal_sql('s2')})), 5) AS probability FROM z""",
+)
+def ig_interval(spark, sf_dir):
+    """Probability that an inverse Gaussian passage (mean 2, shape 5) falls into the half second after each event's value."""
+    start = F.col("value") / 100
+    value = P.inverse_gaussian_interval(start, start + 0.5, F.lit(2.0), F.lit(5.0))
+    return rounded(lens.events(spark, sf_dir).select("t", "x", "y", value.alias("probability")), probability=5)

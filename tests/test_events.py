@@ -401,7 +401,7 @@ def test_pixel_functions_of_every_event(spark, tmp_path):
     rows += [(lens.ORIGIN, 0, 0.0), (lens.ORIGIN + 999, 1, 1023.0), (lens.ORIGIN + 1501, 2, 500.5), (lens.ORIGIN + 2000, 3, 65.0)]
     events = spark.createDataFrame(rows, "us long, user_id long, value double")
     events.select(F.timestamp_micros("us").alias("ts"), "user_id", F.lit("click").alias("event_type"), "value").write.parquet(str(tmp_path / "events.parquet"))
-    got = catalog.QUERIES["pixel_functions_all"](spark, str(tmp_path))
+    got = catalog.QUERIES["pixel_functions"](spark, str(tmp_path))
     want = []
     for t, user, value in rows:
         v = int(value)

@@ -82,7 +82,7 @@ def _write_manifest(path: str, manifest: Manifest) -> None:
     fs.move(new, name)
 
 
-class _PartWriter(DataSourceArrowWriter):
+class PartWriter(DataSourceArrowWriter):
     """What both sinks share: names, commit, abort."""
 
     suffixes: tuple[str, ...] = ("",)
@@ -142,7 +142,7 @@ class EventText(DataSource):
         return _TextWriter(dict(self.options), overwrite)
 
 
-class _TextWriter(_PartWriter):
+class _TextWriter(PartWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
         fs, part = at(self.path)[0], self.new_part()
         out, rows, size, first, last = None, 0, 0, None, None
@@ -164,7 +164,7 @@ class _TextWriter(_PartWriter):
         return replace(part, rows=rows, bytes=size, first_t=first, last_t=last)
 
 
-class FrameSink(_PartWriter):
+class FrameSink(PartWriter):
     """Headerless frames with an index beside them; all frames of a target have one size."""
 
     suffixes = (".dat", ".idx")

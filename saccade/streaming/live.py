@@ -13,6 +13,7 @@ A record that is not complete yet waits for the next batch. A log that is shorte
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-from ..sources.sinks import Part, _PartWriter, at, replace
+from ..sources.sinks import Part, PartWriter, at
 
 #: A record of a log.
 RECORD = np.dtype([("t", "<i8"), ("x", "<u2"), ("y", "<u2"), ("p", "u1"), ("_", "V3")])
@@ -125,7 +126,7 @@ class _LogReader(DataSourceStreamReader):
         pass
 
 
-class _LogWriter(_PartWriter):
+class _LogWriter(PartWriter):
     """A log per camera, from rows sorted by camera; a camera has one partition."""
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:

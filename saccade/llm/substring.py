@@ -3,7 +3,8 @@
 Windows are routed first, so that the search is linear in the corpus. Every window selects its smallest ten-word hash as its
 anchor (winnowing), so equal windows have equal anchors. Only anchors that occur in two documents go on; the windows that one
 anchor occurrence answers for form a segment of text. Equal segments are pre-aggregated, with the smallest document that
-has them. All distinct segments of an anchor meet in one shard, which builds a compressed FM-index over wavelet trees of them. The
+has them; up to here they are places (row, start, size) and hashes. The words of each distinct segment are then cut, once, from the text of
+the first row that has it. All distinct segments of an anchor meet in one shard, which builds a compressed FM-index over wavelet trees of them. The
 segments are streamed through the index by backward search; matching statistics give each window's interval, the interval its
 smallest document. Every removal comes from that: a place loses the windows whose smallest document is before its own.
 
@@ -87,14 +88,17 @@ def _anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", mark().alias("mark"), "text").mapInArrow(run, _ANCHORS)
 
 
-_STAGED = "doc_id long, mark long, n_words long, kept string, text string, segments array<struct<start:int,size:int,anchor:long,hash:long,words:string>>"
+_STAGED = "doc_id long, mark long, n_words long, kept string, text string, segments array<struct<start:int,size:int,anchor:long,hash:long>>"
 
 
 def _staged(docs: DataFrame, shared: DataFrame, window: int, gram: int, digest: bool) -> DataFrame:
-    """Rows of docs: without shared anchors finished, the others with their text and segments."""
+    """Rows of docs, each with a number (row): without shared anchors finished, the others with their text and segments.
+
+    The numbers differ between runs, so the rows must be written before they are used.
+    """
     own = shared.groupBy("doc_id", "mark").agg(F.collect_list("anchor").alias("anchors"))
     joined = docs.select("doc_id", mark().alias("mark"), "text").join(own, ["doc_id", "mark"], "left").select("doc_id", "mark", "text", "anchors")
-    struct = pa.struct([("start", pa.int32()), ("size", pa.int32()), ("anchor", pa.int64()), ("hash", pa.int64()), ("words", pa.string())])
+    struct = pa.struct([("start", pa.int32()), ("size", pa.int32()), ("anchor", pa.int64()), ("hash", pa.int64())])
 
     def segments(words: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray, anchors: list[int]) -> list[dict]:
         hashes, at = anchors_of(words, window, gram)
@@ -104,9 +108,8 @@ def _staged(docs: DataFrame, shared: DataFrame, window: int, gram: int, digest:
         for a, b in zip(cut.tolist(), np.append(cut[1:], len(at)).tolist(), strict=True):
             if shared_here[a]:
                 end = b - 1 + window
-                text = _join(raw, starts[a:end], ends[a:end])
-                key = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
-                out.append({"start": a, "size": end - a, "anchor": int(hashes[at[a]].view(np.int64)), "hash": key, "words": text.decode()})
+                key = int.from_bytes(hashlib.blake2b(_join(raw, starts[a:end], ends[a:end]), digest_size=8).digest(), "little", signed=True)
+                out.append({"start": a, "size": end - a, "anchor": int(hashes[at[a]].view(np.int64)), "hash": key})
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +130,31 @@ def _staged(docs: DataFrame, shared: DataFrame, window: int, gram: int, digest:
                         parts.append(segments(words, raw, starts, ends, listed[row]) if len(words) >= window else [])
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(kept, pa.string()), pa.array(texts, pa.string()), pa.array(parts, pa.list_(struct))], names=["doc_id", "mark", "n_words", "kept", "text", "segments"])
 
-    return joined.mapInArrow(run, _STAGED)
+    return joined.mapInArrow(run, _STAGED).withColumn("row", F.monotonically_increasing_id())
+
+
+_CUT = "anchor long, hash long, n long, first long, last long, words string"
+
+
+def _cut(distinct: DataFrame, staged: DataFrame) -> DataFrame:
+    """distinct segments (anchor, hash, n, first, last, at) with their words, cut from the staged text at their place."""
+    parts = F.collect_list(F.struct("at.start", "size", "anchor", "hash", "n", "first", "last"))
+    own = distinct.groupBy(F.col("at.row").alias("row")).agg(parts.alias("parts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 128):
+                batch = whole.slice(lo, 128)
+                lists = batch.column(1)
+                cuts, flat = lists.offsets.to_numpy(), lists.values
+                places, sizes = flat.field("start").to_numpy(), flat.field("size").to_numpy()
+                for row, _, raw, starts, ends in _words(batch.column(0)):
+                    for a in range(cuts[row], cuts[row + 1], 1024):
+                        b = min(a + 1024, cuts[row + 1])
+                        words = [_join(raw, starts[p : p + n], ends[p : p + n]).decode() for p, n in zip(places[a:b].tolist(), sizes[a:b].tolist(), strict=True)]
+                        yield pa.RecordBatch.from_arrays([*[flat.field(c)[a:b] for c in ("anchor", "hash", "n", "first", "last")], pa.array(words, pa.string())], names=["anchor", "hash", "n", "first", "last", "words"])
+
+    return staged.select("row", "text").join(own, "row").select("text", "parts").mapInArrow(run, _CUT)
 
 
 def _finish(text: bytes, digest: bool) -> str:
@@ -199,16 +226,11 @@ def _windows(segments: DataFrame, window: int) -> DataFrame:
     return segments.select("anchor", "hash", F.col("n").alias("holders"), "first", "last", "words").mapInArrow(run, _WINDOWS)
 
 
-def _distinct(places: DataFrame) -> DataFrame:
-    """anchor, hash, words, size, n, first, last of segments or windows with their holders."""
-    return places.groupBy("anchor", "hash").agg(F.any_value("words").alias("words"), F.any_value("size").alias("size"), F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
-
-
 def _search_hot(hot: DataFrame, window: int) -> DataFrame:
     """As _search, for the segments of hot anchors, cut into single windows."""
     windows = materialize(_windows(hot, window), "windows")
-    single = windows.select(F.col("key").alias("anchor"), F.lit(0).cast("long").alias("hash"), "words", F.lit(window).alias("size"), F.col("holders").alias("n"), "first", "last")
-    distinct = materialize(_distinct(single).where("first < last"), "single")
+    single = windows.groupBy(F.col("key").alias("anchor")).agg(F.any_value("words").alias("words"), F.sum("holders").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+    distinct = materialize(single.where("first < last").withColumn("hash", F.lit(0).cast("long")), "single")
     shards = 1 + distinct.count() * window // SHARD_WORDS
     found = materialize(_search(distinct, shards, window).select(F.col("anchor").alias("key"), "n", "spans"), "found")
     back = lookup(windows.select("anchor", "hash", "holders", "at", "key"), found, ["key"])
@@ -222,18 +244,18 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, dige
     both = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     shared = lookup(anchors, materialize(both.select("anchor", "n"), "shared"), ["anchor"])
     staged = materialize(_staged(docs, shared, window, gram, digest), "staged")
-    places = staged.where("segments is not null").select("doc_id", "mark", F.explode("segments").alias("s")).select("doc_id", "mark", "s.*")
-    one = places.select("anchor", "hash", "words", "size", F.lit(1).cast("long").alias("n"), F.col("doc_id").alias("first"), F.col("doc_id").alias("last"))
-    distinct = materialize(_distinct(one), "segments")
-    # an anchor whose segments, all alike, have one document has nothing to lose
+    places = staged.where("segments is not null").select("doc_id", "mark", "row", F.explode("segments").alias("s")).select("doc_id", "mark", "row", "s.*")
+    known = [F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.any_value("size").alias("size")]
+    distinct = materialize(places.groupBy("anchor", "hash").agg(*known, F.min(F.struct("row", "start")).alias("at")), "segments")
     groups = distinct.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     hot = materialize(groups.where(F.col("n") > HOT).select("anchor", "n"), "hot")
     total = distinct.agg(F.sum("size")).first()[0] or 0
     if hot.limit(1).count():
-        found = _search(distinct.join(hot.select("anchor"), "anchor", "left_anti"), 1 + total // SHARD_WORDS, window)
-        found = found.unionByName(_search_hot(lookup(distinct.withColumnRenamed("n", "m"), hot, ["anchor"]).drop("n").withColumnRenamed("m", "n"), window))
+        found = _search(_cut(distinct.join(hot.select("anchor"), "anchor", "left_anti"), staged), 1 + total // SHARD_WORDS, window)
+        many = lookup(distinct.withColumnRenamed("n", "m"), hot, ["anchor"]).drop("n").withColumnRenamed("m", "n")
+        found = found.unionByName(_search_hot(_cut(many, staged), window))
     else:
-        found = _search(distinct, 1 + total // SHARD_WORDS, window)
+        found = _search(_cut(distinct, staged), 1 + total // SHARD_WORDS, window)
     met = lookup(places.select("doc_id", "mark", "anchor", "hash", F.col("start").alias("at")), materialize(found, "found"), ["anchor", "hash"])
     lost = met.select("doc_id", "mark", "at", F.explode(F.filter("spans", lambda s: s.least < F.col("doc_id"))).alias("s"))
     return staged, lost.select("doc_id", "mark", (F.col("at") + F.col("s.start")).alias("start"), (F.col("at") + F.col("s.end") + (window - 1)).alias("end"))

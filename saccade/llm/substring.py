@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, mark, materialize, shingle_hashes, text_chunks, word_hashes, word_spans
+from .common import dispose, lookup, mark, materialize, shingle_hashes, text_chunks, word_hashes, word_spans
 from .fm_index import FMIndex
 
 WINDOW = 50
@@ -242,8 +242,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, dige
     """(staged rows, spans): spans (doc_id, mark, start, end) cover the words to remove; staged rows hold what remove_repeats() needs."""
     anchors = materialize(_anchor_rows(docs, window, gram), "anchors")
     both = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    shared = lookup(anchors, materialize(both.select("anchor", "n"), "shared"), ["anchor"])
-    staged = materialize(_staged(docs, shared, window, gram, digest), "staged")
+    twice = materialize(both.select("anchor", "n"), "shared")
+    staged = materialize(_staged(docs, lookup(anchors, twice, ["anchor"]), window, gram, digest), "staged")
+    for table in (anchors, twice):
+        dispose(table)
     places = staged.where("segments is not null").select("doc_id", "mark", "row", F.explode("segments").alias("s")).select("doc_id", "mark", "row", "s.*")
     known = [F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.any_value("size").alias("size")]
     distinct = materialize(places.groupBy("anchor", "hash").agg(*known, F.min(F.struct("row", "start")).alias("at")), "segments")
@@ -256,7 +258,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, dige
         found = found.unionByName(_search_hot(_cut(many, staged), window))
     else:
         found = _search(_cut(distinct, staged), 1 + total // SHARD_WORDS, window)
-    met = lookup(places.select("doc_id", "mark", "anchor", "hash", F.col("start").alias("at")), materialize(found, "found"), ["anchor", "hash"])
+    found = materialize(found, "found")
+    for table in (distinct, hot):
+        dispose(table)
+    met = lookup(places.select("doc_id", "mark", "anchor", "hash", F.col("start").alias("at")), found, ["anchor", "hash"])
     lost = met.select("doc_id", "mark", "at", F.explode(F.filter("spans", lambda s: s.least < F.col("doc_id"))).alias("s"))
     return staged, lost.select("doc_id", "mark", (F.col("at") + F.col("s.start")).alias("start"), (F.col("at") + F.col("s.end") + (window - 1)).alias("end"))
 

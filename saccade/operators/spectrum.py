@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import histogram
 
 LEAST_EVENTS = 10
+#: Values of a block that a task transforms at once, and of the longest single transform (16 bytes each).
+BLOCK, LONGEST = 1 << 18, 1 << 20
 
 
 def _magnitude(re, im, k, bins: int):
@@ -31,30 +32,88 @@ def rate_dft(events: DataFrame, bins: int, highest_hz: float | None = None) -> D
     return out if highest_hz is None else out.where(F.col("hz") <= highest_hz)
 
 
+def _split(n: int) -> tuple[int, int] | None:
+    """Factors of n, the second at most LONGEST, as near to each other as they get; None if there are none."""
+    first = next(f for f in range(math.isqrt(n), 0, -1) if n % f == 0)
+    return (first, n // first) if n // first <= LONGEST else None
+
+
+def _part(rows: DataFrame, length: int, turn: int, inverse: bool) -> DataFrame:
+    """rows (group long, at long, re, im; absent ones are zero) with each group's transform of that length, times exp of turn-th parts of group * at."""
+    wide = max(1, BLOCK // length)
+
+    def run(table: pa.Table) -> pa.Table:
+        group, at = table.column("group").to_numpy(), table.column("at").to_numpy()
+        lowest = group.min() // wide * wide
+        values = np.zeros((length, min(wide, int(group.max() - lowest) + 1)), complex)
+        values[at, group - lowest] = table.column("re").to_numpy() + 1j * table.column("im").to_numpy()
+        values = np.fft.ifft(values, axis=0) * length if inverse else np.fft.fft(values, axis=0)
+        groups, places = lowest + np.arange(values.shape[1]), np.arange(length)
+        if turn:
+            values *= np.exp((2j if inverse else -2j) * np.pi * (groups[None, :] * places[:, None]) / turn)
+        flat = values.ravel()
+        return pa.table({"group": np.tile(groups, length), "at": np.repeat(places, values.shape[1]), "re": flat.real, "im": flat.imag})
+
+    return rows.groupBy(F.floor(F.col("group") / wide).alias("block")).applyInArrow(run, "group long, at long, re double, im double")
+
+
+def _transform(series: DataFrame, factors: tuple[int, int], inverse: bool = False) -> DataFrame:
+    """k, re, im: the discrete Fourier transform of series (j, re, im) of n1 * n2 values, absent ones zero.
+
+    Four steps: transforms of length n1 along every n2-th value, a turn of each result, transforms of length n2 across those. A task
+    holds blocks of BLOCK values, or one transform; absent groups stay absent, their transforms are zero.
+    """
+    n1, n2 = factors
+    first = series.select((F.col("j") % n2).alias("group"), F.floor(F.col("j") / n2).alias("at"), "re", "im")
+    along = _part(first, n1, n1 * n2, inverse)
+    across = _part(along.select(F.col("at").alias("group"), F.col("group").alias("at"), "re", "im"), n2, 0, inverse)
+    return across.select((F.col("group") + F.col("at") * n1).alias("k"), "re", "im")
+
+
+def _times(re: Column, im: Column, other_re: Column, other_im: Column) -> list[Column]:
+    return [(re * other_re - im * other_im).alias("re"), (re * other_im + im * other_re).alias("im")]
+
+
+def _chirp(j: Column, n: int, sign: int) -> tuple[Column, Column]:
+    """cos and sin of sign * pi * j**2 / n, of the exact remainder of j**2."""
+    long = j.cast("decimal(19,0)")
+    angle = ((long * long) % F.lit(2 * n).cast("decimal(19,0)")).cast("double") * (sign * math.pi / n)
+    return F.cos(angle), F.sin(angle)
+
+
+def dft(series: DataFrame, n: int) -> DataFrame:
+    """k, re, im: the discrete Fourier transform of series (j long, re double, im double) of n values, absent ones zero.
+
+    Lengths without factors of at most LONGEST (large primes) are a convolution with a chirp, whose length is a power of two.
+    """
+    factors = _split(n)
+    if factors:
+        return _transform(series, factors)
+    bits = (2 * n - 1).bit_length()
+    size, factors = 1 << bits, (1 << bits // 2, 1 << (bits - bits // 2))
+    turned = series.select("j", *_times(F.col("re"), F.col("im"), *_chirp(F.col("j"), n, -1)))
+    far = F.least(F.col("id"), size - F.col("id"))
+    chirp = series.sparkSession.range(size).where(far < n).select(F.col("id").alias("j"), *[c.alias(a) for c, a in zip(_chirp(far, n, 1), ("re", "im"), strict=True)])
+    one, two = _transform(turned, factors), _transform(chirp, factors).select("k", F.col("re").alias("re2"), F.col("im").alias("im2"))
+    product = one.join(two, "k").select(F.col("k").alias("j"), *_times(F.col("re"), F.col("im"), F.col("re2"), F.col("im2")))
+    back = _transform(product, factors, inverse=True).where(F.col("k") < n)
+    return back.select("k", *_times(F.col("re") / size, F.col("im") / size, *_chirp(F.col("k"), n, -1)))
+
+
 def spectrum(events: DataFrame, sampling_rate: float = 1000, highest_hz: float = 100) -> DataFrame:
     """As rate_dft by fast Fourier transform, with at least 1024 bins; no rows for fewer than ten events.
 
-    The counted series, not the events, goes to the one task that transforms it.
+    Events are counted by bin; the counts are transformed in blocks by many tasks, see dft().
     """
     first = events.agg(F.count("*"), F.min("t"), F.max("t")).first()
-    schema = "k long, hz double, magnitude double"
     if first[0] < LEAST_EVENTS or first[1] == first[2]:
-        return events.sparkSession.createDataFrame([], schema)
+        return events.sparkSession.createDataFrame([], "k long, hz double, magnitude double")
     seconds = (first[2] - first[1]) * 1e-6
     bins = max(1024, int(sampling_rate * seconds))
-    counted = events.select(histogram.bin_of(F.col("t"), F.lit(first[1]), F.lit(first[2]), bins).alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rate = np.zeros(bins)
-        for b in batches:
-            rate[b.column(0).to_numpy(zero_copy_only=False)] += b.column(1).to_numpy(zero_copy_only=False) / (seconds / bins)
-        value = np.abs(np.fft.rfft(rate)) * 2.0 / bins
-        value[0] /= 2
-        hz = np.fft.rfftfreq(bins, seconds / bins)
-        keep = hz <= highest_hz
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(keep)), pa.array(hz[keep]), pa.array(value[keep])], names=["k", "hz", "magnitude"])
-
-    return counted.coalesce(1).mapInArrow(run, schema)
+    counted = events.select(histogram.bin_of(F.col("t"), F.lit(first[1]), F.lit(first[2]), bins).alias("j")).where("j is not null").groupBy("j").agg(F.count("*").alias("n"))
+    series = counted.select("j", (F.col("n") / (seconds / bins)).alias("re"), F.lit(0.0).alias("im"))
+    lines = dft(series, bins).where((F.col("k") <= bins // 2) & (F.col("k") / seconds <= highest_hz))
+    return lines.select("k", (F.col("k") / seconds).alias("hz"), _magnitude(F.col("re"), F.col("im"), F.col("k"), bins).alias("magnitude"))
 
 
 def spectrum_statistics(lines: DataFrame) -> DataFrame:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # fixed values: luma weights of red, green and blue
 LUMA = (0.299, 0.587, 0.114)
@@ -77,6 +82,14 @@ def diffusion(mean: Column, k) -> Column:
     return k.k3 * F.sqrt(mean) / F.nullif(mean + k.k2, F.lit(0.0)) + k.k6
 
 
+@F.arrow_udf(DoubleType())
+def c_exp(x: pa.Array) -> pa.Array:
+    """exp of the C library, as DuckDB and numpy's scalars have it. The JVM's differs by a unit in the last place in some rows, which differences from 1 magnify."""
+    values = x.to_numpy(zero_copy_only=False)
+    found = np.fromiter(map(math.exp, np.minimum(values, 709.0)), np.float64, len(values))
+    return pa.array(np.where(values > 709.0, np.inf, found), mask=np.asarray(x.is_null()))
+
+
 def first_barrier_probability(mu: Column, sigma: Column, residual: Column, threshold: float = 1.0, zero_drift_half: bool = False) -> Column:
     """Probability that the ON barrier is met first, from a residual in [-threshold, threshold].
 
@@ -85,10 +98,10 @@ def first_barrier_probability(mu: Column, sigma: Column, residual: Column, thres
     """
     a, b = F.lit(threshold) - residual, F.lit(threshold) + residual
     rate = F.lit(2.0) * mu / F.nullif(sigma * sigma, F.lit(0.0))
-    up = (1 - F.exp(-rate * b)) / F.nullif(1 - F.exp(-rate * (a + b)), F.lit(0.0))
-    down = (F.exp(rate * a) - F.exp(rate * (a + b))) / F.nullif(1 - F.exp(rate * (a + b)), F.lit(0.0))
+    near, far = c_exp(F.when(mu > 0, -rate * b).otherwise(rate * a)), c_exp(F.when(mu > 0, -rate * (a + b)).otherwise(rate * (a + b)))
     still = F.lit(0.5) if zero_drift_half else b / (a + b)
-    return F.when(mu > 0, F.coalesce(up, still)).when(mu < 0, F.coalesce(down, still)).otherwise(still)
+    value = F.when(mu > 0, 1 - near).otherwise(near - far) / F.nullif(1 - far, F.lit(0.0))
+    return F.when((mu > 0) | (mu < 0), F.coalesce(value, still)).otherwise(still)
 
 
 def inverse_gaussian_pdf(t: Column, mean: Column, shape: Column) -> Column:

@@ -280,6 +280,21 @@ def test_first_barrier(spark):
     assert simulate.on_probability(mu, s, r, True)[2] == 0.5
 
 
+def test_first_barrier_is_its_formula_to_the_last_bit(spark):
+    rows = [(i, (-1) ** i * (1 + i * 0.618 % 1) / 1000, (i % 16 - 8) / 16) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "i int, mu double, r double")
+    got = {g.i: g.p for g in df.select("i", P.first_barrier_probability(F.col("mu"), F.lit(1.0), F.col("r")).alias("p")).collect()}
+
+    def formula(mu, r):
+        k, a, b = 2 * mu, 1 - r, 1 + r
+        return (1 - math.exp(-k * b)) / (1 - math.exp(-k * 2)) if mu > 0 else (math.exp(k * a) - math.exp(k * 2)) / (1 - math.exp(k * 2))
+
+    assert got == {i: formula(mu, r) for i, mu, r in rows}
+    odd = spark.createDataFrame([(None, 0.5), (math.nan, 0.5), (math.inf, 0.5)], "mu double, r double")
+    null, nan, ever = (g.p for g in odd.select(P.first_barrier_probability(F.col("mu"), F.lit(1.0), F.col("r")).alias("p")).collect())
+    assert null == 0.75 and math.isnan(nan) and ever == 1.0
+
+
 def test_samplers():
     keys = R.keys(1, np.arange(200_000))
     ig = R.first_passage(np.ones(200_000), np.full(200_000, 0.5), np.full(200_000, 0.7), keys, 0)

@@ -19,8 +19,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def uniform(keys: np.ndarray, draw: int) -> np.ndarray:
     """Uniforms in (0, 1) of 64-bit keys."""
+    return _uniform(mix(keys), draw)
+
+
+def _uniform(mixed: np.ndarray, draw: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        bits = mix(mix(keys) + np.uint64(draw) * np.uint64(0x9E3779B97F4A7C15))
+        bits = mix(mixed + np.uint64(draw) * np.uint64(0x9E3779B97F4A7C15))
     return ((bits >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
@@ -33,8 +37,8 @@ def keys(*parts) -> np.ndarray:
     return out
 
 
-def normal(keys_: np.ndarray, draw: int) -> np.ndarray:
-    return np.sqrt(-2 * np.log(uniform(keys_, draw))) * np.cos(2 * np.pi * uniform(keys_, draw + 1))
+def _normal(mixed: np.ndarray, draw: int) -> np.ndarray:
+    return np.sqrt(-2 * np.log(_uniform(mixed, draw))) * np.cos(2 * np.pi * _uniform(mixed, draw + 1))
 
 
 def normal_cdf(z: np.ndarray) -> np.ndarray:
@@ -79,7 +83,8 @@ def first_passage(distance, toward, sigma, keys_, draw, sampler: str = "referenc
     of the passage given that it happens, an inverse Gaussian of the opposite drift.
     """
     shape = (distance / sigma) ** 2
-    x, u = normal(keys_, draw), uniform(keys_, draw + 2)
+    mixed = mix(keys_)
+    x, u = _normal(mixed, draw), _uniform(mixed, draw + 2)
     out = levy(x, shape)
     moving = toward != 0
     mean = np.where(moving, distance / np.where(moving, np.abs(toward), 1.0), 1.0)
@@ -88,7 +93,7 @@ def first_passage(distance, toward, sigma, keys_, draw, sampler: str = "referenc
     away = moving & ~ahead
     if away.any():
         most = -2 * np.sqrt(distance[away] * np.abs(toward[away])) / sigma[away]
-        cut = truncated_normal(uniform(keys_[away], draw + 3), most)
+        cut = truncated_normal(_uniform(mixed[away], draw + 3), most)
         m, s = -mean[away], shape[away]
         y = m * cut * cut
         root = m + m / (2 * s) * (y - np.sqrt(np.maximum(4 * s * y + y * y, 0.0)))

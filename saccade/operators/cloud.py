@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..params import Sensor
+from ..storage import written
 from . import simulate
 
 
@@ -158,26 +159,58 @@ def search(spark: SparkSession, score: Callable[[Sensor], float], trials: int, s
     return spark.read.schema(schema).parquet(store).orderBy("distance", "trial")
 
 
+#: Proposals whose pixels one step of the simulator takes together.
+STACK = 8
+
+
+def _spans(keyed: DataFrame, sensors: list[Sensor], seed: int, fill: float | None) -> DataFrame:
+    """trial, events, lo_t .. hi_y of each trial that has events; a task gives a row per tile and trial, and no events leave it."""
+    names = [f"{n}_{c}" for c in "txy" for n in ("lo", "hi")]
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for first in range(0, len(sensors), STACK):
+            some = sensors[first : first + STACK]
+            count, bounds = np.zeros(len(some), np.int64), np.full((6, len(some)), np.iinfo(np.int64).max)
+            for own, *columns in simulate.simulate_trials(pdf, some, seed, fill):
+                count += np.bincount(own, minlength=len(some))
+                for i, c in enumerate(columns):
+                    np.minimum.at(bounds[2 * i], own, c)
+                    np.minimum.at(bounds[2 * i + 1], own, -c)
+            rows += [(first + k, int(count[k]), *(int(v) for pair in bounds[:, k].reshape(3, 2) for v in (pair[0], -pair[1]))) for k in np.flatnonzero(count)]
+        return pd.DataFrame(rows, columns=["trial", "events", *names])
+
+    found = keyed.groupBy("_tx", "_ty").applyInPandas(run, f"trial int, events long, {', '.join(f'{n} long' for n in names)}")
+    return found.groupBy("trial").agg(F.sum("events").alias("events"), *[(F.min if n.startswith("lo") else F.max)(n).alias(n) for n in names])
+
+
 def simulated_distances(pixels: DataFrame, real: DataFrame, trials: int, seed: int = 42, ranges: dict | None = None, blur: float = 0.05, most: int = 5_000_000, cells: int = 12, fill: float | None = None) -> DataFrame:
-    """trial, k1..k6, events, distance of all proposals in one plan: each is simulated on pixels and compared with the real events.
+    """trial, k1..k6, events, distance of all proposals: each is simulated on pixels and compared with the real events.
 
-    Every (trial, tile) is simulated by itself; each trial's events are normalized and counted in cells by aggregates, and its
-    distance to the real cloud (cells per axis, so cells ** 3 points at most, broadcast) is found in a task of its own. No or too many
-    events: infinite.
+    Every tile is simulated by itself, for all trials together. A first pass counts each trial's events and finds their bounds within the
+    tasks. Trials of at most most events, so a bounded number of rows, are then drawn again, normalized and counted in cells by
+    aggregates, and the distance to the real cloud (cells per axis, so cells ** 3 points at most, broadcast) is found in a task for
+    each. No or too many events: infinite.
     """
     spark = pixels.sparkSession
     sensors = proposals(trials, seed, ranges)
     table = spark.createDataFrame([(i, *map(float, vars(s).values())) for i, s in enumerate(sensors)], "trial int, k1 double, k2 double, k3 double, k4 double, k5 double, k6 double")
     cloud = spark.sparkContext.broadcast(points_of(quantized(normalized(real), cells)))
-    keyed = simulate.tiled(pixels, None, fill).crossJoin(F.broadcast(table.select("trial")))
+    keyed = written(simulate.tiled(pixels, None, fill))
+    bounds = written(_spans(keyed, sensors, seed, fill))
+    good = sorted(r.trial for r in bounds.where(F.col("events") <= most).select("trial").collect())
+    out = table.join(bounds.select("trial", "events"), "trial", "left").withColumn("events", F.coalesce("events", F.lit(0)))
+    if not good:
+        return out.withColumn("distance", F.lit(math.inf))
 
     def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = simulate.simulate_tile(pdf, simulate.Options(sensors[key[0]], seed), 0, fill)
-        return out[["t", "x", "y"]].astype({"t": "int64", "x": "int32", "y": "int32"}).assign(trial=key[0])
+        picked = [sensors[i] for i in good]
+        parts = [(np.array(good)[first + own], t, x, y) for first in range(0, len(good), STACK) for own, t, x, y in simulate.simulate_trials(pdf, picked[first : first + STACK], seed, fill)]
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0)] * 4
+        return pd.DataFrame(dict(zip(("trial", "t", "x", "y"), columns, strict=True))).astype({"t": "int64", "x": "int32", "y": "int32", "trial": "int32"})
 
-    drawn = keyed.groupBy("trial", "_tx", "_ty").applyInPandas(draw, "t long, x int, y int, trial int")
-    bounds = drawn.groupBy("trial").agg(F.count("*").alias("events"), *[f(c).alias(f"{n}_{c}") for c in ("t", "x", "y") for n, f in (("lo", F.min), ("hi", F.max))])
-    scaled = drawn.join(F.broadcast(bounds), "trial").where(F.col("events") <= most)  # one row a trial
+    drawn = keyed.groupBy("_tx", "_ty").applyInPandas(draw, "trial int, t long, x int, y int")
+    scaled = drawn.join(F.broadcast(bounds), "trial")  # one row a trial
     unit = scaled.select("trial", *[F.coalesce((F.col(c) - F.col(f"lo_{c}")) / F.nullif((F.col(f"hi_{c}") - F.col(f"lo_{c}")).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in ("t", "x", "y")])
     counted = quantized(unit, cells, keys=("trial",))
 
@@ -187,5 +220,4 @@ def simulated_distances(pixels: DataFrame, real: DataFrame, trials: int, seed: i
         return pd.DataFrame({"trial": [key[0]], "distance": [value]})
 
     found = counted.groupBy("trial").applyInPandas(compare, "trial int, distance double")
-    out = table.join(bounds.select("trial", "events"), "trial", "left").join(found, "trial", "left")
-    return out.withColumn("events", F.coalesce("events", F.lit(0))).withColumn("distance", F.coalesce("distance", F.lit(math.inf)))
+    return out.join(found, "trial", "left").withColumn("distance", F.coalesce("distance", F.lit(math.inf)))

@@ -6,6 +6,7 @@ depend on (seed, clip, x, y, frame, draw) only: results are the same for any par
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -93,20 +94,24 @@ def step(state: State | None, lum: np.ndarray, t: int, x: np.ndarray, y: np.ndar
     return State(lum, t, residual), np.rint(join(times, float)), join(pixels, int), join(signs, int)
 
 
-def simulate_tile(pdf: pd.DataFrame, o: Options, clip: int, fill: float | None = None) -> pd.DataFrame:
-    """Events of one tile's pixel rows (frame_idx, t, x, y, lum). With fill, rows without x name frames, and pixels that a frame lacks have that luminance."""
-    out, state = [], None
-    first = pdf.frame_idx.min() if len(pdf) else 0
+def _frames(pdf: pd.DataFrame, fill: float | None) -> Iterator[tuple]:
+    """(frame, t, x, y, lum) of each frame of a tile's pixel rows, in order."""
     if fill is not None:
         inside = pdf.x.notna()
         grid = pdf[inside].pivot_table("lum", "frame_idx", ["y", "x"], aggfunc="last").reindex(sorted(pdf.frame_idx.unique())).fillna(fill)
         times = pdf.groupby("frame_idx").t.first()
         at = np.array(grid.columns.tolist()).reshape(-1, 2).astype(int)
-        parts = ((f, int(times[f]), at[:, 1], at[:, 0], lum) for f, lum in zip(grid.index, grid.to_numpy(), strict=True))
+        yield from ((f, int(times[f]), at[:, 1], at[:, 0], lum) for f, lum in zip(grid.index, grid.to_numpy(), strict=True))
     else:
         ordered = pdf.sort_values(["frame_idx", "y", "x"]).groupby("frame_idx")
-        parts = ((f, int(rows.t.iloc[0]), rows.x.to_numpy(), rows.y.to_numpy(), rows.lum.to_numpy()) for f, rows in ordered)
-    for frame, t, x, y, lum in parts:
+        yield from ((f, int(rows.t.iloc[0]), rows.x.to_numpy(), rows.y.to_numpy(), rows.lum.to_numpy()) for f, rows in ordered)
+
+
+def simulate_tile(pdf: pd.DataFrame, o: Options, clip: int, fill: float | None = None) -> pd.DataFrame:
+    """Events of one tile's pixel rows (frame_idx, t, x, y, lum). With fill, rows without x name frames, and pixels that a frame lacks have that luminance."""
+    out, state = [], None
+    first = pdf.frame_idx.min() if len(pdf) else 0
+    for frame, t, x, y, lum in _frames(pdf, fill):
         if o.skip_first_frame and frame == first:
             continue
         state, times_, at_, p = step(state, lum, t, x, y, clip, int(frame), o)
@@ -114,6 +119,19 @@ def simulate_tile(pdf: pd.DataFrame, o: Options, clip: int, fill: float | None =
     return pd.concat(out) if out else pd.DataFrame({"t": [], "x": [], "y": [], "p": []})
 
 
+def simulate_trials(pdf: pd.DataFrame, sensors: list[Sensor], seed: int, fill: float | None = None) -> Iterator[tuple]:
+    """(sensor's place, t, x, y) of the events of one tile under each of sensors, frame by frame; those of simulate_tile() for each.
+
+    The pixels of all sensors are stepped together, so a pass of step() works on long arrays.
+    """
+    state, n = None, len(sensors)
+    for frame, t, x, y, lum in _frames(pdf, fill):
+        o = Options(Sensor(**{k: np.repeat([getattr(s, k) for s in sensors], len(x)) for k in vars(sensors[0])}), seed)
+        xs, ys, own = np.tile(x, n), np.tile(y, n), np.repeat(np.arange(n), len(x))
+        state, times, at, _ = step(state, np.tile(lum, n), t, xs, ys, 0, int(frame), o)
+        yield own[at], times.astype("int64"), xs[at], ys[at]
+
+
 def tiled(pixels: DataFrame, clip: str | None = None, fill: float | None = None) -> DataFrame:
     """pixels with _clip and their tile _tx, _ty; with fill, also a row without x for every frame of each tile."""
     keyed = pixels.withColumn("_clip", F.col(clip) if clip else F.lit(0)).withColumn("_tx", F.floor(F.col("x") / TILE)).withColumn("_ty", F.floor(F.col("y") / TILE))

@@ -681,6 +681,30 @@ def test_simulated_distances(spark):
     assert all(r.distance == math.inf if r.events == 0 else r.distance > -1e-6 for r in rows.values())
 
 
+def test_trials_are_drawn_together_and_counted_in_their_tasks(spark):
+    rows = [(f, f * 8333, x, y, 50.0 + 3 * x + (f * y) % 70) for f in range(9) for x in range(40) for y in range(3) if (f + x) % 5]
+    pixels = spark.createDataFrame(rows, "frame_idx int, t long, x int, y int, lum double")
+    sensors = cloud.proposals(11, 3)  # more than are stacked
+    pdf = simulate.tiled(pixels, None, 60.0).where("_tx = 0").toPandas()
+    got = [set() for _ in sensors[:5]]
+    for own, t, x, y in simulate.simulate_trials(pdf, sensors[:5], 7, 60.0):
+        for k, *event in zip(own.tolist(), t.tolist(), x.tolist(), y.tolist(), strict=True):
+            got[k].add(tuple(event))
+    want = [simulate.simulate_tile(pdf, simulate.Options(s, 7), 0, 60.0) for s in sensors[:5]]
+    assert got == [set(zip(w.t, w.x, w.y, strict=True)) for w in want] and any(got)
+    events = [simulate.dvs_events(pixels, s, seed=7, fill=60.0).toPandas() for s in sensors]
+    spans = {r.trial: r for r in cloud._spans(simulate.tiled(pixels, None, 60.0), sensors, 7, 60.0).collect()}
+    assert {k: (r.events, r.lo_t, r.hi_t, r.lo_x, r.hi_x, r.lo_y, r.hi_y) for k, r in spans.items()} == {
+        k: (len(e), e.t.min(), e.t.max(), e.x.min(), e.x.max(), e.y.min(), e.y.max()) for k, e in enumerate(events) if len(e)
+    }
+    # trials above the bound are counted, and no event of theirs is drawn again
+    most = sorted(len(e) for e in events)[5]
+    found = {r.trial: r for r in cloud.simulated_distances(pixels, pixels, 11, seed=3, most=most, fill=60.0).collect()}
+    again = {r.trial: r for r in cloud.simulated_distances(pixels, pixels, 11, seed=3, most=0, fill=60.0).collect()}
+    assert all((r.distance == math.inf) == (not r.events or r.events > most) for r in found.values())
+    assert all(r.distance == math.inf and r.events == found[k].events for k, r in again.items())
+
+
 def test_simulator_against_a_plain_recursion(spark):
     """One pixel after the other, event by event, with the same random numbers."""
     o = simulate.Options(params.preset("DVS346"), 7)

@@ -28,6 +28,8 @@ from .sinks import INDEX, NO_TIME, FrameSink, at, read_event_text, read_manifest
 #: Frames of a task: at least these many, and these many bytes of small ones; bytes of a batch of them.
 FRAMES_PER_TASK, TASK_BYTES, BATCH_BYTES = 32, 32 << 20, 8 << 20
 RECORDS_PER_TASK = 1_000_000
+#: Pixels of a batch of rows that frames are unpacked to; at least one frame.
+PIXELS_PER_BATCH = 65_536
 #: Tasks of a scan at most; beyond, a task reads several row groups.
 MOST_TASKS = 100_000
 
@@ -253,7 +255,9 @@ class _RawReader(DataSourceReader):
                     at_ = run[lo : lo + step]
                     file.seek(part.begin + (part.first + int(at_[0])) * self.size)
                     raw, n = file.read(len(at_) * self.size), len(at_)
-                    px = pa.array([raw[i * self.size : (i + 1) * self.size] for i in range(n)], pa.binary())
+                    if len(raw) != n * self.size:
+                        raise ValueError(f"{part.path} ends before frame {numbers[at_[-1]]}")
+                    px = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * self.size).astype(np.int32)), pa.py_buffer(raw)])
                     columns = [pa.array(numbers[at_].astype(np.int32)), pa.array(np.full(n, self.height, np.int32)), pa.array(np.full(n, self.width, np.int32)), px]
                     names = ["frame_idx", "height", "width", "px"]
                     if self.timed:
@@ -452,13 +456,25 @@ def timestamps(metadata: DataFrame) -> DataFrame:
 def pixel_rows(frames: DataFrame, channels: int = 1) -> DataFrame:
     """frame_idx, x, y and lum (or c0, c1, ... for several channels) of packed frames; row-major."""
     names = ["lum"] if channels == 1 else [f"c{i}" for i in range(channels)]
+    width = 2 if channels == 1 else channels
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for idx, h, w, px in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                values = np.frombuffer(px, "<u2" if channels == 1 else np.uint8).reshape(h * w, channels).astype(np.int32)
-                at = np.arange(h * w, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(h * w, idx, np.int32)), pa.array(at % w), pa.array(at // w), *[pa.array(np.ascontiguousarray(values[:, c])) for c in range(channels)]], names=["frame_idx", "x", "y", *names])
+            idx, h, w = (batch.column(i).to_numpy() for i in range(3))
+            ends = np.flatnonzero((h[1:] != h[:-1]) | (w[1:] != w[:-1])) + 1
+            for lo, hi in zip([0, *ends], [*ends, len(idx)], strict=True):
+                if lo == hi:
+                    continue
+                # frames of one size at a time, as many as make PIXELS_PER_BATCH pixels
+                size = int(h[lo]) * int(w[lo])
+                step, at = max(1, PIXELS_PER_BATCH // max(1, size)), np.arange(size, dtype=np.int32)
+                if pc.any(pc.not_equal(pc.binary_length(batch.column(3).slice(lo, hi - lo)), size * width)).as_py():
+                    raise ValueError(f"frames of {h[lo]} x {w[lo]} pixels have {size * width} bytes")
+                for a in range(lo, hi, step):
+                    n = min(step, hi - a)
+                    values = np.frombuffer(b"".join(batch.column(3).slice(a, n).to_pylist()), "<u2" if channels == 1 else np.uint8).reshape(n * size, channels).astype(np.int32)
+                    columns = [np.repeat(idx[a : a + n], size), np.tile(at % w[lo], n), np.tile(at // w[lo], n), *(np.ascontiguousarray(values[:, c]) for c in range(channels))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in columns], names=["frame_idx", "x", "y", *names])
 
     fields = ", ".join(f"{n} int" for n in names)
     return frames.select("frame_idx", "height", "width", "px").mapInArrow(run, f"frame_idx int, x int, y int, {fields}")

@@ -180,21 +180,30 @@ class FrameSink(PartWriter):
         out, index = None, []
         try:
             for batch in iterator:
-                times = batch.column("t").to_pylist() if "t" in batch.schema.names else [None] * batch.num_rows
-                for idx, t, h, w, px in zip(batch.column("frame_idx").to_pylist(), times, batch.column("height").to_pylist(), batch.column("width").to_pylist(), batch.column("px"), strict=True):
-                    raw = px.as_py()
-                    if (h, w) != (self.height, self.width) or raw is None or len(raw) != size:
-                        raise ValueError(f"frame {idx} is {h} x {w} with {0 if raw is None else len(raw)} bytes, not {self.height} x {self.width} with {size}")
-                    if out is None:
-                        out = fs.open_output_stream(f"{self.staging}/{part.name}.dat", compression=None)
-                    out.write(raw)
-                    index.append((idx, NO_TIME if t is None else t))
+                if not batch.num_rows:
+                    continue
+                columns = [batch.column(c) for c in ("frame_idx", "height", "width", "px")]
+                (idx, h, w), px = (c.to_numpy(zero_copy_only=False) for c in columns[:3]), columns[3]
+                sizes = pc.fill_null(pc.binary_length(px), -1).to_numpy()
+                bad = np.flatnonzero((h != self.height) | (w != self.width) | (sizes != size))
+                if len(bad):
+                    i = int(bad[0])
+                    raise ValueError(f"frame {idx[i]} is {h[i]} x {w[i]} with {max(0, sizes[i])} bytes, not {self.height} x {self.width} with {size}")
+                if columns[0].null_count:
+                    raise ValueError("a frame needs a number")
+                if out is None:
+                    out = fs.open_output_stream(f"{self.staging}/{part.name}.dat", compression=None)
+                out.write(b"".join(px.to_pylist()))
+                rows = np.zeros(batch.num_rows, INDEX)
+                rows["frame_idx"] = idx
+                rows["t"] = pc.fill_null(batch.column("t").cast(pa.int64()), NO_TIME).to_numpy() if "t" in batch.schema.names else NO_TIME
+                index.append(rows)
         finally:
             if out is not None:
                 out.close()
         if not index:
             return part
-        rows = np.array(index, INDEX)
+        rows = np.concatenate(index)
         with fs.open_output_stream(f"{self.staging}/{part.name}.idx", compression=None) as file:
             file.write(rows.tobytes())
         known = rows["t"][rows["t"] != NO_TIME]

@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +159,35 @@ def test_packed_frames_round_trip(spark):
     packed = sources.packed_frames(spark.createDataFrame(rows, "frame_idx int, t long, x int, y int, lum int"), 3, 4)
     got = {(r.frame_idx, r.x, r.y): r.lum for r in sources.pixel_rows(packed).collect()}
     assert len(got) == 36 and got[2, 3, 2] == 211 and got[1, 2, 1] == 0 and got[1, 0, 0] == 999
+
+
+def test_small_frames_are_unpacked_many_at_a_time():
+    class Frames:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    def batch(rows):
+        return pa.RecordBatch.from_pylist(rows, schema=pa.schema({"frame_idx": pa.int32(), "height": pa.int32(), "width": pa.int32(), "px": pa.binary()}))
+
+    run = sources.pixel_rows(Frames(), 4)
+    rows = [{"frame_idx": i, "height": 1, "width": 1 + i // 5000, "px": bytes([i % 256, 1, 2, 3] * (1 + i // 5000))} for i in range(10_000)]
+    got = list(run(iter([batch(rows[:0]), batch(rows)])))
+    assert len(got) == 2  # one for each size of frames
+    table = pa.Table.from_batches(got)
+    assert table.column("frame_idx").to_pylist() == [*range(5000), *(i for i in range(5000, 10_000) for _ in range(2))]
+    assert table.column("c0").to_pylist() == [i % 256 for i in table.column("frame_idx").to_pylist()] and set(table.column("c3").to_pylist()) == {3}
+    assert table.column("x").to_pylist() == [0] * 5000 + [0, 1] * 5000 and set(table.column("y").to_pylist()) == {0}
+    with pytest.raises(ValueError, match="4 bytes"):
+        list(run(iter([batch([{**rows[0], "px": b"123"}, {**rows[1], "px": b"12345"}])])))
+
+
+def test_a_part_that_is_cut_short_is_an_error(spark, tmp_path):
+    path = str(tmp_path / "f")
+    part = stored(spark, path, range(10), parts=1).parts[0]
+    with open(f"{path}/{part.name}.dat", "r+b") as file:
+        file.truncate(9 * 24 + 5)
+    with pytest.raises(Exception, match="ends before frame 9"):
+        sources.read_frames(spark, path).collect()

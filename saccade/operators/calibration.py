@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pixels as P
+from ..storage import written
 from . import asof, histogram, intervals, regression
 
 FRAME_INTERVAL = 16667.0
@@ -107,9 +108,9 @@ def offsets(features: DataFrame, slopes_: DataFrame, gains_: DataFrame, compat:
 
 
 def sensor_constants(fits: DataFrame, dt: float = FRAME_INTERVAL) -> DataFrame:
-    """p, k1, k2, k1_check, k4, k5 from bucket fits."""
-    features = bucket_features(fits, dt)
-    first = slopes(features)
+    """p, k1, k2, k1_check, k4, k5 from bucket fits. The three regressions need the fits four times, so what made them is run once, for a table of a row per bucket."""
+    features = written(bucket_features(fits, dt))
+    first = written(slopes(features))
     second = gains(first)
     return second.join(offsets(features, first, second), "p")
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from saccade import schema
-from saccade.operators import asof, frames, ordered
+from saccade.operators import asof, calibration, frames, intervals, ordered
 from saccade.sources import frames as sources
 from saccade.streaming import events as streams
 
@@ -159,3 +159,30 @@ def test_a_stuck_pixel_is_split(spark, monkeypatch):
     one = ask()
     monkeypatch.setattr(ordered, "WINDOW_ROWS", 70)
     assert ask() == one and len(one[0]) > 500 and len(one[3]) > 900
+
+
+def _seen(df, counter):
+    """df, whose rows are counted whenever they are made."""
+
+    def run(batches):
+        for batch in batches:
+            counter.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(run, df.schema)
+
+
+def test_sensor_constants_make_their_fits_once(spark):
+    fits, made = calibration.synthetic_fits(spark, 20, noise=False), spark.sparkContext.accumulator(0)
+    found = calibration.sensor_constants(_seen(fits, made)).collect()
+    assert made.value == fits.count() == 800
+    assert sorted(r.p for r in found) == [0, 1] and all(r.k1 == pytest.approx(5.0) and r.k2 == pytest.approx(20.0) for r in found)
+
+
+def test_pool_statistics_make_their_values_once(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "WINDOW_ROWS", 40)
+    made = spark.sparkContext.accumulator(0)
+    rows = spark.createDataFrame([(i % 7, 0, ((i * 37) % 200) / 8) for i in range(200)], "x int, y int, v double")
+    got = intervals.pool_statistics(_seen(rows, made), "v").collect()
+    assert made.value == 200
+    assert [(r.n, r.pixels, r.median, r.min, r.max) for r in got] == [(200, 7, 99.5 / 8, 0.0, 199 / 8)]

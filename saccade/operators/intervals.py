@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import written
 from . import histogram, ordered
 
 
@@ -28,7 +29,11 @@ def intervals(events: DataFrame, keys: tuple[str, ...] = ("x", "y"), least: int
 
 
 def pool_statistics(df: DataFrame, value: str, keys: tuple[str, ...] = ("x", "y"), by: tuple[str, ...] = ()) -> DataFrame:
-    """n, pixels, mean, median, std (population), min, max of the values."""
+    """n, pixels, mean, median, std (population), min, max of the values. The exact median takes several passes, so what made the values is run once, for a table."""
+    return _pool_statistics(written(df.select(*by, *keys, value)), value, keys, by)
+
+
+def _pool_statistics(df: DataFrame, value: str, keys: tuple[str, ...] = ("x", "y"), by: tuple[str, ...] = ()) -> DataFrame:
     v = F.col(value).cast("double")
     out = df.groupBy(*by).agg(
         F.count(value).alias("n"),
@@ -80,8 +85,8 @@ def frequencies(events: DataFrame, least: int = 10, highest: float = 1000.0) ->
 
 def frequency_spectrum(events: DataFrame, least: int = 10, highest: float = 1000.0, bins: int = 50) -> tuple[DataFrame, DataFrame]:
     """(statistics, histogram over [0, highest]) of the instantaneous frequencies."""
-    hz = frequencies(events, least, highest)
-    return pool_statistics(hz, "hz"), histogram.histogram(hz, "hz", bins, 0.0, highest)
+    hz = written(frequencies(events, least, highest).select("x", "y", "hz"))
+    return _pool_statistics(hz, "hz"), histogram.histogram(hz, "hz", bins, 0.0, highest)
 
 
 def luminance_intervals(events: DataFrame, longest: int) -> DataFrame:

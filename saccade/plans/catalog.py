@@ -714,17 +714,11 @@ def needed_frame_scan(spark, sf_dir):
 
 @_query("live_replay", f"{E} SELECT 'c' || (x % 4) AS camera, t, x, y, p, row_number() OVER (PARTITION BY x % 4 ORDER BY t, x, y, p) - 1 AS record FROM e")
 def live_replay(spark, sf_dir):
-    """The events as logs of four cameras, played back by the live source in batches of 8,000 at most."""
+    """The events as logs of four cameras, played back by the live source in batches of 8,000 at most, by streams side by side."""
     logs, out = scratch(spark), scratch(spark)
     rows = lens.events(spark, sf_dir).withColumn("camera", F.concat(F.lit("c"), (F.col("x") % 4).cast("string")))
     live.write_logs(rows, logs)
-    stream = live.live_events(spark, logs, 8000)
-    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").start()
-    try:
-        query.processAllAvailable()
-    finally:
-        query.stop()
-    return spark.read.schema(stream.schema).parquet(out)
+    return live.play_back(spark, logs, out, 8000)
 
 
 @_query("asof_keyed", f"{EF} SELECT e.t, e.x, e.y, e.p, f.frame_idx AS frame_idx, f.lum AS lum FROM e ASOF LEFT JOIN f ON e.x = f.x AND e.y = f.y AND e.t >= f.t")

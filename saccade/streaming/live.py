@@ -12,8 +12,10 @@ A record that is not complete yet waits for the next batch. A log that is shorte
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ RECORD = np.dtype([("t", "<i8"), ("x", "<u2"), ("y", "<u2"), ("p", "u1"), ("_",
 SUFFIX = ".elog"
 #: Events of a batch; records of a task and of an Arrow batch.
 LIMIT, PER_TASK, BLOCK = 1000, 1_000_000, 65_536
+#: Streams that play a recording back side by side, at most.
+STREAMS = 8
 SCHEMA = "camera string, t bigint, x int, y int, p tinyint, record bigint"
 
 
@@ -46,7 +50,7 @@ class Records(InputPartition):
 
 
 class EventLog(DataSource):
-    """Logs of a folder. Options: path, limit (events of a batch), per_task. Written, events (camera, t, x, y, p) become a log per camera."""
+    """Logs of a folder. Options: path, limit (events of a batch), per_task, stretches (JSON: the first record and the one after the last of each log to be read). Written, events (camera, t, x, y, p) become a log per camera."""
 
     @classmethod
     def name(cls) -> str:
@@ -68,6 +72,7 @@ class _LogReader(DataSourceStreamReader):
         self.limit, self.per_task = int(options.get("limit", LIMIT)), int(options.get("per_task", PER_TASK))
         if self.limit < 1 or self.per_task < 1:
             raise ValueError("limit and per_task are at least 1")
+        self.stretches = json.loads(options["stretches"]) if options.get("stretches") else None
         self.planned: dict | None = None
 
     def logs(self) -> dict[str, int]:
@@ -75,14 +80,17 @@ class _LogReader(DataSourceStreamReader):
         fs, base = at(self.path)
         if fs.get_file_info(base).type != pafs.FileType.Directory:
             return {}
-        return {f.base_name.removesuffix(SUFFIX): f.size // RECORD.itemsize for f in fs.get_file_info(pafs.FileSelector(base)) if f.is_file and f.base_name.endswith(SUFFIX)}
+        found = {f.base_name.removesuffix(SUFFIX): f.size // RECORD.itemsize for f in fs.get_file_info(pafs.FileSelector(base)) if f.is_file and f.base_name.endswith(SUFFIX)}
+        if self.stretches is None:
+            return found
+        return {c: min(found.get(c, 0), last) for c, (_, last) in self.stretches.items()}
 
     def initialOffset(self) -> dict:
-        return {}
+        return {} if self.stretches is None else {c: first for c, (first, _) in sorted(self.stretches.items())}
 
     def latestOffset(self) -> dict:
         """The offset of the next batch: at most limit records after the batch that was planned last."""
-        taken, there = dict(self.planned or {}), self.logs()
+        taken, there = dict(self.planned or self.initialOffset()), self.logs()
         for camera, n in taken.items():
             if there.get(camera, 0) < n:
                 raise ValueError(f"the log of {camera} has {there.get(camera, 0)} records; {n} were taken of it")
@@ -176,7 +184,51 @@ def write_logs(events: DataFrame, path: str) -> None:
     rows.repartition("camera").sortWithinPartitions(*order).write.format("eventlog").mode("append").option("path", path).save()
 
 
-def live_events(spark: SparkSession, path: str, limit: int = LIMIT, per_task: int = PER_TASK) -> DataFrame:
-    """The stream of a folder's logs: camera, t, x, y, p, record (its number in the log)."""
+def live_events(spark: SparkSession, path: str, limit: int = LIMIT, per_task: int = PER_TASK, stretches: dict | None = None) -> DataFrame:
+    """The stream of a folder's logs: camera, t, x, y, p, record (its number in the log). stretches: see EventLog."""
     spark.dataSource.register(EventLog)
-    return spark.readStream.format("eventlog").options(path=path, limit=str(limit), per_task=str(per_task)).load()
+    options = {} if stretches is None else {"stretches": json.dumps(stretches)}
+    return spark.readStream.format("eventlog").options(path=path, limit=str(limit), per_task=str(per_task), **options).load()
+
+
+def stretches(logs: dict[str, int], limit: int, streams: int = STREAMS) -> list[dict[str, tuple[int, int]]]:
+    """The records of logs (camera: their number) dealt out: for each of at most streams the first record of a log and the one after its last.
+
+    The stretches follow each other through the logs and differ by one batch at most, so one long log is shared as well.
+    """
+    total = sum(logs.values())
+    n = min(streams, -(-total // limit))
+    size = -(-total // max(1, n) // limit) * limit
+    out: list[dict[str, tuple[int, int]]] = [{} for _ in range(n)]
+    before = 0
+    for camera, records in sorted(logs.items()):
+        first = 0
+        while first < records:
+            k = (before + first) // size
+            last = min(records, (k + 1) * size - before)
+            out[k][camera] = (first, last)
+            first = last
+        before += records
+    return [o for o in out if o]
+
+
+def play_back(spark: SparkSession, path: str, out: str, limit: int = LIMIT, streams: int = STREAMS) -> DataFrame:
+    """All records that a folder's logs have now, played back to tables below out in batches of limit at most.
+
+    A batch costs a fixed time, however few events it has, so a long recording is cut into stretches that streams play side by side, each
+    with its own checkpoint.
+    """
+    found = stretches(_LogReader({"path": path}).logs(), limit, streams)
+    schema, places = live_events(spark, path, limit).schema, [f"{out}/stretch={k}" for k in range(len(found))]
+    queries = []
+    try:
+        for own, place in zip(found, places, strict=True):
+            stream = live_events(spark, path, limit, stretches=own)
+            queries.append(stream.writeStream.format("parquet").option("path", place).option("checkpointLocation", f"{out}-checkpoint/{place.rpartition('/')[2]}").start())
+        for query in queries:
+            query.processAllAvailable()
+    finally:
+        for query in queries:
+            query.stop()
+    # one by one: only then the sink's own list of its files counts
+    return reduce(DataFrame.unionAll, [spark.read.schema(schema).parquet(place) for place in places], spark.createDataFrame([], schema))

@@ -95,3 +95,25 @@ def test_playback_of_written_logs(spark, tmp_path):
         assert times == sorted(times)
     with pytest.raises(ValueError):
         live.write_logs(spark.createDataFrame([(None, 1, 1, 1, 1)], "camera string, t long, x int, y int, p int"), str(tmp_path / "bad"))
+
+
+def test_a_long_recording_is_played_by_streams_side_by_side(spark, tmp_path):
+    assert live.stretches({}, 10) == [] and live.stretches({"a": 7}, 10) == [{"a": (0, 7)}]
+    assert live.stretches({"a": 45, "b": 0, "c": 15}, 10, 3) == [{"a": (0, 20)}, {"a": (20, 40)}, {"a": (40, 45), "c": (0, 15)}]
+    for logs, limit, streams in (({"a": 1001, "b": 3, "c": 77}, 10, 8), ({"a": 5, "b": 5}, 3, 8), ({f"c{i}": i for i in range(50)}, 4, 7)):
+        found = live.stretches(logs, limit, streams)
+        taken = sorted((c, i) for o in found for c, (a, b) in o.items() for i in range(a, b))
+        assert taken == sorted((c, i) for c, n in logs.items() for i in range(n)) and len(found) <= streams
+        assert max(sum(b - a for a, b in o.values()) for o in found) <= sum(logs.values()) / len(found) + limit * streams
+    (tmp_path / "logs").mkdir()
+    feed(tmp_path / "logs", "a", 0, 90)
+    feed(tmp_path / "logs", "b", 0, 4)
+    rows = live.play_back(spark, str(tmp_path / "logs"), str(tmp_path / "out"), 20, 3).collect()
+    assert sorted((r.camera, r.record, r.t, r.x, r.y, r.p) for r in rows) == want(("a", 90), ("b", 4))
+    folders = sorted(p for p in (tmp_path / "out").iterdir())
+    assert len(folders) == 3
+    for folder in folders:  # no batch is above the limit
+        commits = [p for p in (tmp_path / "out-checkpoint" / folder.name / "commits").iterdir() if p.name.isdigit()]
+        assert len(commits) == -(-spark.read.parquet(str(folder)).count() // 20)
+    (tmp_path / "none").mkdir()
+    assert live.play_back(spark, str(tmp_path / "none"), str(tmp_path / "nothing")).count() == 0

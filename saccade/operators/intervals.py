@@ -85,7 +85,7 @@ def frequencies(events: DataFrame, least: int = 10, highest: float = 1000.0) ->
 
 def frequency_spectrum(events: DataFrame, least: int = 10, highest: float = 1000.0, bins: int = 50) -> tuple[DataFrame, DataFrame]:
     """(statistics, histogram over [0, highest]) of the instantaneous frequencies."""
-    hz = written(frequencies(events, least, highest).select("x", "y", "hz"))
+    hz = written(frequencies(events.select("t", "x", "y"), least, highest).select("x", "y", "hz"))
     return _pool_statistics(hz, "hz"), histogram.histogram(hz, "hz", bins, 0.0, highest)
 
 

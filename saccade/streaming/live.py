@@ -13,6 +13,7 @@ A record that is not complete yet waits for the next batch. A log that is shorte
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Iterator
 from dataclasses import replace
 from functools import reduce
@@ -31,8 +32,8 @@ RECORD = np.dtype([("t", "<i8"), ("x", "<u2"), ("y", "<u2"), ("p", "u1"), ("_",
 SUFFIX = ".elog"
 #: Events of a batch; records of a task and of an Arrow batch.
 LIMIT, PER_TASK, BLOCK = 1000, 1_000_000, 65_536
-#: Streams that play a recording back side by side, at most.
-STREAMS = 8
+#: Streams that play a recording back side by side, at most; each holds about 50 MB of the driver's memory.
+STREAMS = 3
 SCHEMA = "camera string, t bigint, x int, y int, p tinyint, record bigint"
 
 
@@ -216,7 +217,8 @@ def play_back(spark: SparkSession, path: str, out: str, limit: int = LIMIT, stre
     """All records that a folder's logs have now, played back to tables below out in batches of limit at most.
 
     A batch costs a fixed time, however few events it has, so a long recording is cut into stretches that streams play side by side, each
-    with its own checkpoint.
+    with its own checkpoint. A stream has a Python process in the driver's memory, and others while it is planned: the next one starts when
+    those are free again, and one that has come to its end is stopped before the others are waited for.
     """
     found = stretches(_LogReader({"path": path}).logs(), limit, streams)
     schema, places = live_events(spark, path, limit).schema, [f"{out}/stretch={k}" for k in range(len(found))]
@@ -225,8 +227,11 @@ def play_back(spark: SparkSession, path: str, out: str, limit: int = LIMIT, stre
         for own, place in zip(found, places, strict=True):
             stream = live_events(spark, path, limit, stretches=own)
             queries.append(stream.writeStream.format("parquet").option("path", place).option("checkpointLocation", f"{out}-checkpoint/{place.rpartition('/')[2]}").start())
+            while queries[-1].isActive and queries[-1].lastProgress is None:
+                time.sleep(0.05)
         for query in queries:
             query.processAllAvailable()
+            query.stop()
     finally:
         for query in queries:
             query.stop()

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from saccade.streaming import live
 
@@ -117,3 +118,18 @@ def test_a_long_recording_is_played_by_streams_side_by_side(spark, tmp_path):
         assert len(commits) == -(-spark.read.parquet(str(folder)).count() // 20)
     (tmp_path / "none").mkdir()
     assert live.play_back(spark, str(tmp_path / "none"), str(tmp_path / "nothing")).count() == 0
+
+
+def test_streams_of_a_playback_are_few_and_planned_one_by_one(spark, tmp_path, monkeypatch):
+    (tmp_path / "logs").mkdir()
+    feed(tmp_path / "logs", "a", 0, 240)
+    planned, start = [], DataStreamWriter.start
+
+    def counted(self, *args, **kwargs):
+        planned.append([q.lastProgress is not None for q in spark.streams.active])
+        return start(self, *args, **kwargs)
+
+    monkeypatch.setattr(DataStreamWriter, "start", counted)
+    assert live.play_back(spark, str(tmp_path / "logs"), str(tmp_path / "out"), 20).count() == 240
+    assert len(planned) <= 3 and all(all(p) for p in planned)
+    assert not spark.streams.active

@@ -116,13 +116,13 @@ def sinkhorn_divergence(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.nda
     return float(wa @ (f - p) + wb @ (g - q))
 
 
-def cloud_distance(one: DataFrame, two: DataFrame, blur: float = 0.01, scaling: float = 0.9, most: int = 5_000_000, points: int | None = None) -> float:
-    """Divergence of two event streams, each normalized to the unit cube; above most events, infinite.
+def cloud_distance(one: DataFrame, two: DataFrame, blur: float = 0.01, scaling: float = 0.9, most: int | None = None, points: int | None = None) -> float:
+    """Divergence of two event streams, each normalized to the unit cube; with most, infinite above that many events.
 
     Clouds of at most points (default MOST_POINTS) distinct points are compared exactly, larger ones by the mean points of the finest cells that
     are few enough; points move by less than a cell's diagonal then.
     """
-    if max(one.limit(most + 1).count(), two.limit(most + 1).count()) > most:
+    if most is not None and max(one.limit(most + 1).count(), two.limit(most + 1).count()) > most:
         return math.inf
     clouds = []
     for df in (normalized(one), normalized(two)):
@@ -184,13 +184,42 @@ def _spans(keyed: DataFrame, sensors: list[Sensor], seed: int, fill: float | Non
     return found.groupBy("trial").agg(F.sum("events").alias("events"), *[(F.min if n.startswith("lo") else F.max)(n).alias(n) for n in names])
 
 
-def simulated_distances(pixels: DataFrame, real: DataFrame, trials: int, seed: int = 42, ranges: dict | None = None, blur: float = 0.05, most: int = 5_000_000, cells: int = 12, fill: float | None = None) -> DataFrame:
+def _cells_of(trials: list[int], sensors: list[Sensor], bounds: dict[int, tuple], cells: int, seed: int, fill: float | None) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """For a tile: trial, cell, n, t, x, y: the events of each trial in each cell of its normalized cloud, and the sums of their coordinates.
+
+    bounds: lo and hi of t, x and y of each trial. A frame's events are counted and forgotten, so a trial may have any number of them.
+    """
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for first in range(0, len(trials), STACK):
+            some = trials[first : first + STACK]
+            lo, hi = (np.array([bounds[i][k::2] for i in some]).T for k in (0, 1))
+            n, sums = np.zeros(len(some) * cells**3, np.int64), np.zeros((3, len(some) * cells**3))
+            for own, *columns in simulate.simulate_trials(pdf, [sensors[i] for i in some], seed, fill):
+                at, unit = own, []
+                for c, a, b in zip(columns, lo, hi, strict=True):
+                    u = (c - a[own]) / np.where(b > a, b - a, 1)[own]
+                    at = at * cells + np.minimum((u * cells).astype(np.int64), cells - 1)
+                    unit.append(u)
+                here, inverse = np.unique(at, return_inverse=True)
+                n[here] += np.bincount(inverse, minlength=len(here))
+                for total, u in zip(sums, unit, strict=True):
+                    total[here] += np.bincount(inverse, u, len(here))
+            used = np.flatnonzero(n)
+            parts.append((np.array(some)[used // cells**3], used % cells**3, n[used], *sums[:, used]))
+        return pd.DataFrame(dict(zip(("trial", "cell", "n", "t", "x", "y"), (np.concatenate(c) for c in zip(*parts, strict=True)), strict=True))).astype({"trial": "int32", "cell": "int32"})
+
+    return run
+
+
+def simulated_distances(pixels: DataFrame, real: DataFrame, trials: int, seed: int = 42, ranges: dict | None = None, blur: float = 0.05, most: int | None = None, cells: int = 12, fill: float | None = None) -> DataFrame:
     """trial, k1..k6, events, distance of all proposals: each is simulated on pixels and compared with the real events.
 
     Every tile is simulated by itself, for all trials together. A first pass counts each trial's events and finds their bounds within the
-    tasks. Trials of at most most events, so a bounded number of rows, are then drawn again, normalized and counted in cells by
-    aggregates, and the distance to the real cloud (cells per axis, so cells ** 3 points at most, broadcast) is found in a task for
-    each. No or too many events: infinite.
+    tasks. A second one draws them again and counts them in cells, within the tasks too, so no event leaves them, however many a trial has;
+    the distance to the real cloud (cells per axis, so cells ** 3 points at most, broadcast) is found in a task for each. No events: infinite;
+    with most, also for a trial with more events.
     """
     spark = pixels.sparkSession
     sensors = proposals(trials, seed, ranges)
@@ -198,21 +227,12 @@ def simulated_distances(pixels: DataFrame, real: DataFrame, trials: int, seed: i
     cloud = spark.sparkContext.broadcast(points_of(quantized(normalized(real), cells)))
     keyed = written(simulate.tiled(pixels, None, fill))
     bounds = written(_spans(keyed, sensors, seed, fill))
-    good = sorted(r.trial for r in bounds.where(F.col("events") <= most).select("trial").collect())
+    spans = {r.trial: tuple(r)[2:] for r in bounds.orderBy("trial").collect() if most is None or r.events <= most}  # a row per trial
     out = table.join(bounds.select("trial", "events"), "trial", "left").withColumn("events", F.coalesce("events", F.lit(0)))
-    if not good:
+    if not spans:
         return out.withColumn("distance", F.lit(math.inf))
-
-    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        picked = [sensors[i] for i in good]
-        parts = [(np.array(good)[first + own], t, x, y) for first in range(0, len(good), STACK) for own, t, x, y in simulate.simulate_trials(pdf, picked[first : first + STACK], seed, fill)]
-        columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0)] * 4
-        return pd.DataFrame(dict(zip(("trial", "t", "x", "y"), columns, strict=True))).astype({"t": "int64", "x": "int32", "y": "int32", "trial": "int32"})
-
-    drawn = keyed.groupBy("_tx", "_ty").applyInPandas(draw, "trial int, t long, x int, y int")
-    scaled = drawn.join(F.broadcast(bounds), "trial")  # one row a trial
-    unit = scaled.select("trial", *[F.coalesce((F.col(c) - F.col(f"lo_{c}")) / F.nullif((F.col(f"hi_{c}") - F.col(f"lo_{c}")).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in ("t", "x", "y")])
-    counted = quantized(unit, cells, keys=("trial",))
+    parts = keyed.groupBy("_tx", "_ty").applyInPandas(_cells_of(list(spans), sensors, spans, cells, seed, fill), "trial int, cell int, n long, t double, x double, y double")
+    counted = parts.groupBy("trial", "cell").agg(F.sum("n").alias("n"), *[(F.sum(c) / F.sum("n")).alias(c) for c in ("t", "x", "y")])
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         weights = pdf["n"].to_numpy(float)

@@ -705,6 +705,27 @@ def test_trials_are_drawn_together_and_counted_in_their_tasks(spark):
     assert all(r.distance == math.inf and r.events == found[k].events for k, r in again.items())
 
 
+def test_trials_of_any_number_of_events_are_compared(spark):
+    rows = [(f, f * 8333, x, y, 50.0 + 3 * x + (f * y) % 70) for f in range(9) for x in range(40) for y in range(3) if (f + x) % 5]
+    pixels = spark.createDataFrame(rows, "frame_idx int, t long, x int, y int, lum double")
+    real = simulate.dvs_events(pixels, "DVS346", seed=5, fill=60.0)
+    found = {r.trial: r for r in cloud.simulated_distances(pixels, real, 5, seed=3, fill=60.0).collect()}
+    there = cloud.points_of(cloud.quantized(cloud.normalized(real), 12))
+    some = 0
+    for k, sensor in enumerate(cloud.proposals(5, 3)):
+        events = simulate.dvs_events(pixels, sensor, seed=3, fill=60.0)
+        want = cloud.sinkhorn_divergence(*cloud.points_of(cloud.quantized(cloud.normalized(events), 12)), *there, blur=0.05)
+        assert found[k].distance == pytest.approx(want, rel=1e-9)
+        some += found[k].events > 0
+    assert some > 1
+    # more than the 5,000,000 events that were the bound
+    fixed = {"k1": (1500.0, 1500.0), "k2": (1e-7, 1e-7), "k3": (1e-8, 1e-8), "k4": (1e-8, 1e-8), "k5": (1e-13, 1e-13), "k6": (1e-3, 1e-3)}
+    (many,) = cloud.simulated_distances(clip(spark, [10, 110] * 3, 700), real, 1, ranges=fixed).collect()
+    assert many.events > 5_000_000 and 0 < many.distance < 1
+    long = spark.range(5_000_001).select(F.col("id").alias("t"), (F.col("id") % 7).cast("int").alias("x"), (F.col("id") % 5).cast("int").alias("y"))
+    assert 0 <= cloud.cloud_distance(long, long.where("t % 2 = 0"), blur=0.2, scaling=0.5, points=100) < 0.1
+
+
 def test_simulator_against_a_plain_recursion(spark):
     """One pixel after the other, event by event, with the same random numbers."""
     o = simulate.Options(params.preset("DVS346"), 7)

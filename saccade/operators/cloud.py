@@ -161,6 +161,8 @@ def search(spark: SparkSession, score: Callable[[Sensor], float], trials: int, s
 
 #: Proposals whose pixels one step of the simulator takes together.
 STACK = 8
+#: Tasks that tiles are dealt to, at most.
+MOST_TASKS = 10_000
 
 
 def _spans(keyed: DataFrame, sensors: list[Sensor], seed: int, fill: float | None) -> DataFrame:
@@ -226,6 +228,8 @@ def simulated_distances(pixels: DataFrame, real: DataFrame, trials: int, seed: i
     table = spark.createDataFrame([(i, *map(float, vars(s).values())) for i, s in enumerate(sensors)], "trial int, k1 double, k2 double, k3 double, k4 double, k5 double, k6 double")
     cloud = spark.sparkContext.broadcast(points_of(quantized(normalized(real), cells)))
     keyed = written(simulate.tiled(pixels, None, fill))
+    # tiles cost much and alike: one or few to a task
+    keyed = keyed.repartition(max(1, min(MOST_TASKS, keyed.select("_tx", "_ty").distinct().count())), "_tx", "_ty")
     bounds = written(_spans(keyed, sensors, seed, fill))
     spans = {r.trial: tuple(r)[2:] for r in bounds.orderBy("trial").collect() if most is None or r.events <= most}  # a row per trial
     out = table.join(bounds.select("trial", "events"), "trial", "left").withColumn("events", F.coalesce("events", F.lit(0)))
